@@ -11,7 +11,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import let, word_array
+from .shared import SPACES, let, word_array
 
 # Common function words of the corpus languages.
 STOP_WORDS = (
@@ -53,10 +53,15 @@ WINDOW = 8
 
 
 def _window_hashes(words: Column) -> Column:
-    """A 64-bit hash of each window of WINDOW words."""
-    return F.when(F.size(words) < WINDOW + 1, F.array().cast("array<bigint>")).otherwise(
-        F.transform(F.sequence(F.lit(1), F.size(words) - (WINDOW - 1)), lambda i: F.xxhash64(F.slice(words, i, WINDOW)))
-    )
+    """From word hashes, one of each window of WINDOW (a power of two) words, by doubling: two of k words make one of 2k."""
+
+    def doubled(hashes: Column, span: int) -> Column:
+        if span == WINDOW:
+            return F.slice(hashes, 1, F.size(hashes) - (WINDOW - 1))
+        pairs = F.zip_with(hashes, F.slice(hashes, span + 1, F.size(hashes)), lambda a, b: F.xxhash64(a, b))
+        return let(pairs, lambda h: doubled(h, 2 * span))
+
+    return F.when(F.size(words) < WINDOW + 1, F.array().cast("array<bigint>")).otherwise(doubled(words, 1))
 
 
 def _covered(hashes: Column) -> Column:
@@ -79,28 +84,33 @@ def measures(df: DataFrame, text: str = "text") -> DataFrame:
     """df with the measures n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words and those that only rules use."""
     body = F.coalesce(F.col(text), F.lit(""))
 
+    # Hashes of the stop words, also with a capital, so that words need not be folded; constants to the optimizer.
+    stop_hashes = [F.xxhash64(F.lit(w)) for word in STOP_WORDS for w in (word, word.capitalize())]
+
     def of_words(words: Column) -> Column:
-        stops = F.aggregate(words, F.lit(0), lambda n, w: n + F.lower(w).isin(STOP_WORDS).cast("int"))
-        # A text without a repetition costs one hash set.
+        # Words are compared by 64-bit hashes. A text without a repetition costs one hash set.
         repeats = let(_window_hashes(words), lambda h: F.when(F.size(F.array_distinct(h)) == F.size(h), F.lit(0)).otherwise(_covered(h)))
         return F.struct(
             F.size(words).cast("long").alias("n_words"),
-            F.length(F.concat_ws("", words)).cast("long").alias("word_chars"),
             repeats.cast("long").alias("n_repeat_words"),
-            stops.cast("long").alias("n_stop_words"),
+            F.size(F.filter(words, lambda h: h.isin(stop_hashes))).cast("long").alias("n_stop_words"),
         )
 
+    unspaced = body
+    for space in SPACES:
+        unspaced = F.replace(unspaced, F.lit(space), F.lit(""))
+
     def of_lines(lines: Column) -> Column:
         return F.struct(
             F.size(lines).cast("long").alias("n_lines"),
             (F.size(lines) - F.size(F.array_distinct(lines))).cast("long").alias("n_dup_lines"),
-            F.size(F.filter(lines, lambda x: x.rlike(r"^\s*[-*•‣·]"))).cast("long").alias("n_bullet_lines"),
-            F.size(F.filter(lines, lambda x: x.rlike(r"(\.\.\.|…)\s*$"))).cast("long").alias("n_ellipsis_lines"),
+            F.size(F.filter(lines, lambda x: F.substring(x, 1, 1).isin("-", "*", "•", "‣", "·"))).cast("long").alias("n_bullet_lines"),
+            F.size(F.filter(lines, lambda x: F.endswith(x, F.lit("...")) | F.endswith(x, F.lit("…")))).cast("long").alias("n_ellipsis_lines"),
         )
 
     lines = F.filter(F.split(body, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
-    staged = df.withColumns({"__of_words": let(word_array(F.col(text)), of_words), "__of_lines": let(lines, of_lines), "n_symbols": F.regexp_count(body, F.lit(r"[#*$%&|<>]")).cast("long")})
-    names = {"__of_words": ("n_words", "word_chars", "n_repeat_words", "n_stop_words"), "__of_lines": ("n_lines", "n_dup_lines", "n_bullet_lines", "n_ellipsis_lines")}
+    staged = df.withColumns({"__of_words": let(F.transform(word_array(F.col(text)), lambda w: F.xxhash64(w)), of_words), "__of_lines": let(lines, of_lines), "word_chars": F.length(unspaced).cast("long"), "n_symbols": F.regexp_count(body, F.lit(r"[#*$%&|<>]")).cast("long")})
+    names = {"__of_words": ("n_words", "n_repeat_words", "n_stop_words"), "__of_lines": ("n_lines", "n_dup_lines", "n_bullet_lines", "n_ellipsis_lines")}
     return staged.withColumns({c: F.col(f"{group}.{c}") for group, cs in names.items() for c in cs}).drop(*names)
 
 
