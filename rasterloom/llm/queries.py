@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, minhash, mixing, pii, quality, warc
+from . import langid, minhash, mixing, nndescent, pii, quality, warc
 from .shared import cut, scratch_path, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -65,3 +65,8 @@ SELECT page_id, CAST(octet_length(body) AS BIGINT) AS payload_bytes, p.digest AS
   CASE WHEN first <> page_id THEN first END AS refers_to
 FROM p LEFT JOIN f ON p.digest = f.digest
 """
+
+
+@query
+def op6_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nndescent.near_vectors(table(spark, sf_dir, "embeddings"))
