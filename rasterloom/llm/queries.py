@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, minhash, mixing, nndescent, pii, quality, secrets, warc
+from . import langid, licenses, minhash, mixing, nndescent, pii, quality, secrets, warc
 from .shared import cut, scratch_path, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -77,3 +77,8 @@ def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = secrets.train(secrets.synthetic_findings(spark))
     found = secrets.find_secrets(table(spark, sf_dir, "documents"), model)
     return found.select("doc_id", "start", "end", F.length("value").cast("long").alias("length"), "probability", "is_secret")
+
+
+@query
+def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.find_licenses(table(spark, sf_dir, "documents"))
