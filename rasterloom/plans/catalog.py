@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import metrics
 from ..functions.palettes import BBC, C64, CPC, PALETTES, TMS9918, VIC20, ZX, Colour
-from ..operators import batch, color, packing
+from ..operators import batch, color, packing, sequential
 from ..operators import statistics as st
 from ..sources.rasters import embedding_cells, orders_raster
 
@@ -199,3 +199,20 @@ add("settings", _settings, "SELECT event_id, CASE WHEN event_id % 6 = 0 THEN coa
 add("validate_size", lambda spark, d: batch.validate_size(_docs(spark, d).select("doc_id", (F.col("doc_id") % 3).alias("width"), (F.col("n_chars") % 2).alias("height"))).select("doc_id", "error"), "SELECT doc_id, CASE WHEN doc_id % 3 = 0 AND n_chars % 2 = 0 THEN 'emptyImage' WHEN doc_id % 3 <= 0 OR n_chars % 2 <= 0 THEN 'invalidDimensions' END AS error FROM documents")
 add("batch_summary", lambda spark, d: batch.summary(_docs(spark, d).withColumn("error", F.when(F.col("n_chars") % 5 == 0, "bad")), "source", "error", "doc_id"), "WITH f AS (SELECT doc_id, source FROM documents WHERE n_chars % 5 = 0) SELECT (SELECT count(*) FROM documents) AS n, (SELECT count(*) FROM f) AS failed, (SELECT string_agg(source, ', ' ORDER BY doc_id) FROM (SELECT * FROM f ORDER BY doc_id LIMIT 3)) || CASE WHEN (SELECT count(*) FROM f) > 3 THEN ' and ' || ((SELECT count(*) FROM f) - 3) || ' more' ELSE '' END AS failures")
 add("byte_checksum", lambda spark, d: _docs(spark, d).withColumn("hex", F.md5("source")).select("doc_id", packing.byte_sum("hex").alias("checksum")), "SELECT doc_id, CAST(list_sum(list_transform(range(16), lambda k: ('0x' || substring(md5(source), 2*k+1, 2))::INT)) AS BIGINT) % 65536 AS checksum FROM documents")
+
+# Sequential kernels: images are strips of ten rows, so that they are many.
+
+
+def _strips(spark: SparkSession, d: str) -> DataFrame:
+    return orders_raster(spark, d).withColumn("image_id", F.expr("y div 10")).withColumn("y", F.expr("y % 10"))
+
+
+for _kernel in sequential.DIFFUSION:
+    add(f"diffuse_{_kernel}", lambda spark, d, k=_kernel: sequential.diffuse(_strips(spark, d), BBC, k))
+add("diffuse_cells", lambda spark, d: sequential.diffuse(_strips(spark, d), BBC, cell=(8, 8)))
+add("ham6", lambda spark, d: sequential.hold_and_modify(_strips(spark, d), PALETTES["cga16"]))
+add("ham8", lambda spark, d: sequential.hold_and_modify(_strips(spark, d), PALETTES["ega64"], bits=6))
+add("ham6_fold", lambda spark, d: sequential.hold_fold(_strips(spark, d), PALETTES["cga16"]))
+add("median_cut_widest", lambda spark, d: sequential.adaptive_palette(_strips(spark, d), 16))
+add("median_cut_fifo", lambda spark, d: sequential.adaptive_palette(_strips(spark, d), 16, "fifo"))
+add("line_palette_reuse", lambda spark, d: sequential.line_palettes(_strips(spark, d), 16, 12.0))
