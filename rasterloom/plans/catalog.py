@@ -9,8 +9,10 @@ from pyspark.sql import functions as F
 
 from ..functions import metrics
 from ..functions.palettes import BBC, C64, CPC, PALETTES, TMS9918, VIC20, ZX, Colour
-from ..operators import batch, color, packing, sequential
+from ..functions.disks import BUILDERS, LISTINGS
+from ..operators import batch, color, machines, packing, sequential
 from ..operators import statistics as st
+from ..sources.disks import build_disks, list_disks
 from ..sources.rasters import embedding_cells, orders_raster
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -216,3 +218,25 @@ add("ham6_fold", lambda spark, d: sequential.hold_fold(_strips(spark, d), PALETT
 add("median_cut_widest", lambda spark, d: sequential.adaptive_palette(_strips(spark, d), 16))
 add("median_cut_fifo", lambda spark, d: sequential.adaptive_palette(_strips(spark, d), 16, "fifo"))
 add("line_palette_reuse", lambda spark, d: sequential.line_palettes(_strips(spark, d), 16, 12.0))
+
+# Native files and disks: images are strips of fifty rows.
+
+
+def _images(spark: SparkSession, d: str) -> DataFrame:
+    return orders_raster(spark, d).withColumn("image_id", F.expr("y div 50")).withColumn("y", F.expr("y % 50"))
+
+
+for _mode in machines.MODES:
+    add(f"convert_{_mode}", lambda spark, d, m=_mode: machines.convert(_images(spark, d), m).select("image_id", "width", "height", F.length("content").alias("size"), F.md5("content").alias("digest"), "error"))
+
+
+def _files(spark: SparkSession, d: str) -> DataFrame:
+    docs = spark.read.parquet(f"{d}/documents.parquet").where("text is not null")
+    name = F.concat(F.lit("F"), F.col("doc_id"), F.lit(".TXT"))
+    return docs.select(F.expr("doc_id div 20").alias("disk_id"), F.col("doc_id").alias("ord"), name.alias("name"), F.encode("text", "UTF-8").alias("content"))
+
+
+for _system in BUILDERS:
+    add(f"disk_{_system}", lambda spark, d, s=_system: build_disks(_files(spark, d), s).select("disk_id", "system", "size_bytes", "files", F.md5("content").alias("digest")))
+for _system in LISTINGS:
+    add(f"listing_{_system}", lambda spark, d, s=_system: list_disks(build_disks(_files(spark, d), s), s))
