@@ -8,7 +8,7 @@ payload that holds a gzip WARC of its own is safe as long as its member is defla
 Writer: one archive for each task and `rotate` bytes, under a fresh name: a task that runs again leaves an archive that
 no manifest lists. Records with payloads equal in bytes, of at least `least` bytes, are written once: the one with the
 smallest id as response, others as revisit records without a body. Rows that share that smallest id and payload are all
-responses. A null payload is empty; a null id is written without a reference and never referred to. Archives go to the
+responses. A null payload is empty; a record with a null id may revisit another and is never referred to. Archives go to the
 folder given, through any file system that pyarrow opens.
 """
 

@@ -1,0 +1,360 @@
+"""The ten operators against brute force, with nulls, empty and long texts, ties, repeated rows, empty tables and clashing columns."""
+
+import hashlib
+import random
+import re
+from collections import Counter, defaultdict
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from rasterloom.llm import langid, licenses, minhash, mixing, nndescent, pii, quality, secrets, sentencepieces, warc
+from rasterloom.llm.components import connected_components
+from rasterloom.llm.queries import TOKENIZER
+from rasterloom.llm.shared import cut, scratch_path
+
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
+R = random.Random(5)
+VOCABULARY = ["".join(R.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(R.randint(2, 8))) for _ in range(400)]
+
+
+def prose(n, seed):
+    r = random.Random(seed)
+    return " ".join(r.choice(VOCABULARY) for _ in range(n))
+
+
+def docs(spark, texts):
+    return spark.createDataFrame([(k, t, "en", None if k % 5 == 0 else f"s{k % 3}", 7) for k, t in enumerate(texts)], SCHEMA)
+
+
+ODD = [None, "", "   \n\t", "one", "one two", "  x y", "a" * 20000, "word " * 5000]
+
+
+# ---- 8
+
+
+def _measures(text):
+    words = WORD.findall(text or "")
+    windows = Counter(tuple(words[i : i + 8]) for i in range(len(words) - 7))
+    covered = {j for i in range(len(words) - 7) if windows[tuple(words[i : i + 8])] > 1 for j in range(i, i + 8)}
+    lines = [x for x in (text or "").split("\n") if WORD.search(x)]
+    return len(words), sum(map(len, words)), len(re.findall(r"[#*$%&|<>]", text or "")), len(lines) - len(set(lines)), len(covered)
+
+
+def test_quality_measures_equal_brute_force(spark):
+    texts = [*ODD, prose(50, 1), prose(12, 2) + "\n" + prose(12, 2), "a b\na b\n\na b", "x*y|z #1 " * 9, "p q r s t u v w p q r s t u v w p", prose(300, 3)]
+    told = quality.apply_rules(docs(spark, texts).withColumn("n_words", F.lit("clash"))).collect()
+    for row in told:
+        want = _measures(texts[row["doc_id"]])
+        assert (row["n_words"], row["word_chars"], row["n_symbols"], row["n_dup_lines"], row["n_repeat_words"]) == want
+        assert row["base_failed"] == (want[0] < 20 or 100 * want[4] > 30 * want[0])
+        assert not (row["base_failed"] and row["kept"])
+    assert quality.apply_rules(docs(spark, []).limit(0)).count() == 0
+
+
+def test_quality_filter_keeps_clean_rows_and_columns(spark):
+    df = docs(spark, [prose(200, 9), "!!! *** " * 40, None])
+    kept = quality.filter_quality(df)
+    assert kept.columns == df.columns and [r["doc_id"] for r in kept.collect()] == [0]
+
+
+# ---- 10
+
+
+def _sets(texts, width):
+    out = []
+    for t in texts:
+        words = re.findall(rb"[^\x20\x09-\x0D]+", (t or "").encode().lower())
+        out.append({tuple(words[i : i + width]) for i in range(len(words) - width + 1)} if len(words) >= width else {tuple(words)} if words else set())
+    return out
+
+
+def _components(n, linked):
+    parent = list(range(n))
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a in range(n):
+        for b in range(a):
+            if linked(a, b):
+                x, y = sorted((find(a), find(b)))
+                parent[y] = x
+    return [find(k) for k in range(n)]
+
+
+def _mutated(text, share, seed):
+    r = random.Random(seed)
+    return " ".join(w if r.random() > share else f"new{r.random()}" for w in text.split())
+
+
+def test_near_duplicates_equal_brute_force(spark):
+    base = prose(120, 11)
+    texts = [*ODD, base, base.upper(), *[_mutated(base, 0.01 * (k % 5), k) for k in range(60)], *[prose(60, 90 + k) + " " + base[:200] for k in range(20)], "one two", "ONE"]
+    for width, threshold in ((3, 85), (5, 80)):
+        sets = _sets(texts, width)
+        want = _components(len(texts), lambda a, b, s=sets, t=threshold: bool(s[a]) and bool(s[b]) and 100 * len(s[a] & s[b]) >= t * len(s[a] | s[b]))
+        told = {r["doc_id"]: r for r in minhash.near_duplicates(docs(spark, texts).withColumn("bands", F.lit(1)), width=width, threshold=threshold).collect()}
+        assert [told[k]["n_shingles"] for k in range(len(texts))] == [len(s) for s in sets]
+        assert [told[k]["component_id"] for k in range(len(texts))] == want
+        assert all(told[k]["kept"] == (want[k] == k) for k in range(len(texts)))
+
+
+def test_near_duplicates_of_nothing_and_of_null_ids(spark):
+    assert minhash.near_duplicates(docs(spark, []).limit(0)).count() == 0
+    df = spark.createDataFrame([(None, "a b c"), (1, "a b c"), (1, "a b c")], "doc_id long, text string")
+    told = sorted(map(tuple, minhash.near_duplicates(df).collect()), key=str)
+    assert told == sorted([(None, 1, None, True), (1, 1, 1, True), (1, 1, 1, True)], key=str)
+
+
+def test_half_bands_miss_at_most_what_they_may():
+    for threshold, rows in ((85, 3), (80, 3), (85, 2)):
+        m, p = minhash.half_bands(threshold, rows, 1e-4), (threshold / 100) ** rows
+        assert (1 - p) ** m + m * p * (1 - p) ** (m - 1) <= 1e-4
+
+
+def test_components_of_a_chain_and_a_star(spark):
+    edges = [(k, k + 1) for k in range(40)] + [(100, k) for k in range(101, 160)] + [(None, 3), (7, 7)]
+    told = {r["node"]: r["component"] for r in connected_components(spark.createDataFrame(edges, "src long, dst long")).collect()}
+    assert {told[k] for k in range(41)} == {0} and {told[k] for k in range(100, 160)} == {100}
+
+
+# ---- 1
+
+
+def test_base_spans_by_hand():
+    text = "a@b.c@d.e 1.2.3.4.5 999.1.1.1 +49 (30) 1234567, 4111 1111-1111 1111 x 4111111111111112 x@y"
+    base, added = pii.scan(text)
+    assert sorted((k, text[a:b]) for a, k, b in base) == [("card", "4111 1111-1111 1111"), ("email", "a@b.c"), ("ip", "1.2.3.4"), ("phone", "+49 (30) 1234567")]
+    assert added == []
+
+
+PLAIN_EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
+PLAIN_IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
+
+
+def test_anchored_patterns_equal_the_plain_ones():
+    r = random.Random(4)
+    for _ in range(3000):
+        text = "".join(r.choice("a1.@-2 %") for _ in range(r.randint(0, 24)))
+        found = pii.detect(text)
+        assert [(a, b) for a, k, b in found if k == "email"] == [m.span() for m in PLAIN_EMAIL.finditer(text)]
+        ok = [m.span() for m in PLAIN_IP.finditer(text) if all(int(p) <= 255 for p in m[0].split("."))]
+        assert [(a, b) for a, k, b in found if k == "ip"] == ok
+
+
+@pytest.mark.parametrize(
+    ("text", "kind", "part"),
+    [
+        ("mail john (at) example (dot) com now", "email", "john (at) example (dot) com"),
+        ("jane AT example DOT org", "email", "jane AT example DOT org"),
+        ("ｊｏｈｎ＠ｅｘａｍｐｌｅ．ｃｏｍ", "email", "ｊｏｈｎ＠ｅｘａｍｐｌｅ．ｃｏｍ"),
+        ("call plus four nine one seven six five five five one two three now", "phone", "plus four nine one seven six five five five one two three"),
+        ("card ４１１１ １１１１ １１１１ １１１１", "card", "４１１１ １１１１ １１１１ １１１１"),
+        ("jo​hn@x.com", "email", "jo​hn@x.com"),
+    ],
+)
+def test_disguises_map_back_to_the_source(text, kind, part):
+    _, added = pii.scan(text)
+    assert [(k, text[a:b]) for a, k, b in added] == [(kind, part)]
+
+
+@pytest.mark.parametrize("text", ["laugh at the dot on the wall", "meet us at example.com", "one two three", "à la carte – 1990", "Москва"])
+def test_clean_texts_gain_nothing(text):
+    assert pii.scan(text) == ([], [])
+
+
+def test_pii_rows(spark):
+    rows = {r["doc_id"]: r for r in pii.find_personal_data(docs(spark, [*ODD, "x@y.zz"]).withColumn("spans", F.lit(0))).collect()}
+    assert rows[0]["base_sha256"] == hashlib.sha256(b"").hexdigest() and rows[0]["spans"] == ""
+    assert rows[len(ODD)]["spans"] == "email:0:6" and rows[len(ODD)]["n_email"] == 1
+
+
+# ---- 2
+
+
+def test_warc_round_trip_at_every_split(spark):
+    same = "s" * 300
+    pages = [(5, "http://a", same), (3, "http://b\nx", same), (9, None, same), (1, "u", "short"), (2, "u", "short"), (4, "u", None), (None, "u", same), (7, "ü", "é" * 60)]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string").withColumn("digest", F.lit("clash"))
+    manifest = cut(warc.write_archives(df, scratch_path(spark, "warc"), rotate=700), "manifest")
+    for split in (17, 100, 1 << 20):
+        read = warc.read_archives(manifest.select("path", "bytes"), split=split).collect()
+        told = {r["page_id"]: r for r in read}
+        assert len(read) == len(pages)
+        for page, _, html in pages:
+            body = (html or "").encode()
+            assert told[page]["payload_bytes"] == len(body) and told[page]["payload_digest"] == hashlib.sha256(body).hexdigest()
+        assert {k: (r["record_type"], r["refers_to"]) for k, r in told.items() if r["record_type"] == "revisit"} == {None: ("revisit", 3), 5: ("revisit", 3), 9: ("revisit", 3)}
+        assert told[7]["payload"] == bytearray("é" * 60, "utf-8")
+
+
+def test_reader_skips_what_is_no_record(tmp_path):
+    good = warc.record(1, "u", b"x" * 50, "d", None)
+    (tmp_path / "a.warc.gz").write_bytes(b"junk\x1f\x8b\x08junk" + good + b"\x1f\x8b\x08\0" + good + b"\x1f\x8b")
+    assert [len(b) for _, _, b in warc.read_range(str(tmp_path / "a.warc.gz"), 0, 1 << 20)] == [50, 50]
+
+
+# ---- 3
+
+
+def test_mix_meets_its_targets(spark):
+    texts = [None if k % 11 == 0 else prose(1 + 37 * k % 400, k) for k in range(200)]
+    df = docs(spark, texts).withColumn("target", F.lit(1)).union(docs(spark, texts[:3]).withColumn("target", F.lit(1)))
+    first = sorted(map(tuple, mixing.mix(df, block=16, shard=64).collect()), key=str)
+    assert first == sorted(map(tuple, mixing.mix(df.repartition(3), block=16, shard=64).collect()), key=str)
+    assert len(first) == 203
+    source = {k: None if k % 5 == 0 else f"s{k % 3}" for k in range(200)}
+    size, want, taken = defaultdict(int), {}, defaultdict(int)
+    for doc, n, _, target, took in first:
+        assert n == len(WORD.findall(texts[doc] or "")) and 0 <= took <= 3 * n
+        size[source[doc]] += n
+        want[source[doc]] = target
+        taken[source[doc]] += took
+    assert abs(sum(want.values()) - sum(size.values())) < 1e-6 * sum(size.values())
+    for s in size:
+        assert abs(taken[s] - want[s]) <= 1 and want[s] <= 3 * size[s] + 1e-9
+
+
+def test_targets_stop_and_reshare(spark):
+    df = spark.createDataFrame([("sa", "a", 10), ("sb", "b", 1000), ("sc", "c", 500), ("n", None, 0)], "source_key string, source string, source_size long")
+    told = {r["source"]: r["target"] for r in mixing.targets(df).collect()}
+    assert told[None] == 0 and told["a"] == 30 and abs(told["b"] - 1480 * 2 / 3) < 1e-9 and abs(told["c"] - 1480 / 3) < 1e-9
+
+
+def test_mix_of_nothing(spark):
+    assert mixing.mix(docs(spark, []).limit(0)).count() == 0
+    assert [r["taken"] for r in mixing.mix(docs(spark, [None, ""])).collect()] == [0, 0]
+
+
+# ---- 4
+
+
+def test_language_id_on_held_out_rows(spark, sf_dir):
+    df = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    model = langid.train(df.where(~langid.held_out(F.col("doc_id"))))
+    rows = langid.predict(df.withColumn("score", F.lit("clash")), model).join(df.select("doc_id", "lang"), "doc_id").where(langid.held_out(F.col("doc_id")) & F.col("lang").isNotNull()).collect()
+    assert sum(r["lang"] == r["lang_pred"] for r in rows) >= 0.95 * len(rows)
+    odd = {r["doc_id"]: r for r in langid.predict(docs(spark, [None, "", "12 34 !?", "é", "x" * 50000]), model).collect()}
+    assert [odd[k]["lang_pred"] for k in range(3)] == ["und"] * 3 and odd[3]["lang_pred"] != "und"
+    assert all(0 <= r["score"] <= 1 for r in odd.values())
+
+
+def test_language_id_without_labels(spark):
+    model = langid.train(docs(spark, ["a b"]).withColumn("lang", F.lit(None).cast("string")))
+    assert [r["lang_pred"] for r in langid.predict(docs(spark, ["a b"]), model).collect()] == ["und"]
+
+
+# ---- 6
+
+
+def test_near_vectors_equal_brute_force(spark):
+    r = np.random.default_rng(2)
+    rows = [(k, r.standard_normal(16).astype(float).tolist(), int(k % 2)) for k in range(60)]
+    centre = r.standard_normal(16)
+    rows += [(100 + k, (centre + 0.03 * r.standard_normal(16)).tolist(), 0) for k in range(50)]
+    rows += [(200, centre.tolist(), 0), (201, centre.tolist(), 0), (202, (2 * centre).tolist(), 0), (203, centre.tolist(), 1), (204, centre.tolist(), None), (205, None, 0), (206, [0.0] * 16, 0), (207, [1.0, None], 0), (208, [float("nan")] * 16, 0), (209, centre[:8].tolist(), 0), (210, [], 0)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int").withColumn("unit", F.lit(1))
+    sound = {i: (np.array(v), label) for i, v, label in rows if v and label is not None and None not in v and np.isfinite(v).all() and any(v)}
+
+    def linked(a, b):
+        (v, x), (w, y) = sound[a], sound[b]
+        return x == y and len(v) == len(w) and v @ w / np.sqrt((v @ v) * (w @ w)) >= 0.98
+
+    ids = sorted(sound)
+    want = _components(len(ids), lambda a, b: linked(ids[a], ids[b]))
+    told = {r["vec_id"]: r for r in nndescent.near_vectors(df, leaf=16, block=8).collect()}
+    assert len(told) == len(rows)
+    for k, i in enumerate(ids):
+        assert told[i]["component_id"] == ids[want[k]] and told[i]["n_links"] == sum(linked(i, j) for j in ids if j != i)
+    for i in (204, 205, 206, 207, 208, 210):
+        assert (told[i]["n_links"], told[i]["component_id"], told[i]["kept"]) == (0, i, True)
+
+
+def test_near_vectors_of_nothing(spark):
+    assert nndescent.near_vectors(spark.createDataFrame([], "vec_id long, embedding array<float>, label int")).count() == 0
+
+
+# ---- 5
+
+
+@pytest.fixture(scope="module")
+def forest(spark):
+    return secrets.train(secrets.synthetic_findings(spark))
+
+
+def test_forest_on_held_out_findings(spark, forest):
+    held = secrets.synthetic_findings(spark, 9000).where(F.pmod(F.xxhash64("value"), F.lit(3)) == 0)
+    told = forest.transform(secrets.with_features(held))
+    assert told.where("prediction = label").count() >= 0.95 * told.count()
+
+
+def test_secrets_with_spans_and_redaction(spark, forest):
+    key = hashlib.sha1(b"k").hexdigest()
+    texts = [f'ö token = "{key}" and sha1: {key} end', None, "", f"token: {key}", "nothing here 1234567890123456", "x" * 30000, f'token = "{key}"']
+    df = docs(spark, texts).withColumn("start", F.lit(1))
+    found = secrets.find_secrets(df, forest).collect()
+    assert all(texts[r["doc_id"]][r["start"] : r["end"]] == r["value"] for r in found)
+    assert {(r["doc_id"], r["start"]) for r in found if r["is_secret"]} >= {(0, 11), (3, 7), (6, 9)}
+    assert not any(r["is_secret"] for r in found if r["doc_id"] == 4 or r["start"] > 20 and r["doc_id"] == 0)
+    clean = {r["doc_id"]: r["text"] for r in secrets.redact(df, forest).collect()}
+    assert clean[0] == f'ö token = "[SECRET]" and sha1: {key} end' and clean[1] is None and clean[2] == "" and clean[4] == texts[4]
+    assert secrets.redact(df.limit(0), forest).count() == 0
+
+
+# ---- 7
+
+
+@pytest.mark.parametrize(
+    ("text", "name"),
+    [
+        ("intro\nLicensed under the Apache License, Version 2.0.", "Apache-2.0"),
+        ("Released under the MIT License.", "MIT"),
+        ("Licensed under CC BY-NC 4.0.", "CC-BY-NC-4.0"),
+        ("This work is licensed under the GNU General Public License, version 3.", "GPL-3.0"),
+        ("This work is licensed under the GNU General Public License, version 2.", "GPL-2.0"),
+        (licenses.TEMPLATES["MIT"][0].replace(". ", ".\n"), "MIT"),
+        (licenses.TEMPLATES["BSD-3-Clause"][0], "BSD-3-Clause"),
+        (licenses.TEMPLATES["BSD-2-Clause"][0], "BSD-2-Clause"),
+        ("// SPDX-License-Identifier: ISC", "ISC"),
+        ("he lost his driving license yesterday", None),
+    ],
+)
+def test_licenses(spark, text, name):
+    rows = licenses.find_licenses(docs(spark, [text, None, "", "plain"]).withColumn("license", F.lit(1))).collect()
+    assert [r["license"] for r in rows] == [name]
+
+
+# ---- 9
+
+
+def test_encoding_equals_the_library_and_round_trips(spark):
+    import sentencepiece
+
+    library = sentencepiece.SentencePieceProcessor(model_file=TOKENIZER)
+    texts = [*ODD, prose(80, 1), "  two  spaces ", "tab\tnew\nline", "über ①ﬁ 漢字 🙂", "<s> </s>", "a▁b", "x" * 300]
+    for dictionary in (0, 50, 10_000):
+        told = {r["doc_id"]: r for r in sentencepieces.encode(docs(spark, texts).withColumn("ids", F.lit(1)), TOKENIZER, dictionary=dictionary).collect()}
+        for k, text in enumerate(texts):
+            assert told[k]["ids"] == library.encode(text or "") and told[k]["round_trip"]
+    df = spark.createDataFrame([(k, library.encode(t or "")) for k, t in enumerate(texts)], "doc_id long, ids array<int>")
+    back = {r["doc_id"]: r["text"] for r in sentencepieces.decode(df, spark, TOKENIZER).collect()}
+    assert [back[k] for k in range(len(texts))] == [(t or "").replace("▁", " ") for t in texts]
+
+
+def test_viterbi_fold_is_the_best_path(spark):
+    pieces = [("a", 0, -3.0), ("b", 1, -3.0), ("ab", 2, -4.0), ("ba", 3, -3.5), ("aba", 4, -7.0), ("bab", 5, -6.5)]
+    words = spark.createDataFrame([(w,) for w in ("a", "ab", "abab", "bababa", "aabba")], "word string")
+    table = spark.createDataFrame(pieces, "piece string, id int, score double")
+    score = {p: s for p, _, s in pieces}
+    ids = {i: p for p, i, _ in pieces}
+
+    def best(word):
+        return max((score[word[:k]] + best(word[k:]) for k in range(1, len(word) + 1) if word[:k] in score), default=0.0)
+
+    for r in sentencepieces.lattice(words, table, 3).select("word", sentencepieces.fold_viterbi(0).alias("ids")).collect():
+        assert "".join(ids[i] for i in r["ids"]) == r["word"] and abs(sum(score[ids[i]] for i in r["ids"]) - best(r["word"])) < 1e-9
