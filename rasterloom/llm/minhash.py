@@ -8,10 +8,9 @@ Tensored banding: m half-bands of `rows` minhashes each are computed, and table
 half-bands, so m * rows minhashes serve m * (m - 1) / 2 tables of 2 * rows minhashes. A pair of documents meets if two
 of its m half-bands agree; m is the smallest for which a pair at the threshold is missed with at most `miss`.
 
-Documents of equal sets form a class and are compared as one. Within a table key, classes are compared with a few
-centres at a time, never all with all: pairs within one component need no comparing, so a large group of near copies
-takes one round, and only keys that still hold two components take another, with twice the centres, until every pair of
-classes that share a key has been compared or lies in one component.
+Documents of equal sets form a class and are compared as one. Within a table key, the most central class is compared
+with the others, never all with all: that joins a large group of near copies. What keys still hold several components
+are joined into clusters, and their classes compared block by block, where components differ; only links leave a block.
 
 Null ids: such a row has its n_shingles, component_id null and kept true. Rows that repeat an id share its component.
 """
@@ -29,7 +28,7 @@ from pyspark.sql import functions as F
 
 from .components import connected_components
 from .shared import cut
-from .textkernel import mix, shingle_sets, slices, text_buffers
+from .textkernel import mix, runs, shingle_sets, slices, text_buffers
 
 SKETCH = "id long, n_shingles long, set_id binary, bands array<long>"
 
@@ -93,14 +92,14 @@ def sketch(docs: DataFrame, width: int, m: int, rows: int) -> DataFrame:
 
 
 def _table_members(classes: DataFrame, m: int) -> DataFrame:
-    """(key, set_id) for table keys held by two classes or more. Half-bands that no other class has are dropped first,
+    """(key, set_id, weight) for the table keys of classes. Half-bands that no other class has are dropped first,
     which leaves most documents without any pair of half-bands to combine."""
     bands = classes.select("set_id", F.posexplode("bands").alias("band", "value"))
-    shared = bands.groupBy("band", "value").agg(F.count("*").alias("n")).where("n > 1").select("band", "value")
-    kept = bands.join(shared, ["band", "value"]).groupBy("set_id").agg(F.sort_array(F.collect_list(F.struct("band", "value"))).alias("own")).where(F.size("own") > 1)
+    shared = bands.groupBy("band", "value").agg(F.count("*").alias("n")).where("n > 1")
+    kept = bands.join(shared, ["band", "value"]).groupBy("set_id").agg(F.sort_array(F.collect_list(F.struct("band", "value"))).alias("own"), F.sum("n").alias("weight")).where(F.size("own") > 1)
     kept = cut(kept, "halves")
     pairs = F.flatten(F.transform("own", lambda a, i: F.transform(F.slice("own", i + 2, F.lit(m)), lambda b: F.xxhash64(a["band"], a["value"], b["band"], b["value"]))))
-    return kept.select("set_id", F.explode(pairs).alias("key"))
+    return kept.select("set_id", "weight", F.explode(pairs).alias("key"))
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
@@ -113,6 +112,72 @@ def _verified(pairs: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
     return pairs.join(left, "src").join(right, "dst").where(possible).where(100 * both >= threshold * (lengths - both)).select("src", "dst")
 
 
+def _compare_blocks(group: pa.Table, threshold: int) -> pa.RecordBatch | None:
+    """Links between components, from all pairs of one or two blocks of classes: columns key, side, component, items.
+
+    Intersections come from one product of incidence matrices over the shingles that two classes share at least; only
+    a spanning forest of the links is returned.
+    """
+    component = np.asarray(group.column("component").combine_chunks().to_numpy(zero_copy_only=False))
+    side = np.asarray(group.column("side"))
+    items = group.column("items").combine_chunks()
+    sizes = np.diff(np.asarray(items.offsets)).astype(np.int64)
+    names, owner = np.unique(component, return_inverse=True)
+    rows = np.repeat(np.arange(len(sizes)), sizes)
+    _, column, counts = np.unique(np.asarray(items.flatten()), return_inverse=True, return_counts=True)
+    shared = counts[column] > 1
+    rows, column = rows[shared], column[shared]
+    both = np.zeros((len(sizes), len(sizes)), np.float32)
+    used, column = np.unique(column, return_inverse=True)
+    order = np.argsort(column, kind="stable")
+    rows, column = rows[order], column[order]
+    for at in range(0, len(used), 1 << 14):
+        a, b = np.searchsorted(column, [at, at + (1 << 14)])
+        held = np.zeros((len(sizes), min(1 << 14, len(used) - at)), np.float32)
+        held[rows[a:b], column[a:b] - at] = 1
+        both += held @ held.T
+    linked = 100 * both >= threshold * (sizes[:, None] + sizes[None, :] - both)
+    linked &= owner[:, None] != owner[None, :]
+    if side.any() and not side.all():
+        linked &= side[:, None] != side[None, :]
+    parent = list(range(len(names)))
+
+    def find(x: int) -> int:
+        while parent[x] != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
+    edges = []
+    for x, y in zip(*(owner[k].tolist() for k in np.nonzero(np.triu(linked))), strict=True):
+        x, y = find(x), find(y)
+        if x != y:
+            parent[max(x, y)] = min(x, y)
+            edges.append((x, y))
+    return pa.RecordBatch.from_arrays([pa.array([names[x] for x, _ in edges], pa.binary()), pa.array([names[y] for _, y in edges], pa.binary())], names=["src", "dst"]) if edges else None
+
+
+def _block_links(clusters: DataFrame, label: DataFrame, sets: DataFrame, threshold: int, block: int = 256) -> DataFrame:
+    """(src, dst): components that link, among clusters(set_id, cluster). Large components have blocks of their own, which
+    meet all other blocks but not each other; small ones share blocks. Classes travel, pairs do not."""
+    told = clusters.join(label, "set_id", "left").withColumn("component", F.coalesce("component", "set_id"))
+    sized = cut(told.groupBy("cluster", "component").agg(F.count("*").alias("n")), "sized")
+    small = sized.where(f"n <= {block}").groupBy("cluster").agg(F.sum("n").alias("small"))
+    plan = sized.join(small, "cluster", "left")
+    parts = F.when(F.col("n") > block, F.ceil(F.col("n") / F.lit(block))).otherwise(F.ceil(F.col("small") / F.lit(block)))
+    owner = F.when(F.col("n") > block, F.col("component"))
+    placed = told.join(plan.select("cluster", "component", owner.alias("owner"), parts.alias("parts")), ["cluster", "component"])
+    spread = F.when(F.col("owner").isNotNull(), F.xxhash64("set_id")).otherwise(F.xxhash64("component"))
+    placed = cut(placed.withColumn("part", F.pmod(spread, "parts")).select("cluster", "component", "set_id", "owner", F.xxhash64("cluster", "owner", "part").alias("block")), "placed")
+    blocks = placed.select("cluster", "block", "owner").distinct()
+    other = blocks.select("cluster", F.col("block").alias("other"), F.col("owner").alias("other_owner"))
+    meets = blocks.join(other, "cluster").where((F.col("block") <= F.col("other")) & ~F.coalesce(F.col("owner") == F.col("other_owner"), F.lit(False)))
+    ends = meets.select("cluster", F.xxhash64("block", "other").alias("key"), F.explode(F.when(F.col("block") == F.col("other"), F.array("block")).otherwise(F.array("block", "other"))).alias("block"), F.col("other"))
+    rows = ends.withColumn("side", (F.col("block") == F.col("other")).cast("int")).join(placed.select("block", "component", "set_id"), "block").join(sets, "set_id")
+    rows = rows.select("key", "side", "component", "items").repartition("key").sortWithinPartitions("key")
+    return rows.mapInArrow(partial(runs, work=partial(_compare_blocks, threshold=threshold)), "src binary, dst binary").distinct()
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, threshold: int = 80, rows: int = 3, miss: float = 1e-4) -> DataFrame:
     """One row per input row: id_col, n_shingles, component_id (smallest id reachable, itself included), kept."""
     m = half_bands(threshold, rows, miss)
@@ -127,48 +192,28 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     found = texts.join(wanted.select("id").distinct().hint("shuffle_hash"), "id").select("text").mapInArrow(partial(_sets, width=width), "set_id binary, items array<long>")
     sets = cut(found.join(wanted.select("set_id"), "set_id", "left_semi").dropDuplicates(["set_id"]), "sets")
 
-    label, centres, parts = None, None, 1
-    while True:
-        # Keys whose classes lie in two components or more still have pairs to compare.
-        rows_left = members.withColumn("component", F.col("set_id")) if label is None else members.join(label, "set_id", "left").withColumn("component", F.coalesce("component", "set_id"))
-        if centres is not None:
-            rows_left = rows_left.join(centres.withColumn("done", F.lit(True)), ["key", "set_id"], "left")
-        else:
-            rows_left = rows_left.withColumn("done", F.lit(None).cast("boolean"))
-        open_keys = rows_left.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.when(F.col("done").isNull(), 1)).alias("n")).where("lo != hi and n > 0").select("key")
-        rows_left = cut(rows_left.join(open_keys, "key"), "open")
-        part = F.pmod(F.xxhash64("set_id"), F.lit(parts))
-        picked = cut(rows_left.where("done is null").groupBy("key", part.alias("part")).agg(F.min("set_id").alias("set_id")).select("key", "set_id"), "centres")
-        if picked.isEmpty():
-            break
-        one = picked.join(rows_left.select("key", "set_id", F.col("component").alias("c1")), ["key", "set_id"]).select("key", F.col("set_id").alias("centre"), "c1")
-        pairs = rows_left.join(one, "key").where("component != c1").select(F.least("centre", "set_id").alias("src"), F.greatest("centre", "set_id").alias("dst")).distinct()
-        fresh = cut(_verified(pairs, sets, threshold), "fresh")
-        if not fresh.isEmpty():
-            # Link the components of the two ends; what was one component stays so.
-            ends = fresh
-            if label is not None:
-                a, b = label.select(F.col("set_id").alias("src"), F.col("component").alias("ca")), label.select(F.col("set_id").alias("dst"), F.col("component").alias("cb"))
-                ends = fresh.join(a, "src", "left").join(b, "dst", "left").select(F.coalesce("ca", "src").alias("src"), F.coalesce("cb", "dst").alias("dst"))
-            joined = connected_components(ends)
-            moved = joined.select(F.col("node").alias("component"), F.col("component").alias("to"))
-            if label is None:
-                label = joined.select(F.col("node").alias("set_id"), "component")
-            else:
-                old = label.join(moved, "component", "left").select("set_id", F.coalesce("to", "component").alias("component"))
-                new = joined.join(label, joined["node"] == label["set_id"], "left_anti").select(F.col("node").alias("set_id"), "component")
-                label = cut(old.union(new), "labels")
-        centres = picked if centres is None else centres.union(picked)
-        members = rows_left.select("key", "set_id")
-        parts *= 2
-
-    grouped = classes.select("set_id", "id")
-    if label is not None:
-        grouped = grouped.join(label, "set_id", "left").withColumn("component", F.coalesce("component", "set_id"))
-        lows = grouped.groupBy("component").agg(F.min("id").alias("low"))
-        grouped = grouped.join(lows, "component").select("set_id", "low")
-    else:
-        grouped = grouped.select("set_id", F.col("id").alias("low"))
+    # Round one: in each table key the most central class, by how widely its half-bands are shared, meets the others.
+    rank = F.struct("weight", "set_id")
+    hubs = members.groupBy("key").agg(F.max(rank)["set_id"].alias("hub"))
+    met = cut(members.join(hubs, "key").select("key", "hub", "set_id"), "met")
+    pairs = met.where("hub != set_id").select(F.least("hub", "set_id").alias("src"), F.greatest("hub", "set_id").alias("dst")).distinct()
+    label = connected_components(_verified(pairs, sets, threshold)).select(F.col("node").alias("set_id"), "component")
+
+    # The rest: keys whose classes still lie in several components, joined into clusters and compared in blocks.
+    told = met.join(label, "set_id", "left").withColumn("component", F.coalesce("component", "set_id"))
+    open_keys = told.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo != hi").select("key")
+    rest = cut(met.join(open_keys, "key").select(F.col("hub").alias("src"), F.col("set_id").alias("dst")).where("src != dst").distinct(), "rest")
+    clusters = connected_components(rest).select(F.col("node").alias("set_id"), F.col("component").alias("cluster"))
+    late = cut(_block_links(clusters, label, sets, threshold), "late")
+    if not late.isEmpty():
+        # Ends are components; a component that moves takes its classes along.
+        moved = connected_components(late).select(F.col("node").alias("component"), F.col("component").alias("to"))
+        known = label.union(moved.join(label, moved["component"] == label["set_id"], "left_anti").select(F.col("component").alias("set_id"), "component"))
+        label = known.join(moved, "component", "left").select("set_id", F.coalesce("to", "component").alias("component"))
+
+    grouped = classes.select("set_id", "id").join(label, "set_id", "left").withColumn("component", F.coalesce("component", "set_id"))
+    lows = grouped.groupBy("component").agg(F.min("id").alias("low"))
+    grouped = grouped.join(lows, "component").select("set_id", "low")
     out = sketched.select("id", "n_shingles", "set_id").join(grouped, "set_id", "left")
     component = F.when(F.col("id").isNotNull(), F.coalesce("low", "id"))
     return out.select(F.col("id").alias(id_col), "n_shingles", component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -89,3 +89,21 @@ def shingle_sets(data: np.ndarray, bounds: np.ndarray, width: int, fold: bool =
         else:
             sets.append(np.zeros(0, np.uint64))
     return sets
+
+
+def runs(batches: Iterator[pa.RecordBatch], work: Callable[[pa.Table], pa.RecordBatch | None]) -> Iterator[pa.RecordBatch]:
+    """work on each run of rows with an equal first column, of rows that come sorted by it."""
+    rest: pa.Table | None = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        held = pa.Table.from_batches([batch])
+        held = pa.concat_tables([rest, held]).combine_chunks() if rest is not None else held
+        keys = np.asarray(held.column(0))
+        cuts = np.flatnonzero(keys[1:] != keys[:-1]) + 1
+        for a, b in zip([0, *cuts[:-1].tolist()], cuts.tolist(), strict=False):
+            if (made := work(held.slice(a, b - a))) is not None:
+                yield made
+        rest = held.slice(int(cuts[-1])) if len(cuts) else held
+    if rest is not None and (made := work(rest)) is not None:
+        yield made
