@@ -293,5 +293,156 @@ def list_amiga(image: bytes) -> list[tuple[str, int, str]]:
     return sorted(out, key=lambda e: e[0].lower())
 
 
-BUILDERS = {"acorn_dfs": acorn_dfs, "trdos": trdos, "commodore_1541": commodore_1541, "cpc_data": cpc_data, "amiga_ofs": amiga_ofs, **{g: (lambda files, g=g: fat12(files, g)) for g in FAT12}}
-LISTINGS = {"acorn_dfs": list_acorn_dfs, "commodore_1541": list_commodore_1541, "cpc_data": list_cpc_entries, "amiga_ofs": lambda image: [e[:2] for e in list_amiga(image)], **dict.fromkeys(FAT12, list_fat12)}
+def atari_dos(files: list[File], sectors: int = 720, size: int = 128) -> tuple[bytes, list[str]]:
+    """An ATR of DOS 2 layout: size - 3 bytes of data a sector and a link; the table at 360, the directory at 361 to 368.
+    A file that does not fit is cut short; 64 entries."""
+    place = lambda n: 16 + (128 * (n - 1) if n <= 3 else 384 + size * (n - 4))
+    total = place(sectors + 1) - 16
+    image = bytearray(16 + total)
+    image[0:7] = struct.pack("<HHHB", 0x0296, total // 16 & 0xFFFF, size, total // 16 >> 16)
+    free = [n for n in range(4, sectors) if not 360 <= n <= 368]
+    stored, room = [], size - 3
+    for k, (name, data) in enumerate(files[:64]):
+        parts = [data[i : i + room] for i in range(0, len(data), room)] or [b""]
+        chain = [free.pop(0) for _ in parts[: len(free)]]
+        if not chain:
+            break
+        for i, (n, part) in enumerate(zip(chain, parts, strict=False)):
+            after = chain[i + 1] if i + 1 < len(chain) else 0
+            image[place(n) : place(n) + len(part)] = part
+            image[place(n) + room : place(n) + size] = bytes([k << 2 | after >> 8, after & 255, len(part)])
+        stem, _, extension = name.upper().partition(".")
+        entry = struct.pack("<BHH", 0x42, len(chain), chain[0]) + (stem[:8].ljust(8) + extension[:3].ljust(3)).encode("ascii", "replace")
+        at = place(361 + k // 8) + 16 * (k % 8)
+        image[at : at + 16] = entry
+        stored.append(name)
+    table = place(360)
+    image[table : table + 5] = struct.pack("<BHH", 2, sectors - 13, len(free))
+    for n in free:
+        image[table + 10 + n // 8] |= 128 >> n % 8
+    return bytes(image), stored
+
+
+def list_atari_dos(image: bytes) -> list[tuple[str, int]]:
+    """(name, bytes), following each file's links."""
+    size = struct.unpack_from("<H", image, 4)[0]
+    place = lambda n: 16 + (128 * (n - 1) if n <= 3 else 384 + size * (n - 4))
+    out = []
+    for k in range(64):
+        at = place(361 + k // 8) + 16 * (k % 8)
+        if image[at] & 0x40:
+            stem, extension = image[at + 5 : at + 13].decode("ascii").rstrip(), image[at + 13 : at + 16].decode("ascii").rstrip()
+            total, n = 0, struct.unpack_from("<H", image, at + 3)[0]
+            while n:
+                link = image[place(n) + size - 3 : place(n) + size]
+                total, n = total + link[2], (link[0] & 3) << 8 | link[1]
+            out.append((f"{stem}.{extension}" if extension else stem, total))
+    return sorted(out)
+
+
+def coco_dos(files: list[File], tracks: int = 35) -> tuple[bytes, list[str]]:
+    """Eighteen sectors of 256 bytes a track; granules of nine; table and directory on track 17; the first file that does
+    not fit ends the disk; 72 entries."""
+    image, granules = bytearray(b"\xff" * (tracks * 4608)), 2 * (tracks - 1)
+    place = lambda g: ((g // 2 + (g // 2 >= 17)) * 18 + g % 2 * 9) * 256
+    table, directory = 17 * 4608 + 256, 17 * 4608 + 512
+    image[table : table + 256] = b"\xff" * granules + bytes(256 - granules)
+    stored, nxt = [], 0
+    for name, data in files:
+        need = max(1, -(-len(data) // 2304))
+        if len(stored) == 72 or nxt + need > granules:
+            break
+        for k in range(need):
+            part = data[k * 2304 : (k + 1) * 2304]
+            image[place(nxt + k) : place(nxt + k) + 2304] = part.ljust(2304, b"\0")
+            image[table + nxt + k] = nxt + k + 1 if k + 1 < need else 0xC0 | max(1, -(-len(part) // 256))
+        stem, _, extension = name.upper().partition(".")
+        last = len(data) % 256 or (256 if data else 0)
+        entry = (stem[:8].ljust(8) + extension[:3].ljust(3)).encode("ascii", "replace") + bytes([2, 0, nxt]) + struct.pack(">H", last)
+        image[directory + 32 * len(stored) : directory + 32 * len(stored) + 32] = entry.ljust(32, b"\0")
+        stored.append(name)
+        nxt += need
+    return bytes(image), stored
+
+
+def list_coco_dos(image: bytes) -> list[tuple[str, int]]:
+    table, directory, out = 17 * 4608 + 256, 17 * 4608 + 512, []
+    for k in range(72):
+        entry = image[directory + 32 * k : directory + 32 * k + 32]
+        if entry[0] in (0, 0xFF):
+            continue
+        stem, extension = entry[:8].decode("ascii").rstrip(), entry[8:11].decode("ascii").rstrip()
+        g, size = entry[13], 0
+        while image[table + g] < 0xC0:
+            size, g = size + 2304, image[table + g]
+        size += ((image[table + g] & 15) - 1) * 256 + struct.unpack(">H", entry[14:16])[0]
+        out.append((f"{stem}.{extension}" if extension else stem, size))
+    return sorted(out)
+
+
+def prodos(files: list[File], volume: str = "DISK", blocks: int = 1600, stamp: tuple[int, int] = (0, 0)) -> tuple[bytes, list[str]]:
+    """A ProDOS-order volume: directory in blocks 2 to 5 (51 entries), bitmap from 6, files from 24 on as seedling,
+    sapling or tree; the first file that does not fit ends the disk. stamp: date and time words."""
+    image, stored, nxt = bytearray(blocks * 512), [], 24
+    write = lambda b, data: image.__setitem__(slice(b * 512, b * 512 + len(data)), data)
+    halves = lambda numbers: bytes(n & 255 for n in numbers).ljust(256, b"\0") + bytes(n >> 8 for n in numbers).ljust(256, b"\0")
+    entries = []
+    for name, data in files:
+        count = max(1, -(-len(data) // 512))
+        indexes = 0 if count == 1 else -(-count // 256)
+        master = 1 if indexes > 1 else 0
+        if len(stored) == 51 or nxt + count + indexes + master > blocks:
+            break
+        first = nxt + indexes + master
+        spots = list(range(first, first + count))
+        for k, b in enumerate(spots):
+            write(b, data[512 * k : 512 * k + 512])
+        for i in range(indexes):
+            write(nxt + master + i, halves(spots[256 * i : 256 * i + 256]))
+        if master:
+            write(nxt, halves(range(nxt + 1, nxt + 1 + indexes)))
+        kind = 1 if not indexes else 3 if master else 2
+        short = name.upper()[:15].encode("ascii", "replace")
+        entry = bytes([kind << 4 | len(short)]) + short.ljust(15, b"\0") + struct.pack("<BHHHBHHBBBHHHH", 6, nxt, count + indexes + master, len(data) & 0xFFFF, len(data) >> 16, *stamp, 0, 0, 0xE3, 0, *stamp, 2)
+        entries.append(entry)
+        stored.append(name)
+        nxt += count + indexes + master
+    label = volume.upper()[:15].encode("ascii", "replace")
+    head = bytes([0xF0 | len(label)]) + label.ljust(15, b"\0") + bytes(8) + struct.pack("<HHBBBBBHHH", *stamp, 0, 0, 0xC3, 39, 13, len(entries), 6, blocks)
+    cells = [head.ljust(39, b"\0"), *entries]
+    for k in range(4):
+        body = struct.pack("<HH", k + 1 if k else 0, k + 3 if k < 3 else 0) + b"".join(c.ljust(39, b"\0") for c in cells[13 * k : 13 * k + 13])
+        write(2 + k, body.ljust(512, b"\0"))
+    free = np.zeros(-(-blocks // 4096) * 4096, np.uint8)
+    free[max(nxt, 24) : blocks] = 1
+    write(6, np.packbits(free).tobytes())
+    return bytes(image), stored
+
+
+def _prodos_entries(image: bytes) -> list[tuple[int, str, int, int]]:
+    out = []
+    for k in range(52):
+        at = (2 + k // 13) * 512 + 4 + 39 * (k % 13)
+        kind, length = image[at] >> 4, image[at] & 15
+        if k and kind in (1, 2, 3):
+            out.append((kind, image[at + 1 : at + 1 + length].decode("ascii"), struct.unpack_from("<H", image, at + 17)[0], int.from_bytes(image[at + 21 : at + 24], "little")))
+    return out
+
+
+def list_prodos(image: bytes) -> list[tuple[str, int]]:
+    return sorted((name, size) for _, name, _, size in _prodos_entries(image))
+
+
+def extract_prodos(image: bytes, wanted: str) -> bytes | None:
+    """A file's bytes through its index blocks; None if it is not there. Blocks numbered 0 are holes."""
+    block = lambda b: image[b * 512 : b * 512 + 512] if b else bytes(512)
+    pointers = lambda b: [block(b)[i] | block(b)[256 + i] << 8 for i in range(256)]
+    for kind, name, key, size in _prodos_entries(image):
+        if name == wanted.upper():
+            spots = [key] if kind == 1 else pointers(key) if kind == 2 else [b for i in pointers(key) if i for b in pointers(i)]
+            return b"".join(map(block, spots))[:size]
+    return None
+
+
+BUILDERS = {"acorn_dfs": acorn_dfs, "atari_dos": atari_dos, "coco_dos": coco_dos, "prodos": prodos, "trdos": trdos, "commodore_1541": commodore_1541, "cpc_data": cpc_data, "amiga_ofs": amiga_ofs, **{g: (lambda files, g=g: fat12(files, g)) for g in FAT12}}
+LISTINGS = {"acorn_dfs": list_acorn_dfs, "atari_dos": list_atari_dos, "coco_dos": list_coco_dos, "prodos": list_prodos, "commodore_1541": list_commodore_1541, "cpc_data": list_cpc_entries, "amiga_ofs": lambda image: [e[:2] for e in list_amiga(image)], **dict.fromkeys(FAT12, list_fat12)}

@@ -117,7 +117,7 @@ def test_a_failing_image_is_a_row_with_an_error(spark):
 FILES = [(f"F{k}.TXT", bytes([k]) * (700 * k + 1)) for k in range(9)]
 
 
-@pytest.mark.parametrize("system", ["acorn_dfs", "amiga_ofs", "pc_1440", "st_720", "msx_720"])
+@pytest.mark.parametrize("system", ["acorn_dfs", "amiga_ofs", "atari_dos", "coco_dos", "prodos", "pc_1440", "st_720", "msx_720"])
 def test_disks_list_what_they_store(system):
     image, stored = disks.BUILDERS[system](FILES)
     listed = disks.LISTINGS[system](image)
@@ -160,3 +160,17 @@ def test_directory_hash_agrees_with_the_column(spark):
     names = ["F1.TXT", "readme", "A"]
     df = spark.createDataFrame([(n,) for n in names], "name string").select(packing.name_hash(__import__("pyspark").sql.functions.col("name")).alias("h"))
     assert [r["h"] for r in df.collect()] == [disks.amiga_hash(n) for n in names]
+
+
+@pytest.mark.parametrize("size", [0, 511, 512, 513, 131072, 131073, 400000])
+def test_prodos_files_come_back(size):
+    data = RNG.integers(0, 256, size).astype(np.uint8).tobytes()
+    image, _ = disks.prodos([("ONE", b"x" * 700), ("TWO", data)])
+    assert disks.extract_prodos(image, "two") == data and disks.extract_prodos(image, "three") is None
+
+
+def test_atari_disk_cuts_the_last_file_short():
+    image, stored = disks.atari_dos([("A.BIN", bytes(60000)), ("B.BIN", bytes(60000))])
+    assert len(image) == 16 + 720 * 128 and stored == ["A.BIN", "B.BIN"]
+    listed = dict(disks.list_atari_dos(image))
+    assert listed["A.BIN"] == 60000 and 0 < listed["B.BIN"] < 60000
