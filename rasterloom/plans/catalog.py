@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import metrics
+from ..functions import basic, metrics
 from ..functions.palettes import BBC, C64, CPC, PALETTES, TMS9918, VIC20, ZX, Colour
 from ..functions.disks import BUILDERS, LISTINGS
 from ..operators import batch, color, machines, packing, sequential
@@ -240,3 +240,4 @@ for _system in BUILDERS:
     add(f"disk_{_system}", lambda spark, d, s=_system: build_disks(_files(spark, d), s).select("disk_id", "system", "size_bytes", "files", F.md5("content").alias("digest")))
 for _system in LISTINGS:
     add(f"listing_{_system}", lambda spark, d, s=_system: list_disks(build_disks(_files(spark, d), s), s))
+add("basic_tokens", lambda spark, d: basic.tokenise_programs(_docs(spark, d).select("doc_id", F.concat(F.lit("10 REM "), "title", F.lit("\n20 PRINT \"X\" : GOTO 10")).alias("text"))).select("doc_id", F.hex("content").alias("program")))

@@ -174,3 +174,17 @@ def test_atari_disk_cuts_the_last_file_short():
     assert len(image) == 16 + 720 * 128 and stored == ["A.BIN", "B.BIN"]
     listed = dict(disks.list_atari_dos(image))
     assert listed["A.BIN"] == 60000 and 0 < listed["B.BIN"] < 60000
+
+
+def test_basic_lines_by_hand(spark):
+    from rasterloom.functions import basic
+
+    assert len(basic.KEYWORDS) == 107
+    assert basic.tokenise_line('print "To" : goto 10') == b'\xba"To":\xab10'
+    assert basic.tokenise_line("HGR2:REM print it") == b"\x90:\xb2 print it"
+    assert basic.tokenise_line('DATA a b,"x:y":END') == b'\x83 a b,"x:y":\x80'
+    assert basic.tokenise("10 END\n20 HOME") == b"\x07\x08\x0a\x00\x80\x00\x0d\x08\x14\x00\x97\x00\x00\x00"
+    df = spark.createDataFrame([("a", "10 END"), ("b", None)], "name string, text string")
+    told = {r["name"]: r["content"] for r in basic.tokenise_programs(df).collect()}
+    assert told == {"a": bytearray(b"\x07\x08\x0a\x00\x80\x00\x00\x00"), "b": None}
+    assert basic.tokenise(basic.slideshow(["A", "B"]))[-2:] == b"\0\0"
