@@ -184,7 +184,7 @@ for _rule in ("skip", "stop", "truncate"):
     add(f"disk_fit_{_rule}", lambda spark, d, r=_rule: batch.fit(_docs(spark, d), "n_chars", 254, 664, 144, "doc_id", ("source",), r).select("source", "ord", "stored", "first"))
 add("disk_fits", lambda spark, d: batch.allocate(_docs(spark, d), "n_chars", 254, "doc_id", ("source",)).where("end_block <= 664").groupBy("source").agg(F.count("*").alias("files"), F.max("end_block").alias("used")), "SELECT source, count(*) AS files, CAST(max(e) AS BIGINT) AS used FROM (SELECT source, sum((n_chars + 253) // 254) OVER (PARTITION BY source ORDER BY doc_id) AS e FROM documents) WHERE e <= 664 GROUP BY 1")
 add("dir_listing", lambda spark, d: _docs(spark, d).groupBy("source").agg(F.sum(F.expr("((n_chars + 127) div 128) * 128")).alias("bytes"), F.count("*").alias("extents")).orderBy(F.lower("source")), "SELECT source, CAST(sum((n_chars + 127) // 128 * 128) AS BIGINT) AS bytes, count(*) AS extents FROM documents GROUP BY 1")
-add("size_text", lambda spark, d: _docs(spark, d).select("doc_id", batch.size_text(F.col("n_chars")).alias("size")), "SELECT doc_id, CASE WHEN n_chars < 1024 THEN printf('%d B', n_chars) WHEN n_chars < 1048576 THEN printf('%.1f KB', n_chars / 1024.0::DOUBLE) ELSE printf('%.1f MB', n_chars / 1048576.0::DOUBLE) END AS size FROM documents")
+add("size_text", lambda spark, d: _docs(spark, d).select("doc_id", batch.size_text(F.col("n_chars")).alias("size")), "SELECT doc_id, CASE WHEN n_chars < 1024 THEN printf('%d B', n_chars) WHEN n_chars < 1048576 THEN printf('%.1f KB', floor(n_chars / 1024.0::DOUBLE * 10 + 0.5::DOUBLE) / 10) ELSE printf('%.1f MB', floor(n_chars / 1048576.0::DOUBLE * 10 + 0.5::DOUBLE) / 10) END AS size FROM documents")
 add("selected_or_all", lambda spark, d: batch.selected_or_all(_docs(spark, d), _docs(spark, d).where("n_chars > 3000"), "doc_id").select("doc_id"), "SELECT doc_id FROM documents WHERE n_chars > 3000 OR NOT EXISTS (SELECT 1 FROM documents WHERE n_chars > 3000)")
 add("range_select", lambda spark, d: _docs(spark, d).where(F.col("doc_id").between(10, 50)).select("doc_id"), "SELECT doc_id FROM documents WHERE doc_id BETWEEN 10 AND 50")
 add("remove_selected", lambda spark, d: _docs(spark, d).join(_docs(spark, d).where("n_chars > 3000").select("doc_id"), "doc_id", "left_anti").select("doc_id"), "SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM documents WHERE n_chars > 3000)")
