@@ -6,6 +6,7 @@ whose names clash with the measures are replaced by the measures; all other colu
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -80,9 +81,9 @@ def _covered(hashes: Column) -> Column:
     return let(F.sort_array(numbered), lambda ordered: let(F.sort_array(F.filter(marked(ordered), lambda i: i.isNotNull())), words_in))
 
 
-def measures(df: DataFrame, text: str = "text") -> DataFrame:
-    """df with the measures n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words and those that only rules use."""
-    body = F.coalesce(F.col(text), F.lit(""))
+def _parts(text: Column) -> tuple[Column, Column, dict[str, Column]]:
+    """A struct of the measures of words, one of those of lines, and the other measures by name."""
+    body = F.coalesce(text, F.lit(""))
 
     # Hashes of the stop words, also with a capital, so that words need not be folded; constants to the optimizer.
     stop_hashes = [F.xxhash64(F.lit(w)) for word in STOP_WORDS for w in (word, word.capitalize())]
@@ -109,18 +110,28 @@ def measures(df: DataFrame, text: str = "text") -> DataFrame:
         )
 
     lines = F.filter(F.split(body, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
-    staged = df.withColumns({"__of_words": let(F.transform(word_array(F.col(text)), lambda w: F.xxhash64(w)), of_words), "__of_lines": let(lines, of_lines), "word_chars": F.length(unspaced).cast("long"), "n_symbols": F.regexp_count(body, F.lit(r"[#*$%&|<>]")).cast("long")})
-    names = {"__of_words": ("n_words", "n_repeat_words", "n_stop_words"), "__of_lines": ("n_lines", "n_dup_lines", "n_bullet_lines", "n_ellipsis_lines")}
-    return staged.withColumns({c: F.col(f"{group}.{c}") for group, cs in names.items() for c in cs}).drop(*names)
+    words = let(F.transform(word_array(text), lambda w: F.xxhash64(w)), of_words)
+    by_name = {"word_chars": F.length(unspaced).cast("long"), "n_symbols": F.regexp_count(body, F.lit(r"[#*$%&|<>]")).cast("long")}
+    return words, let(lines, of_lines), by_name
+
+
+OF_WORDS, OF_LINES = ("n_words", "n_repeat_words", "n_stop_words"), ("n_lines", "n_dup_lines", "n_bullet_lines", "n_ellipsis_lines")
+
+
+def measures(df: DataFrame, text: str = "text") -> DataFrame:
+    """df with the measures n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words and those that only rules use."""
+    words, lines, by_name = _parts(F.col(text))
+    staged = df.withColumns({"__of_words": words, "__of_lines": lines} | by_name)
+    return staged.withColumns({c: F.col(f"__of_words.{c}") for c in OF_WORDS} | {c: F.col(f"__of_lines.{c}") for c in OF_LINES}).drop("__of_words", "__of_lines")
 
 
-def compile_rules(rules: tuple[Rule, ...] = RULES) -> dict[str, Column]:
-    """One boolean column per rule: true where the document fails it."""
+def compile_rules(rules: tuple[Rule, ...] = RULES, measure: Callable[[str], Column] = F.col) -> dict[str, Column]:
+    """One boolean column per rule: true where the document fails it. measure: a measure by its name."""
 
     def failed(r: Rule) -> Column:
-        bound = F.lit(float(r.limit)) * F.col(r.denominator)
-        beyond = F.col(r.numerator) < bound if r.least else F.col(r.numerator) > bound
-        return (F.col(r.applies) >= r.applies_from) & beyond
+        bound = F.lit(float(r.limit)) * measure(r.denominator)
+        beyond = measure(r.numerator) < bound if r.least else measure(r.numerator) > bound
+        return (measure(r.applies) >= r.applies_from) & beyond
 
     return {r.name: failed(r) for r in rules}
 
@@ -142,6 +153,18 @@ def apply_rules(df: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RUL
 
 
 def filter_quality(df: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """The rows that all rules keep, with df's own columns only."""
-    tagged = df.withColumn("__row", F.struct(*[F.col(f"`{c}`") for c in df.columns])).select("__row", F.col(f"`{text}`").alias("__text"))
-    return apply_rules(tagged, "__text", rules).where("kept").select("__row.*")
+    """The rows that all rules keep, with df's own columns only.
+
+    The predicate is one expression over lambda variables: one over columns would be pushed through their projection,
+    and each mention of a measure would compute it again.
+    """
+    words, lines, by_name = _parts(F.col(f"`{text}`"))
+
+    def verdict(m: Column) -> Column:
+        at = lambda name: m["words" if name in OF_WORDS else "lines"][name] if name not in by_name else m[name]
+        failed = (at("n_words") < 20) | (100 * at("n_repeat_words") > 30 * at("n_words"))
+        for hit in compile_rules(rules, at).values():
+            failed = failed | hit
+        return ~failed
+
+    return df.where(let(F.struct(words.alias("words"), lines.alias("lines"), *[c.alias(k) for k, c in by_name.items()]), verdict))
