@@ -73,6 +73,31 @@ def tokenise_programs(programs: DataFrame, text: str = "text") -> DataFrame:
     return programs.drop("content").mapInPandas(work, f"{schema}, content binary")
 
 
+def remarks(text: str, width: int = 232, end: int = 0x9600) -> list[bytes]:
+    """A whole text as REM lines: lines over `width` go on in the next, and what would pass `end` in the next program."""
+    programs, lines, at = [], [], START
+    for line in text.splitlines() or [""]:
+        for k in range(0, max(len(line), 1), width):
+            body = tokenise_line("REM " + line[k : k + width])
+            if at + len(body) + 7 > end:
+                programs.append(link(lines))
+                lines, at = [], START
+            lines.append((10 * (len(lines) + 1), body))
+            at += len(body) + 5
+    return [*programs, link(lines)]
+
+
+def remark_programs(texts: DataFrame, key: str, text: str = "text") -> DataFrame:
+    """(key, part, content): the programs of each whole text, numbered from 0; null text gives null."""
+
+    def work(batches):
+        for batch in batches:
+            rows = [(k, n, c) for k, s in zip(batch[key], batch[text], strict=True) for n, c in enumerate([None] if s is None else remarks(s))]
+            yield pd.DataFrame({key: pd.Series([r[0] for r in rows], dtype=object), "part": [r[1] for r in rows], "content": pd.Series([r[2] for r in rows], dtype=object)})
+
+    return texts.select(key, text).mapInPandas(work, f"`{key}` {dict(texts.dtypes)[key]}, part long, content binary")
+
+
 def slideshow(names: list[str], pause: int = 3000) -> str:
     """A program that shows each picture in turn, again and again."""
     lines = ['10 D$ = CHR$(4)', "20 HGR : POKE 49234,0"]

@@ -241,3 +241,35 @@ for _system in BUILDERS:
 for _system in LISTINGS:
     add(f"listing_{_system}", lambda spark, d, s=_system: list_disks(build_disks(_files(spark, d), s), s))
 add("basic_tokens", lambda spark, d: basic.tokenise_programs(_docs(spark, d).select("doc_id", F.concat(F.lit("10 REM "), "title", F.lit("\n20 PRINT \"X\" : GOTO 10")).alias("text"))).select("doc_id", F.hex("content").alias("program")))
+
+# The operators above whose query (and SQL) takes a part of its table, over the whole raster, whole texts and whole cells.
+
+
+def _height(px: DataFrame) -> int:
+    return (px.agg(F.max("y")).first()[0] or 0) + 1
+
+
+_SEEN = ", e AS (SELECT max(y) AS bottom FROM px) {select} FROM px p, e, (SELECT range - {k} AS d FROM range({n})) a, (SELECT range - {k} AS d FROM range({n})) c JOIN px q ON q.x = greatest(least(p.x + a.d, 149), 0) AND q.y = greatest(least(p.y + c.d, e.bottom), 0) {where} GROUP BY p.x, p.y"
+on_raster("swahe_whole", lambda px: st.local_rank(st.with_bin(px), 2), f", s AS (SELECT x, y, {BIN} AS bin FROM px) SELECT p.y, p.x, p.bin, count(*) FILTER (q.bin <= p.bin) * 255 // count(*) AS new FROM s p, (SELECT range - 2 AS d FROM range(5)) a, (SELECT range - 2 AS d FROM range(5)) c JOIN s q ON q.x = p.x + a.d AND q.y = p.y + c.d GROUP BY 1, 2, 3")
+for _reach in (1, 2):
+    on_raster(f"median{2 * _reach + 1}_whole", lambda px, k=_reach: st.median(px, "r", k, 150, _height(px)).select("x", "y", "r"), _SEEN.format(select="SELECT p.x, p.y, quantile_disc(q.r, 0.5) AS r", k=_reach, n=2 * _reach + 1, where=""))
+on_raster("sigma3_whole", lambda px: st.sigma_filter(px, 1, 120, 150, _height(px)).select("x", "y", "r", "g", "b"), _SEEN.format(select="SELECT p.x, p.y, avg(q.r) AS r, avg(q.g) AS g, avg(q.b) AS b", k=1, n=3, where="WHERE abs(q.r-p.r) + abs(q.g-p.g) + abs(q.b-p.b) < 120"))
+on_raster("unused_colours_whole", lambda px: px.sparkSession.range(len(CPC)).select(F.col("id").alias("idx")).join(color.nearest(px, CPC).select("idx").distinct(), "idx", "left_anti"), nearest_sql(CPC) + " SELECT i AS idx FROM pal WHERE i NOT IN (SELECT idx FROM m)")
+on_raster("msx_best_pair_whole", lambda px: packing.best_pair(px.withColumn("seg", F.expr("x div 8")), ("y", "seg"), TMS9918).select("y", "seg", "i", "j", "err"), ORACLE_SQL["msx_best_pair"].removeprefix(R150).replace(" WHERE y < 10 ", " "))
+
+_WHOLE = E8 + ", p AS (SELECT vec_id, bit_or(CASE WHEN lum <= 127 THEN 0 WHEN x = 0 AND y = 0 THEN (-9223372036854775808)::BIGINT ELSE 1::BIGINT << (63 - (y*8 + x))::INT END) AS pattern FROM e8 GROUP BY 1)"
+_whole_cells = lambda spark, d: packing.cell_patterns(embedding_cells(spark, d), "case when lum > 127 then 1 else 0 end", "vec_id")
+add("cell_patterns_whole", _whole_cells, _WHOLE + " SELECT * FROM p")
+add("nearest_glyph_whole", lambda spark, d: packing.nearest_glyph(_whole_cells(spark, d), _GLYPHS).select("vec_id", "code", "distance"), ORACLE_SQL["nearest_glyph"].replace(_PATTERN, _WHOLE))
+add("glyph_dedup_whole", lambda spark, d: st.ranks_of_first_seen(_whole_cells(spark, d), F.col("pattern"), "vec_id").select(F.col("value").alias("pattern"), "first", "slot"), ORACLE_SQL["glyph_dedup"].replace(_PATTERN, _WHOLE))
+add("charset_allocation_whole", lambda spark, d: packing.charset(_whole_cells(spark, d), "vec_id", 64), ORACLE_SQL["charset_allocation"].replace(_PATTERN, _WHOLE))
+
+
+def _texts(spark: SparkSession, d: str) -> DataFrame:
+    return spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "text")
+
+
+for _system in batch.NAME_RULES:
+    add(f"name_{_system}_whole", lambda spark, d, s=_system: _texts(spark, d).select("doc_id", batch.clean_name(F.col("text"), s).alias("name")), ORACLE_SQL[f"name_{_system}"].replace(_TITLE, "text"))
+add("name_prodos_whole", lambda spark, d: _texts(spark, d).select("doc_id", batch.clean_prodos(F.col("text")).alias("name")), ORACLE_SQL["name_prodos"].replace(_TITLE, "text"))
+add("basic_tokens_whole", lambda spark, d: basic.remark_programs(_texts(spark, d), "doc_id").select("doc_id", "part", F.hex("content").alias("program")))
