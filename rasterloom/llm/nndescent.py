@@ -4,8 +4,12 @@ Neighbour lists hold up to k neighbours of cosine `near` or more. They begin wit
 trees and are refined by neighbours-of-neighbours joins until hardly any list changes. Edges at the threshold form
 components. A list that is full of links is saturated: its true length is beyond k. Lists are therefore enlarged to the
 whole component, whose members are compared block by block, so link counts are exact within a component however large
-it is, and no pair is ever a row. An audit compares a bounded sample of vectors with all vectors; while the share of
-their links that lie within components is under `recall`, more trees are added.
+it is, and no pair is ever a row. Lists full of links of their own component do not see another component at the
+threshold: further trees therefore compare members of different components only, and components that link are merged,
+until fresh trees find no more and so many were built that a pair alone is missed with a chance of `MISS` at most. (Trees
+deal a leaf that is too large into parts, where the chance is higher.) An audit compares a bounded sample of vectors with
+all vectors; while the mean share of a vector's links that lie within its component is under `recall`, more trees are
+added, and after `most_rounds` it is an error.
 
 Equal vectors of a label are compared as one and counted as often as they are there. Vectors that are null, zero, or
 hold null or non-finite components, or whose label is null, link with nothing. Vectors of different length never link.
@@ -27,6 +31,7 @@ from .shared import cut
 from .textkernel import runs
 
 PAIRS = "node long, nbr long, sim double"
+MISS = 1e-3
 
 
 def _matrix(column: pa.ChunkedArray) -> np.ndarray:
@@ -35,7 +40,7 @@ def _matrix(column: pa.ChunkedArray) -> np.ndarray:
 
 
 def _near_pairs(group: pa.Table, k: int, near: float) -> pa.RecordBatch | None:
-    """The k nearest of each member among the members: columns key, id, unit."""
+    """The k nearest of each member among the members, or among those of other components: columns key, id, unit and perhaps component."""
     ids = np.asarray(group.column("id"))
     ids, first = np.unique(ids, return_index=True)
     if len(ids) < 2:
@@ -43,6 +48,9 @@ def _near_pairs(group: pa.Table, k: int, near: float) -> pa.RecordBatch | None:
     unit = _matrix(group.column("unit"))[first]
     sims = unit @ unit.T
     np.fill_diagonal(sims, -2)
+    if "component" in group.column_names:
+        component = np.asarray(group.column("component"))[first]
+        sims[component[:, None] == component[None, :]] = -2
     if len(ids) > k:
         floor = np.partition(sims, len(ids) - k, axis=1)[:, len(ids) - k]
         rows, cols = np.nonzero((sims >= near) & (sims >= floor[:, None]))
@@ -52,15 +60,17 @@ def _near_pairs(group: pa.Table, k: int, near: float) -> pa.RecordBatch | None:
 
 
 def _codes(batches: Iterator[pa.RecordBatch], trees: int, bits: int, seed: int) -> Iterator[pa.RecordBatch]:
+    """Codes of the trees for (id, group, unit, bits); a group takes as many of the planes as its size asks for."""
     for batch in batches:
-        ids, group, units = (batch.column(k) for k in range(3))
+        ids, group, units, own_bits = (batch.column(k) for k in range(4))
         lengths = np.diff(np.asarray(units.offsets)) if len(units) else np.zeros(0, int)
         for dim in np.unique(lengths).tolist():
             own = np.flatnonzero(lengths == dim)
             unit = np.asarray(units.take(pa.array(own)).flatten()).reshape(len(own), dim)
             planes = np.random.default_rng([seed, dim]).standard_normal((dim, trees * bits))
             signs = (unit @ planes > 0).reshape(len(own), trees, bits)
-            codes = (signs * (1 << np.arange(bits))).sum(axis=2)
+            taken = np.arange(bits) < np.asarray(own_bits)[own][:, None]
+            codes = (signs * (taken << np.arange(bits))[:, None, :]).sum(axis=2)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(np.repeat(np.asarray(ids)[own], trees)), pa.array(np.repeat(np.asarray(group)[own], trees)), pa.array(np.tile(np.arange(trees), len(own)) + seed * trees), pa.array(codes.reshape(-1))],
                 names=["id", "group", "tree", "code"],
@@ -86,12 +96,24 @@ def _in_groups(rows: DataFrame, work: Callable[[pa.Table], pa.RecordBatch | None
 
 
 def _forest(vectors: DataFrame, trees: int, bits: int, seed: int, leaf: int, k: int, near: float) -> DataFrame:
-    """Pairs within the leaves of random-hyperplane trees; a leaf over `leaf` vectors is dealt into parts by hash."""
-    codes = vectors.mapInArrow(partial(_codes, trees=trees, bits=bits, seed=seed), "id long, group long, tree long, code long")
+    """Pairs within the leaves of random-hyperplane trees; a leaf over `leaf` vectors is dealt into parts by hash. Where
+    vectors have a component, pairs of different components only."""
+    codes = vectors.select("id", "group", "unit", "bits").mapInArrow(partial(_codes, trees=trees, bits=bits, seed=seed), "id long, group long, tree long, code long")
     codes = cut(codes, "codes")
     sizes = codes.groupBy("group", "tree", "code").agg(F.ceil(F.count("*") / F.lit(leaf)).alias("parts"), F.count("*").alias("n")).where("n > 1")
     dealt = codes.join(sizes, ["group", "tree", "code"]).select("id", F.xxhash64("group", "tree", "code", F.pmod(F.xxhash64("id", "tree"), "parts")).alias("key"))
-    return _in_groups(dealt.join(vectors, "id").select("key", "id", "unit"), partial(_near_pairs, k=k, near=near), PAIRS)
+    columns = [c for c in ("key", "id", "unit", "component") if c == "key" or c in vectors.columns]
+    return _in_groups(dealt.join(vectors, "id").select(columns), partial(_near_pairs, k=k, near=near), PAIRS)
+
+
+def _merged(labels: DataFrame, pairs: DataFrame) -> DataFrame | None:
+    """labels(id, component) of all vectors with the components of each pair (node, nbr) made one; None if there is no pair."""
+    a, b = (labels.select(F.col("id").alias(end), F.col("component").alias(name)) for end, name in (("node", "src"), ("nbr", "dst")))
+    met = cut(pairs.join(a, "node").join(b, "nbr").select("src", "dst").distinct(), "met")
+    if met.isEmpty():
+        return None
+    heads = connected_components(met).select(F.col("node").alias("component"), F.col("component").alias("head"))
+    return cut(labels.join(heads, "component", "left").select("id", F.coalesce("head", "component").alias("component")), "labels")
 
 
 def _top(pairs: DataFrame, k: int) -> DataFrame:
@@ -155,13 +177,13 @@ def _audit(batches: Iterator[pa.RecordBatch], queries: list[tuple[int, int, list
 
 
 def audit_recall(vectors: DataFrame, components: DataFrame, threshold: float, sample: int = 200) -> float:
-    """The share of the links of `sample` vectors, compared with all vectors, whose ends lie in one component."""
+    """Of `sample` vectors, compared with all vectors, the mean share of a vector's links that lie in its component."""
     queries = [(r["id"], r["group"], r["unit"]) for r in vectors.orderBy(F.xxhash64("id"), "id").limit(sample).collect()]
     pairs = vectors.select("id", "group", "unit").mapInArrow(partial(_audit, queries=queries, threshold=threshold), "src long, dst long")
-    a, b = components.select(F.col("node").alias("src"), F.col("component").alias("ca")), components.select(F.col("node").alias("dst"), F.col("component").alias("cb"))
+    a, b = components.select(F.col("id").alias("src"), F.col("component").alias("ca")), components.select(F.col("id").alias("dst"), F.col("component").alias("cb"))
     hit = F.coalesce(F.col("ca") == F.col("cb"), F.lit(False)).cast("long")
-    found, true = pairs.join(a, "src", "left").join(b, "dst", "left").agg(F.coalesce(F.sum(hit), F.lit(0)), F.count("*")).first()
-    return found / true if true else 1.0
+    found = pairs.join(a, "src", "left").join(b, "dst", "left").groupBy("src").agg(F.avg(hit).alias("share")).agg(F.avg("share")).first()[0]
+    return 1.0 if found is None else found
 
 
 def near_vectors(rows: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", threshold: float = 0.98, near: float = 0.8, k: int = 10, trees: int = 8, leaf: int = 256, recall: float = 0.98, most_rounds: int = 4, block: int = 512) -> DataFrame:
@@ -170,13 +192,17 @@ def near_vectors(rows: DataFrame, id_col: str = "vec_id", vector_col: str = "emb
     sound = given.where(F.col("id").isNotNull() & F.col("label").isNotNull() & F.col("vector").isNotNull() & (F.size("vector") > 0) & ~F.exists("vector", lambda x: x.isNull()))
     classes = cut(sound.groupBy("label", "vector").agg(F.min("id").alias("rep"), F.count("*").alias("mult")), "classes")
     keyed = classes.select(F.col("rep").alias("id"), F.xxhash64("label", F.size("vector")).alias("group"), "vector")
-    vectors = cut(keyed.mapInArrow(_units, "id long, group long, unit array<double>"), "units")
-    largest = vectors.groupBy("group").count().agg(F.max("count")).first()[0] or 1
-    bits = max(1, int(np.ceil(np.log2(max(2.0, largest / (leaf / 4))))))
-
-    lists, components = None, None
-    for turn in range(most_rounds):
-        fresh = _forest(vectors, trees, bits, turn, leaf, k, near)
+    units = cut(keyed.mapInArrow(_units, "id long, group long, unit array<double>"), "units")
+    sizes = units.groupBy("group").agg(F.greatest(F.lit(1), F.ceil(F.log2(F.greatest(F.lit(2.0), F.count("*") / F.lit(leaf / 4))))).cast("int").alias("bits"))
+    vectors = cut(units.join(sizes, "group").select("id", "group", "unit", "bits"), "vectors")
+    bits = vectors.agg(F.max("bits")).first()[0] or 1
+    alone = (1 - np.arccos(min(threshold, 1.0)) / np.pi) ** bits
+    enough = 0 if alone == 1 else int(np.ceil(np.log(MISS) / np.log(1 - alone)))
+
+    lists, labels, seed = None, None, 0
+    for _ in range(most_rounds):
+        fresh = _forest(vectors, trees, bits, seed, leaf, k, near)
+        seed += 1
         lists = cut(_top(fresh if lists is None else fresh.union(lists), k), "lists")
         for _ in range(3):
             refined = cut(_top(_joined(lists, vectors, k, near, 4 * k).union(lists), k), "lists")
@@ -184,10 +210,24 @@ def near_vectors(rows: DataFrame, id_col: str = "vec_id", vector_col: str = "emb
             lists = refined
             if changed <= 0.01 * size:
                 break
-        components = connected_components(lists.where(F.col("sim") >= threshold).select(F.col("node").alias("src"), F.col("nbr").alias("dst")))
-        if audit_recall(vectors, components, threshold) >= recall:
+        single = vectors.select("id", F.col("id").alias("component")) if labels is None else labels
+        links = lists.where(F.col("sim") >= threshold)
+        labels = _merged(single, links) or single
+        while True:
+            apart = vectors.join(labels, "id")
+            more = _merged(labels, _forest(apart, trees, bits, seed, leaf, k, threshold))
+            seed += 1
+            labels = more or labels
+            if more is None and seed * trees >= enough:
+                break
+        told = audit_recall(vectors, labels, threshold)
+        if told >= recall:
             break
+    else:
+        raise RuntimeError(f"recall {told:.3f} of links is under {recall} after {most_rounds} rounds")
 
+    shared = labels.groupBy("component").count().where("count > 1").select("component")
+    components = cut(labels.join(shared, "component").select(F.col("id").alias("node"), "component"), "components")
     counted = classes.select(F.col("rep").alias("id"), "mult")
     members = components.withColumnRenamed("node", "id").join(counted, "id").join(vectors.select("id", "unit"), "id")
     links = cut(_component_links(members, threshold, block), "links")

@@ -275,6 +275,30 @@ def test_near_vectors_equal_brute_force(spark):
         assert (told[i]["n_links"], told[i]["component_id"], told[i]["kept"]) == (0, i, True)
 
 
+def test_groups_that_fill_their_lists_still_meet(spark):
+    """Two groups of 30 copies, about 0.999 within and 0.985 across, and a label of its own with one pair."""
+    r = np.random.default_rng(8)
+    a, b = np.linalg.qr(r.standard_normal((64, 2)))[0].T
+    other = 0.985 * a + np.sqrt(1 - 0.985**2) * b
+    rows = [(k, (a if k < 30 else other) + 0.0025 * r.standard_normal(64), 0) for k in range(60)]
+    rows += [(100 + k, r.standard_normal(64), 1) for k in range(20)] + [(130, a, 1), (131, a + 0.01 * b, 1)]
+    df = spark.createDataFrame([(k, v.tolist(), label) for k, v, label in rows], "vec_id long, embedding array<double>, label int")
+    unit = {k: v / np.linalg.norm(v) for k, v, _ in rows}
+    label = {k: x for k, _, x in rows}
+    linked = {k: [j for j in unit if j != k and label[j] == label[k] and unit[k] @ unit[j] >= 0.98] for k in unit}
+    assert all(len(linked[k]) == 59 for k in range(60)) and linked[130] == [131]
+    told = {x["vec_id"]: x for x in nndescent.near_vectors(df).collect()}
+    assert all(told[k]["n_links"] == len(linked[k]) for k in unit)
+    assert {told[k]["component_id"] for k in range(60)} == {0} and sum(told[k]["kept"] for k in range(60)) == 1
+    assert told[131]["component_id"] == 130
+
+
+def test_near_vectors_under_the_recall_are_an_error(spark, monkeypatch):
+    monkeypatch.setattr(nndescent, "audit_recall", lambda *_: 0.5)
+    with pytest.raises(RuntimeError, match="recall"):
+        nndescent.near_vectors(spark.createDataFrame([(1, [1.0, 0.0], 0), (2, [1.0, 0.01], 0)], "vec_id long, embedding array<double>, label int"), most_rounds=1)
+
+
 def test_near_vectors_of_nothing(spark):
     assert nndescent.near_vectors(spark.createDataFrame([], "vec_id long, embedding array<float>, label int")).count() == 0
 
