@@ -1,20 +1,23 @@
 """License notices by conditional compression.
 
-Candidate blocks are lines that hold a licensing word, joined with their neighbours up to `REACH` lines on. Each block is
+Candidate blocks are lines that hold a licensing word, with the lines between two of them less than `REACH` apart. A
+block is judged alone and with the lines around it, as many words as the longest template has on either side, and the
+longer notice counts. Each block is
 compressed with every template as a zstandard raw dictionary; templates are ranked by how much that saves over no
 dictionary, and the first is taken whose wording agrees: every required word is there exactly, and at most `slack` of the
 template's words differ. The differences are reported word by word.
 
-One row per block; `license` is null where no template agrees. Null and empty texts have no blocks. Equal savings go to
+What is left of a block before and after a notice is judged in turn, and every SPDX tag counts. One row per notice, or
+per block without one; `license` is null where no template agrees. Null and empty texts have no blocks. Equal savings go to
 the first template by name. Offsets are code points, ends exclusive. Repeated rows and null ids pass through.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from difflib import SequenceMatcher
-from functools import partial
+from functools import lru_cache, partial
 
 import pyarrow as pa
 import zstandard
@@ -54,7 +57,8 @@ TEMPLATES: dict[str, tuple[str, str]] = {
 ANCHOR = r"(?i)licen[sc]e|copyright|redistribut|permission is hereby|permission to use|creative commons|\bCC[ -]?BY\b|\bCC0\b|public domain|SPDX|\bGPL\b|free software"
 _ANCHOR = re.compile(ANCHOR)
 _WORD = re.compile(r"[^\W_]+(?:[.-][^\W_]+)*")
-_SPDX = re.compile(r"SPDX-License-Identifier:\s*([A-Za-z0-9.+-]+)", re.IGNORECASE)
+_SPDX = re.compile(r"SPDX-License-Identifier:[ \t]*(\(*[A-Za-z0-9.+-]+\)*(?:[ \t]+(?:AND|OR|WITH)[ \t]+\(*[A-Za-z0-9.+-]+\)*)*)", re.IGNORECASE)
+_EXCEPTION = re.compile(r"\s+WITH\s+\S+|\s+(?:AND|OR)\s+|[()\s]+", re.IGNORECASE)
 
 
 def words(text: str) -> list[str]:
@@ -80,8 +84,27 @@ def blocks(text: str) -> Iterator[tuple[int, int]]:
         yield start, end
 
 
-def _differences(template: list[str], block: list[str]) -> tuple[int, list[str]]:
-    """How many of the template's words differ within the block, and each difference as -template +block."""
+def around(text: str, start: int, end: int, most: int) -> tuple[int, int]:
+    """The span with whole lines before and after it, up to `most` words on either side."""
+    left = most
+    while start > 0 and left > 0:
+        line = text.rfind("\n", 0, start - 1) + 1
+        left -= len(text[line : start - 1].split())
+        if left >= 0:
+            start = line
+    left = most
+    while end < len(text) and left > 0:
+        line = text.find("\n", end + 1)
+        line = len(text) if line < 0 else line
+        left -= len(text[end + 1 : line].split())
+        if left >= 0:
+            end = line
+    return start, end
+
+
+def _differences(template: list[str], block: list[str]) -> tuple[int, list[str], int, int]:
+    """How many of the template's words differ within the block, each difference as -template +block, and the words of the
+    block that the notice spans."""
     matcher = SequenceMatcher(None, template, block, autojunk=False)
     codes = matcher.get_opcodes()
     changes, count = [], 0
@@ -92,7 +115,8 @@ def _differences(template: list[str], block: list[str]) -> tuple[int, list[str]]
         other = [] if k in (0, len(codes) - 1) and d - c > b - a else block[c:d]
         count += max(b - a, len(other))
         changes.append("-" + " ".join(template[a:b]) + (" +" + " ".join(other) if other else ""))
-    return count, changes
+    same = [(c, d) for tag, _, _, c, d in codes if tag == "equal"]
+    return count, changes, same[0][0] if same else 0, same[-1][1] if same else 0
 
 
 class Matcher:
@@ -106,13 +130,37 @@ class Matcher:
             raw = zstandard.ZstdCompressionDict(text.encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
             self.own[name] = (zstandard.ZstdCompressor(level=3, dict_data=raw, write_content_size=False), words(text), needed.split())
 
-    def judge(self, block: str) -> tuple[str | None, float, str]:
-        if named := _SPDX.search(block):
-            return named[1], 1.0, ""
+        self.longest = max((len(t) for _, t, _ in self.own.values()), default=0)
+
+    def judge(self, block: str) -> tuple[list[tuple[int, int, str, float, str, int]], float]:
+        """Every notice as (start, end, license, saving, differences, how many), in order, and the best saving."""
+        found, best, todo = [], 0.0, []
+        at = 0
+        for tag in _SPDX.finditer(block):
+            found += [(tag.start(), tag.end(), name, 1.0, "", 0) for name in dict.fromkeys(_EXCEPTION.sub(" ", tag[1]).split())]
+            todo.append((at, tag.start()))
+            at = tag.end()
+        todo.append((at, len(block)))
+        tagged = {x[2] for x in found}
+        while todo:
+            a, b = todo.pop()
+            if (a, b) != (0, len(block)) and not _ANCHOR.search(block, a, b):
+                continue
+            won, saving = self._best(block[a:b])
+            best = max(best, saving)
+            if won:
+                start, end, *rest = won
+                if rest[0] not in tagged:
+                    found.append((a + start, a + end, *rest))
+                todo += [(a, a + start), (a + end, b)]
+        return sorted(found), best
+
+    def _best(self, block: str) -> tuple[tuple[int, int, str, float, str, int] | None, float]:
         data = block.encode()
         bare = len(self.plain.compress(data))
         ranked = sorted(((bare - len(packer.compress(data))) / bare, name) for name, (packer, _, _) in self.own.items())
         ranked.sort(key=lambda x: (-x[0], x[1]))
+        places = [m.span() for m in _WORD.finditer(block)]
         told = words(block)
         have = set(told)
         for saving, name in ranked:
@@ -121,26 +169,43 @@ class Matcher:
             _, template, needed = self.own[name]
             if not have.issuperset(needed) and not all(any(w.startswith(n) for w in have) for n in needed):
                 continue
-            count, changes = _differences(template, told)
-            if count <= self.slack * len(template):
-                return name.removesuffix("-line").removesuffix("-long"), saving, "; ".join(changes)
-        return None, max(0.0, ranked[0][0]) if ranked else 0.0, ""
+            count, changes, first, last = _differences(template, told)
+            if last > first and count <= self.slack * len(template):
+                return (places[first][0], places[last - 1][1], name.removesuffix("-line").removesuffix("-long"), saving, "; ".join(changes), count), saving
+        return None, max(0.0, ranked[0][0]) if ranked else 0.0
+
+
+def _notices(body: str, judge: Callable[[str], tuple], longest: int) -> Iterator[tuple[int, int, str | None, float, str]]:
+    """(start, end, license, saving, differences) of a text's notices and of its blocks without one."""
+    done: set[tuple[int, int, str | None]] = set()
+    taken = 0
+    for start, end in blocks(body):
+        if end <= taken:
+            continue
+        found, saving = judge(body[start:end])
+        rows = [(start + a, start + b, *rest) for a, b, *rest in found]
+        low, high = around(body, start, end, longest)
+        wide = [(low + a, low + b, *rest) for a, b, *rest in judge(body[low:high])[0]]
+        wide = [x for x in wide if x[0] < end and x[1] > start]
+        # A notice of the block alone stays unless one of the wider lines meets it and is longer, or as long and as good.
+        rows = [x for x in rows if not any(y[0] < x[1] and y[1] > x[0] and (y[1] - y[0], -y[5]) >= (x[1] - x[0], -x[5]) for y in wide)]
+        rows += [y for y in wide if not any(y[0] < x[1] and y[1] > x[0] for x in rows)]
+        if len(rows) == 1:
+            rows = [(min(start, rows[0][0]), max(end, rows[0][1]), *rows[0][2:])]
+        for a, b, name, gain, changes, _ in sorted(rows):
+            if (a, b, name) not in done:
+                done.add((a, b, name))
+                yield a, b, name, gain, changes
+            taken = max(taken, b)
+        if not rows:
+            yield start, end, None, saving, ""
 
 
 def _scan(batches: Iterator[pa.RecordBatch], templates: dict[str, tuple[str, str]], slack: float) -> Iterator[pa.RecordBatch]:
     matcher = Matcher(templates, slack)
-    seen: dict[str, tuple[str | None, float, str]] = {}
+    judge = lru_cache(4096)(matcher.judge)
     for batch in batches:
-        rows = []
-        for key, text in zip(batch.column(0), batch.column(1), strict=True):
-            body = text.as_py() or ""
-            for start, end in blocks(body):
-                block = body[start:end]
-                if block not in seen:
-                    if len(seen) > 4096:
-                        seen.clear()
-                    seen[block] = matcher.judge(block)
-                rows.append((key.as_py(), start, end, *seen[block]))
+        rows = [(key.as_py(), *row) for key, text in zip(batch.column(0), batch.column(1), strict=True) for row in _notices(text.as_py() or "", judge, matcher.longest)]
         names = ["id", "start", "end", "license", "saving", "differences"]
         kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.float64(), pa.string()]
         yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], names=names)

@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import textwrap
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -353,6 +354,23 @@ def test_licenses(spark, text, name):
     assert [r["license"] for r in rows] == [name]
 
 
+@pytest.mark.parametrize("name", ["MIT", "BSD-2-Clause", "BSD-3-Clause", "MPL-2.0", "Unlicense", "GPL-3.0", "Apache-2.0", "ISC"])
+def test_wrapped_notices(name):
+    notice = textwrap.fill(licenses.TEMPLATES[name][0], 79)
+    text = "Some words before.\n\n" + notice.replace("conditions: The", "conditions:\n\nThe") + "\n\nAnd words behind it."
+    matcher = licenses.Matcher(licenses.TEMPLATES, 0.25)
+    rows = list(licenses._notices(text, matcher.judge, matcher.longest))
+    assert [(r[2], r[4]) for r in rows] == [(name, "")]
+    assert text[rows[0][0] : rows[0][1]].strip(".").split()[0] == notice.split()[0] and rows[0][1] >= text.index("\n\nAnd") - 2
+
+
+def test_every_notice_of_a_block():
+    matcher = licenses.Matcher(licenses.TEMPLATES, 0.25)
+    told = lambda text: [r[2] for r in licenses._notices(text, matcher.judge, matcher.longest)]
+    assert told("Licensed under the Apache License, Version 2.0.\nor\nReleased under the MIT License.") == ["Apache-2.0", "MIT"]
+    assert told("// SPDX-License-Identifier: ISC\n// SPDX-License-Identifier: MIT OR Apache-2.0") == ["ISC", "Apache-2.0", "MIT"]
+
+
 # ---- 9
 
 
