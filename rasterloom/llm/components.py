@@ -26,3 +26,15 @@ def connected_components(edges: DataFrame) -> DataFrame:
         labels = after.select("node", "component")
         if after.where("changed").isEmpty():
             return labels
+
+
+def forest_roots(parents: DataFrame) -> DataFrame:
+    """(node, component) for the nodes of a forest, parents(node, parent) with one row a node that has a parent; component is
+    the root. Pointers are halved in each round: no edge is doubled, and a hot root is one row of the side that is joined."""
+    at = cut(parents.select("node", F.col("parent").alias("component")), "roots")
+    while True:
+        above = at.select(F.col("node").alias("component"), F.col("component").alias("next"))
+        after = cut(at.join(above, "component", "left").select("node", F.coalesce("next", "component").alias("component"), F.col("next").isNotNull().alias("moved")), "roots")
+        if after.where("moved").isEmpty():
+            return after.select("node", "component").union(after.select(F.col("component").alias("node"), "component").distinct())
+        at = after.select("node", "component")

@@ -8,9 +8,11 @@ Tensored banding: m half-bands of `rows` minhashes each are computed, and table
 half-bands, so m * rows minhashes serve m * (m - 1) / 2 tables of 2 * rows minhashes. A pair of documents meets if two
 of its m half-bands agree; m is the smallest for which a pair at the threshold is missed with at most `miss`.
 
-Documents of equal sets form a class and are compared as one. Within a table key, the most central class is compared
-with the others, never all with all: that joins a large group of near copies. What keys still hold several components
-are joined into clusters, and their classes compared block by block, where components differ; only links leave a block.
+Documents of equal sets form a class and are compared as one. Each class meets one other class, the most central of
+those at the head of its table keys: at most one pair a class, however large a group of near copies is, and the links
+form a forest. Keys that still hold several components are joined into clusters, and their classes are compared block by
+block, where components differ and blocks have a key in common; only links leave a block. Blocks are bounded by the
+shingles that they hold, and classes of a key lie together, so that a cluster which keys merely chain stays sparse.
 
 Null ids: such a row has its n_shingles, component_id null and kept true. Rows that repeat an id share its component.
 """
@@ -26,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .components import connected_components
+from .components import connected_components, forest_roots
 from .shared import cut
 from .textkernel import mix, runs, shingle_sets, slices, text_buffers
 
@@ -113,7 +115,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
 
 
 def _compare_blocks(group: pa.Table, threshold: int) -> pa.RecordBatch | None:
-    """Links between components, from all pairs of one or two blocks of classes: columns key, side, component, items.
+    """Links between components, from all pairs of one or two blocks of classes: columns unit, side, component, items.
 
     Intersections come from one product of incidence matrices over the shingles that two classes share at least; only
     a spanning forest of the links is returned.
@@ -131,9 +133,9 @@ def _compare_blocks(group: pa.Table, threshold: int) -> pa.RecordBatch | None:
     used, column = np.unique(column, return_inverse=True)
     order = np.argsort(column, kind="stable")
     rows, column = rows[order], column[order]
-    for at in range(0, len(used), 1 << 14):
-        a, b = np.searchsorted(column, [at, at + (1 << 14)])
-        held = np.zeros((len(sizes), min(1 << 14, len(used) - at)), np.float32)
+    for at in range(0, len(used), 1 << 12):
+        a, b = np.searchsorted(column, [at, at + (1 << 12)])
+        held = np.zeros((len(sizes), min(1 << 12, len(used) - at)), np.float32)
         held[rows[a:b], column[a:b] - at] = 1
         both += held @ held.T
     linked = 100 * both >= threshold * (sizes[:, None] + sizes[None, :] - both)
@@ -157,24 +159,54 @@ def _compare_blocks(group: pa.Table, threshold: int) -> pa.RecordBatch | None:
     return pa.RecordBatch.from_arrays([pa.array([names[x] for x, _ in edges], pa.binary()), pa.array([names[y] for _, y in edges], pa.binary())], names=["src", "dst"]) if edges else None
 
 
-def _block_links(clusters: DataFrame, label: DataFrame, sets: DataFrame, threshold: int, block: int = 256) -> DataFrame:
-    """(src, dst): components that link, among clusters(set_id, cluster). Large components have blocks of their own, which
-    meet all other blocks but not each other; small ones share blocks. Classes travel, pairs do not."""
-    told = clusters.join(label, "set_id", "left").withColumn("component", F.coalesce("component", "set_id"))
-    sized = cut(told.groupBy("cluster", "component").agg(F.count("*").alias("n")), "sized")
-    small = sized.where(f"n <= {block}").groupBy("cluster").agg(F.sum("n").alias("small"))
-    plan = sized.join(small, "cluster", "left")
-    parts = F.when(F.col("n") > block, F.ceil(F.col("n") / F.lit(block))).otherwise(F.ceil(F.col("small") / F.lit(block)))
-    owner = F.when(F.col("n") > block, F.col("component"))
-    placed = told.join(plan.select("cluster", "component", owner.alias("owner"), parts.alias("parts")), ["cluster", "component"])
-    spread = F.when(F.col("owner").isNotNull(), F.xxhash64("set_id")).otherwise(F.xxhash64("component"))
-    placed = cut(placed.withColumn("part", F.pmod(spread, "parts")).select("cluster", "component", "set_id", "owner", F.xxhash64("cluster", "owner", "part").alias("block")), "placed")
-    blocks = placed.select("cluster", "block", "owner").distinct()
-    other = blocks.select("cluster", F.col("block").alias("other"), F.col("owner").alias("other_owner"))
-    meets = blocks.join(other, "cluster").where((F.col("block") <= F.col("other")) & ~F.coalesce(F.col("owner") == F.col("other_owner"), F.lit(False)))
-    ends = meets.select("cluster", F.xxhash64("block", "other").alias("key"), F.explode(F.when(F.col("block") == F.col("other"), F.array("block")).otherwise(F.array("block", "other"))).alias("block"), F.col("other"))
-    rows = ends.withColumn("side", (F.col("block") == F.col("other")).cast("int")).join(placed.select("block", "component", "set_id"), "block").join(sets, "set_id")
-    rows = rows.select("key", "side", "component", "items").repartition("key").sortWithinPartitions("key")
+def _first_pairs(members: DataFrame) -> DataFrame:
+    """(set_id, hub): for each class the most central of the heads of its keys, by how widely half-bands are shared.
+
+    A head ranks above all that meet it, so the pairs are a forest with at most one pair a class.
+    """
+    rank = F.struct("weight", "set_id")
+    heads = members.groupBy("key").agg(F.max(rank).alias("head"))
+    best = members.join(heads, "key").groupBy("set_id").agg(F.max("head")["set_id"].alias("hub"))
+    return best.where("hub != set_id")
+
+
+def _open_members(members: DataFrame, label: DataFrame, tested: DataFrame) -> DataFrame:
+    """(key, set_id, component) of the keys whose classes lie in several components and are not one pair that was tested."""
+    told = members.select("key", "set_id").join(label, "set_id", "left").withColumn("component", F.coalesce("component", "set_id"))
+    ends = [F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("n"), F.min("set_id").alias("src"), F.max("set_id").alias("dst")]
+    keys = told.groupBy("key").agg(*ends).where("lo != hi")
+    done = tested.select(F.least("set_id", "hub").alias("src"), F.greatest("set_id", "hub").alias("dst"), F.lit(2).cast("long").alias("n"))
+    return told.join(keys.join(done, ["src", "dst", "n"], "left_anti").select("key"), "key")
+
+
+def _block_links(members: DataFrame, sets: DataFrame, threshold: int, block: int = 1 << 17) -> DataFrame:
+    """(src, dst): components that link, of members(key, set_id, component). Classes travel, pairs do not.
+
+    A class lies with those of its largest key. Clusters are what keys connect of these lots. A cluster of up to `block`
+    shingles is one block (a class counts as block / 1024 at least). In a larger one small lots share blocks, and a lot that
+    holds more than a block is dealt into blocks of its own.
+    """
+    sized = members.join(members.groupBy("key").agg(F.count("*").alias("n")), "key")
+    lots = cut(sized.groupBy("set_id", "component").agg(F.max(F.struct("n", "key"))["key"].alias("lot")), "lots")
+    keyed = cut(members.select("key", "set_id").join(lots.select("set_id", "lot"), "set_id"), "open")
+    heads = keyed.groupBy("key").agg(F.min("lot").alias("src"), F.max("lot").alias("dst")).where("src != dst").select("key", "src")
+    chained = keyed.join(heads, "key").where("lot != src").select("src", F.col("lot").alias("dst")).distinct()
+    clusters = connected_components(chained).select(F.col("node").alias("lot"), F.col("component").alias("cluster"))
+    placed = lots.join(clusters, "lot", "left").withColumn("cluster", F.coalesce("cluster", "lot"))
+    placed = cut(placed.join(sets.select("set_id", F.greatest(F.size("items"), F.lit(block >> 10)).alias("size")), "set_id"), "placed")
+    parts = lambda total: F.ceil(F.col(total) / F.lit(block))
+    whole = placed.groupBy("cluster").agg(F.sum("size").alias("total"))
+    own = placed.groupBy("cluster", "lot").agg(F.sum("size").alias("own"))
+    small = F.pmod(F.xxhash64("lot"), parts("total"))
+    spot = F.when(F.col("total") <= block, F.xxhash64("cluster")).when(F.col("own") <= block, F.xxhash64("cluster", small)).otherwise(F.xxhash64("cluster", "lot", F.pmod(F.xxhash64("set_id"), parts("own"))))
+    dealt = cut(placed.join(whole, "cluster").join(own, ["cluster", "lot"]).select("set_id", "component", spot.alias("block")), "dealt")
+    # The blocks that each key reaches, alike for many keys, and from them the pairs of blocks with a key in common.
+    reached = keyed.join(dealt.select("set_id", "block"), "set_id").groupBy("key").agg(F.sort_array(F.collect_set("block")).alias("blocks")).select("blocks").distinct()
+    pairs = F.flatten(F.transform("blocks", lambda a: F.transform(F.filter("blocks", lambda b: b >= a), lambda b: F.struct(a.alias("block"), b.alias("other")))))
+    meets = reached.select(F.explode(pairs).alias("pair")).select("pair.*").distinct()
+    ends = meets.select(F.xxhash64("block", "other").alias("unit"), F.explode(F.array_distinct(F.array("block", "other"))).alias("block"), F.col("other"))
+    rows = ends.withColumn("side", (F.col("block") == F.col("other")).cast("int")).join(dealt, "block").join(sets, "set_id")
+    rows = rows.select("unit", "side", "component", "items").repartition("unit").sortWithinPartitions("unit")
     return rows.mapInArrow(partial(runs, work=partial(_compare_blocks, threshold=threshold)), "src binary, dst binary").distinct()
 
 
@@ -192,26 +224,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     found = texts.join(wanted.select("id").distinct().hint("shuffle_hash"), "id").select("text").mapInArrow(partial(_sets, width=width), "set_id binary, items array<long>")
     sets = cut(found.join(wanted.select("set_id"), "set_id", "left_semi").dropDuplicates(["set_id"]), "sets")
 
-    # Round one: in each table key the most central class, by how widely its half-bands are shared, meets the others.
-    rank = F.struct("weight", "set_id")
-    hubs = members.groupBy("key").agg(F.max(rank)["set_id"].alias("hub"))
-    met = cut(members.join(hubs, "key").select("key", "hub", "set_id"), "met")
-    pairs = met.where("hub != set_id").select(F.least("hub", "set_id").alias("src"), F.greatest("hub", "set_id").alias("dst")).distinct()
-    label = connected_components(_verified(pairs, sets, threshold)).select(F.col("node").alias("set_id"), "component")
-
-    # The rest: keys whose classes still lie in several components, joined into clusters and compared in blocks.
-    told = met.join(label, "set_id", "left").withColumn("component", F.coalesce("component", "set_id"))
-    open_keys = told.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo != hi").select("key")
-    rest = cut(met.join(open_keys, "key").select(F.col("hub").alias("src"), F.col("set_id").alias("dst")).where("src != dst").distinct(), "rest")
-    clusters = connected_components(rest).select(F.col("node").alias("set_id"), F.col("component").alias("cluster"))
-    late = cut(_block_links(clusters, label, sets, threshold), "late")
-    if not late.isEmpty():
-        # Ends are components; a component that moves takes its classes along.
-        moved = connected_components(late).select(F.col("node").alias("component"), F.col("component").alias("to"))
-        known = label.union(moved.join(label, moved["component"] == label["set_id"], "left_anti").select(F.col("component").alias("set_id"), "component"))
-        label = known.join(moved, "component", "left").select("set_id", F.coalesce("to", "component").alias("component"))
+    tested = cut(_first_pairs(members), "pairs")
+    linked = _verified(tested.select(F.col("set_id").alias("src"), F.col("hub").alias("dst")), sets, threshold)
+    label = forest_roots(linked.select(F.col("src").alias("node"), F.col("dst").alias("parent"))).select(F.col("node").alias("set_id"), "component")
 
+    rest = cut(_open_members(members, label, tested), "rest")
+    late = cut(_block_links(rest, sets, threshold), "late")
+    moved = connected_components(late).select(F.col("node").alias("component"), F.col("component").alias("to"))
     grouped = classes.select("set_id", "id").join(label, "set_id", "left").withColumn("component", F.coalesce("component", "set_id"))
+    grouped = grouped.join(moved, "component", "left").select("set_id", "id", F.coalesce("to", "component").alias("component"))
     lows = grouped.groupBy("component").agg(F.min("id").alias("low"))
     grouped = grouped.join(lows, "component").select("set_id", "low")
     out = sketched.select("id", "n_shingles", "set_id").join(grouped, "set_id", "left")
