@@ -1,9 +1,10 @@
 """Personal data in whole texts, also when disguised.
 
-Base spans come from the text as it stands. A transducer then rewrites disguises - homoglyphs and compatibility forms,
-invisible characters, spelled digits, at/dot phrases - keeping for each rewritten piece the source characters it stands
-for; the same detectors run on the rewritten text, and what they find is mapped back to source characters. Base spans
-stay; an added span overlaps a base span of its kind only where it holds it whole. Offsets are code points, ends exclusive.
+Base spans come from the text as it stands. Two transducers then rewrite disguises one after the other: the first folds
+homoglyphs, compatibility forms and invisible characters, the second spelled digits and at/dot phrases. Each keeps for a
+rewritten piece the characters it stands for; the same detectors run on what comes out, and what they find is mapped back
+through both to source characters. Base spans stay; an added span overlaps a base span of its kind only where it holds it
+whole. Offsets are code points, ends exclusive.
 
 Null or empty text has no spans. One row per input row: repeated rows, null ids and extra columns do no harm (only the
 id and the text are read). All work is linear in the text, whatever its length.
@@ -96,15 +97,17 @@ _WORD = "|".join(sorted(_DIGIT_WORDS, key=len, reverse=True))
 _AT_WORD, _DOT_WORD = r"at|arroba|arobase|klammeraffe|@", r"dot|punkt|punto|point|\."
 _OPEN, _CLOSE = r"[\[({<]", r"[\])}>]"
 _DOT_PHRASE = rf"(?:\s*{_OPEN}\s*(?:{_DOT_WORD})\s*{_CLOSE}\s*|\s+(?:dot|punkt|punto)\s+|\.)"
-_TRANSDUCER = re.compile(
-    rf"(?P<at>\s*{_OPEN}\s*(?:{_AT_WORD})\s*{_CLOSE}\s*)"
-    rf"|(?P<dot>\s*{_OPEN}\s*(?:{_DOT_WORD})\s*{_CLOSE}\s*)"
+# A bracket or a letter opens every alternative, never a run of blanks: those around a bracket are taken by hand.
+_PHRASES = re.compile(
+    rf"(?P<at>{_OPEN}\s*(?:{_AT_WORD})\s*{_CLOSE})"
+    rf"|(?P<dot>{_OPEN}\s*(?:{_DOT_WORD})\s*{_CLOSE})"
     rf"|(?P<bare_at>(?<=[a-z0-9])\s+(?:at|arroba|arobase)\s+(?=[a-z0-9-]+(?:{_DOT_PHRASE}[a-z0-9-]+)*?(?:\s*{_OPEN}\s*(?:{_DOT_WORD})\s*{_CLOSE}\s*|\s+(?:dot|punkt|punto)\s+)[a-z0-9-]))"
-    rf"|(?P<spelled>(?:\b(?:plus|\+)\s*)?\b(?:{_WORD})\b(?:[\s,-]+(?:dot\s+|point\s+)?(?:{_WORD}|[0-9])\b){{3,}})"
-    rf"|(?P<bare_dot>(?<=[a-z0-9])\s+(?:dot|punkt|punto)\s+(?=[a-z0-9]))"
-    r"|(?P<odd>[^\x00-\x7f])",
+    rf"|(?P<spelled>(?:(?:\bplus\b|\+)\s*)?\b(?:{_WORD})\b(?:[\s,-]+(?:dot\s+|point\s+)?(?:{_WORD}|[0-9])\b){{3,}})"
+    rf"|(?P<bare_dot>(?<=[a-z0-9])\s+(?:dot|punkt|punto)\s+(?=[a-z0-9]))",
     re.IGNORECASE,
 )
+_BARE_AT, _BRACKET = re.compile(r"\s(?:at|arroba|arobase)\s", re.IGNORECASE), re.compile(_OPEN)
+_ODD = re.compile(r"[^\x00-\x7f]+")
 _SPELLED_PART = re.compile(rf"\b(?P<digit>{_WORD})\b|(?P<dot>\b(?:dot|point)\b)|(?P<plus>\bplus\b|\+)|(?P<figure>[0-9])", re.IGNORECASE)
 _MAYBE_PHRASE = re.compile(rf"{_OPEN}\s*(?:{_AT_WORD}|{_DOT_WORD})\s*{_CLOSE}|\s(?:dot|punkt|punto)\s", re.IGNORECASE)
 _MAYBE_SPELLED = re.compile(rf"\b(?:{_WORD})\b[\s,-]+(?:dot\s+|point\s+)?(?:{_WORD}|[0-9])\b[\s,-]+(?:dot\s+|point\s+)?(?:{_WORD}|[0-9])\b", re.IGNORECASE)
@@ -138,59 +141,97 @@ def _is_odd(text: str) -> bool:
     return False
 
 
-def normalise(text: str) -> tuple[str, list[int], list[int], list[int]]:
-    """The rewritten text and its pieces: where each begins in it, and the source range it stands for. A piece as long
-    as its source range maps character by character."""
-    out: list[str] = []
-    begins, froms, tos = [], [], []
-    size = last = 0
+class _Rewritten:
+    """A rewritten text and its pieces: where each begins in it, and the range of the text before that it stands for. A piece
+    as long as its range maps character by character."""
 
-    def put(piece: str, a: int, b: int) -> None:
-        nonlocal size
+    def __init__(self) -> None:
+        self.out: list[str] = []
+        self.begins: list[int] = []
+        self.froms: list[int] = []
+        self.tos: list[int] = []
+        self.size = 0
+
+    def put(self, piece: str, a: int, b: int) -> None:
         if piece:
-            out.append(piece)
-            begins.append(size)
-            froms.append(a)
-            tos.append(b)
-            size += len(piece)
-
-    for m in _TRANSDUCER.finditer(text):
-        kind = m.lastgroup
-        if kind == "odd" and (plain := _plain(m[0])) == m[0]:
-            continue
-        put(text[last : m.start()], last, m.start())
-        if kind == "odd":
-            put(plain, m.start(), m.end())
-        elif kind == "spelled":
-            for part in _SPELLED_PART.finditer(text, m.start(), m.end()):
-                made = {"digit": _DIGIT_WORDS.get(part[0].lower(), ""), "dot": ".", "plus": "+", "figure": part[0]}[part.lastgroup]
-                put(made, part.start(), part.end())
+            self.out.append(piece)
+            self.begins.append(self.size)
+            self.froms.append(a)
+            self.tos.append(b)
+            self.size += len(piece)
+
+    def back(self, a: int, b: int) -> tuple[int, int]:
+        """The range that the characters a .. b - 1 stand for."""
+        i, j = bisect_right(self.begins, a) - 1, bisect_right(self.begins, b - 1) - 1
+        start = self.froms[i] + (a - self.begins[i] if self._even(i) else 0)
+        return start, self.froms[j] + (b - self.begins[j]) if self._even(j) else self.tos[j]
+
+    def _even(self, k: int) -> bool:
+        return self.tos[k] - self.froms[k] == len(self.out[k])
+
+    def text(self) -> str:
+        return "".join(self.out)
+
+
+def fold_characters(text: str) -> _Rewritten:
+    """The first transducer: the plain forms of odd characters."""
+    made, last = _Rewritten(), 0
+    for m in _ODD.finditer(text):
+        for at in range(*m.span()):
+            c = text[at]
+            if c not in _odd:
+                _odd[c] = _plain(c)
+            if _odd[c] != c:
+                made.put(text[last:at], last, at)
+                made.put(_odd[c], at, at + 1)
+                last = at + 1
+    made.put(text[last:], last, len(text))
+    return made
+
+
+def fold_phrases(text: str) -> _Rewritten:
+    """The second transducer: at/dot phrases, with the blanks around them, and spelled digits."""
+    made, last = _Rewritten(), 0
+    for m in _PHRASES.finditer(text):
+        kind, start, end = m.lastgroup, m.start(), m.end()
+        if kind in ("at", "dot"):
+            while start > last and text[start - 1].isspace():
+                start -= 1
+            while end < len(text) and text[end].isspace():
+                end += 1
+        start = max(start, last)
+        made.put(text[last:start], last, start)
+        if kind == "spelled":
+            for part in _SPELLED_PART.finditer(text, start, end):
+                digit = {"digit": _DIGIT_WORDS.get(part[0].casefold(), ""), "dot": ".", "plus": "+", "figure": part[0]}[part.lastgroup]
+                made.put(digit, part.start(), part.end())
         else:
-            put("@" if kind.endswith("at") else ".", m.start(), m.end())
-        last = m.end()
-    put(text[last:], last, len(text))
-    return "".join(out), begins, froms, tos
+            made.put("@" if kind.endswith("at") else ".", start, end)
+        last = end
+    made.put(text[last:], last, len(text))
+    return made
 
 
 def _added(text: str, base: list[Span]) -> list[Span]:
-    if not (_is_odd(text) or _MAYBE_PHRASE.search(text) or _MAYBE_SPELLED.search(text)):
+    folded = fold_characters(text) if _is_odd(text) else None
+    plain = folded.text() if folded else text
+    phrased = fold_phrases(plain) if _MAYBE_PHRASE.search(plain) or _MAYBE_SPELLED.search(plain) else None
+    if not (folded or phrased):
         return []
-    plain, begins, froms, tos = normalise(text)
     by_kind = {k: sorted((a, b) for a, kind, b in base if kind == k) for k in KINDS}
     added = []
-    for a, kind, b in detect(plain):
-        i, j = bisect_right(begins, a) - 1, bisect_right(begins, b - 1) - 1
-        start = froms[i] + (a - begins[i] if tos[i] - froms[i] == (begins[i + 1] if i + 1 < len(begins) else len(plain)) - begins[i] else 0)
-        same = tos[j] - froms[j] == (begins[j + 1] if j + 1 < len(begins) else len(plain)) - begins[j]
-        end = froms[j] + (b - begins[j]) if same else tos[j]
+    read = phrased.text() if phrased else plain
+    for a, kind, b in detect(read):
+        start, end = phrased.back(a, b) if phrased else (a, b)
+        bare = kind == "email" and _BARE_AT.search(plain, start, end) and not _BRACKET.search(plain, start, end)
+        if bare and read[a:b].rpartition(".")[2].lower() not in _TOP:
+            continue
+        start, end = folded.back(start, end) if folded else (start, end)
         own = by_kind[kind]
         # A base span inside it is a part of the disguised one; any other overlap is the base span's.
         touching = [(x, y) for x, y in own[max(0, bisect_right(own, (start, -1)) - 1) : bisect_right(own, (end, -1))] if x < end and start < y]
-        if any((x, y) == (start, end) or not (start <= x and y <= end) for x, y in touching):
-            continue
-        if kind == "email" and re.search(r"\s(?:at|arroba|arobase)\s", text[start:end], re.IGNORECASE) and not re.search(rf"{_OPEN}", text[start:end]) and plain[a:b].rpartition(".")[2].lower() not in _TOP:
-            continue
-        added.append((start, kind, end))
+        if not any((x, y) == (start, end) or not (start <= x and y <= end) for x, y in touching):
+            added.append((start, kind, end))
     return added
 
 
