@@ -2,8 +2,9 @@
 
 Reader: a task owns the records that start inside its range. It looks for gzip magic, validates a candidate by decoding
 its head (a gzip header of known flags, then a WARC version line), reads on from member to member, and looks for magic
-again only where a member does not follow its predecessor. The last record is read to its end beyond the range. A
-payload that holds a gzip WARC of its own is safe as long as its member is deflated, not stored.
+again only where a member does not follow its predecessor. The last record is read to its end beyond the range; of a
+record that is long, what was decoded is let go of. A payload that holds a gzip WARC of its own is safe as long as its
+member is deflated, not stored; the writer's payloads are UTF-8, in which the magic does not occur.
 
 Writer: one archive for each task and `rotate` bytes, under a fresh name: a task that runs again leaves an archive that
 no manifest lists. Records with payloads equal in bytes, of at least `least` bytes, are written once: the one with the
@@ -29,6 +30,7 @@ from pyspark.sql import functions as F
 
 MAGIC = b"\x1f\x8b\x08"
 CHUNK = 1 << 20
+MOST_TASKS = 20_000
 RECORDS = "page_id long, url string, record_type string, payload_digest string, payload_bytes long, refers_to long, payload binary, path string, offset long"
 MANIFEST = "path string, bytes long, records long"
 _ID = re.compile(r"<urn:page:(-?\d+)>")
@@ -81,17 +83,20 @@ def write_archives(pages: DataFrame, folder: str, least: int = 100, rotate: int
     long_enough = F.octet_length(F.coalesce("html", F.lit(""))) >= least
     # Only payloads that are there twice are joined; counts are folded before they move.
     firsts = digested.where(long_enough).groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1").select("digest", "first")
-    marked = digested.join(firsts, "digest", "left").withColumn("first", F.when(F.col("first") != F.coalesce("page_id", F.col("first") - 1), F.col("first")))
+    # Digests meet without their payloads; payloads are then dealt by page and digest, so that copies of a page spread.
+    page = F.coalesce(F.col("page_id").cast("string"), F.lit("none")).alias("page")
+    revisits = digested.select(page, "page_id", "digest").join(firsts, "digest").where(F.coalesce(F.col("page_id") != F.col("first"), F.lit(True))).select("page", "digest", "first").distinct()
+    marked = digested.withColumn("page", page).join(revisits, ["page", "digest"], "left")
     system, root = _open(folder)
     system.create_dir(root, recursive=True)
     return marked.select("page_id", "url", "html", "digest", "first").mapInArrow(partial(_write, folder=folder, rotate=rotate), MANIFEST)
 
 
 class _Source:
-    """Bytes of a file from a position on, read in chunks."""
+    """Bytes of a file from a position on, read in chunks; what lies before the position is read again if it is asked for."""
 
     def __init__(self, file: pa.NativeFile, at: int, size: int) -> None:
-        self.file, self.base, self.size, self.held = file, at, size, b""
+        self.file, self.base, self.size, self.held = file, at, size, bytearray()
 
     def upto(self, end: int) -> None:
         """Hold the bytes up to `end`, or to the end of the file."""
@@ -105,35 +110,34 @@ class _Source:
 
     def drop(self, at: int) -> None:
         if at - self.base >= CHUNK:
-            self.held, self.base = self.held[at - self.base :], at
+            del self.held[: at - self.base]
+            self.base = at
 
     def peek(self, at: int, n: int) -> bytes:
+        if at < self.base:
+            self.base, self.held = at, bytearray()
         self.upto(at + n)
-        return self.held[at - self.base : at - self.base + n]
+        return bytes(self.held[at - self.base : at - self.base + n])
 
 
-def _member(source: _Source, at: int, head_only: bool = False) -> tuple[bytes, int] | None:
+def _member(source: _Source, at: int) -> tuple[bytes, int] | None:
     """The content of the gzip member at `at`, and where it ends; None if what is there is no record."""
     opened = zlib.decompressobj(31)
-    parts, pos = [], at
-    checked = False
+    content, pos = bytearray(), at
     try:
         while not opened.eof:
             piece = source.peek(pos, 1 << 16)
             if not piece:
                 return None
-            parts.append(opened.decompress(piece))
+            content += opened.decompress(piece)
             pos += len(piece)
-            if not checked and sum(map(len, parts)) >= 7:
-                if not b"".join(parts).startswith(b"WARC/1."):
+            if len(content) >= 7:
+                if not content.startswith(b"WARC/1."):
                     return None
-                checked = True
-                if head_only:
-                    return b"", at
+                source.drop(pos)
     except zlib.error:
         return None
-    content = b"".join(parts)
-    return (content, pos - len(opened.unused_data)) if content.startswith(b"WARC/1.") else None
+    return (bytes(content), pos - len(opened.unused_data)) if content.startswith(b"WARC/1.") else None
 
 
 def _parse(content: bytes) -> tuple[dict[str, str], bytes] | None:
@@ -160,6 +164,7 @@ def read_range(path: str, start: int, end: int) -> Iterator[tuple[int, dict[str,
                 at = got[1]
                 continue
             # Not at a record: look for the next magic, in what is held and in what follows.
+            source.peek(at, 3)
             found = source.held.find(MAGIC, at - source.base + 1)
             if found >= 0:
                 at = source.base + found
@@ -188,8 +193,11 @@ def _read(batches: Iterator[pa.RecordBatch], payloads: bool) -> Iterator[pa.Reco
             yield pa.RecordBatch.from_pylist([dict(zip(schema.names, r, strict=True)) for r in rows], schema)
 
 
-def read_archives(files: DataFrame, split: int = 8 << 20, payloads: bool = True) -> DataFrame:
-    """files(path, bytes) to RECORDS rows; each split of `split` bytes is a row of its own and read by itself."""
+def read_archives(files: DataFrame, split: int | None = None, payloads: bool = True) -> DataFrame:
+    """files(path, bytes) to RECORDS rows; each split of `split` bytes is a row of its own and read by itself. Where none is
+    given, splits have 8 MiB, or more where that would make over MOST_TASKS tasks."""
+    if split is None:
+        split = max(8 << 20, -(-int(files.agg(F.sum("bytes")).first()[0] or 0) // MOST_TASKS))
     total = files.agg(F.sum(F.ceil(F.col("bytes") / F.lit(split)))).first()[0] or 1
     ranges = files.where("bytes > 0").select("path", "bytes", F.explode(F.expr(f"sequence(0L, bytes - 1, {split}L)")).alias("start")).select("path", "start", F.least(F.col("start") + split, F.col("bytes")).alias("end"))
     return ranges.repartition(int(total), "path", "start").mapInArrow(partial(_read, payloads=payloads), RECORDS)
