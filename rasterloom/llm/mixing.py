@@ -10,7 +10,8 @@ Targets: sources by code point, null last, weigh `weights`, repeating, and share
 `most` times its source's words and the excess is reshared by weight until none is above.
 
 Null or blank text has size 0, and takes nothing. A null source is a source of its own. Repeated rows and repeated or
-null ids count each on their own. No rows give no rows. A source without words has target 0.
+null ids count each on their own. No rows give no rows. A source without words has target 0. Tables of one row a source
+are ordered in one task; all else is dealt by source and bucket, shard or block, so that a hot source spreads.
 """
 
 from __future__ import annotations
@@ -18,11 +19,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import cut, word_array
+from .shared import cut, let
 
-BUCKETS = 4096
 ROUNDS = 4
-WALK = 32
+STEPS = 8
+PER_TASK = 1 << 18
 
 
 def _feistel(x: Column, left: Column, right: Column, key: Column, back: bool = False) -> Column:
@@ -56,22 +57,31 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = (5, 2, 1), most: int =
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", block: int = 512, shard: int = 16384, weights: tuple[int, ...] = (5, 2, 1), most: int = 3, seed: int = 0) -> DataFrame:
     """One row per input row: id_col, size, source_size, target (its source's), taken (its words in the mix, repeats counted)."""
-    source = F.col(source_col).cast("string")
+    return _mix(docs, id_col, text_col, source_col, block, shard, weights, most, seed).select(F.col("id").alias(id_col), "size", "source_size", "target", "taken")
+
+
+def _mix(docs: DataFrame, id_col: str, text_col: str, source_col: str, block: int, shard: int, weights: tuple[int, ...], most: int, seed: int) -> DataFrame:
+    """mix() with the columns source_key and finger, a hash of the text."""
+    source, text = F.col(source_col).cast("string"), F.coalesce(F.col(text_col), F.lit(""))
     sized = docs.select(
         F.col(id_col).alias("id"),
         F.coalesce(F.concat(F.lit("s"), source), F.lit("n")).alias("source_key"),
         source.alias("source"),
-        F.size(word_array(F.col(text_col))).cast("long").alias("size"),
+        F.xxhash64(text).alias("finger"),
+        F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]++")).cast("long").alias("size"),
     )
-    sized = cut(sized.withColumns({"order": F.xxhash64("id", F.lit(seed))}).withColumn("bucket", F.pmod("order", F.lit(BUCKETS))), "sized")
+    sized = cut(sized.withColumn("order", F.xxhash64("id", F.lit(seed))), "sized")
+    # As many buckets as each holds rows, about: sums of buckets and sums within one are equally small.
+    buckets = 16 + int(sized.count() ** 0.5)
+    sized = sized.withColumn("bucket", F.pmod("order", F.lit(buckets)))
 
     # Where each document begins in its source's stream: sums of buckets, then sums within a bucket.
     sums = cut(sized.groupBy("source_key", "source", "bucket").agg(F.sum("size").alias("bucket_size")), "buckets")
     ahead = Window.partitionBy("source_key").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     begins = sums.select("source_key", "bucket", F.coalesce(F.sum("bucket_size").over(ahead), F.lit(0)).alias("bucket_start"))
-    within = Window.partitionBy("source_key", "bucket").orderBy("order", "id", "size")
+    within = Window.partitionBy("source_key", "bucket").orderBy("order", "id", "size", "finger")
     placed = sized.withColumns({"row": F.row_number().over(within), "inner": F.coalesce(F.sum("size").over(within.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))})
-    placed = placed.join(begins, ["source_key", "bucket"]).select("id", "source_key", "bucket", "row", "size", (F.col("bucket_start") + F.col("inner")).alias("start"))
+    placed = placed.join(begins, ["source_key", "bucket"]).select("id", "source_key", "finger", "bucket", "row", "size", (F.col("bucket_start") + F.col("inner")).alias("start"))
 
     # Per source: passes over all its blocks, then `rest` words of one more pass, `slots` slots in all.
     plan = targets(sums.groupBy("source_key", "source").agg(F.sum("bucket_size").alias("source_size")), weights, most)
@@ -90,16 +100,21 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     lo, hi = F.greatest("start", F.col("index") * block), F.least(F.col("start") + F.col("size"), (F.col("index") + 1) * block)
     part = F.greatest(F.lit(0), F.least(hi, F.col("index") * block + F.coalesce("part", F.lit(0))) - lo)
     taken = F.sum(F.coalesce((hi - lo) * F.coalesce("times", F.lit(0)) + part, F.lit(0)))
-    mixed = pieces.join(uses, ["source_key", "index"], "left").groupBy("source_key", "bucket", "row", "id", "size").agg(taken.alias("taken"))
-    return mixed.join(plan.select("source_key", "source_size", "target"), "source_key").select(F.col("id").alias(id_col), "size", "source_size", "target", "taken")
+    mixed = pieces.join(uses, ["source_key", "index"], "left").groupBy("source_key", "bucket", "row", "id", "finger", "size").agg(taken.alias("taken"))
+    return mixed.join(plan.select("source_key", "source_size", "target"), "source_key")
 
 
 def _walk(x: Column, turn: Column, seed: int, back: bool = False) -> Column:
-    """The permutation of 0 .. blocks - 1 for one pass over a source: the bijection, repeated until it is in range."""
+    """The permutation of 0 .. blocks - 1 for one pass over a source: the bijection, repeated until it is in range.
+
+    STEPS steps end nearly every walk; the others go on for as many steps as the bijection has numbers out of range,
+    which no walk outlasts, since it meets each of them once at most.
+    """
     left, right, blocks = F.col("left"), F.col("right"), F.col("blocks")
     key = F.xxhash64("source_key", turn, F.lit(seed))
     step = lambda at: _feistel(at, left, right, key, back)
-    walked = F.aggregate(F.sequence(F.lit(1), F.lit(WALK)), step(x), lambda at, _: F.when(at < blocks, at).otherwise(step(at)))
+    walk = lambda at, steps: F.aggregate(F.sequence(F.lit(1).cast("long"), steps), at, lambda a, _: F.when(a < blocks, a).otherwise(step(a)))
+    walked = let(walk(step(x), F.lit(STEPS).cast("long")), lambda at: F.when(at < blocks, at).otherwise(walk(at, F.greatest(left * right - blocks, F.lit(1).cast("long")))))
     return F.when(blocks > 1, walked).otherwise(F.lit(0).cast("long"))
 
 
@@ -122,7 +137,9 @@ def _uses(plan: DataFrame, block: int, shard: int, seed: int) -> DataFrame:
     lines = begun.join(plan, "source_key").withColumn("count", F.least("count", F.col("slots") - F.col("first"))).where("count > 0")
     drawn_so_far = counts.groupBy("source_key").agg(F.sum("count").alias("first"))
     settled = plan.join(drawn_so_far, "source_key", "left").withColumn("first", F.coalesce("first", F.lit(0))).withColumn("count", F.col("slots") - F.col("first")).where("count > 0").withColumn("shard", F.lit(-1).cast("long"))
-    lines = lines.unionByName(settled)
+    # Few rows that become many slots: dealt by shard, a task for PER_TASK slots, or as many as a shuffle has by default.
+    tasks = max(1, total // PER_TASK, min(-(-total // shard), int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    lines = lines.unionByName(settled).repartition(tasks, "source_key", "shard")
     slots = lines.withColumn("slot", F.explode(F.sequence(F.col("first"), F.col("first") + F.col("count") - 1)))
     slots = slots.withColumns({"turn": F.expr("slot div blocks"), "at": F.expr("slot % blocks")})
     slots = slots.withColumn("index", _walk(F.col("at"), F.col("turn"), seed))
@@ -133,14 +150,18 @@ def _uses(plan: DataFrame, block: int, shard: int, seed: int) -> DataFrame:
     return slots.groupBy("source_key", "index").agg(F.sum((F.col("take") == F.col("length")).cast("long")).alias("times"), F.max(F.when(F.col("take") < F.col("length"), F.col("take"))).alias("part"))
 
 
-def draw_documents(docs: DataFrame, id_col: str = "doc_id", seed: int = 0, **parameters) -> DataFrame:
+def draw_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", block: int = 512, shard: int = 16384, weights: tuple[int, ...] = (5, 2, 1), most: int = 3, seed: int = 0) -> DataFrame:
     """The mix as rows of docs: a document stands as often as the mix takes its words, the fraction settled by its hash.
 
-    Rows without words are in no block and drop out; rows with a null id are drawn by no key and drop out too.
+    Rows are told apart by id, source and text: those with a null or repeated id are drawn each by their own share, and
+    rows that are alike in all three share theirs evenly. Rows without words are in no block and drop out.
     """
-    plan = mix(docs, id_col, seed=seed, **parameters).where("taken > 0").select(F.col(id_col).alias("__id"), (F.col("taken") / F.col("size")).alias("__share"))
-    plan = plan.groupBy("__id").agg(F.max("__share").alias("__share"))
-    chance = F.pmod(F.xxhash64("__id", F.lit(seed), F.lit("copy")), F.lit(1 << 20)) / F.lit(float(1 << 20))
-    plan = plan.withColumn("__copies", F.floor(F.col("__share") + chance).cast("int")).where("__copies > 0")
-    joined = docs.join(plan, F.col(f"`{id_col}`") == F.col("__id"))
-    return joined.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select(*[docs[f"`{c}`"] for c in docs.columns])
+    key = lambda c, kind: F.coalesce(F.concat(F.lit("s"), c.cast("string")), F.lit("n")).alias(kind)
+    plan = _mix(docs, id_col, text_col, source_col, block, shard, weights, most, seed).where("taken > 0")
+    keys = [key(F.col("id"), "id_key"), "source_key", "finger"]
+    shares = plan.groupBy(*keys).agg(F.avg(F.col("taken") / F.col("size")).alias("share"))
+    chance = F.pmod(F.xxhash64("id_key", "source_key", "finger", F.lit(seed), F.lit("copy")), F.lit(1 << 20)) / F.lit(float(1 << 20))
+    copies = shares.select("id_key", "source_key", "finger", F.floor(F.col("share") + chance).cast("int").alias("copies")).where("copies > 0")
+    told = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("whole"), key(F.col(f"`{id_col}`"), "id_key"), key(F.col(f"`{source_col}`"), "source_key"), F.xxhash64(F.coalesce(F.col(f"`{text_col}`"), F.lit(""))).alias("finger"))
+    drawn = told.join(copies, ["id_key", "source_key", "finger"]).select("whole", F.explode(F.array_repeat(F.lit(0), F.col("copies"))))
+    return drawn.select(*[F.col(f"whole.`{c}`").alias(c) for c in docs.columns])
