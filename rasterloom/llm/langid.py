@@ -2,9 +2,10 @@
 
 Features are relative frequencies of hashed byte trigrams of the whole text, ASCII letters folded, digits left out. All
 models are linear in them, so a text is scored in one pass over its bytes. They are trained on a bounded sample:
-`per_language` labelled rows of each language, those with the smallest hash of their id.
+`per_language` labelled rows of each language, those with the smallest hash of their id; a machine between families takes
+at most twice as many of each, spread evenly over its languages.
 
-Families come from a fixed table; a language that is not in it is a family of its own. With one family, or one language
+Repeated rows and null ids are predicted each on their own; no rows give no rows. Families come from a fixed table; a language that is not in it is a family of its own. With one family, or one language
 in a family, that step has nothing to decide.
 
 Rows: one per input row. Null text, or text without a letter, is `und` with score 0; so is every text if no row is
@@ -23,6 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .shared import cut
 from .textkernel import slices, text_buffers
 
 BITS = 13
@@ -118,34 +120,50 @@ def _svm(x: np.ndarray, y: np.ndarray, rounds: int = 60, strength: float = 1e-3)
     return w, b
 
 
+def sample_ids(docs: DataFrame, id_col: str, text_col: str, lang_col: str, per_language: int) -> DataFrame:
+    """(id, lang) of the per_language labelled rows of each language with the smallest hash of their id.
+
+    Languages are counted first, and rows beyond a hash below which about twice as many lie as are wanted drop out where
+    they are read: what is ordered by language is as small for a language of a third of all rows as for any other.
+    """
+    ids = docs.where(F.col(lang_col).isNotNull() & F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.xxhash64(id_col).alias("hash"))
+    counts = ids.groupBy("lang").agg(F.count("*").alias("n"))
+    most = F.greatest(F.lit(64), F.lit(2 * per_language)) / F.col("n")
+    near = ids.join(counts, "lang").where((F.pmod("hash", F.lit(1 << 30)) / F.lit(float(1 << 30)) < most))
+    smallest = Window.partitionBy("lang").orderBy(F.pmod("hash", F.lit(1 << 30)), "hash", "id")
+    return near.withColumn("k", F.row_number().over(smallest)).where(f"k <= {per_language}").select("id", "lang").distinct()
+
+
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = 800) -> dict:
     """The model from the labelled rows of docs; at most per_language rows of each language reach the driver, as counts of
-    at most BINS bins each."""
-    ids = docs.where(F.col(lang_col).isNotNull() & F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"))
-    smallest = Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id")
-    picked = ids.withColumn("n", F.row_number().over(smallest)).where(f"n <= {per_language}").select("id", "lang").distinct()
-    # Bounded by per_language rows a language.
-    texts = docs.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).join(F.broadcast(picked), ["id", "lang"], "left_semi")
-    sample = texts.select("lang", "text").mapInArrow(_count, "lang string, bins array<int>, counts array<long>").toArrow()
-    languages = np.array(sample.column("lang").to_pylist(), object)
-    x = np.zeros((len(languages), BINS), np.float32)
-    for k in range(len(languages)):
-        x[k, np.asarray(sample.column("bins")[k].values)] = np.asarray(sample.column("counts")[k].values)
-    x *= SCALE / np.maximum(x.sum(axis=1, keepdims=True), 1)
-    order = np.argsort(languages.astype(str), kind="stable")
-    return fit(x[order], languages[order])
-
-
-def fit(x: np.ndarray, languages: np.ndarray) -> dict:
+    at most BINS bins each, and only the rows of one machine at a time are made dense there."""
+    picked = cut(sample_ids(docs, id_col, text_col, lang_col, per_language), "picked")
+    texts = docs.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).join(picked, ["id", "lang"], "left_semi")
+    sample = texts.select("lang", "text").mapInArrow(_count, "lang string, bins array<int>, counts array<long>").toArrow().combine_chunks()
+    sample = sample.sort_by("lang")
+    return fit(sample.column("lang").to_pylist(), sample.column("bins"), sample.column("counts"), 2 * per_language)
+
+
+def fit(languages: list[str], bins: pa.ChunkedArray, counts: pa.ChunkedArray, per_family: int) -> dict:
     """One machine for each pair of families and for each pair of languages of a family."""
+    languages = np.array(languages, object)
     families = np.array([family(c) for c in languages], object)
     names = sorted(set(families))
     groups = [("", names, families)] + [(f, sorted(set(languages[families == f])), languages) for f in names]
+
+    def dense(rows: np.ndarray) -> np.ndarray:
+        x = np.zeros((len(rows), BINS), np.float32)
+        for k, row in enumerate(rows.tolist()):
+            x[k, np.asarray(bins[row].values)] = np.asarray(counts[row].values)
+        return x * (SCALE / np.maximum(x.sum(axis=1, keepdims=True), 1))
+
     machines, weights, biases = [], [], []
     for group, members, labels in groups:
+        # Rows are in order of language, so that every few of them are of all of a family's.
+        own = {m: (rows := np.flatnonzero(labels == m))[:: max(1, -(-len(rows) // per_family))] for m in members}
         for one, two in combinations(members, 2):
-            rows = (labels == one) | (labels == two)
-            w, b = _svm(x[rows], np.where(labels[rows] == one, 1, -1).astype(np.float32))
+            y = np.repeat([1, -1], [len(own[one]), len(own[two])]).astype(np.float32)
+            w, b = _svm(dense(np.concatenate([own[one], own[two]])), y)
             machines.append((group, one, two))
             weights.append(w)
             biases.append(b)
