@@ -1,12 +1,14 @@
 """Secrets in texts: candidates by pattern, false positives removed by a random forest, with DataFrame operations only.
 
-Candidates are runs of 16 or more token characters with a digit among them, and heads of private keys. The forest sees
-their length, character classes and transitions, dictionary coverage, path shape and neighbouring words; it is trained
-from labelled findings (`synthetic_findings` makes a fixed set of them, by rule).
+Candidates are whole private keys (from the BEGIN line to the END line, or to the last line of key characters), runs of
+16 or more token characters that hold a digit or a capital after the first one, with their padding, and values of 8 or
+more characters of any kind that a name like "password" is given. The forest sees their length, character classes and
+transitions, dictionary coverage, path shape and neighbouring words; it is trained from labelled findings
+(`synthetic_findings` makes a fixed set of them, by rule).
 
 find_secrets gives one row per candidate: the id, `start` and `end` in code points (end exclusive), its probability and
-the verdict. Null and empty texts have no candidates; rows that repeat an id are told apart by `row`; extra columns are
-not read. redact replaces the secrets and keeps every row.
+the verdict. Null and empty texts have no candidates; rows that repeat an id, or have none, are told apart by `row`; extra
+columns are not read. redact replaces the secrets and keeps every row, also those without an id.
 """
 
 from __future__ import annotations
@@ -17,8 +19,19 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-_TOKEN = "[A-Za-z0-9+/_=-]"
-CANDIDATE = rf"(?<!{_TOKEN})(?=[A-Za-z+/_=-]{{0,80}}[0-9]){_TOKEN}{{16,}}+|-----BEGIN [A-Z ]{{0,20}}PRIVATE KEY-----"
+from .shared import cut
+
+_TOKEN = "[A-Za-z0-9+/_-]"
+_NAMES = "secret|token|passw|pwd|api[_ -]?key|access[_ -]?key|private[_ -]?key|credential|auth|bearer"
+# A name and what stands between it and its value.
+ASSIGNED = rf"[A-Za-z0-9_.-]{{0,64}}?(?i:{_NAMES})[A-Za-z0-9_]{{0,16}}+[\"']?\s{{0,3}}+(?::=|=>|[:=])\s{{0,3}}+[\"'`]?"
+CANDIDATE = "|".join(
+    (
+        r"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----(?:[^-]*+(?:-(?!----)[^-]*+){0,40}+-----END [A-Z ]{0,40}PRIVATE KEY-----|[A-Za-z0-9+/=\s]*+)",
+        rf"(?<![A-Za-z0-9_.-]){ASSIGNED}(?!-----BEGIN)[^\s\"'`<>]{{7,}}[^\s\"'`<>.,;:!?)\]}}]",
+        rf"(?<!{_TOKEN})(?={_TOKEN}[a-z+/_-]*+[A-Z0-9]){_TOKEN}{{16,}}+={{0,2}}+",
+    )
+)
 CONTEXT = 64
 
 # Words that make a candidate readable, words before a secret, and words before what only looks like one.
@@ -65,6 +78,7 @@ def _features(value: Column, before: Column, after: Column) -> dict[str, Column]
         "all_digits": flag(value.rlike("^[0-9-]+$")),
         "uuid": flag(value.rlike("^[0-9a-fA-F]{8}-(?:[0-9a-fA-F]{4}-){3}[0-9a-fA-F]{12}$")),
         "prefix": flag(value.rlike(f"^(?:{PREFIXES})")),
+        "others": share("[^A-Za-z0-9+/_=-]"),
         "slashes": count("/").cast("double"),
         "path": flag(before.rlike(r"(?:[\\/]|\.|://\S*)$") | after.rlike(r"^(?:\.[a-z]{2,4}\b|[\\/])")),
         "assigned": flag(before.rlike(r"[:=]\s*[\"'`]?$")),
@@ -75,7 +89,7 @@ def _features(value: Column, before: Column, after: Column) -> dict[str, Column]
 
 
 FEATURES = (
-    "length", "digits", "upper", "lower", "marks", "distinct", "class_changes", "common_pairs", "covered", "repeats", "hex", "all_digits", "uuid", "prefix",
+    "length", "digits", "upper", "lower", "marks", "distinct", "class_changes", "common_pairs", "covered", "repeats", "hex", "all_digits", "uuid", "prefix", "others",
     "slashes", "path", "assigned", "quoted", "secret_word", "other_word",
 )
 
@@ -88,18 +102,28 @@ def with_features(findings: DataFrame) -> DataFrame:
 
 def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(row, id, start, end, value, before, after) of every candidate in the whole texts."""
-    hit = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), F.col(text_col).alias("text")).where(F.col("text").rlike(CANDIDATE))
-    cut_up = hit.select("row", "id", F.split("text", CANDIDATE, -1).alias("gaps"), F.regexp_extract_all("text", F.lit(CANDIDATE), F.lit(0)).alias("values"))
+    return _candidates(docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), F.col(text_col).alias("text")))
+
+
+def _candidates(rows: DataFrame) -> DataFrame:
+    """candidates() of rows(row, id, text)."""
+    hit = rows.where(F.col("text").rlike(CANDIDATE))
+    cut_up = hit.select("row", "id", F.split("text", CANDIDATE, -1).alias("gaps"), F.regexp_extract_all("text", F.lit(CANDIDATE), F.lit(0)).alias("found"))
     trimmed = F.transform("gaps", lambda g: F.struct(F.length(g).alias("gap"), F.right(g, F.lit(CONTEXT)).alias("before"), F.left(g, F.lit(CONTEXT)).alias("after")))
-    whole = cut_up.select("row", "id", "values", trimmed.alias("gaps"))
-    lined = whole.select("row", "id", F.posexplode(F.arrays_zip(F.col("values").alias("value"), F.slice("gaps", F.lit(1), F.size("values")).alias("left"), F.slice("gaps", F.lit(2), F.size("values")).alias("right"))).alias("k", "c"))
+    whole = cut_up.select("row", "id", "found", trimmed.alias("gaps"))
+    lined = whole.select("row", "id", F.posexplode(F.arrays_zip(F.col("found").alias("found"), F.slice("gaps", F.lit(1), F.size("found")).alias("left"), F.slice("gaps", F.lit(2), F.size("found")).alias("right"))).alias("k", "c"))
     line = Window.partitionBy("row").orderBy("k")
-    spans = lined.select("row", "id", "k", "c.value", F.col("c.left.before").alias("before"), F.col("c.right.after").alias("after"), F.col("c.left.gap").alias("gap"), F.length("c.value").alias("size"))
+    spans = lined.select("row", "id", "k", "c.found", F.col("c.left.before").alias("before"), F.col("c.right.after").alias("after"), F.col("c.left.gap").alias("gap"), F.length("c.found").alias("size"), F.regexp_extract("c.found", f"^{ASSIGNED}", 0).alias("name"))
     end = F.sum(F.col("gap") + F.col("size")).over(line.rowsBetween(Window.unboundedPreceding, 0))
-    return spans.withColumn("end", end).select("row", "id", (F.col("end") - F.col("size")).alias("start"), "end", "value", F.coalesce("before", F.lit("")).alias("before"), F.coalesce("after", F.lit("")).alias("after"))
+    # The name of an assigned value is no part of it, but of what stands before it.
+    skip = F.when(F.col("size") - F.length("name") >= 8, F.length("name")).otherwise(0)
+    placed = spans.withColumns({"end": end, "skip": skip})
+    before = F.right(F.concat(F.coalesce("before", F.lit("")), F.substring("found", F.lit(1), F.col("skip"))), F.lit(CONTEXT))
+    value = F.substring("found", F.col("skip") + 1, F.col("size"))
+    return placed.select("row", "id", (F.col("end") - F.col("size") + F.col("skip")).alias("start"), "end", value.alias("value"), before.alias("before"), F.coalesce("after", F.lit("")).alias("after"))
 
 
-def synthetic_findings(spark: SparkSession, n: int = 6000) -> DataFrame:
+def synthetic_findings(spark: SparkSession, n: int = 8800) -> DataFrame:
     """A fixed set of labelled findings (value, before, after, label), made by rule from hashes of the row number."""
     i = F.col("id")
     hexes = F.concat(F.sha1(F.concat(F.lit("a"), i).cast("binary")), F.sha1(F.concat(F.lit("b"), i).cast("binary")))
@@ -120,6 +144,8 @@ def synthetic_findings(spark: SparkSession, n: int = 6000) -> DataFrame:
     slug = F.concat_ws("/", word("w1"), word("w2"), F.concat(word("w3"), draw("v", 2000).cast("string")), word("w4"))
     figures = F.rpad(F.substring(F.regexp_replace(hexes, "[a-f]", ""), 1, 19), 16, "7")
     repeated = F.concat(F.repeat(F.substring(hexes, 1, 2), 10), F.lit("0"))
+    symbol = pick("sym", "!", "@", "#", "$", "%", "&", "*", "?", "^", "~")
+    pem = pick("pem", "PRIVATE KEY", "RSA PRIVATE KEY", "EC PRIVATE KEY", "OPENSSH PRIVATE KEY")
     hex_size = F.element_at(F.array(*[F.lit(x) for x in (32, 40, 40, 64)]), draw("hs", 4) + 1)
     kinds = [
         (F.substring(hexes, F.lit(1), hex_size), F.concat(key, quote), quote, 1),
@@ -136,35 +162,50 @@ def synthetic_findings(spark: SparkSession, n: int = 6000) -> DataFrame:
         (figures, F.when(draw("ctx", 4) == 0, key).otherwise(plain), pick("after", " ", ".", ","), 0),
         (repeated, F.concat(key, quote), quote, 0),
         (F.concat(F.repeat(word("w1"), 3), draw("v", 99).cast("string")), F.concat(F.when(draw("ctx", 2) == 0, key).otherwise(plain), quote), quote, 0),
+        (F.concat(F.substring(alnum, F.lit(1), draw("pw", 6) + 4), symbol, F.substring(packed, F.lit(20), draw("pw2", 8) + 4), symbol), F.concat(key, quote), quote, 1),
+        (F.concat(F.initcap(word("w1")), symbol, draw("pv", 9000).cast("string"), F.substring(alnum, 1, 3)), F.concat(key, quote), quote, 1),
+        (F.concat(F.lit("-----BEGIN "), pem, F.lit("-----\n"), F.repeat(F.concat(packed, F.lit("\n")), 3), F.lit("-----END "), pem, F.lit("-----")), F.concat(plain, F.lit("\n")), F.lit("\n"), 1),
+        (F.concat(word("w1"), pick("join", "", ".", "-", "_", "/"), word("w2")), F.concat(key, quote), quote, 0),
+        (F.concat(pick("get", "get", "os.", "self.", "config.", "$", "${"), F.initcap(word("w1")), pick("call", "(", "_", "."), F.upper(word("w2"))), F.concat(key, quote), quote, 0),
+        (F.concat(word("w1"), F.initcap(word("w2")), F.initcap(word("w3")), F.initcap(word("w4"))), F.concat(F.when(draw("ctx", 2) == 0, key).otherwise(plain), quote), quote, 0),
+        (F.concat(F.upper(word("w1")), F.lit("_"), F.upper(word("w2")), F.lit("_"), F.upper(word("w3"))), F.concat(plain, quote), pick("eq", "=", " = ", ": ", " "), 0),
+        (F.concat(F.lit("https://"), word("w1"), F.lit("."), word("w2"), F.lit("/"), word("w3")), F.concat(key, quote), quote, 0),
     ]
     kind = F.pmod(i, F.lit(len(kinds)))
-    choose = lambda k: F.coalesce(*[F.when(kind == n, F.struct(v.alias("value"), b.alias("before"), a.alias("after"), F.lit(float(y)).alias("label"))) for n, (v, b, a, y) in enumerate(kinds)])[k]
-    return spark.range(0, n, 1, 4).select(*[choose(k).alias(k) for k in ("value", "before", "after", "label")]).where(F.length("value") >= 16)
+    made = F.coalesce(*[F.when(kind == n, F.struct(v.alias("value"), b.alias("before"), a.alias("after"), F.lit(float(y)).alias("label"))) for n, (v, b, a, y) in enumerate(kinds)])
+    # Exploded, so that the choice is made once a row and not once a column.
+    return spark.range(0, n, 1, 2).select(F.explode(F.array(made)).alias("f")).select("f.*")
 
 
 def train(findings: DataFrame, trees: int = 24, depth: int = 7, seed: int = 7) -> RandomForestClassificationModel:
-    """A forest from labelled findings (value, before, after, label)."""
-    return RandomForestClassifier(numTrees=trees, maxDepth=depth, seed=seed, featureSubsetStrategy="sqrt", minInstancesPerNode=3).fit(with_features(findings).select("features", "label"))
+    """A forest from labelled findings (value, before, after, label). Their features are written once, since a fit reads them often."""
+    ready = cut(with_features(findings).select("features", "label"), "findings")
+    return RandomForestClassifier(numTrees=trees, maxDepth=depth, seed=seed, featureSubsetStrategy="sqrt", minInstancesPerNode=3).fit(ready)
 
 
 def find_secrets(docs: DataFrame, model: RandomForestClassificationModel, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.5) -> DataFrame:
     """(row, id_col, start, end, value, probability, is_secret) of every candidate."""
-    judged = model.transform(with_features(candidates(docs, id_col, text_col)))
+    return _judged(candidates(docs, id_col, text_col), model, threshold).withColumnRenamed("id", id_col)
+
+
+def _judged(found: DataFrame, model: RandomForestClassificationModel, threshold: float) -> DataFrame:
     chance = vector_to_array("probability")[1]
-    return judged.select("row", F.col("id").alias(id_col), "start", "end", "value", chance.alias("probability"), (chance >= threshold).alias("is_secret"))
+    return model.transform(with_features(found)).select("row", "id", "start", "end", "value", chance.alias("probability"), (chance >= threshold).alias("is_secret"))
 
 
-def redact(docs: DataFrame, model: RandomForestClassificationModel, id_col: str = "doc_id", text_col: str = "text", mark: str = "[SECRET]") -> DataFrame:
-    """docs with every secret replaced by the mark; all rows and columns stay. An id that is repeated with different texts
-    has each span looked up by its value, so that a span of one text never cuts into another."""
-    spans = find_secrets(docs, model, id_col, text_col).where("is_secret").select(F.col(id_col).alias("__id"), "start", "end", F.xxhash64("value").alias("told"))
-    spans = spans.distinct().groupBy("__id").agg(F.sort_array(F.collect_list(F.struct("start", "end", "told"))).alias("__spans"))
+def redact(docs: DataFrame, model: RandomForestClassificationModel, id_col: str = "doc_id", text_col: str = "text", mark: str = "[SECRET]", threshold: float = 0.5) -> DataFrame:
+    """docs with every secret replaced by the mark; all rows and columns stay. Only rows with a candidate are numbered,
+    written and joined with their spans, by their number: ids may be null or repeated. The others pass through."""
     text = F.col(f"`{text_col}`")
-    joined = docs.join(spans, F.col(f"`{id_col}`") == F.col("__id"), "left")
-    own = F.filter("__spans", lambda s: F.xxhash64(F.substring(text, (s["start"] + 1).cast("int"), (s["end"] - s["start"]).cast("int"))) == s["told"])
-    joined = joined.withColumn("__own", F.when(F.col("__spans").isNotNull(), own))
-    begins = F.concat(F.array(F.lit(0).cast("long")), F.transform("__own", lambda s: s["end"]))
-    ends = F.concat(F.transform("__own", lambda s: s["start"]), F.array(F.length(text).cast("long")))
-    parts = F.zip_with(begins, ends, lambda a, b: F.substring(text, (a + 1).cast("int"), (b - a).cast("int")))
-    made = F.when(F.size("__own") > 0, F.concat_ws(mark, parts)).otherwise(text)
-    return joined.withColumn(text_col, made).select(*[F.col(f"`{c}`") for c in docs.columns])
+    asked = F.coalesce(text.rlike(CANDIDATE), F.lit(False))
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    hit = cut(docs.where(asked).select(F.monotonically_increasing_id().alias("row"), text.alias("text"), whole.alias("whole")), "candidates")
+    spans = _judged(_candidates(hit.select("row", F.lit(None).alias("id"), "text")), model, threshold).where("is_secret")
+    spans = spans.groupBy("row").agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("spans"))
+    begins = F.concat(F.array(F.lit(0).cast("long")), F.transform("spans", lambda s: s["end"]))
+    ends = F.concat(F.transform("spans", lambda s: s["start"]), F.array(F.length("text").cast("long")))
+    parts = F.zip_with(begins, ends, lambda a, b: F.substring("text", (a + 1).cast("int"), (b - a).cast("int")))
+    made = F.when(F.size("spans") > 0, F.concat_ws(mark, parts)).otherwise(F.col("text"))
+    joined = hit.join(spans, "row", "left").select(made.alias("made"), "whole")
+    changed = joined.select(*[(F.col("made") if c == text_col else F.col(f"whole.`{c}`")).alias(c) for c in docs.columns])
+    return changed.unionByName(docs.where(~asked))
