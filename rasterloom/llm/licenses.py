@@ -2,14 +2,16 @@
 
 Candidate blocks are lines that hold a licensing word, with the lines between two of them less than `REACH` apart. A
 block is judged alone and with the lines around it, as many words as the longest template has on either side, and the
-longer notice counts. Each block is
-compressed with every template as a zstandard raw dictionary; templates are ranked by how much that saves over no
-dictionary, and the first is taken whose wording agrees: every required word is there exactly, and at most `slack` of the
-template's words differ. The differences are reported word by word.
+longer notice counts. A block of many words is judged in windows that overlap by more than the longest template, so that
+every notice lies whole in one of them. Each piece is compressed with every template as a zstandard raw dictionary;
+templates are ranked by how much that saves over no dictionary, and the first is taken whose wording agrees: every
+required word is there exactly, and at most `slack` of the template's words differ. The differences are reported word by
+word. SPDX tags go the same way, each identifier of an expression on a line of its own, against templates of tags.
 
 What is left of a block before and after a notice is judged in turn, and every SPDX tag counts. One row per notice, or
-per block without one; `license` is null where no template agrees. Null and empty texts have no blocks. Equal savings go to
-the first template by name. Offsets are code points, ends exclusive. Repeated rows and null ids pass through.
+per block without one; `license` is null where no template agrees, which holds for unknown identifiers too. Null and empty
+texts have no blocks. Equal savings go to the first template by name. Offsets are code points, ends exclusive. Repeated
+rows and null ids pass through. No rows give no rows.
 """
 
 from __future__ import annotations
@@ -26,7 +28,6 @@ from pyspark.sql import functions as F
 
 SCHEMA = "id long, start long, end long, license string, saving double, differences string"
 REACH = 3
-MOST_WORDS = 1200
 
 # Notices of public licenses, and the words that tell one from another.
 TEMPLATES: dict[str, tuple[str, str]] = {
@@ -41,22 +42,43 @@ TEMPLATES: dict[str, tuple[str, str]] = {
     "CC-BY-NC-4.0": ("Licensed under CC BY-NC 4.0.", "cc by-nc 4.0"),
     "CC-BY-NC-4.0-long": ("This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.", "creative commons attribution-noncommercial 4.0"),
     "CC-BY-SA-4.0": ("Licensed under CC BY-SA 4.0.", "cc by-sa 4.0"),
+    "CC-BY-SA-4.0-long": ("This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.", "creative commons attribution-sharealike 4.0"),
+    "CC-BY-ND-4.0": ("Licensed under CC BY-ND 4.0.", "cc by-nd 4.0"),
+    "CC-BY-ND-4.0-long": ("This work is licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License.", "creative commons attribution-noderivatives 4.0"),
+    "CC-BY-NC-SA-4.0": ("Licensed under CC BY-NC-SA 4.0.", "cc by-nc-sa 4.0"),
+    "CC-BY-NC-SA-4.0-long": ("This work is licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License.", "creative commons attribution-noncommercial-sharealike 4.0"),
+    "CC-BY-NC-ND-4.0": ("Licensed under CC BY-NC-ND 4.0.", "cc by-nc-nd 4.0"),
+    "CC-BY-NC-ND-4.0-long": ("This work is licensed under a Creative Commons Attribution-NonCommercial-NoDerivatives 4.0 International License.", "creative commons attribution-noncommercial-noderivatives 4.0"),
     "CC0-1.0": ("To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work under CC0 1.0 Universal.", "cc0 1.0"),
+    "EPL-2.0": ("This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at https://www.eclipse.org/legal/epl-2.0/", "eclipse public 2.0"),
+    "BSL-1.0": ("Distributed under the Boost Software License, Version 1.0.", "boost software 1.0"),
     "GPL-2.0": ("This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version.", "gnu general public 2"),
     "GPL-2.0-line": ("This work is licensed under the GNU General Public License, version 2.", "gnu general public 2"),
     "GPL-3.0": ("This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.", "gnu general public 3"),
     "GPL-3.0-line": ("This work is licensed under the GNU General Public License, version 3.", "gnu general public 3"),
     "ISC": ("Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.", "permission fee appear"),
+    "LGPL-2.1": ("This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version.", "lesser 2.1"),
     "LGPL-3.0": ("This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 3 of the License, or (at your option) any later version.", "lesser 3"),
     "MIT": ("Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.", "permission charge sublicense"),
     "MIT-line": ("Released under the MIT License.", "mit"),
     "MPL-2.0": ("This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/.", "mozilla 2.0"),
+    "Zlib": ("This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software. Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions:", "as-is alter freely"),
     "Unlicense": ("This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software.", "unencumbered domain"),
 }
 
+# Identifiers of the public list that tags may name.
+IDENTIFIERS = (
+    "0BSD AGPL-3.0 AGPL-3.0-only AGPL-3.0-or-later Apache-1.1 Apache-2.0 Artistic-2.0 BSD-2-Clause BSD-3-Clause BSL-1.0 CC-BY-3.0 CC-BY-4.0 CC-BY-NC-4.0 "
+    "CC-BY-NC-ND-4.0 CC-BY-NC-SA-4.0 CC-BY-ND-4.0 CC-BY-SA-3.0 CC-BY-SA-4.0 CC0-1.0 EPL-1.0 EPL-2.0 EUPL-1.2 GPL-2.0 GPL-2.0-only GPL-2.0-or-later GPL-2.0+ "
+    "GPL-3.0 GPL-3.0-only GPL-3.0-or-later GPL-3.0+ ISC LGPL-2.1 LGPL-2.1-only LGPL-2.1-or-later LGPL-2.1+ LGPL-3.0 LGPL-3.0-only LGPL-3.0-or-later LGPL-3.0+ "
+    "MIT MIT-0 MPL-1.1 MPL-2.0 MS-PL NCSA OFL-1.1 PostgreSQL Python-2.0 Unlicense Vim WTFPL X11 Zlib"
+).split()
+TAG = "SPDX-License-Identifier: "
+TAGS = {name: (TAG + name, f"{TAG[:-2]} {name}".lower()) for name in IDENTIFIERS}
+
 ANCHOR = r"(?i)licen[sc]e|copyright|redistribut|permission is hereby|permission to use|creative commons|\bCC[ -]?BY\b|\bCC0\b|public domain|SPDX|\bGPL\b|free software"
 _ANCHOR = re.compile(ANCHOR)
-_WORD = re.compile(r"[^\W_]+(?:[.-][^\W_]+)*")
+_WORD = re.compile(r"[^\W_]+(?:[.-][^\W_]+)*\+?")
 _SPDX = re.compile(r"SPDX-License-Identifier:[ \t]*(\(*[A-Za-z0-9.+-]+\)*(?:[ \t]+(?:AND|OR|WITH)[ \t]+\(*[A-Za-z0-9.+-]+\)*)*)", re.IGNORECASE)
 _EXCEPTION = re.compile(r"\s+WITH\s+\S+|\s+(?:AND|OR)\s+|[()\s]+", re.IGNORECASE)
 
@@ -67,16 +89,14 @@ def words(text: str) -> list[str]:
 
 def blocks(text: str) -> Iterator[tuple[int, int]]:
     """Spans of lines with a licensing word; lines between two of them at most REACH apart belong to the block."""
-    at, start, end, gap, count = 0, -1, -1, 0, 0
+    at, start, end, gap = 0, -1, -1, 0
     for line in text.split("\n"):
         if _ANCHOR.search(line):
-            joined = start >= 0 and gap < REACH and count + len(line.split()) <= MOST_WORDS
-            if start >= 0 and not joined:
+            if start >= 0 and gap >= REACH:
                 yield start, end
-            if not joined:
-                start, count = at, 0
+                start = -1
+            start = at if start < 0 else start
             end, gap = at + len(line), 0
-            count += len(line.split())
         else:
             gap += 1
         at += len(line) + 1
@@ -84,6 +104,17 @@ def blocks(text: str) -> Iterator[tuple[int, int]]:
         yield start, end
 
 
+def windows(text: str, size: int) -> Iterator[tuple[int, int]]:
+    """Spans of 2 * size words that overlap by size words; the whole text if it has no more."""
+    places = [m.span() for m in _WORD.finditer(text)]
+    if len(places) <= 2 * size:
+        yield 0, len(text)
+        return
+    for at in range(0, len(places) - size, size):
+        last = at + 2 * size
+        yield (places[at][0] if at else 0), (places[last - 1][1] if last < len(places) else len(text))
+
+
 def around(text: str, start: int, end: int, most: int) -> tuple[int, int]:
     """The span with whole lines before and after it, up to `most` words on either side."""
     left = most
@@ -119,46 +150,60 @@ def _differences(template: list[str], block: list[str]) -> tuple[int, list[str],
     return count, changes, same[0][0] if same else 0, same[-1][1] if same else 0
 
 
+Notice = tuple[int, int, str, float, str, int]
+
+
 class Matcher:
     """Compressors of all templates, ready to judge blocks."""
 
     def __init__(self, templates: dict[str, tuple[str, str]], slack: float) -> None:
         self.slack = slack
         self.plain = zstandard.ZstdCompressor(level=3, write_content_size=False)
-        self.own = {}
-        for name, (text, needed) in sorted(templates.items()):
-            raw = zstandard.ZstdCompressionDict(text.encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-            self.own[name] = (zstandard.ZstdCompressor(level=3, dict_data=raw, write_content_size=False), words(text), needed.split())
-
+        self.own, self.tags = ({name: self._ready(*template) for name, template in sorted(some.items())} for some in (templates, TAGS))
         self.longest = max((len(t) for _, t, _ in self.own.values()), default=0)
+        self.window = max(1, int(self.longest * (1 + 2 * slack)))
+        self._named = lru_cache(4096)(lambda name: self._best(TAG + name, self.tags)[0])
 
-    def judge(self, block: str) -> tuple[list[tuple[int, int, str, float, str, int]], float]:
+    @staticmethod
+    def _ready(text: str, needed: str) -> tuple[zstandard.ZstdCompressor, list[str], set[str]]:
+        raw = zstandard.ZstdCompressionDict(text.encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+        return zstandard.ZstdCompressor(level=3, dict_data=raw, write_content_size=False), words(text), set(needed.split())
+
+    def judge(self, block: str) -> tuple[list[Notice], float]:
         """Every notice as (start, end, license, saving, differences, how many), in order, and the best saving."""
-        found, best, todo = [], 0.0, []
-        at = 0
+        found, best = [], 0.0
+        spans, at = [], 0
         for tag in _SPDX.finditer(block):
-            found += [(tag.start(), tag.end(), name, 1.0, "", 0) for name in dict.fromkeys(_EXCEPTION.sub(" ", tag[1]).split())]
-            todo.append((at, tag.start()))
+            named = [self._named(name) for name in dict.fromkeys(_EXCEPTION.sub(" ", tag[1]).split())]
+            found += [(tag.start(), tag.end(), *won[2:]) for won in named if won]
+            spans.append((at, tag.start()))
             at = tag.end()
-        todo.append((at, len(block)))
+        spans.append((at, len(block)))
         tagged = {x[2] for x in found}
-        while todo:
-            a, b = todo.pop()
-            if (a, b) != (0, len(block)) and not _ANCHOR.search(block, a, b):
-                continue
-            won, saving = self._best(block[a:b])
-            best = max(best, saving)
-            if won:
-                start, end, *rest = won
-                if rest[0] not in tagged:
-                    found.append((a + start, a + end, *rest))
-                todo += [(a, a + start), (a + end, b)]
+        wordings: list[Notice] = []
+        for low, high in spans:
+            for first, last in windows(block[low:high], self.window):
+                todo = [(low + first, low + last)]
+                while todo:
+                    a, b = todo.pop()
+                    if (a, b) != (0, len(block)) and not _ANCHOR.search(block, a, b):
+                        continue
+                    won, saving = self._best(block[a:b], self.own)
+                    best = max(best, saving)
+                    if won:
+                        start, end, *rest = won
+                        wordings.append((a + start, a + end, *rest))
+                        todo += [(a, a + start), (a + end, b)]
+        # Windows overlap: of notices that meet, the longer one, then the one with fewer differences, was seen whole.
+        for x in sorted(set(wordings), key=lambda x: (x[0] - x[1], x[5], x[0], x[2])):
+            if x[2] not in tagged and not any(y[0] < x[1] and y[1] > x[0] for y in found):
+                found.append(x)
         return sorted(found), best
 
-    def _best(self, block: str) -> tuple[tuple[int, int, str, float, str, int] | None, float]:
+    def _best(self, block: str, templates: dict) -> tuple[Notice | None, float]:
         data = block.encode()
         bare = len(self.plain.compress(data))
-        ranked = sorted(((bare - len(packer.compress(data))) / bare, name) for name, (packer, _, _) in self.own.items())
+        ranked = sorted(((bare - len(packer.compress(data))) / bare, name) for name, (packer, _, _) in templates.items())
         ranked.sort(key=lambda x: (-x[0], x[1]))
         places = [m.span() for m in _WORD.finditer(block)]
         told = words(block)
@@ -166,8 +211,8 @@ class Matcher:
         for saving, name in ranked:
             if saving <= 0.05:
                 break
-            _, template, needed = self.own[name]
-            if not have.issuperset(needed) and not all(any(w.startswith(n) for w in have) for n in needed):
+            _, template, needed = templates[name]
+            if not have >= needed:
                 continue
             count, changes, first, last = _differences(template, told)
             if last > first and count <= self.slack * len(template):
