@@ -42,12 +42,12 @@ class Rule:
 #: The production threshold table.
 RULES = (
     Rule("symbols_to_words", "n_symbols", "n_words", 0.1),
-    Rule("word_length_high", "word_chars", "n_words", 40.0),
-    Rule("word_length_low", "word_chars", "n_words", 1.2, least=True),
-    Rule("duplicate_lines", "n_dup_lines", "n_lines", 0.5, applies="n_lines", applies_from=10),
-    Rule("stop_words", "n_stop_words", "n_words", 0.001, least=True, applies_from=2000),
-    Rule("bullet_lines", "n_bullet_lines", "n_lines", 0.9, applies="n_lines", applies_from=20),
-    Rule("ellipsis_lines", "n_ellipsis_lines", "n_lines", 0.5, applies="n_lines", applies_from=20),
+    Rule("word_length_high", "word_chars", "n_words", 15.0),
+    Rule("word_length_low", "word_chars", "n_words", 2.0, least=True),
+    Rule("duplicate_lines", "n_dup_lines", "n_lines", 0.4, applies="n_lines", applies_from=8),
+    Rule("stop_words", "n_stop_words", "n_words", 0.02, least=True, applies_from=256),
+    Rule("bullet_lines", "n_bullet_lines", "n_lines", 0.9, applies="n_lines", applies_from=10),
+    Rule("ellipsis_lines", "n_ellipsis_lines", "n_lines", 0.3, applies="n_lines", applies_from=10),
 )
 
 WINDOW = 8
