@@ -9,13 +9,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import langid, licenses, minhash, mixing, nndescent, pii, quality, secrets, sentencepieces, warc
+from .oracles import ORACLE_SQL as ORACLE_SQL
 from .shared import cut, scratch_path, table
 
 #: Where the tokenizer's files are.
 TOKENIZER = os.environ.get("TOKENIZER_MODEL", "/opt/tokenizers/piece_bpe_32k.model")
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
 
 
 def query(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
@@ -61,16 +61,6 @@ def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
-ORACLE_SQL["op2_warc"] = """
-WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS body, sha256(coalesce(html, '')) AS digest FROM pages),
-f AS (SELECT digest, min(page_id) AS first FROM p WHERE octet_length(body) >= 100 GROUP BY digest)
-SELECT page_id, CAST(octet_length(body) AS BIGINT) AS payload_bytes, p.digest AS payload_digest,
-  CASE WHEN first IS NULL OR first = page_id THEN 'response' ELSE 'revisit' END AS record_type,
-  CASE WHEN first <> page_id THEN first END AS refers_to
-FROM p LEFT JOIN f ON p.digest = f.digest
-"""
-
-
 @query
 def op6_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nndescent.near_vectors(table(spark, sf_dir, "embeddings"))
@@ -91,3 +81,15 @@ def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepieces.encode(table(spark, sf_dir, "documents"), TOKENIZER)
+
+
+@query
+def pii_base_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What SQL can express of op1."""
+    return op1_pii(spark, sf_dir).select("doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256")
+
+
+@query
+def mixing_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What SQL can express of op3."""
+    return op3_source_mixing(spark, sf_dir).select("doc_id", "size", "source_size", "target")
