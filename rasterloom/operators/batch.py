@@ -37,36 +37,91 @@ def summary(results: DataFrame, name: str = "name", error: str = "error", order:
     return counts.join(F.broadcast(firsts), F.lit(True)).select("n", "failed", F.concat(names, more).alias("failures"))
 
 
-#: Name rules by system: characters kept (a negated class), length, and the name if nothing is left.
+#: Name rules by system: characters dropped (a negated class), and the length.
 NAME_RULES = {
-    "cbm": ("[^A-Z0-9 .-]", 16, "FILE"),
-    "atari": ("[^A-Z0-9]", 8, "FILE"),
-    "fat": ("[^A-Z0-9_-]", 8, "FILE"),
-    "cpc": ("[^A-Z0-9]", 8, "FILE"),
-    "bbc": ("[^A-Z0-9]", 7, "FILE"),
-    "trd": ("[^A-Z0-9]", 8, "FILE"),
-    "coco": ("[^A-Z0-9]", 8, "FILE"),
-    "amiga": ("[:/]", 30, "FILE"),
+    "cbm": ("[^A-Z0-9 _-]", 16),
+    "atari": ("[^A-Z0-9]", 8),
+    "fat": ("[^A-Z0-9_~-]", 8),
+    "msx": ("[^A-Z0-9_]", 8),
+    "st": ("[^A-Z0-9_-]", 8),
+    "cpc": ("[^A-Z0-9]", 8),
+    "bbc": ("[^A-Z0-9]", 7),
+    "trd": ("[^A-Z0-9]", 8),
+    "coco": ("[^A-Z0-9]", 8),
+    "amiga": ("[:/]", 30),
 }
 
 
 def clean_name(name: Column, system: str) -> Column:
-    """Upper case (not on the Amiga), unwanted characters dropped, cut to length, trailing blanks off."""
-    drop, length, empty = NAME_RULES[system]
-    folded = name if system == "amiga" else F.upper(name)
-    kept = F.rtrim(F.substring(F.regexp_replace(folded, drop, ""), 1, length))
-    return F.when(F.length(kept) > 0, kept).otherwise(empty)
+    """The name as a directory holds it: upper case, without its extension, unwanted characters dropped, cut to length.
+
+    The Amiga keeps case and full stops, and of a path only what follows the last slash. On BBC disks a first letter with a
+    full stop after it names the directory and is no part of the name. What is left may be empty; a null name is FILE.
+    """
+    drop, length = NAME_RULES[system]
+    if system == "amiga":
+        folded = F.regexp_replace(name, r"^[\s\S]*/", "")
+    else:
+        folded = base_name(F.upper(name))
+        if system == "bbc":
+            folded = F.when((F.length(folded) > 2) & (F.substring(folded, 2, 1) == "."), F.substring(folded, F.lit(3), F.length(folded))).otherwise(folded)
+    return F.coalesce(F.substring(F.regexp_replace(folded, drop, ""), 1, length), F.lit("FILE"))
+
+
+def clean_extension(name: Column, length: int = 3) -> Column:
+    """Letters and digits after the last full stop, in upper case; empty without one."""
+    return F.when(F.instr(name, ".") > 0, F.substring(F.regexp_replace(F.regexp_extract(F.upper(name), r"\.([^.]*)$", 1), "[^A-Z0-9]", ""), 1, length)).otherwise("")
 
 
 def clean_prodos(name: Column) -> Column:
-    """Letters, digits and full stops, the first a letter (else A in front), at most 15."""
-    kept = F.regexp_replace(F.upper(name), "[^A-Z0-9.]", "")
-    return F.substring(F.when(kept.rlike("^[A-Z]"), kept).otherwise(F.concat(F.lit("A"), kept)), 1, 15)
+    """Letters, digits and full stops, the first a letter (else A in front), at most 15; UNNAMED if nothing is left."""
+    kept = F.substring(F.regexp_replace(F.upper(F.coalesce(name, F.lit(""))), r"[^\p{L}\p{M}\p{N}.]", ""), 1, 15)
+    return F.when(F.length(kept) == 0, "UNNAMED").otherwise(F.substring(F.when(kept.rlike(r"^\p{L}"), kept).otherwise(F.concat(F.lit("A"), kept)), 1, 15))
+
+
+#: ProDOS types by extension, as type, auxiliary type and the extension on the disk; others are BIN.
+PRODOS_TYPES = {"SHR": (0xC1, 0x0000, "PIC"), "A2GS": (0xC1, 0x0000, "PIC"), "3200": (0xC1, 0x0002, "PIC"), "BIN": (0x06, 0x2000, "BIN")}
+
+
+def prodos_type(extension: Column) -> Column:
+    """(type, aux, extension) of a file by its extension, in any case."""
+    kind = lambda t: F.struct(F.lit(t[0]).cast("long").alias("type"), F.lit(t[1]).cast("long").alias("aux"), F.lit(t[2]).alias("extension"))
+    table = F.create_map(*[x for k, t in PRODOS_TYPES.items() for x in (F.lit(k), kind(t))])
+    return F.coalesce(F.element_at(table, F.upper(extension)), kind(PRODOS_TYPES["BIN"]))
+
+
+def cbm_bytes(name: Column, length: int = 16) -> Column:
+    """A name as CBM disks hold it, in hex: small letters become capitals, padded with shifted spaces."""
+    return F.rpad(F.hex(F.encode(F.translate(F.substring(name, 1, length), "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"), "ISO-8859-1")), 2 * length, "A0")
+
+
+def prodos_date(when: Column) -> Column:
+    """A date as ProDOS packs it: seven bits of year, four of month, five of day."""
+    return ((F.year(when) % 100) * 512 + F.month(when) * 32 + F.day(when)).cast("long")
+
+
+def amiga_days(when: Column) -> Column:
+    """Days since the first of January 1978."""
+    return F.datediff(when, F.lit("1978-01-01").cast("date")).cast("long")
+
+
+def available(rows: DataFrame, options: dict[str, list[str]], system: str, option: str, out: str = "option") -> DataFrame:
+    """`out`: the chosen option where its system has it, else the system's first; options is a table of a few rows."""
+    table = F.create_map(*[x for k, v in options.items() for x in (F.lit(k), F.array(*[F.lit(o) for o in v]))])
+    own = F.element_at(table, F.col(system))
+    return rows.withColumn(out, F.when(F.array_contains(own, F.col(option)), F.col(option)).otherwise(F.element_at(own, 1)))
+
+
+def assets(results: DataFrame, name: str, parts: str) -> DataFrame:
+    """One row for each asset of each result, named after it, with a number where there is more than one."""
+    spread = results.withColumn("__n", F.size(parts)).select("*", F.posexplode(parts).alias("__at", "asset"))
+    told = F.when(F.col("__n") > 1, F.concat(F.col(name), F.lit("_"), F.col("__at") + 1)).otherwise(F.col(name))
+    return spread.withColumn("asset_name", told).drop("__n", "__at", parts)
 
 
 def base_name(name: Column) -> Column:
     """The name up to its last full stop; a name without one stays whole."""
-    return F.when(F.instr(name, ".") > 0, F.regexp_replace(name, r"\.[^.]*$", "")).otherwise(name)
+    return F.when(F.instr(name, ".") > 0, F.regexp_replace(name, r"\.[^.]*\z", "")).otherwise(name)
 
 
 def unique_names(rows: DataFrame, name: str, order: str, keys: tuple[str, ...] = (), separator: str = "_") -> DataFrame:

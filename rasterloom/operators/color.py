@@ -6,6 +6,8 @@ Ties in a match go to the lowest palette index.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -20,19 +22,52 @@ def palette_array(palette: list[Colour]) -> Column:
     return F.array(*[F.struct(F.lit(i).cast("long").alias("i"), F.lit(r).cast("long").alias("pr"), F.lit(g).cast("long").alias("pg"), F.lit(b).cast("long").alias("pb")) for i, (r, g, b) in enumerate(palette)])
 
 
+def _cube_levels(palette: list[Colour]) -> tuple[list[int], list[int], list[int]] | None:
+    """The levels of each channel if the palette is all their combinations, red outermost and blue innermost, else None."""
+    levels = tuple([v for k, v in enumerate(c) if v not in c[:k]] for c in zip(*palette, strict=True))
+    made = [(r, g, b) for r in levels[0] for g in levels[1] for b in levels[2]]
+    return levels if list(palette) == made else None
+
+
+#: What a metric needs of a pixel and of an entry alone.
+FEATURES = {"h": hue, "s": saturation, "l": lightness, "y": luma}
+
+
 def nearest(pixels: DataFrame, palette: list[Colour], metric: str = "euclid", out: str = "idx", memo: bool = False) -> DataFrame:
-    """The index of the nearest palette entry for each pixel: an arg-min over a constant array, so no join and no shuffle.
+    """The index of the nearest palette entry for each pixel: an arg-min over constants, so no join and no shuffle.
 
-    memo: match each distinct colour once and join it back, for large palettes and few colours (one shuffle of colours).
+    What the metric needs of a pixel alone is computed once a pixel, and of an entry once in all. In a palette that is a cube
+    the nearest level of each channel makes the nearest entry. memo: match each distinct colour once and join it back, for
+    large palettes and few colours (one shuffle of colours).
     """
     if memo:
         colours = nearest(pixels.select(*CHANNELS).distinct(), palette, metric, out)
         return pixels.join(colours, list(CHANNELS))
-    text = METRICS[metric]
-    for c in ("pr", "pg", "pb"):
-        text = text.replace(c, f"p.{c}")
-    best = F.expr(f"array_min(transform(__palette, p -> named_struct('d', cast({text} as double), 'i', p.i))).i")
-    return pixels.withColumn("__palette", palette_array(palette)).withColumn(out, best).drop("__palette")
+    levels = _cube_levels(palette) if metric == "euclid" and len(palette) > 8 else None
+    if levels:
+        best = [F.least(*[F.struct(((F.col(c) - v) * (F.col(c) - v)).alias("d"), F.lit(i).cast("long").alias("i")) for i, v in enumerate(own)])["i"] if len(own) > 1 else F.lit(0).cast("long") for c, own in zip(CHANNELS, levels, strict=True)]
+        return pixels.withColumn(out, (best[0] * len(levels[1]) + best[1]) * len(levels[2]) + best[2])
+    text, made = METRICS[metric], {}
+    for name, feature in FEATURES.items():
+        if feature("r", "g", "b") in text:
+            made[f"__{name}"] = F.expr(feature("r", "g", "b"))
+            text = text.replace(feature("r", "g", "b"), f"__{name}").replace(feature("pr", "pg", "pb"), f"p{name}")
+    entries = []
+    for i, (r, g, b) in enumerate(palette):
+        names = {"pr": f"{r}L", "pg": f"{g}L", "pb": f"{b}L"} | {f"p{name}": "(" + FEATURES[name](f"{r}L", f"{g}L", f"{b}L") + ")" for name in FEATURES if f"__{name}" in made}
+        entries.append((i, re.sub(r"\bp[rgbhsly]\b", lambda m, n=names: n[m[0]], text)))
+    if len(palette) <= UNROLLED:
+        best = F.least(*[F.struct(F.expr(f"cast({d} as double)").alias("d"), F.lit(i).cast("long").alias("i")) for i, d in entries])["i"] if len(entries) > 1 else F.lit(0).cast("long")
+        return pixels.withColumns(made).withColumn(out, best).drop(*made) if made else pixels.withColumn(out, best)
+    fields = ["'i', {i}L", "'pr', {r}L", "'pg', {g}L", "'pb', {b}L"] + [f"'p{name}', {{p{name}}}" for name in FEATURES if f"__{name}" in made]
+    table = "array(" + ", ".join("named_struct(" + ", ".join(fields).format(i=i, r=r, g=g, b=b, **{f"p{name}": f(f"{r}L", f"{g}L", f"{b}L") for name, f in FEATURES.items()}) + ")" for i, (r, g, b) in enumerate(palette)) + ")"
+    told = re.sub(r"\b(p[rgbhsly])\b", r"p.\1", text)
+    best = F.expr(f"array_min(transform({table}, p -> named_struct('d', cast({told} as double), 'i', p.i))).i")
+    return (pixels.withColumns(made) if made else pixels).withColumn(out, best).drop(*made)
+
+
+#: Palettes of so many entries are matched by expressions of their own, others by one over an array.
+UNROLLED = 16
 
 
 def saturate(pixels: DataFrame, amount: float, clamp: bool = True) -> DataFrame:
@@ -92,7 +127,29 @@ def bayer(size: int) -> list[list[int]]:
     return [[4 * half[y % n][x % n] + ((0, 2), (3, 1))[y // n][x // n] for x in range(size)] for y in range(size)]
 
 
-def ordered_dither(pixels: DataFrame, size: int, strength: float = 64.0, matrix: list[list[int]] | None = None) -> DataFrame:
+def nested(inner: list[list[int]], offsets: tuple[int, int, int, int]) -> list[list[int]]:
+    """A matrix of twice the size: four times the inner one, plus an offset for each quarter, row by row."""
+    n = len(inner)
+    return [[4 * inner[y % n][x % n] + offsets[2 * (y // n) + x // n] for x in range(2 * n)] for y in range(2 * n)]
+
+
+def tiled_squares(inner: list[list[int]]) -> list[list[int]]:
+    """A matrix of the squared size: the inner one over and over, times its number of cells, plus itself writ large."""
+    n = len(inner)
+    return [[inner[y % n][x % n] * n * n + inner[y // n][x // n] for x in range(n * n)] for y in range(n * n)]
+
+
+#: The ordered matrices of 16 by 16 cells in use, by name.
+MATRICES_16 = {"recursive": bayer(16), "nested": nested(bayer(8), (0, 128, 192, 64)), "squares": tiled_squares(bayer(4))}
+
+
+def golden_matrix(size: int) -> list[list[float]]:
+    """Noise without low frequencies, near enough: a linear hash of the place moved on by the golden ratio."""
+    # The multipliers of x and y, and the fraction of the golden ratio.
+    return [[(((x * 12345 + y * 67890) & 0xFFFF) / 65536 + 0.618033988749895) % 1.0 * size * size for x in range(size)] for y in range(size)]
+
+
+def ordered_dither(pixels: DataFrame, size: int, strength: float = 64.0, matrix: list[list[float]] | None = None) -> DataFrame:
     """c + (m/n^2 - 0.5) * strength, clamped to 0..255; the matrix is a constant array."""
     cells = [v for row in (matrix or bayer(size)) for v in row]
     place = F.expr(f"cast((y % {size}) * {size} + (x % {size}) as int) + 1")

@@ -6,6 +6,10 @@ and columns of an image, so one large image spreads over many tasks.
 
 from __future__ import annotations
 
+from functools import partial
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -88,6 +92,78 @@ def local_rank(pixels: DataFrame, reach: int, value: str = "bin", keys: tuple[st
     return counts.select(*keys, "y", "x", value, F.expr("below * 255 div size").alias("new"))
 
 
+LUMA = "(0.299e0*r + 0.587e0*g + 0.114e0*b)"
+
+
+def _scaled(pixels: DataFrame, new: str, dark: bool = False) -> DataFrame:
+    """Channels times new/old luma, clamped; a pixel of hardly any luma stays, or becomes the new grey where `dark`."""
+    scale = {c: F.least(F.greatest(F.expr(f"{c} * ({new} / {LUMA})"), F.lit(0.0)), F.lit(255.0)) for c in "rgb"}
+    return pixels.withColumns({c: F.when(F.expr(f"{LUMA} > 0.001e0"), v).otherwise(F.expr(new) if dark else F.col(c).cast("double")) for c, v in scale.items()})
+
+
+def equalise_share(pixels: DataFrame, keys: tuple[str, ...] = (), dark: bool = False) -> DataFrame:
+    """Luma equalisation by shares: the new luma is 255 times the share of pixels that are not brighter, not rounded."""
+    binned = with_bin(pixels, f"cast(least(greatest(floor({LUMA}), 0), 255) as bigint)")
+    levels = cdf(histogram(binned, keys), keys)
+    total = F.max("cdf").over(Window.partitionBy(*keys or [F.lit(0)]))
+    lut = levels.withColumn("__total", total).select(*keys, "bin", F.expr("cdf / __total * 255e0").alias("__new"))
+    return _scaled(binned.join(lut, [*keys, "bin"]), "__new", dark).drop("__new")
+
+
+def clahe_share(pixels: DataFrame, tile_width: int = 40, tile_height: int = 25, clip: float = 3.0, keys: tuple[str, ...] = ()) -> DataFrame:
+    """Contrast-limited equalisation by tiles and shares: counts are cut at floor(clip * pixels / 256), what is cut goes to
+    all bins in whole numbers, and the running sum is divided by the tile's pixels."""
+    tiled = with_bin(pixels, f"cast(least(greatest(floor({LUMA}), 0), 255) as bigint)").withColumns({"ty": F.expr(f"y div {tile_height}"), "tx": F.expr(f"x div {tile_width}")})
+    tile = [*keys, "ty", "tx"]
+    counts = histogram(tiled, tuple(tile))
+    dense = counts.groupBy(*tile).agg(F.sum("n").alias("size")).withColumn("bin", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(BINS - 1).cast("long"))))
+    cut_off = dense.join(counts, [*tile, "bin"], "left").withColumns({"n": F.coalesce("n", F.lit(0)), "limit": F.expr(f"cast(floor({clip!r}D * size / 256) as bigint)")})
+    over = F.sum(F.greatest(F.col("n") - F.col("limit"), F.lit(0))).over(Window.partitionBy(*tile))
+    shared = cut_off.withColumn("excess", over).withColumn("n", F.expr("least(n, limit) + excess div 256"))
+    lut = cdf(shared, tuple(tile)).select(*tile, "bin", F.expr("cdf / size * 255e0").alias("__new"))
+    return _scaled(tiled.join(lut, [*tile, "bin"]), "__new").drop("__new", "ty", "tx")
+
+
+def _ranked_block(rows: pd.DataFrame, reach: int, side: int, columns: list[str]) -> pd.DataFrame:
+    y0, x0 = int(rows["by"].iloc[0]) * side, int(rows["bx"].iloc[0]) * side
+    held = np.full((side + 2 * reach, side + 2 * reach), np.iinfo(np.int64).max)
+    held[rows["y"] - y0 + reach, rows["x"] - x0 + reach] = rows["v"]
+    own = rows[(rows["y"] // side == rows["by"]) & (rows["x"] // side == rows["bx"])]
+    there = (held != np.iinfo(np.int64).max).astype(np.int64).cumsum(axis=0).cumsum(axis=1)
+    there = np.pad(there, ((1, 0), (1, 0)))
+    seen = np.lib.stride_tricks.sliding_window_view(held, (2 * reach + 1, 2 * reach + 1))
+    ys, xs = (own["y"] - y0).to_numpy(), (own["x"] - x0).to_numpy()
+    wide = 2 * reach + 1
+    size = there[ys + wide, xs + wide] - there[ys, xs + wide] - there[ys + wide, xs] + there[ys, xs]
+    below = np.array([(seen[y, x] <= v).sum() for y, x, v in zip(ys, xs, own["v"].to_numpy(), strict=True)], np.int64)
+    return own[columns].assign(below=below, size=size)
+
+
+def window_rank(pixels: DataFrame, window: int, value: str = "bin", keys: tuple[str, ...] = (), side: int = 64) -> DataFrame:
+    """(keys, y, x, below, size): of the pixels in a window of half its width on each side, clipped at the edges, how many are
+    not above the pixel, for windows so wide that pairs are too many to be rows.
+
+    Blocks of side * side pixels are sent their surroundings and compared in place: one shuffle, each pixel to the blocks
+    whose windows it is in.
+    """
+    reach = window // 2
+    near = lambda c: F.array_distinct(F.transform(F.array(F.lit(-reach), F.lit(0), F.lit(reach)), lambda d: F.floor((F.col(c) + d) / F.lit(float(side)))))
+    if reach > side:
+        raise ValueError("a window reaches beyond the blocks next to its own")
+    sent = pixels.select(*keys, "y", "x", F.col(value).cast("long").alias("v")).withColumn("by", F.explode(near("y"))).withColumn("bx", F.explode(near("x"))).where("by >= 0 and bx >= 0")
+    kinds = dict(pixels.dtypes)
+    columns = [*keys, "y", "x"]
+    schema = ", ".join(f"{c} {kinds[c]}" for c in columns) + ", below long, size long"
+    return sent.groupBy(*keys, "by", "bx").applyInPandas(partial(_ranked_block, reach=reach, side=side, columns=columns), schema)
+
+
+def window_equalise(pixels: DataFrame, window: int = 40, keys: tuple[str, ...] = ()) -> DataFrame:
+    """Sliding-window equalisation: the new luma is 255 times the share of the window's pixels that are not above the own."""
+    binned = with_bin(pixels, f"cast(least(greatest(floor({LUMA}), 0), 255) as bigint)")
+    ranks = window_rank(binned, window, keys=keys).select(*keys, "y", "x", F.expr("below * 255e0 / size").alias("__new"))
+    return _scaled(binned.join(ranks, [*keys, "y", "x"]), "__new").drop("__new")
+
+
 def convolve(pixels: DataFrame, kernel: tuple[tuple[float, ...], ...], channel: str, keys: tuple[str, ...] = ()) -> DataFrame:
     """The pixels with `conv`, a 3x3 sum over the channel; null at the border, for the caller to keep what it will.
 
@@ -113,6 +189,16 @@ KERNELS = {
 }
 
 
+def edges(pixels: DataFrame, threshold: float, keys: tuple[str, ...] = ()) -> DataFrame:
+    """255 where the mean gradient of the three channels is over the threshold, else 0; border pixels are unchanged."""
+    made = pixels
+    for c in "rgb":
+        made = convolve(convolve(made, KERNELS["sobel_x"], c, keys).withColumnRenamed("conv", f"__x{c}"), KERNELS["sobel_y"], c, keys).withColumnRenamed("conv", f"__y{c}")
+    mean = sum((F.sqrt(F.col(f"__x{c}") * F.col(f"__x{c}") + F.col(f"__y{c}") * F.col(f"__y{c}")) for c in "rgb"), F.lit(0.0)) / F.lit(3.0)
+    on = F.when(mean > F.lit(float(threshold)), 255).otherwise(0)
+    return made.withColumns({c: F.when(mean.isNull(), F.col(c)).otherwise(on) for c in "rgb"}).drop(*[f"__{d}{c}" for d in "xy" for c in "rgb"])
+
+
 def filtered(pixels: DataFrame, kernel: str, channel: str, keys: tuple[str, ...] = ()) -> DataFrame:
     """A 3x3 filter, clamped to 0..255; border pixels are unchanged."""
     made = convolve(pixels, KERNELS[kernel], channel, keys)
@@ -170,3 +256,8 @@ def ranks_of_first_seen(rows: DataFrame, value: Column, order: str, keys: tuple[
     """Distinct values numbered from 0 by where each is first seen. The window runs over distinct values."""
     first = rows.groupBy(*keys, value.alias("value")).agg(F.min(order).alias("first"))
     return first.withColumn("slot", F.row_number().over(Window.partitionBy(*keys or [F.lit(0)]).orderBy("first", "value")).cast("long") - 1)
+
+
+def by_brightness(colours: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
+    """colours(r, g, b) with `place`: from the darkest, by the sum of channels, ties by channels; a palette's rows at most."""
+    return colours.withColumn("place", F.row_number().over(Window.partitionBy(*keys or [F.lit(0)]).orderBy(F.expr("r + g + b"), "r", "g", "b")).cast("long") - 1)
