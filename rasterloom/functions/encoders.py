@@ -8,7 +8,7 @@ from datetime import date
 
 import numpy as np
 
-from .palettes import Colour
+from .palettes import BBC, Colour
 
 
 def pack_rows(grid: np.ndarray, depth: int) -> np.ndarray:
@@ -159,9 +159,9 @@ def brooks(grid: np.ndarray, palettes: list[list[Colour]]) -> bytes:
     return pack_rows(grid, 4).tobytes() + b"".join(b"".join(map(word, p[::-1])) for p in palettes)
 
 
-def bsave(body: bytes, start: int = 0) -> bytes:
-    """The seven-byte header of a binary MSX file, then the body."""
-    return struct.pack("<BHHH", 0xFE, start, start + len(body) - 1, 0) + body
+def bsave(body: bytes, end: int | None = None) -> bytes:
+    """The seven-byte header of a binary MSX file, then the body; end: the last address, if it is not the body's."""
+    return struct.pack("<BHHH", 0xFE, 0, len(body) - 1 if end is None else end, 0) + body
 
 
 def msx_screen8(grid: np.ndarray) -> bytes:
@@ -177,6 +177,22 @@ def bbc_screen(grid: np.ndarray, depth: int) -> bytes:
     return cells(value.astype(np.uint8))
 
 
+def bbc_file(grid: np.ndarray, palette: list[Colour], depth: int, mode: int) -> bytes:
+    """The screen, the number of the mode, and the physical colour of each logical one."""
+    return bbc_screen(grid, depth) + bytes([mode, *(BBC.index(tuple(c)) for c in palette)])
+
+
+def atari_file(grid: np.ndarray, registers: list[int], depth: int) -> bytes:
+    """7,680 bytes of packed pixels, then the colour registers."""
+    return pack_rows(grid, depth).tobytes() + bytes(registers)
+
+
+def msx_screen5(grid: np.ndarray, palette: list[Colour]) -> bytes:
+    """27,175 bytes: the header, sixteen colours of three bits a channel in two bytes, and 212 lines of two pixels a byte."""
+    table = b"".join(bytes([r // 32 << 4 | b // 32, g // 32]) for r, g, b in palette[:16])
+    return bsave(table.ljust(32, b"\0") + pack_rows(grid, 4).tobytes())
+
+
 def sauce(title: str, columns: int, lines: int, size: int, as_of: date) -> bytes:
     """The end-of-file mark and a 128-byte record that describes a text screen."""
     text = lambda s, n: s.encode("cp437", "replace")[:n].ljust(n)

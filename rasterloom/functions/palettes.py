@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 Colour = tuple[int, int, int]
 
 
@@ -21,6 +23,10 @@ CPC = _hex(
 )
 IIGS = _hex("000000 DD0033 000099 DD00DD 007700 555555 2222FF 66AAFF 885500 FF6600 AAAAAA FF9988 11DD00 FFFF00 44FF99 FFFFFF")
 
+#: The colour set of four-colour modes, and that of two-colour modes (artifacts left out).
+COCO_SET = _hex("000000 00FF00 FFFF00 0000FF")
+COCO_TWO = _hex("000000 FFFFFF")
+
 
 def ega64() -> list[Colour]:
     """Two bits a channel: the low half of the index holds the strong bits of red, green and blue, the high half the weak."""
@@ -48,6 +54,23 @@ def coco3_16() -> list[Colour]:
     return [gime64()[i] for i in (0, 63, 48, 12, 3, 15, 51, 60, 21, 42, 32, 8, 2, 52, 44, 7)]
 
 
+def atari128() -> list[Colour]:
+    """Sixteen hues of eight lumas: grey, then fifteen angles of 22.5 degrees in the YIQ plane, stronger with the luma."""
+    out = [(int(lum / 7 * 255),) * 3 for lum in range(8)]
+    for hue in range(15):
+        for lum in range(8):
+            strength, angle = 0.5 + lum * 0.05, math.radians(22.5 * hue)
+            i, q = strength * math.cos(angle) * 0.6, strength * math.sin(angle) * 0.5
+            # From YIQ to red, green and blue.
+            out.append(tuple(int(min(max(lum / 7 + a * i + b * q, 0.0), 1.0) * 255) for a, b in ((0.956, 0.621), (-0.272, -0.647), (-1.106, 1.703))))
+    return out
+
+
+def atari_register(index: int) -> int:
+    """The register value of one of the 128 colours: hue in the high half, luma in steps of two in the low."""
+    return index // 8 << 4 | index % 8 << 1
+
+
 def grey(levels: int) -> list[Colour]:
     return [(round(255 * k / (levels - 1)),) * 3 for k in range(levels)]
 
@@ -55,5 +78,5 @@ def grey(levels: int) -> list[Colour]:
 PALETTES = {
     "cga16": CGA, "cga4_0_low": [CGA[i] for i in (0, 2, 4, 6)], "cga4_0_high": [CGA[i] for i in (0, 10, 12, 14)], "cga4_1_low": [CGA[i] for i in (0, 3, 5, 7)],
     "cga4_1_high": [CGA[i] for i in (0, 11, 13, 15)], "ega64": ega64(), "c64": C64, "vic20": VIC20, "zx": ZX, "tms9918": TMS9918, "v9938": cube(8), "rgb332": rgb332(),
-    "bbc": BBC, "cpc": CPC, "ocs4096": cube(16), "st512": cube(8), "gime64": gime64(), "coco3": coco3_16(), "iigs": IIGS,
+    "bbc": BBC, "cpc": CPC, "ocs4096": cube(16), "st512": cube(8), "gime64": gime64(), "coco3": coco3_16(), "iigs": IIGS, "atari128": atari128(),
 }

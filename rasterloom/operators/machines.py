@@ -15,12 +15,14 @@ import pandas as pd
 from pyspark.sql import DataFrame
 
 from ..functions import encoders as enc
-from ..functions.palettes import BBC, C64, CGA, IIGS, PALETTES, TMS9918, VIC20, ZX, Colour
+from ..functions.palettes import BBC, C64, CGA, COCO_SET, COCO_TWO, IIGS, PALETTES, TMS9918, VIC20, ZX, Colour, atari_register
 from .sequential import diffuse_array, median_cut
 
 
 @dataclass(frozen=True)
 class Mode:
+    """palette: fixed colours; choice: colours of which the image's most frequent are taken; neither: median cut."""
+
     machine: str
     name: str
     width: int
@@ -31,6 +33,7 @@ class Mode:
     encode: Callable[[np.ndarray, list[Colour]], bytes]
     cell: tuple[int, int] | None = None
     cell_colours: int = 2
+    choice: tuple[Colour, ...] | None = None
 
 
 def cell_restricted(grid: np.ndarray, colours: np.ndarray, image: np.ndarray, cell: tuple[int, int], n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -82,7 +85,23 @@ def _screen2(grid: np.ndarray, palette: list[Colour], table: np.ndarray) -> byte
     colour = enc.cells((table[..., 0] << 4 | table[..., 1]).astype(np.uint8))
     names = bytes(range(256)) * 3
     body = pattern + colour + names
-    return enc.bsave(body)
+    return enc.bsave(body, 0x37FF)
+
+
+def _register(colour: Colour) -> int:
+    table = PALETTES["atari128"]
+    return atari_register(table.index(tuple(colour))) if tuple(colour) in table else 0
+
+
+def frequent(image: np.ndarray, table: np.ndarray, n: int) -> list[Colour]:
+    """The n entries of a table that are nearest to most pixels, the most frequent first, padded with black."""
+    pixels, counts = np.unique(np.clip(image, 0, 255).astype(int).reshape(-1, 3), axis=0, return_counts=True)
+    total = np.zeros(len(table), int)
+    for at in range(0, len(pixels), 4096):
+        near = ((pixels[at : at + 4096, None] - table[None]) ** 2).sum(axis=2).argmin(axis=1)
+        np.add.at(total, near, counts[at : at + 4096])
+    best = [i for i in np.argsort(-total, kind="stable").tolist() if total[i]][:n]
+    return [tuple(int(v) for v in table[i]) for i in best] + [(0, 0, 0)] * (n - len(best))
 
 
 def _grid_only(encode: Callable[[np.ndarray, list[Colour]], bytes]) -> Callable[..., bytes]:
@@ -106,14 +125,16 @@ MODES: dict[str, Mode] = {
         Mode("atarist", "medium", 640, 200, None, 4, "pi2", _grid_only(lambda g, p: enc.degas(g, p, 1))),
         Mode("atarist", "high", 640, 400, ((255, 255, 255), (0, 0, 0)), 2, "pi3", _grid_only(lambda g, p: enc.degas(g, p, 2))),
         Mode("iigs", "320", 320, 200, tuple(IIGS), 16, "shr", _grid_only(lambda g, p: enc.super_hires(g, [p], [0] * 200))),
-        Mode("bbc", "mode1", 320, 256, (BBC[0], BBC[1], BBC[3], BBC[7]), 4, "bbc", _grid_only(lambda g, p: enc.bbc_screen(g, 2))),
-        Mode("bbc", "mode2", 160, 256, tuple(BBC), 8, "bbc", _grid_only(lambda g, p: enc.bbc_screen(g, 4))),
+        *(Mode("bbc", f"mode{n}", w, 256, None, k, "bbc", _grid_only(lambda g, p, d=d, n=n: enc.bbc_file(g, p, d, n)), choice=tuple(BBC)) for n, w, k, d in ((0, 640, 2, 1), (1, 320, 4, 2), (2, 160, 8, 4), (4, 320, 2, 1), (5, 160, 4, 2))),
         Mode("cpc", "mode1", 320, 200, tuple(PALETTES["cpc"][i] for i in (0, 26, 6, 2)), 4, "scr", _grid_only(lambda g, p: enc.cpc_screen(enc.cpc_mode1_byte(g.reshape(200, 80, 4))))),
         Mode("cpc", "mode0", 160, 200, tuple(PALETTES["cpc"][:16]), 16, "scr", _grid_only(lambda g, p: enc.cpc_screen(enc.cpc_mode0_byte(g[:, 0::2], g[:, 1::2])))),
         Mode("coco", "coco3", 320, 200, tuple(PALETTES["coco3"]), 16, "cm3", _grid_only(lambda g, p: enc.pack_rows(g, 4).tobytes())),
-        Mode("coco", "pmode4", 256, 192, ((0, 0, 0), (255, 255, 255)), 2, "bin", _grid_only(lambda g, p: enc.pack_rows(g, 1).tobytes())),
-        Mode("atari800", "gr15", 160, 192, tuple(PALETTES["cga4_0_low"]), 4, "gr15", _grid_only(lambda g, p: enc.pack_rows(g, 2).tobytes())),
-        Mode("atari800", "gr8", 320, 192, ((0, 0, 0), (255, 255, 255)), 2, "gr8", _grid_only(lambda g, p: enc.pack_rows(g, 1).tobytes())),
+        Mode("coco", "coco3_4", 640, 200, tuple(PALETTES["coco3"][:4]), 4, "cm3", _grid_only(lambda g, p: enc.pack_rows(g, 2).tobytes())),
+        *(Mode("coco", f"pmode{n}", w, h, tuple(COCO_SET if k == 4 else COCO_TWO), k, "bin", _grid_only(lambda g, p, d=d: enc.pack_rows(g, d).tobytes())) for n, w, h, k, d in ((1, 128, 96, 4, 2), (2, 128, 192, 2, 1), (3, 128, 192, 4, 2), (4, 256, 192, 2, 1))),
+        *(Mode("atari800", f"gr{n}", w, 192, None, k, f"gr{n}", _grid_only(lambda g, p, d=d: enc.atari_file(g, [_register(c) for c in p], d)), choice=tuple(PALETTES["atari128"])) for n, w, k, d in ((8, 320, 2, 1), (10, 80, 9, 4), (15, 160, 4, 2))),
+        Mode("atari800", "gr9", 80, 192, tuple((lum * 255 // 15,) * 3 for lum in range(16)), 16, "gr9", _grid_only(lambda g, p: enc.atari_file(g, [lum // 2 << 1 for lum in range(16)], 4))),
+        Mode("atari800", "gr11", 80, 192, tuple(PALETTES["atari128"][8 * hue + 4] for hue in range(16)), 16, "gr11", _grid_only(lambda g, p: enc.atari_file(g, [hue << 4 | 8 for hue in range(16)], 4))),
+        Mode("msx", "screen5", 256, 212, None, 16, "sc5", _grid_only(enc.msx_screen5), choice=tuple(PALETTES["v9938"])),
         Mode("vic20", "preview", 176, 184, tuple(VIC20), 16, "bmp", _grid_only(lambda g, p: enc.bmp24(np.array(p)[g]))),
     )
 }
@@ -135,7 +156,12 @@ def convert_array(image: np.ndarray, mode: Mode, dither: str | None = None) -> t
     if image.size == 0:
         raise ValueError("emptyImage")
     fitted = resize_array(image.astype(float), mode.width, mode.height)
-    palette = list(mode.palette) if mode.palette else [tuple(int(round(v)) for v in c) for c in median_cut(fitted.reshape(-1, 3), mode.colours)]
+    if mode.palette:
+        palette = list(mode.palette)
+    elif mode.choice:
+        palette = frequent(fitted, np.array(mode.choice), mode.colours)
+    else:
+        palette = [tuple(int(round(v)) for v in c) for c in median_cut(fitted.reshape(-1, 3), mode.colours)]
     colours = np.array(palette, float)
     if dither:
         grid = diffuse_array(fitted, colours, dither)

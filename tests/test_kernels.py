@@ -82,7 +82,9 @@ def test_pcx_run_lengths(length):
 
 SIZES = {
     "zx_hires": 6912, "c64_hires": 9002, "c64_multicolour": 10003, "msx_screen2": 13063, "msx_screen8": 54279, "amiga500_standard": 51364, "amiga1200_standard": 82756,
-    "atarist_low": 32034, "atarist_medium": 32034, "atarist_high": 32034, "iigs_320": 32768, "cpc_mode0": 16512, "cpc_mode1": 16512, "coco_coco3": 32000, "coco_pmode4": 6144, "atari800_gr8": 7680,
+    "atarist_low": 32034, "atarist_medium": 32034, "atarist_high": 32034, "iigs_320": 32768, "cpc_mode0": 16512, "cpc_mode1": 16512, "coco_coco3": 32000, "coco_coco3_4": 32000, "coco_pmode1": 3072,
+    "coco_pmode2": 3072, "coco_pmode3": 6144, "coco_pmode4": 6144, "atari800_gr8": 7682, "atari800_gr9": 7696, "atari800_gr10": 7689, "atari800_gr11": 7696, "atari800_gr15": 7684,
+    "bbc_mode0": 20483, "bbc_mode1": 20485, "bbc_mode2": 20489, "bbc_mode4": 10243, "bbc_mode5": 10245, "msx_screen5": 27175,
 }
 
 
@@ -93,6 +95,25 @@ def test_file_sizes(mode):
     assert grid.max() < len(palette)
 
 
+def test_registers_and_palettes_at_the_end_of_files():
+    from rasterloom.functions.palettes import BBC as COLOURS, PALETTES
+
+    grid, palette, data = machines.convert_array(IMAGE, machines.MODES["atari800_gr15"])
+    assert [PALETTES["atari128"][(b >> 4) * 8 + (b >> 1 & 7)] for b in data[-4:]] == [tuple(c) for c in palette]
+    assert data[0] == grid[0, 0] << 6 | grid[0, 1] << 4 | grid[0, 2] << 2 | grid[0, 3]
+    grid, palette, data = machines.convert_array(IMAGE, machines.MODES["bbc_mode5"])
+    assert data[-5] == 5 and [COLOURS[b] for b in data[-4:]] == [tuple(c) for c in palette]
+    grid, palette, data = machines.convert_array(IMAGE, machines.MODES["msx_screen5"])
+    assert data[:7] == b"\xfe\0\0" + (27167).to_bytes(2, "little") + b"\0\0" and data[39] == grid[0, 0] << 4 | grid[0, 1]
+
+
+def test_most_frequent_colours():
+    image = np.array([[[250, 0, 0]] * 3 + [[0, 250, 0]] * 2 + [[3, 3, 3]]], float)
+    table = np.array([(0, 0, 0), (255, 0, 0), (0, 255, 0)])
+    assert machines.frequent(image, table, 2) == [(255, 0, 0), (0, 255, 0)]
+    assert machines.frequent(image[:, :3], table, 3) == [(255, 0, 0), (0, 0, 0), (0, 0, 0)]
+
+
 def test_brooks_size():
     assert len(encoders.brooks(np.zeros((200, 320), int), [BBC * 2] * 200)) == 38400
 
