@@ -27,6 +27,10 @@ E8 = """WITH e8 AS (SELECT vec_id, CAST(pos % 8 AS BIGINT) AS x, CAST(pos // 8 A
 BIN = "(299*r + 587*g + 114*b) // 1000"
 
 
+def _height(px: DataFrame) -> int:
+    return (px.agg(F.max("y")).first()[0] or 0) + 1
+
+
 def add(name: str, query: Query, sql: str | None = None) -> None:
     QUERIES[name] = query
     if sql:
@@ -57,7 +61,7 @@ for _metric in metrics.METRICS:
     on_raster(f"nearest_{_metric}", lambda px, m=_metric, p=_palette: color.nearest(px, p, m).select("x", "y", "idx"), nearest_sql(_palette, _metric) + " SELECT x, y, idx FROM m")
 for _name in ("cga16", "ega64", "zx", "tms9918", "cpc", "coco3", "iigs", "cga4_1_high"):
     on_raster(f"match_{_name}", lambda px, p=PALETTES[_name]: color.nearest(px, p).select("x", "y", "idx"), nearest_sql(PALETTES[_name]) + " SELECT x, y, idx FROM m")
-on_raster("match_rgb332", lambda px: color.nearest(px, PALETTES["rgb332"], memo=True).select("x", "y", "idx"), nearest_sql(PALETTES["rgb332"]) + " SELECT x, y, idx FROM m")
+on_raster("match_rgb332", lambda px: color.nearest(px, PALETTES["rgb332"]).select("x", "y", "idx"), nearest_sql(PALETTES["rgb332"]) + " SELECT x, y, idx FROM m")
 on_raster("vic_foreground", lambda px: color.nearest(px, VIC20[:8]).select("x", "y", "idx"), nearest_sql(VIC20[:8]) + " SELECT x, y, idx FROM m")
 on_raster(
     "column_parity_palette",
@@ -84,11 +88,16 @@ for _size in (2, 4, 8, 16):
     _cells = "[" + ",".join(f"{v}.0::DOUBLE" for row in color.bayer(_size) for v in row) + "]"
     _shift = f"({_cells}[(y % {_size}) * {_size} + x % {_size} + 1] / {float(_size * _size)}::DOUBLE - 0.5::DOUBLE) * 64.0::DOUBLE"
     on_raster(f"bayer{_size}", lambda px, n=_size: color.ordered_dither(px, n).select("x", "y", "r", "g", "b"), " SELECT x, y, " + ", ".join(f"least(greatest({c} + {_shift}, 0), 255) AS {c}" for c in "rgb") + " FROM px")
+for _matrix, _rows in [(f"bayer16_{k}", m) for k, m in color.MATRICES_16.items() if k != "recursive"] + [(f"golden{n}", color.golden_matrix(n)) for n in (8, 16)]:
+    _side = len(_rows)
+    _cells = "[" + ",".join(f"{float(v)!r}::DOUBLE" for row in _rows for v in row) + "]"
+    _shift = f"({_cells}[(y % {_side}) * {_side} + x % {_side} + 1] / {float(_side * _side)}::DOUBLE - 0.5::DOUBLE) * 64.0::DOUBLE"
+    on_raster(f"dither_{_matrix}", lambda px, m=_rows: color.ordered_dither(px, len(m), matrix=m).select("x", "y", *[F.round(c, 9).alias(c) for c in "rgb"]), " SELECT x, y, " + ", ".join(f"round(least(greatest({c} + {_shift}, 0), 255), 9) AS {c}" for c in "rgb") + " FROM px")
 on_raster("noise_dither", lambda px: color.noise_dither(px).select("x", "y", "r", "g", "b"))
 on_raster("flip_horizontal", lambda px: color.flip(px, width=150).select("x", "y", "r", "g", "b"), " SELECT 149 - x AS x, y, r, g, b FROM px")
-on_raster("flip_vertical", lambda px: color.flip(px, height=1000).select("x", "y", "r", "g", "b"), " SELECT x, 999 - y AS y, r, g, b FROM px")
+on_raster("flip_vertical", lambda px: color.flip(px, height=_height(px)).select("x", "y", "r", "g", "b"), " SELECT x, (SELECT max(y) FROM px) - y AS y, r, g, b FROM px")
 on_raster("upscale2", lambda px: color.upscale(px, 2).select(F.col("x").cast("long"), F.col("y").cast("long"), "r", "g", "b"), ", k(d) AS (VALUES (0::BIGINT), (1::BIGINT)) SELECT x*2 + k.d AS x, y*2 + j.d AS y, r, g, b FROM px, k, k AS j")
-on_raster("resize_area", lambda px: color.resize(px, 150, 100, 40, 25).select("x", "y", "r", "g", "b"), " SELECT x * 40 // 150 AS x, y * 25 // 100 AS y, avg(r) AS r, avg(g) AS g, avg(b) AS b FROM px GROUP BY 1, 2")
+on_raster("resize_area", lambda px: color.resize(px, 150, _height(px), 40, 25).select("x", "y", "r", "g", "b"), ", t AS (SELECT max(y) + 1 AS tall FROM px) SELECT x * 40 // 150 AS x, y * 25 // tall AS y, avg(r) AS r, avg(g) AS g, avg(b) AS b FROM px, t GROUP BY 1, 2")
 on_raster("merge_average", lambda px: color.merge_pairs(px).select("x", "y", "r", "g", "b"), " SELECT x // 2 AS x, y, " + ", ".join(f"CAST(sum({c}) // count(*) AS BIGINT) AS {c}" for c in "rgb") + " FROM px GROUP BY 1, 2")
 on_raster("merge_brightest", lambda px: color.merge_pairs(px, "brightest").select("x", "y", "r", "g", "b"), ", t AS (SELECT *, row_number() OVER (PARTITION BY y, x // 2 ORDER BY 299*r + 587*g + 114*b DESC, x) AS n FROM px) SELECT x // 2 AS x, y, r, g, b FROM t WHERE n = 1")
 on_raster("merge_weighted", lambda px: color.merge_pairs(px, "weighted").select("x", "y", *[F.round(c, 6).alias(c) for c in "rgb"]), " SELECT x // 2 AS x, y, " + ", ".join(f"round(CASE WHEN sum(299*r + 587*g + 114*b) = 0 THEN avg({c}) ELSE sum({c} * (299*r + 587*g + 114*b))::DOUBLE / sum(299*r + 587*g + 114*b) END, 6) AS {c}" for c in "rgb") + " FROM px GROUP BY 1, 2")
@@ -107,7 +116,26 @@ _TILES = f""", t AS (SELECT *, {BIN} AS bin, y // 25 AS ty, x // 40 AS tx FROM p
  e AS (SELECT ty, tx, bin, CAST(least(n, lim) + sum(greatest(n - lim, 0)) OVER (PARTITION BY ty, tx) // 256 AS BIGINT) AS n FROM d), f AS (SELECT *, CAST(sum(n) OVER (PARTITION BY ty, tx ORDER BY bin) AS BIGINT) AS cdf FROM e)"""
 on_raster("clahe_histogram", lambda px: st.clipped_histogram(px, 40, 25, 3.0).select("ty", "tx", "bin", "n", "cdf"), _TILES + " SELECT * FROM f")
 on_raster("clahe_apply", lambda px: st.clahe(px).select("x", "y", "r", "g", "b"), _TILES + ", w AS (SELECT ty, tx, max(cdf) AS total FROM f GROUP BY 1, 2), l AS (SELECT ty, tx, bin, cdf * 255 // total AS new FROM f JOIN w USING (ty, tx)) SELECT x, y, " + ", ".join(f"CASE WHEN bin > 0 THEN least({c} * new // bin, 255) ELSE {c} END AS {c}" for c in "rgb") + " FROM t JOIN l USING (ty, tx, bin)")
-on_raster("swahe_small", lambda px: st.local_rank(st.with_bin(px.where("y < 20")), 2), f", s AS (SELECT x, y, {BIN} AS bin FROM px WHERE y < 20) SELECT p.y, p.x, p.bin, count(*) FILTER (q.bin <= p.bin) * 255 // count(*) AS new FROM s p JOIN s q ON abs(q.x - p.x) <= 2 AND abs(q.y - p.y) <= 2 GROUP BY 1, 2, 3")
+
+_SHARED = f", s AS (SELECT *, {metrics.luma('r', 'g', 'b')} AS luma, CAST(least(greatest(floor({metrics.luma('r', 'g', 'b')}), 0), 255) AS BIGINT) AS bin FROM px)"
+
+
+def _scaled_sql(new: str, dark: bool = False) -> str:
+    return ", ".join(f"round(CASE WHEN luma > 0.001::DOUBLE THEN least(greatest({c} * ({new} / luma), 0), 255) ELSE {new if dark else c + '::DOUBLE'} END, 6) AS {c}" for c in "rgb")
+
+
+_rounded = lambda px: px.select("x", "y", *[F.round(c, 6).alias(c) for c in "rgb"])
+_SHARES = _SHARED + ", h AS (SELECT bin, count(*) AS n FROM s GROUP BY 1), c AS (SELECT bin, CAST(sum(n) OVER (ORDER BY bin) AS DOUBLE) / (SELECT count(*) FROM px) * 255.0::DOUBLE AS new FROM h)"
+for _dark in (False, True):
+    on_raster("he_share" + "_dark" * _dark, lambda px, d=_dark: _rounded(st.equalise_share(px, dark=d)), _SHARES + f" SELECT x, y, {_scaled_sql('new', _dark)} FROM s JOIN c USING (bin)")
+_SHARED_TILES = _SHARED + """, t AS (SELECT *, y // 25 AS ty, x // 40 AS tx FROM s), z AS (SELECT ty, tx, count(*) AS size, CAST(floor(3.0::DOUBLE * count(*) / 256) AS BIGINT) AS lim FROM t GROUP BY 1, 2),
+ n AS (SELECT ty, tx, bin, count(*) AS n FROM t GROUP BY 1, 2, 3), d AS (SELECT ty, tx, size, lim, bin, coalesce(n, 0) AS n FROM (SELECT z.*, range AS bin FROM z, range(256)) LEFT JOIN n USING (ty, tx, bin)),
+ e AS (SELECT ty, tx, size, bin, CAST(least(n, lim) + sum(greatest(n - lim, 0)) OVER (PARTITION BY ty, tx) // 256 AS BIGINT) AS n FROM d),
+ f AS (SELECT ty, tx, bin, CAST(sum(n) OVER (PARTITION BY ty, tx ORDER BY bin) AS DOUBLE) / size * 255.0::DOUBLE AS new FROM e)"""
+on_raster("clahe_share", lambda px: _rounded(st.clahe_share(px)), _SHARED_TILES + f" SELECT x, y, {_scaled_sql('new')} FROM t JOIN f USING (ty, tx, bin)")
+for _window in (40, 64):
+    _reach = _window // 2
+    on_raster(f"swahe_{_window}", lambda px, w=_window: _rounded(st.window_equalise(px, w)), _SHARED + f", k AS (SELECT y, x, bin FROM s), w AS (SELECT p.y, p.x, count(*) FILTER (q.bin <= p.bin) * 255.0::DOUBLE / count(*) AS new FROM k p JOIN k q ON q.y BETWEEN p.y - {_reach} AND p.y + {_reach} AND q.x BETWEEN p.x - {_reach} AND p.x + {_reach} GROUP BY 1, 2) SELECT x, y, {_scaled_sql('new')} FROM s JOIN w USING (y, x)" if _window == 40 else None)
 
 # Neighbourhoods.
 
@@ -121,14 +149,19 @@ def _tap_sql(kernel: str) -> str:
 for _kernel in ("box", "lowpass", "sharpen", "emboss", "laplacian"):
     on_raster(f"filter_{_kernel}", lambda px, k=_kernel: st.filtered(px, k, "r").select("x", "y", F.round("r", 6).alias("r")), f" SELECT x, y, round(CASE WHEN v IS NULL THEN r::DOUBLE ELSE least(greatest(v, 0), 255) END, 6) AS r FROM px JOIN {_tap_sql(_kernel)} USING (x, y)")
 on_raster("sobel", lambda px: st.sobel(px, "r").select("x", "y", F.round("r", 6).alias("r")), f" SELECT x, y, round(CASE WHEN a.v IS NULL THEN r::DOUBLE ELSE least(greatest((r + sqrt(a.v*a.v + c.v*c.v)) * 0.5::DOUBLE, 0), 255) END, 6) AS r FROM px JOIN {_tap_sql('sobel_x')} a USING (x, y) JOIN {_tap_sql('sobel_y')} c USING (x, y)")
-_AROUND = " FROM px p, (SELECT range - {k} AS d FROM range({n})) a, (SELECT range - {k} AS d FROM range({n})) c JOIN px q ON q.x = greatest(least(p.x + a.d, 149), 0) AND q.y = greatest(least(p.y + c.d, 9), 0) WHERE p.y < 10 GROUP BY p.x, p.y"
-for _reach in (1, 2):
-    on_raster(f"median{2 * _reach + 1}", lambda px, k=_reach: st.median(px.where("y < 10"), "r", k, 150, 10).select("x", "y", "r"), " SELECT p.x, p.y, quantile_disc(q.r, 0.5) AS r" + _AROUND.format(k=_reach, n=2 * _reach + 1))
-on_raster("sigma3", lambda px: st.sigma_filter(px.where("y < 10"), 1, 120, 150, 10).select("x", "y", "r", "g", "b"), " SELECT p.x, p.y, avg(q.r) AS r, avg(q.g) AS g, avg(q.b) AS b" + _AROUND.format(k=1, n=3).replace("WHERE", "WHERE abs(q.r-p.r) + abs(q.g-p.g) + abs(q.b-p.b) < 120 AND"))
+_MEAN = " + ".join(f"sqrt(t{c}x.v*t{c}x.v + t{c}y.v*t{c}y.v)" for c in "rgb")
+on_raster("edges_mean", lambda px: st.edges(px, 200.0).select("x", "y", "r", "g", "b"), " SELECT x, y, " + ", ".join(f"CASE WHEN trx.v IS NULL THEN {c} WHEN (0.0::DOUBLE + {_MEAN}) / 3.0::DOUBLE > 200.0::DOUBLE THEN 255 ELSE 0 END AS {c}" for c in "rgb") + " FROM px" + "".join(f" JOIN {_tap_sql('sobel_' + d).replace('q.r', 'q.' + c)} t{c}{d} USING (x, y)" for c in "rgb" for d in "xy"))
+_SEEN = ", e AS (SELECT max(y) AS bottom FROM px) {select} FROM px p, e, (SELECT range - {k} AS d FROM range({n})) a, (SELECT range - {k} AS d FROM range({n})) c JOIN px q ON q.x = greatest(least(p.x + a.d, 149), 0) AND q.y = greatest(least(p.y + c.d, e.bottom), 0) {where} GROUP BY p.x, p.y"
+on_raster("swahe_small", lambda px: st.local_rank(st.with_bin(px), 2), f", s AS (SELECT x, y, {BIN} AS bin FROM px) SELECT p.y, p.x, p.bin, count(*) FILTER (q.bin <= p.bin) * 255 // count(*) AS new FROM s p, (SELECT range - 2 AS d FROM range(5)) a, (SELECT range - 2 AS d FROM range(5)) c JOIN s q ON q.x = p.x + a.d AND q.y = p.y + c.d GROUP BY 1, 2, 3")
+for _reach in (1, 2, 3):
+    on_raster(f"median{2 * _reach + 1}", lambda px, k=_reach: st.median(px, "r", k, 150, _height(px)).select("x", "y", "r"), _SEEN.format(select="SELECT p.x, p.y, quantile_disc(q.r, 0.5) AS r", k=_reach, n=2 * _reach + 1, where=""))
+on_raster("sigma3", lambda px: st.sigma_filter(px, 1, 120, 150, _height(px)).select("x", "y", "r", "g", "b"), _SEEN.format(select="SELECT p.x, p.y, avg(q.r) AS r, avg(q.g) AS g, avg(q.b) AS b", k=1, n=3, where="WHERE abs(q.r-p.r) + abs(q.g-p.g) + abs(q.b-p.b) < 120"))
 
 # Palette selection and cells.
 on_raster("palette_topk", lambda px: st.top_colours(color.nearest(px, BBC), 4).select("idx", "n", "rank"), nearest_sql(BBC) + ", c AS (SELECT idx, count(*) AS n FROM m GROUP BY 1) SELECT * FROM (SELECT idx, n, row_number() OVER (ORDER BY n DESC, idx) AS rank FROM c) WHERE rank <= 4")
-on_raster("unused_colours", lambda px: px.sparkSession.range(len(CPC)).select(F.col("id").alias("idx")).join(color.nearest(px.where("y < 2 and x < 10"), CPC).select("idx").distinct(), "idx", "left_anti"), nearest_sql(CPC, extra="WHERE y < 2 AND x < 10") + " SELECT i AS idx FROM pal WHERE i NOT IN (SELECT idx FROM m)")
+on_raster("unused_colours", lambda px: px.sparkSession.range(len(CPC)).select(F.col("id").alias("idx")).join(color.nearest(px, CPC).select("idx").distinct(), "idx", "left_anti"), nearest_sql(CPC) + " SELECT i AS idx FROM pal WHERE i NOT IN (SELECT idx FROM m)")
+on_raster("brightness_order", lambda px: st.by_brightness(px.groupBy("y").agg(F.min("r").alias("r"), F.max("g").alias("g"), F.min("b").alias("b"))).select("r", "g", "b", "place"), ", c AS (SELECT y, min(r) AS r, max(g) AS g, min(b) AS b FROM px GROUP BY 1) SELECT r, g, b, row_number() OVER (ORDER BY r + g + b, r, g, b) - 1 AS place FROM c")
+on_raster("mean_background", lambda px: color.nearest(px.agg(*[F.avg(c).alias(c) for c in "rgb"]), C64).select("idx"), palette_sql(C64) + ", a AS (SELECT avg(r) AS r, avg(g) AS g, avg(b) AS b FROM px) SELECT arg_min(i, {'d': (r-pr)*(r-pr) + (g-pg)*(g-pg) + (b-pb)*(b-pb), 'i': i}) AS idx FROM a, pal")
 on_raster("subsample", lambda px: px.where("(y * 150 + x) % 4 = 0").select("x", "y", "r", "g", "b"), " SELECT * FROM px WHERE (y * 150 + x) % 4 = 0")
 on_raster("mean_colour", lambda px: px.agg(*[F.avg(c).alias(c) for c in "rgb"]), " SELECT avg(r) AS r, avg(g) AS g, avg(b) AS b FROM px")
 on_raster("brightness_extremes", lambda px: px.agg(*[f(F.expr("y * 150 + x"), F.struct(F.expr("r + g + b"), F.expr(f"{s} (y * 150 + x)"))).alias(n) for n, f, s in (("darkest", F.min_by, "+"), ("brightest", F.max_by, "-"))]), " SELECT arg_min(y*150+x, {'v': r+g+b, 'p': y*150+x}) AS darkest, arg_max(y*150+x, {'v': r+g+b, 'p': -(y*150+x)}) AS brightest FROM px")
@@ -141,41 +174,59 @@ for _name, _palette, _w, _h, _n in (("zx", ZX, 8, 8, 2), ("c64", C64, 8, 8, 2),
         lambda px, p=_palette, w=_w, h=_h, n=_n: packing.cell_quantise(color.nearest(px, p), n, w, h).select("cy", "cx", F.concat_ws(",", F.col("colours").cast("array<string>")).alias("colours")),
         nearest_sql(_palette) + f", c AS (SELECT y // {_h} AS cy, x // {_w} AS cx, idx, count(*) AS n FROM m GROUP BY 1, 2, 3), k AS (SELECT *, row_number() OVER (PARTITION BY cy, cx ORDER BY n DESC, idx) AS rn FROM c) SELECT cy, cx, string_agg(CAST(idx AS VARCHAR), ',' ORDER BY rn) AS colours FROM k WHERE rn <= {_n} GROUP BY 1, 2",
     )
-on_raster("msx_best_pair", lambda px: packing.best_pair(px.where("y < 10").withColumn("seg", F.expr("x div 8")), ("y", "seg"), TMS9918).select("y", "seg", "i", "j", "err"), palette_sql(TMS9918) + ", q AS (SELECT a.i AS i, c.i AS j, a.pr AS ar, a.pg AS ag, a.pb AS ab, c.pr AS cr, c.pg AS cg, c.pb AS cb FROM pal a JOIN pal c ON a.i <= c.i), e AS (SELECT y, x // 8 AS seg, i, j, CAST(sum(least((r-ar)*(r-ar)+(g-ag)*(g-ag)+(b-ab)*(b-ab), (r-cr)*(r-cr)+(g-cg)*(g-cg)+(b-cb)*(b-cb))) AS BIGINT) AS err FROM px, q WHERE y < 10 GROUP BY 1, 2, 3, 4), n AS (SELECT *, row_number() OVER (PARTITION BY y, seg ORDER BY err, i, j) AS n FROM e) SELECT y, seg, i, j, err FROM n WHERE n = 1")
+on_raster("msx_best_pair", lambda px: packing.best_pair(px.withColumn("seg", F.expr("x div 8")), ("y", "seg"), TMS9918).select("y", "seg", "i", "j", "err"), palette_sql(TMS9918) + ", q AS (SELECT a.i AS i, c.i AS j, a.pr AS ar, a.pg AS ag, a.pb AS ab, c.pr AS cr, c.pg AS cg, c.pb AS cb FROM pal a JOIN pal c ON a.i <= c.i), e AS (SELECT y, x // 8 AS seg, i, j, CAST(sum(least((r-ar)*(r-ar)+(g-ag)*(g-ag)+(b-ab)*(b-ab), (r-cr)*(r-cr)+(g-cg)*(g-cg)+(b-cb)*(b-cb))) AS BIGINT) AS err FROM px, q GROUP BY 1, 2, 3, 4), n AS (SELECT *, row_number() OVER (PARTITION BY y, seg ORDER BY err, i, j) AS n FROM e) SELECT y, seg, i, j, err FROM n WHERE n = 1")
 
 # Packing, runs, glyphs.
 on_raster("pack_1bpp", lambda px: packing.pack_bits(px, "case when r > 127 then 1 else 0 end"), " SELECT y, x // 8 AS col, bit_or(CASE WHEN r > 127 THEN 1::BIGINT << (7 - x % 8)::INT ELSE 0 END) AS byte FROM px GROUP BY 1, 2")
 on_raster("pack_2bpp", lambda px: packing.pack_bits(px, "r div 64", depth=2), " SELECT y, x // 4 AS col, bit_or((r // 64) << (2 * (3 - x % 4))::INT) AS byte FROM px GROUP BY 1, 2")
 on_raster("pack_planes", lambda px: packing.pack_planes(color.nearest(px, BBC), "idx", 3).select("y", F.col("plane").cast("long"), "col", "byte"), nearest_sql(BBC) + " SELECT y, k.range AS plane, x // 8 AS col, bit_or(((idx >> k.range::INT) & 1) << (7 - x % 8)::INT) AS byte FROM m, range(3) k GROUP BY 1, 2, 3")
 for _name, _address in packing.ADDRESSES.items():
-    on_raster(f"address_{_name}", lambda px, a=_address: px.where("x < 32 and y < 192").withColumn("col", F.col("x")).select("y", "col", F.expr(a).alias("address")), f", c AS (SELECT y, x AS col FROM px WHERE x < 32 AND y < 192) SELECT y, col, {_address.replace(' div ', ' // ')} AS address FROM c")
+    # The raster as screens of 32 columns and 192 lines.
+    on_raster(f"address_{_name}", lambda px, a=_address: px.select(F.expr("x div 32").alias("bank"), F.expr("y div 192").alias("screen"), F.expr("x % 32").alias("col"), F.expr("y % 192").alias("y")).withColumn("address", F.expr(a)), f", c AS (SELECT x // 32 AS bank, y // 192 AS screen, x % 32 AS col, y % 192 AS y FROM px) SELECT bank, screen, col, y, {_address.replace(' div ', ' // ')} AS address FROM c")
 _RUNS = nearest_sql(BBC[:2]) + ", a AS (SELECT y, x, idx, CASE WHEN lag(idx) OVER w = idx THEN 0 ELSE 1 END AS s FROM m WINDOW w AS (PARTITION BY y ORDER BY x)), r AS (SELECT *, sum(s) OVER (PARTITION BY y ORDER BY x) AS run FROM a), q AS (SELECT *, (row_number() OVER (PARTITION BY y, run ORDER BY x) - 1) // 3 AS part FROM r)"
 on_raster("rle", lambda px: packing.runs(color.nearest(px, BBC[:2]), "idx", most=3).select("y", "start", "value", "length"), _RUNS + " SELECT y, min(x) AS start, any_value(idx) AS value, count(*) AS length FROM q GROUP BY y, run, part")
 on_raster("pcx_runs", lambda px: packing.runs(color.nearest(px, BBC[:2]), "idx", most=3).select("y", "start", packing.pcx_bytes(F.col("length"), F.col("value")).alias("bytes")), _RUNS + " SELECT y, min(x) AS start, CASE WHEN count(*) = 1 THEN printf('%02X', any_value(idx)) ELSE printf('%02X%02X', count(*) + 192, any_value(idx)) END AS bytes FROM q GROUP BY y, run, part")
+_BYTES = ", m AS (SELECT y, x, CASE WHEN r < 250 THEN 5 ELSE 128 + g // 2 END AS idx FROM px), a AS (SELECT y, x, idx, CASE WHEN lag(idx) OVER w = idx THEN 0 ELSE 1 END AS s FROM m WINDOW w AS (PARTITION BY y ORDER BY x)), r AS (SELECT *, sum(s) OVER (PARTITION BY y ORDER BY x) AS run FROM a), q AS (SELECT *, (row_number() OVER (PARTITION BY y, run ORDER BY x) - 1) // 63 AS part FROM r)"
+on_raster("pcx_long_runs", lambda px: packing.runs(px.withColumn("idx", F.expr("case when r < 250 then 5 else 128 + g div 2 end")), "idx").select("y", "start", packing.pcx_bytes(F.col("length"), F.col("value")).alias("bytes")), _BYTES + " SELECT y, min(x) AS start, CASE WHEN count(*) = 1 AND any_value(idx) < 192 THEN printf('%02X', any_value(idx)) ELSE printf('%02X%02X', count(*) + 192, any_value(idx)) END AS bytes FROM q GROUP BY y, run, part")
 on_raster("ansi_changes", lambda px: packing.changes(color.nearest(px, BBC).withColumn("fg", F.expr("idx div 4")).withColumn("bg", F.expr("idx % 2")), "fg", "bg").select("y", "x", "fg", "bg"), nearest_sql(BBC) + ", c AS (SELECT y, x, idx // 4 AS fg, idx % 2 AS bg FROM m), d AS (SELECT *, lag(fg) OVER w AS pf, lag(bg) OVER w AS pb FROM c WINDOW w AS (ORDER BY y, x)) SELECT y, x, fg, bg FROM d WHERE pf IS NULL OR pf <> fg OR pb <> bg")
-_PATTERN = E8 + ", p AS (SELECT vec_id, bit_or(CASE WHEN lum > 127 AND x < 6 THEN 1::BIGINT << (63 - (y*8 + x))::INT ELSE 0 END) AS pattern FROM e8 WHERE y > 0 OR x > 0 GROUP BY 1)"
-_cells = lambda spark, d: packing.cell_patterns(embedding_cells(spark, d).where("y > 0 or x > 0"), "case when lum > 127 and x < 6 then 1 else 0 end", "vec_id")
+_PATTERN = E8 + ", p AS (SELECT vec_id, bit_or(CASE WHEN lum <= 127 THEN 0 WHEN x = 0 AND y = 0 THEN (-9223372036854775808)::BIGINT ELSE 1::BIGINT << (63 - (y*8 + x))::INT END) AS pattern FROM e8 GROUP BY 1)"
+_cells = lambda spark, d: packing.cell_patterns(embedding_cells(spark, d), "case when lum > 127 then 1 else 0 end", "vec_id")
 add("emb_cell", lambda spark, d: embedding_cells(spark, d), E8 + " SELECT * FROM e8")
 add("cell_patterns", _cells, _PATTERN + " SELECT * FROM p")
 _GLYPHS = [(k, (k * 0x0102040810204081) & 0x7FFFFFFFFFFFFFFF) for k in range(40)]
 add("nearest_glyph", lambda spark, d: packing.nearest_glyph(_cells(spark, d), _GLYPHS).select("vec_id", "code", "distance"), _PATTERN + ", g(code, bits) AS (VALUES " + ", ".join(f"({k}::BIGINT, {b}::BIGINT)" for k, b in _GLYPHS) + ") SELECT vec_id, arg_min(code, {'d': bit_count(xor(pattern, bits)), 'c': code}) AS code, CAST(min(bit_count(xor(pattern, bits))) AS BIGINT) AS distance FROM p, g GROUP BY 1")
 add("glyph_dedup", lambda spark, d: st.ranks_of_first_seen(_cells(spark, d), F.col("pattern"), "vec_id").select(F.col("value").alias("pattern"), "first", "slot"), _PATTERN + ", f AS (SELECT pattern, min(vec_id) AS first FROM p GROUP BY 1) SELECT pattern, first, row_number() OVER (ORDER BY first) - 1 AS slot FROM f")
-add("charset_allocation", lambda spark, d: packing.charset(_cells(spark, d), "vec_id", 64), _PATTERN + ", f AS (SELECT pattern, min(vec_id) AS first FROM p GROUP BY 1), k AS (SELECT pattern AS kept, row_number() OVER (ORDER BY first) - 1 AS code FROM f QUALIFY code < 64) SELECT vec_id, pattern, arg_min(code, {'d': bit_count(xor(pattern, kept)), 'c': code}) AS code, CAST(min(bit_count(xor(pattern, kept))) AS BIGINT) AS distance FROM p, k GROUP BY 1, 2")
+add("charset_allocation", lambda spark, d: packing.charset(_cells(spark, d), "vec_id", 256), _PATTERN + ", f AS (SELECT pattern, min(vec_id) AS first FROM p GROUP BY 1), k AS (SELECT pattern AS kept, row_number() OVER (ORDER BY first) - 1 AS code FROM f QUALIFY code < 256) SELECT vec_id, pattern, arg_min(code, {'d': bit_count(xor(pattern, kept)), 'c': code}) AS code, CAST(min(bit_count(xor(pattern, kept))) AS BIGINT) AS distance FROM p, k GROUP BY 1, 2")
 
 # Batches: names, sizes, disks, settings.
 
 
 def _docs(spark: SparkSession, d: str) -> DataFrame:
-    return spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "source", "lang", "n_chars", F.substring("text", 1, 24).alias("title"))
+    return spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "source", "lang", "n_chars")
+
+
+def _texts(spark: SparkSession, d: str) -> DataFrame:
+    return spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "text")
 
 
-_TITLE = "substring(text, 1, 24)"
-for _system, (_drop, _length, _empty) in batch.NAME_RULES.items():
-    _folded = _TITLE if _system == "amiga" else f"upper(replace({_TITLE}, 'ß', 'SS'))"
-    _kept = f"rtrim(substring(regexp_replace({_folded}, '{_drop}', '', 'g'), 1, {_length}), ' ')"
-    add(f"name_{_system}", lambda spark, d, s=_system: _docs(spark, d).select("doc_id", batch.clean_name(F.col("title"), s).alias("name")), f"SELECT doc_id, CASE WHEN length({_kept}) > 0 THEN {_kept} ELSE '{_empty}' END AS name FROM documents")
-_PRODOS = f"regexp_replace(upper(replace({_TITLE}, 'ß', 'SS')), '[^A-Z0-9.]', '', 'g')"
-add("name_prodos", lambda spark, d: _docs(spark, d).select("doc_id", batch.clean_prodos(F.col("title")).alias("name")), f"SELECT doc_id, substring(CASE WHEN regexp_matches({_PRODOS}, '^[A-Z]') THEN {_PRODOS} WHEN {_TITLE} IS NOT NULL THEN 'A' || {_PRODOS} END, 1, 15) AS name FROM documents")
+_UPPER = "upper(replace(text, 'ß', 'SS'))"
+_BASE = f"CASE WHEN instr({_UPPER}, '.') > 0 THEN regexp_replace({_UPPER}, '\\.[^.]*$', '') ELSE {_UPPER} END"
+for _system, (_drop, _length) in batch.NAME_RULES.items():
+    _folded = "regexp_replace(text, '^(.|\\n)*/', '')" if _system == "amiga" else _BASE
+    if _system == "bbc":
+        _folded = f"CASE WHEN length({_BASE}) > 2 AND substring({_BASE}, 2, 1) = '.' THEN substring({_BASE}, 3) ELSE {_BASE} END"
+    add(f"name_{_system}", lambda spark, d, s=_system: _texts(spark, d).select("doc_id", batch.clean_name(F.col("text"), s).alias("name")), f"SELECT doc_id, coalesce(substring(regexp_replace({_folded}, '{_drop}', '', 'g'), 1, {_length}), 'FILE') AS name FROM documents")
+_PRODOS = f"substring(regexp_replace(coalesce({_UPPER}, ''), '[^\\p{{L}}\\p{{M}}\\p{{N}}.]', '', 'g'), 1, 15)"
+add("name_prodos", lambda spark, d: _texts(spark, d).select("doc_id", batch.clean_prodos(F.col("text")).alias("name")), f"SELECT doc_id, CASE WHEN length({_PRODOS}) = 0 THEN 'UNNAMED' WHEN regexp_matches({_PRODOS}, '^\\p{{L}}') THEN {_PRODOS} ELSE substring('A' || {_PRODOS}, 1, 15) END AS name FROM documents")
+_FILE = "concat_ws('.', source, text, lang)"
+add("name_extension", lambda spark, d: spark.read.parquet(f"{d}/documents.parquet").select("doc_id", batch.clean_extension(F.concat_ws(".", "source", "text", "lang")).alias("extension")), f"SELECT doc_id, CASE WHEN instr({_FILE}, '.') > 0 THEN substring(regexp_replace(regexp_extract(upper(replace({_FILE}, 'ß', 'SS')), '\\.([^.]*)$', 1), '[^A-Z0-9]', '', 'g'), 1, 3) ELSE '' END AS extension FROM documents")
+_KIND = "CASE doc_id % 5 WHEN 0 THEN 'shr' WHEN 1 THEN 'A2GS' WHEN 2 THEN '3200' WHEN 3 THEN 'bin' ELSE lang END"
+add("prodos_types", lambda spark, d: spark.read.parquet(f"{d}/documents.parquet").select("doc_id", batch.prodos_type(F.expr(_KIND)).alias("t")).select("doc_id", "t.*"), f"SELECT doc_id, CASE WHEN doc_id % 5 < 3 THEN 193 ELSE 6 END AS type, CASE WHEN doc_id % 5 < 2 THEN 0 WHEN doc_id % 5 = 2 THEN 2 ELSE 8192 END AS aux, CASE WHEN doc_id % 5 < 3 THEN 'PIC' ELSE 'BIN' END AS extension FROM documents")
+add("name_cbm_bytes", lambda spark, d: spark.read.parquet(f"{d}/documents.parquet").select("doc_id", batch.cbm_bytes(F.concat_ws("-", "source", "lang")).alias("bytes")), "SELECT doc_id, rpad(hex(encode(translate(substring(concat_ws('-', source, lang), 1, 16), 'abcdefghijklmnopqrstuvwxyz', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ'))), 32, 'A0') AS bytes FROM documents")
+add("file_dates", lambda spark, d: spark.read.parquet(f"{d}/orders.parquet").select("o_orderkey", batch.prodos_date(F.col("o_orderdate")).alias("prodos"), batch.amiga_days(F.col("o_orderdate").cast("date")).alias("amiga")), "SELECT o_orderkey, year(o_orderdate) % 100 * 512 + month(o_orderdate) * 32 + day(o_orderdate) AS prodos, date_diff('day', DATE '1978-01-01', CAST(o_orderdate AS DATE)) AS amiga FROM orders")
+_OPTIONS = {"click": ["small", "large"], "purchase": ["large"], "view": ["small", "medium"]}
+add("option_available", lambda spark, d: batch.available(spark.read.parquet(f"{d}/events.parquet").withColumn("size", F.expr("case event_id % 3 when 0 then 'small' when 1 then 'medium' else 'large' end")), _OPTIONS, "event_type", "size").select("event_id", "option"), "WITH e AS (SELECT event_id, event_type, CASE event_id % 3 WHEN 0 THEN 'small' WHEN 1 THEN 'medium' ELSE 'large' END AS size FROM events), o(event_type, own) AS (VALUES " + ", ".join(f"('{k}', {v!r})" for k, v in _OPTIONS.items()) + ") SELECT event_id, CASE WHEN list_contains(own, size) THEN size ELSE own[1] END AS option FROM e LEFT JOIN o USING (event_type)")
+add("asset_union", lambda spark, d: batch.assets(spark.read.parquet(f"{d}/documents.parquet").where("text is not null").select("doc_id", "source", F.split(F.substring_index("text", " ", 3), " ").alias("parts")), "source", "parts").select("doc_id", "asset_name", "asset"), "SELECT doc_id, CASE WHEN n > 1 THEN source || '_' || k ELSE source END AS asset_name, parts[k] AS asset FROM (SELECT doc_id, source, parts, len(parts) AS n, unnest(range(1, len(parts) + 1)) AS k FROM (SELECT doc_id, source, string_split(text, ' ')[1:3] AS parts FROM documents WHERE text IS NOT NULL))")
 add("base_name", lambda spark, d: _docs(spark, d).select("doc_id", batch.base_name(F.concat_ws(".", "source", "lang")).alias("base")), "SELECT doc_id, CASE WHEN instr(concat_ws('.', source, lang), '.') > 0 THEN regexp_replace(concat_ws('.', source, lang), '\\.[^.]*$', '') ELSE concat_ws('.', source, lang) END AS base FROM documents")
 add("unique_names", lambda spark, d: batch.unique_names(_docs(spark, d), "source", "doc_id").select("doc_id", "nth", "unique"), "SELECT doc_id, nth, CASE WHEN nth = 1 THEN source ELSE source || '_' || nth END AS unique FROM (SELECT doc_id, source, row_number() OVER (PARTITION BY upper(source) ORDER BY doc_id) AS nth FROM documents)")
 add("name_hash", lambda spark, d: _docs(spark, d).select("doc_id", packing.name_hash(F.col("source")).alias("bucket")))
@@ -240,36 +291,9 @@ for _system in BUILDERS:
     add(f"disk_{_system}", lambda spark, d, s=_system: build_disks(_files(spark, d), s).select("disk_id", "system", "size_bytes", "files", F.md5("content").alias("digest")))
 for _system in LISTINGS:
     add(f"listing_{_system}", lambda spark, d, s=_system: list_disks(build_disks(_files(spark, d), s), s))
-add("basic_tokens", lambda spark, d: basic.tokenise_programs(_docs(spark, d).select("doc_id", F.concat(F.lit("10 REM "), "title", F.lit("\n20 PRINT \"X\" : GOTO 10")).alias("text"))).select("doc_id", F.hex("content").alias("program")))
-
-# The operators above whose query (and SQL) takes a part of its table, over the whole raster, whole texts and whole cells.
-
-
-def _height(px: DataFrame) -> int:
-    return (px.agg(F.max("y")).first()[0] or 0) + 1
-
-
-_SEEN = ", e AS (SELECT max(y) AS bottom FROM px) {select} FROM px p, e, (SELECT range - {k} AS d FROM range({n})) a, (SELECT range - {k} AS d FROM range({n})) c JOIN px q ON q.x = greatest(least(p.x + a.d, 149), 0) AND q.y = greatest(least(p.y + c.d, e.bottom), 0) {where} GROUP BY p.x, p.y"
-on_raster("swahe_whole", lambda px: st.local_rank(st.with_bin(px), 2), f", s AS (SELECT x, y, {BIN} AS bin FROM px) SELECT p.y, p.x, p.bin, count(*) FILTER (q.bin <= p.bin) * 255 // count(*) AS new FROM s p, (SELECT range - 2 AS d FROM range(5)) a, (SELECT range - 2 AS d FROM range(5)) c JOIN s q ON q.x = p.x + a.d AND q.y = p.y + c.d GROUP BY 1, 2, 3")
-for _reach in (1, 2):
-    on_raster(f"median{2 * _reach + 1}_whole", lambda px, k=_reach: st.median(px, "r", k, 150, _height(px)).select("x", "y", "r"), _SEEN.format(select="SELECT p.x, p.y, quantile_disc(q.r, 0.5) AS r", k=_reach, n=2 * _reach + 1, where=""))
-on_raster("sigma3_whole", lambda px: st.sigma_filter(px, 1, 120, 150, _height(px)).select("x", "y", "r", "g", "b"), _SEEN.format(select="SELECT p.x, p.y, avg(q.r) AS r, avg(q.g) AS g, avg(q.b) AS b", k=1, n=3, where="WHERE abs(q.r-p.r) + abs(q.g-p.g) + abs(q.b-p.b) < 120"))
-on_raster("unused_colours_whole", lambda px: px.sparkSession.range(len(CPC)).select(F.col("id").alias("idx")).join(color.nearest(px, CPC).select("idx").distinct(), "idx", "left_anti"), nearest_sql(CPC) + " SELECT i AS idx FROM pal WHERE i NOT IN (SELECT idx FROM m)")
-on_raster("msx_best_pair_whole", lambda px: packing.best_pair(px.withColumn("seg", F.expr("x div 8")), ("y", "seg"), TMS9918).select("y", "seg", "i", "j", "err"), ORACLE_SQL["msx_best_pair"].removeprefix(R150).replace(" WHERE y < 10 ", " "))
-
-_WHOLE = E8 + ", p AS (SELECT vec_id, bit_or(CASE WHEN lum <= 127 THEN 0 WHEN x = 0 AND y = 0 THEN (-9223372036854775808)::BIGINT ELSE 1::BIGINT << (63 - (y*8 + x))::INT END) AS pattern FROM e8 GROUP BY 1)"
-_whole_cells = lambda spark, d: packing.cell_patterns(embedding_cells(spark, d), "case when lum > 127 then 1 else 0 end", "vec_id")
-add("cell_patterns_whole", _whole_cells, _WHOLE + " SELECT * FROM p")
-add("nearest_glyph_whole", lambda spark, d: packing.nearest_glyph(_whole_cells(spark, d), _GLYPHS).select("vec_id", "code", "distance"), ORACLE_SQL["nearest_glyph"].replace(_PATTERN, _WHOLE))
-add("glyph_dedup_whole", lambda spark, d: st.ranks_of_first_seen(_whole_cells(spark, d), F.col("pattern"), "vec_id").select(F.col("value").alias("pattern"), "first", "slot"), ORACLE_SQL["glyph_dedup"].replace(_PATTERN, _WHOLE))
-add("charset_allocation_whole", lambda spark, d: packing.charset(_whole_cells(spark, d), "vec_id", 64), ORACLE_SQL["charset_allocation"].replace(_PATTERN, _WHOLE))
-
-
-def _texts(spark: SparkSession, d: str) -> DataFrame:
-    return spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "text")
-
+add("basic_tokens", lambda spark, d: basic.remark_programs(_texts(spark, d), "doc_id").select("doc_id", "part", F.hex("content").alias("program")))
 
-for _system in batch.NAME_RULES:
-    add(f"name_{_system}_whole", lambda spark, d, s=_system: _texts(spark, d).select("doc_id", batch.clean_name(F.col("text"), s).alias("name")), ORACLE_SQL[f"name_{_system}"].replace(_TITLE, "text"))
-add("name_prodos_whole", lambda spark, d: _texts(spark, d).select("doc_id", batch.clean_prodos(F.col("text")).alias("name")), ORACLE_SQL["name_prodos"].replace(_TITLE, "text"))
-add("basic_tokens_whole", lambda spark, d: basic.remark_programs(_texts(spark, d), "doc_id").select("doc_id", "part", F.hex("content").alias("program")))
+# Further names of the same queries, from when those without the ending took a part of their table.
+for _name in ["median3", "median5", "sigma3", "unused_colours", "msx_best_pair", "cell_patterns", "nearest_glyph", "glyph_dedup", "charset_allocation", "basic_tokens", "name_prodos", *[f"name_{s}" for s in batch.NAME_RULES]]:
+    add(f"{_name}_whole", QUERIES[_name], ORACLE_SQL.get(_name))
+add("swahe_whole", QUERIES["swahe_small"], ORACLE_SQL["swahe_small"])

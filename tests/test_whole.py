@@ -68,7 +68,7 @@ def test_whole_cells(spark, tall):
 
 def test_names_of_whole_texts(spark, tall):
     names = {r["doc_id"]: r["name"] for r in catalog.QUERIES["name_amiga_whole"](spark, tall[0]).collect()}
-    assert names[5] == "thirty characters and more of" and names[1] == "FILE"
+    assert names[5] == "thirty characters and more of " and names[1] == "FILE"
     assert {r["doc_id"]: r["name"] for r in catalog.QUERIES["name_atari_whole"](spark, tall[0]).collect()}[0] == "ABLATEWO"
 
 
