@@ -67,6 +67,24 @@ def trdos(files: list[File], label: str = "DISK") -> tuple[bytes, list[str]]:
     return bytes(image), stored
 
 
+def list_trdos(image: bytes) -> list[tuple[str, int]]:
+    """Names with their bytes."""
+    rows = [image[16 * k : 16 * k + 16] for k in range(image[8 * 256 + 228])]
+    return sorted((row[:8].decode("ascii").rstrip(), struct.unpack("<H", row[11:13])[0]) for row in rows)
+
+
+def acorn_double(files: list[File], title: str = "DISK", tracks: int = 80) -> tuple[bytes, list[str]]:
+    """Two single sides one after the other, each with a catalogue of its own; what the first does not take goes to the second."""
+    first, stored = acorn_dfs(files, title, tracks)
+    second, more = acorn_dfs(files[len(stored) :], title, tracks)
+    return first + second, stored + more
+
+
+def list_acorn_double(image: bytes) -> list[tuple[str, int]]:
+    half = len(image) // 2
+    return sorted(list_acorn_dfs(image[:half]) + list_acorn_dfs(image[half:]))
+
+
 _ZONES = ((17, 21), (24, 19), (30, 18), (35, 17))
 
 
@@ -74,52 +92,98 @@ def _sectors(track: int) -> int:
     return next(n for last, n in _ZONES if track <= last)
 
 
+def _bitmap(free: list[int], size: int) -> bytes:
+    return sum(1 << s for s in free).to_bytes(size, "little")
+
+
+class Commodore:
+    """Disks of 256-byte sectors with a link in each: 254 bytes a sector, the directory on a track of its own, a file that does
+    not fit cut short. kind: 1541 (35 tracks in zones), 1571 (two such sides) or 1581 (80 tracks of 40 sectors)."""
+
+    def __init__(self, kind: str) -> None:
+        self.kind = kind
+        zones = [_sectors(t) for t in range(1, 36)]
+        self.sizes = {"1541": zones, "1571": zones * 2, "1581": [40] * 80}[kind]
+        self.base = np.concatenate([[0], np.cumsum(self.sizes)])
+        self.track, self.first, self.entries = (40, 3, 296) if kind == "1581" else (18, 1, 144)
+        # Tracks that hold no files: the directory's, and on a 1571 that of the second bitmap.
+        self.kept = {self.track} | ({53} if kind == "1571" else set())
+
+    def place(self, track: int, sector: int) -> int:
+        return int(self.base[track - 1] + sector) * 256
+
+    def build(self, files: list[File], label: str = "DISK") -> tuple[bytes, list[str]]:
+        image = bytearray(int(self.base[-1]) * 256)
+        free = [(t, s) for t, n in enumerate(self.sizes, 1) if t not in self.kept for s in range(n)]
+        used, stored, entries, at = set(), [], [], 0
+        for name, data in files[: self.entries]:
+            blocks = [data[k : k + 254] for k in range(0, len(data), 254)] or [b""]
+            chain = free[at : at + len(blocks)]
+            at += len(chain)
+            if not chain:
+                break
+            for k, (spot, block) in enumerate(zip(chain, blocks, strict=False)):
+                last = k + 1 == len(chain)
+                where = self.place(*spot)
+                image[where : where + 2] = bytes([0, len(block) + 1] if last else chain[k + 1])
+                image[where + 2 : where + 2 + len(block)] = block
+            used.update(chain)
+            entries.append(bytes([0x82, *chain[0]]) + name.upper()[:16].encode("ascii", "replace").ljust(16, b"\xa0") + bytes(9) + struct.pack("<H", len(chain)))
+            stored.append(name)
+        for k in range(0, max(1, len(entries)), 8):
+            sector = self.first + k // 8
+            spot = self.place(self.track, sector)
+            used.add((self.track, sector))
+            image[spot : spot + 2] = bytes([self.track, sector + 1] if k + 8 < len(entries) else [0, 255])
+            for n, entry in enumerate(entries[k : k + 8]):
+                image[spot + 32 * n + 2 : spot + 32 * n + 2 + len(entry)] = entry
+        self._head(image, used, label.upper()[:16].encode("ascii", "replace").ljust(16, b"\xa0"))
+        return bytes(image), stored
+
+    def _head(self, image: bytearray, used: set[tuple[int, int]], label: bytes) -> None:
+        used.update((self.track, s) for s in range(self.first))
+        left = lambda t: [s for s in range(self.sizes[t - 1]) if (t, s) not in used]
+        head = self.place(self.track, 0)
+        if self.kind == "1581":
+            image[head : head + 4] = bytes([40, 3, 0x44, 0])
+            image[head + 4 : head + 29] = label + b"\xa0\xa000\xa03D\xa0\xa0"
+            for part in range(2):
+                spot = self.place(40, 1 + part)
+                image[spot : spot + 7] = bytes([0 if part else 40, 255 if part else 2, 0x44, 0xBB, 0x30, 0x30, 0xC0])
+                for k in range(40):
+                    open_ = left(40 * part + k + 1)
+                    image[spot + 16 + 6 * k : spot + 22 + 6 * k] = bytes([len(open_)]) + _bitmap(open_, 5)
+            return
+        image[head : head + 4] = bytes([18, 1, 0x41, 0x80 if self.kind == "1571" else 0])
+        for t in range(1, 36):
+            image[head + 4 * t : head + 4 * t + 4] = bytes([len(left(t))]) + _bitmap(left(t), 3)
+        image[head + 144 : head + 171] = label + b"\xa0\xa000\xa02A" + b"\xa0" * 4
+        if self.kind == "1571":
+            used.update((53, s) for s in range(self.sizes[52]))
+            for t in range(36, 71):
+                image[head + 221 + t - 36] = len(left(t))
+                spot = self.place(53, 0) + 3 * (t - 36)
+                image[spot : spot + 3] = _bitmap(left(t), 3)
+
+    def listing(self, image: bytes) -> list[tuple[str, int]]:
+        """Names with their blocks."""
+        out, track, sector = [], self.track, self.first
+        while track:
+            spot = self.place(track, sector)
+            for n in range(8):
+                entry = image[spot + 32 * n : spot + 32 * n + 32]
+                if entry[2]:
+                    out.append((entry[5:21].rstrip(b"\xa0").decode("ascii"), struct.unpack("<H", entry[30:32])[0]))
+            track, sector = image[spot], image[spot + 1]
+        return sorted(out)
+
+
 def commodore_1541(files: list[File], label: str = "DISK") -> tuple[bytes, list[str]]:
-    """35 tracks; 254 bytes a sector and a link; the directory on track 18; a file that does not fit is cut short."""
-    base = np.concatenate([[0], np.cumsum([_sectors(t) for t in range(1, 36)])])
-    image = bytearray(174848)
-    free = [(t, s) for t in range(1, 36) if t != 18 for s in range(_sectors(t))]
-    used, stored, entries = set(), [], []
-    place = lambda t, s: int(base[t - 1] + s) * 256
-    for name, data in files[:144]:
-        blocks = [data[k : k + 254] for k in range(0, len(data), 254)] or [b""]
-        chain = [free.pop(0) for _ in blocks[: len(free)]]
-        if not chain:
-            break
-        for k, (spot, block) in enumerate(zip(chain, blocks, strict=False)):
-            last = k + 1 == len(chain)
-            image[place(*spot) : place(*spot) + 2] = bytes([0, len(block) + 1] if last else chain[k + 1])
-            image[place(*spot) + 2 : place(*spot) + 2 + len(block)] = block
-        used.update(chain)
-        entries.append(bytes([0x82, *chain[0]]) + name.upper()[:16].encode("ascii", "replace").ljust(16, b"\xa0") + bytes(9) + struct.pack("<H", len(chain)))
-        stored.append(name)
-    for k in range(0, max(1, len(entries)), 8):
-        spot = place(18, 1 + k // 8)
-        used.add((18, 1 + k // 8))
-        image[spot : spot + 2] = bytes([18, 2 + k // 8] if k + 8 < len(entries) else [0, 255])
-        for n, entry in enumerate(entries[k : k + 8]):
-            image[spot + 32 * n + 2 : spot + 32 * n + 2 + len(entry)] = entry
-    used.add((18, 0))
-    head = place(18, 0)
-    image[head : head + 4] = bytes([18, 1, 0x41, 0])
-    for t in range(1, 36):
-        open_ = [s for s in range(_sectors(t)) if (t, s) not in used]
-        image[head + 4 * t : head + 4 * t + 4] = bytes([len(open_)]) + sum(1 << s for s in open_).to_bytes(3, "little")
-    image[head + 144 : head + 171] = label.upper()[:16].encode("ascii", "replace").ljust(16, b"\xa0") + b"\xa0\xa000\xa02A" + b"\xa0" * 4
-    return bytes(image), stored
+    return Commodore("1541").build(files, label)
 
 
 def list_commodore_1541(image: bytes) -> list[tuple[str, int]]:
-    base = np.concatenate([[0], np.cumsum([_sectors(t) for t in range(1, 36)])])
-    out, track, sector = [], 18, 1
-    while track:
-        spot = int(base[track - 1] + sector) * 256
-        for n in range(8):
-            entry = image[spot + 32 * n : spot + 32 * n + 32]
-            if entry[2]:
-                out.append((entry[5:21].rstrip(b"\xa0").decode("ascii"), struct.unpack("<H", entry[30:32])[0]))
-        track, sector = image[spot], image[spot + 1]
-    return sorted(out)
+    return Commodore("1541").listing(image)
 
 
 #: (bytes a sector is 512 in all) sectors, sectors a cluster, root entries, media byte, sectors a FAT, sectors a track, heads.
@@ -444,5 +508,5 @@ def extract_prodos(image: bytes, wanted: str) -> bytes | None:
     return None
 
 
-BUILDERS = {"acorn_dfs": acorn_dfs, "atari_dos": atari_dos, "coco_dos": coco_dos, "prodos": prodos, "trdos": trdos, "commodore_1541": commodore_1541, "cpc_data": cpc_data, "amiga_ofs": amiga_ofs, **{g: (lambda files, g=g: fat12(files, g)) for g in FAT12}}
-LISTINGS = {"acorn_dfs": list_acorn_dfs, "atari_dos": list_atari_dos, "coco_dos": list_coco_dos, "prodos": list_prodos, "commodore_1541": list_commodore_1541, "cpc_data": list_cpc_entries, "amiga_ofs": lambda image: [e[:2] for e in list_amiga(image)], **dict.fromkeys(FAT12, list_fat12)}
+BUILDERS = {"acorn_dfs": acorn_dfs, "acorn_double": acorn_double, "commodore_1571": Commodore("1571").build, "commodore_1581": Commodore("1581").build, "atari_dos": atari_dos, "coco_dos": coco_dos, "prodos": prodos, "trdos": trdos, "commodore_1541": commodore_1541, "cpc_data": cpc_data, "amiga_ofs": amiga_ofs, **{g: (lambda files, g=g: fat12(files, g)) for g in FAT12}}
+LISTINGS = {"acorn_dfs": list_acorn_dfs, "acorn_double": list_acorn_double, "trdos": list_trdos, "commodore_1571": Commodore("1571").listing, "commodore_1581": Commodore("1581").listing, "atari_dos": list_atari_dos, "coco_dos": list_coco_dos, "prodos": list_prodos, "commodore_1541": list_commodore_1541, "cpc_data": list_cpc_entries, "amiga_ofs": lambda image: [e[:2] for e in list_amiga(image)], **dict.fromkeys(FAT12, list_fat12)}

@@ -12,7 +12,7 @@ from ..functions.palettes import BBC, C64, CPC, PALETTES, TMS9918, VIC20, ZX, Co
 from ..functions.disks import BUILDERS, LISTINGS
 from ..operators import batch, color, machines, packing, sequential
 from ..operators import statistics as st
-from ..sources.disks import build_disks, list_disks
+from ..sources.disks import build_disks, extract_files, list_disks
 from ..sources.rasters import embedding_cells, orders_raster
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -229,10 +229,21 @@ add("option_available", lambda spark, d: batch.available(spark.read.parquet(f"{d
 add("asset_union", lambda spark, d: batch.assets(spark.read.parquet(f"{d}/documents.parquet").where("text is not null").select("doc_id", "source", F.split(F.substring_index("text", " ", 3), " ").alias("parts")), "source", "parts").select("doc_id", "asset_name", "asset"), "SELECT doc_id, CASE WHEN n > 1 THEN source || '_' || k ELSE source END AS asset_name, parts[k] AS asset FROM (SELECT doc_id, source, parts, len(parts) AS n, unnest(range(1, len(parts) + 1)) AS k FROM (SELECT doc_id, source, string_split(text, ' ')[1:3] AS parts FROM documents WHERE text IS NOT NULL))")
 add("base_name", lambda spark, d: _docs(spark, d).select("doc_id", batch.base_name(F.concat_ws(".", "source", "lang")).alias("base")), "SELECT doc_id, CASE WHEN instr(concat_ws('.', source, lang), '.') > 0 THEN regexp_replace(concat_ws('.', source, lang), '\\.[^.]*$', '') ELSE concat_ws('.', source, lang) END AS base FROM documents")
 add("unique_names", lambda spark, d: batch.unique_names(_docs(spark, d), "source", "doc_id").select("doc_id", "nth", "unique"), "SELECT doc_id, nth, CASE WHEN nth = 1 THEN source ELSE source || '_' || nth END AS unique FROM (SELECT doc_id, source, row_number() OVER (PARTITION BY upper(source) ORDER BY doc_id) AS nth FROM documents)")
-add("name_hash", lambda spark, d: _docs(spark, d).select("doc_id", packing.name_hash(F.col("source")).alias("bucket")))
+add("name_hash", lambda spark, d: _docs(spark, d).select("doc_id", packing.name_hash(F.col("source")).alias("bucket")), "SELECT doc_id, list_reduce(list_concat([CAST(length(source) AS BIGINT)], [CAST(ord(c) AS BIGINT) FOR c IN string_split(upper(source), '')]), lambda h, c: (h * 13 + c) & 2047) % 72 AS bucket FROM documents")
 add("disk_running_sum", lambda spark, d: batch.allocate(_docs(spark, d), "n_chars", 488, "doc_id", ("source",), 24).select("doc_id", "blocks", "first_block", "end_block"), "SELECT doc_id, (n_chars + 487) // 488 AS blocks, CAST(24 + sum((n_chars + 487) // 488) OVER w - (n_chars + 487) // 488 AS BIGINT) AS first_block, CAST(24 + sum((n_chars + 487) // 488) OVER w AS BIGINT) AS end_block FROM documents WINDOW w AS (PARTITION BY source ORDER BY doc_id)")
+def _fit_sql(rule: str) -> str:
+    """The fold over a source's files as a recursive query: what is used, how many are stored, and whether the disk has ended."""
+    stored = "least(need, 664 - used)" if rule == "truncate" else "need"
+    takes = f"NOT ended AND files < 144 AND {stored} <= 664 - used AND ({stored} > 0 OR need = 0)"
+    return f"""WITH RECURSIVE n AS (SELECT source, doc_id, (n_chars + 253) // 254 AS need, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS k FROM documents),
+ f AS (SELECT source, 0::BIGINT AS k, 0::BIGINT AS used, 0::BIGINT AS files, false AS ended, NULL::BIGINT AS ord, NULL::BIGINT AS stored, NULL::BIGINT AS first FROM (SELECT DISTINCT source FROM documents)
+ UNION ALL SELECT f.source, n.k, used + CASE WHEN {takes} THEN {stored} ELSE 0 END, files + CASE WHEN {takes} THEN 1 ELSE 0 END, ended OR ({'NOT (' + takes + ')' if rule == 'stop' else 'false'}),
+ CASE WHEN {takes} THEN n.doc_id END, CASE WHEN {takes} THEN {stored} END, CASE WHEN {takes} THEN used END FROM f JOIN n ON n.source IS NOT DISTINCT FROM f.source AND n.k = f.k + 1)
+ SELECT source, ord, stored, first FROM f WHERE ord IS NOT NULL"""
+
+
 for _rule in ("skip", "stop", "truncate"):
-    add(f"disk_fit_{_rule}", lambda spark, d, r=_rule: batch.fit(_docs(spark, d), "n_chars", 254, 664, 144, "doc_id", ("source",), r).select("source", "ord", "stored", "first"))
+    add(f"disk_fit_{_rule}", lambda spark, d, r=_rule: batch.fit(_docs(spark, d), "n_chars", 254, 664, 144, "doc_id", ("source",), r).select("source", "ord", "stored", "first"), _fit_sql(_rule))
 add("disk_fits", lambda spark, d: batch.allocate(_docs(spark, d), "n_chars", 254, "doc_id", ("source",)).where("end_block <= 664").groupBy("source").agg(F.count("*").alias("files"), F.max("end_block").alias("used")), "SELECT source, count(*) AS files, CAST(max(e) AS BIGINT) AS used FROM (SELECT source, sum((n_chars + 253) // 254) OVER (PARTITION BY source ORDER BY doc_id) AS e FROM documents) WHERE e <= 664 GROUP BY 1")
 add("dir_listing", lambda spark, d: _docs(spark, d).groupBy("source").agg(F.sum(F.expr("((n_chars + 127) div 128) * 128")).alias("bytes"), F.count("*").alias("extents")).orderBy(F.lower("source")), "SELECT source, CAST(sum((n_chars + 127) // 128 * 128) AS BIGINT) AS bytes, count(*) AS extents FROM documents GROUP BY 1")
 add("size_text", lambda spark, d: _docs(spark, d).select("doc_id", batch.size_text(F.col("n_chars")).alias("size")), "SELECT doc_id, CASE WHEN n_chars < 1024 THEN printf('%d B', n_chars) WHEN n_chars < 1048576 THEN printf('%.1f KB', floor(n_chars / 1024.0::DOUBLE * 10 + 0.5::DOUBLE) / 10) ELSE printf('%.1f MB', floor(n_chars / 1048576.0::DOUBLE * 10 + 0.5::DOUBLE) / 10) END AS size FROM documents")
@@ -289,8 +300,26 @@ def _files(spark: SparkSession, d: str) -> DataFrame:
 
 for _system in BUILDERS:
     add(f"disk_{_system}", lambda spark, d, s=_system: build_disks(_files(spark, d), s).select("disk_id", "system", "size_bytes", "files", F.md5("content").alias("digest")))
+# Which files a disk stores, as SQL: `need` of each, summed in order; what does not fit ends the disk or is cut short.
+_DISK_FILES = "f AS (SELECT doc_id // 20 AS disk_id, doc_id AS ord, 'F' || doc_id || '.TXT' AS name, octet_length(encode(text)) AS bytes, md5(text) AS digest FROM documents WHERE text IS NOT NULL)"
+
+
+def _stored_sql(need: str, first: int, room: int, most: int, bad: str = "false") -> str:
+    """g: the stored files of disks that end with the first file that does not fit."""
+    return f"WITH {_DISK_FILES}, n AS (SELECT *, {need} AS need FROM f), c AS (SELECT *, {first} + sum(need) OVER w AS upto, row_number() OVER w AS k, bool_or({bad}) OVER w AS ended FROM n WINDOW w AS (PARTITION BY disk_id ORDER BY ord)), g AS (SELECT * FROM c WHERE upto <= {room} AND k <= {most} AND NOT ended)"
+
+
+_PRODOS_NEED = "greatest(1, (bytes + 511) // 512) + CASE WHEN bytes <= 512 THEN 0 ELSE ((bytes + 511) // 512 + 255) // 256 END + CASE WHEN bytes > 131072 THEN 1 ELSE 0 END"
+_LISTED = {
+    "acorn_dfs": _stored_sql("(bytes + 255) // 256", 2, 800, 31) + " SELECT disk_id, substring(name, 1, 7) AS name, bytes AS size FROM g",
+    "trdos": _stored_sql("(bytes + 255) // 256", 16, 2560, 128, "(bytes + 255) // 256 > 255") + " SELECT disk_id, rtrim(substring(name, 1, 8)) AS name, bytes % 65536 AS size FROM g",
+    "prodos": _stored_sql(_PRODOS_NEED, 24, 1600, 51) + " SELECT disk_id, name, bytes AS size FROM g",
+}
+for _system, _blocks, _most in (("commodore_1541", 664, 144), ("commodore_1571", 1328, 144), ("commodore_1581", 3160, 296)):
+    _LISTED[_system] = f"WITH {_DISK_FILES}, n AS (SELECT *, greatest(1, (bytes + 253) // 254) AS need FROM f), c AS (SELECT *, CAST(sum(need) OVER w AS BIGINT) - need AS before, row_number() OVER w AS k FROM n WINDOW w AS (PARTITION BY disk_id ORDER BY ord)) SELECT disk_id, substring(name, 1, 16) AS name, least(need, {_blocks} - before) AS size FROM c WHERE before < {_blocks} AND k <= {_most}"
 for _system in LISTINGS:
-    add(f"listing_{_system}", lambda spark, d, s=_system: list_disks(build_disks(_files(spark, d), s), s))
+    add(f"listing_{_system}", lambda spark, d, s=_system: list_disks(build_disks(_files(spark, d), s), s), _LISTED.get(_system))
+add("extract_prodos", lambda spark, d: extract_files(build_disks(_files(spark, d), "prodos")).select("disk_id", "name", F.octet_length("content").cast("long").alias("bytes"), F.md5("content").alias("digest")), _stored_sql(_PRODOS_NEED, 24, 1600, 51) + " SELECT disk_id, name, bytes, digest FROM g")
 add("basic_tokens", lambda spark, d: basic.remark_programs(_texts(spark, d), "doc_id").select("doc_id", "part", F.hex("content").alias("program")))
 
 # Further names of the same queries, from when those without the ending took a part of their table.

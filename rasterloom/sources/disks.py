@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.disks import BUILDERS, LISTINGS
+from ..functions.disks import BUILDERS, LISTINGS, extract_prodos
 
 
 def _build(rows: pd.DataFrame, system: str) -> pd.DataFrame:
@@ -38,6 +38,20 @@ def list_disks(disks: DataFrame, system: str) -> DataFrame:
     return listed.groupBy("disk_id", "name").agg((F.sum("size") * 128).alias("size")) if system == "cpc_data" else listed
 
 
+def _extract(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for batch in batches:
+        for k, content in zip(batch["disk_id"], batch["content"], strict=True):
+            image = bytes(content)
+            rows = [(k, name, extract_prodos(image, name)) for name, _ in LISTINGS["prodos"](image)]
+            yield pd.DataFrame(rows, columns=["disk_id", "name", "content"])
+
+
+def extract_files(disks: DataFrame) -> DataFrame:
+    """(disk_id, name, content) of every file of ProDOS volumes, read back through its index blocks."""
+    kind = dict(disks.dtypes)["disk_id"]
+    return disks.select("disk_id", "content").mapInPandas(_extract, f"disk_id {kind}, name string, content binary")
+
+
 def write_files(rows: DataFrame, folder: str, name: str = "name", content: str = "content") -> DataFrame:
     """Each row's content as a file below folder, replacing one of that name; (name, error) with a row's failure kept."""
 

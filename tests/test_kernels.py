@@ -159,6 +159,27 @@ def test_cpm_extents_are_summed(spark):
     assert {r["name"]: r["size"] for r in list_disks(built, "cpc_data").collect()} == {"BIG.BIN": 40064, "SMALL.BIN": 128}
 
 
+def test_double_sided_commodore_disks():
+    files = [(f"F{k}", bytes([k]) * 9000) for k in range(40)]
+    for kind, size, room in (("1571", 349696, 1328), ("1581", 819200, 3160)):
+        disk = disks.Commodore(kind)
+        image, stored = disk.build(files)
+        need = -(-9000 // 254)
+        assert len(image) == size and len(stored) == min(40, -(-room // need)) and sum(b for _, b in disk.listing(image)) == min(room, 40 * need)
+        chain, (track, sector) = b"", image[disk.place(disk.track, disk.first) + 3 :][:2]
+        while track:
+            spot = disk.place(track, sector)
+            track, sector = image[spot], image[spot + 1]
+            chain += image[spot + 2 : spot + 256 if track else spot + sector + 1]
+        assert chain == files[0][1]
+
+
+def test_second_side_takes_what_the_first_does_not():
+    files = [(f"F{k}", bytes(5000)) for k in range(50)]
+    image, stored = disks.acorn_double(files)
+    assert len(image) == 409600 and len(stored) == 50 and len(disks.list_acorn_double(image)) == 50 and image[261] == 31 * 8
+
+
 def test_full_disks_skip_or_stop():
     files = [("A.BIN", bytes(300_000)), ("B.BIN", bytes(500_000)), ("C.BIN", bytes(1000))]
     assert disks.fat12(files, "pc_720")[1] == ["A.BIN", "C.BIN"]
