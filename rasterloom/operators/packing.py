@@ -99,6 +99,29 @@ def cell_quantise(matched: DataFrame, colours: int, width: int = 8, height: int
     return counts.groupBy(*keys, "cy", "cx").agg(F.transform(F.slice(ranked, 1, colours), lambda c: c["i"]).alias("colours"))
 
 
+def cell_choose(pixels: DataFrame, cells: DataFrame, palette: list[tuple[int, int, int]], width: int = 8, height: int = 8, last: bool = False, keys: tuple[str, ...] = ()) -> DataFrame:
+    """pixels with `slot` and `idx`: which of its cell's colours, cells(keys, cy, cx, colours), is nearest to each pixel.
+
+    On a tie the first of the cell's colours is taken, or the last. One join on the cell; a cell's colours are a few.
+    """
+    celled = pixels.withColumns({"cy": F.expr(f"y div {height}"), "cx": F.expr(f"x div {width}")}).join(cells.select(*keys, "cy", "cx", "colours"), [*keys, "cy", "cx"])
+    table = F.array(*[F.struct(F.lit(r).cast("long").alias("r"), F.lit(g).cast("long").alias("g"), F.lit(b).cast("long").alias("b")) for r, g, b in palette])
+    gap = lambda c, p: (F.col(c) - p[c]) * (F.col(c) - p[c])
+    placed = F.transform("colours", lambda i, k: F.struct(sum((gap(c, F.element_at(table, i.cast("int") + 1)) for c in "rgb"), F.lit(0)).alias("d"), (-k if last else k).alias("k"), i.alias("i")))
+    best = celled.withColumn("__best", F.array_min(placed))
+    return best.withColumns({"slot": F.abs("__best.k").cast("long"), "idx": F.col("__best.i")}).drop("__best", "colours")
+
+
+def contrast_cells(pixels: DataFrame, background: tuple[int, int, int], foreground: str, least: float = 0.1, width: int = 8, height: int = 8, keys: tuple[str, ...] = ()) -> DataFrame:
+    """(keys, cy, cx, fg): of each cell's pixels the one whose luma (0..1) is furthest from the background's tells the
+    foreground, the column `foreground` of that pixel; null where no pixel is `least` away. The first in order of rows wins a tie."""
+    luma = "(0.299e0*{} + 0.587e0*{} + 0.114e0*{})/255e0".format
+    gap = F.expr(f"abs({luma('r', 'g', 'b')} - {luma(*background)})")
+    celled = pixels.withColumns({"cy": F.expr(f"y div {height}"), "cx": F.expr(f"x div {width}"), "__gap": gap})
+    strong = F.when(F.col("__gap") >= F.lit(least), F.struct("__gap", -F.col("y"), -F.col("x")))
+    return celled.groupBy(*keys, "cy", "cx").agg(F.max_by(foreground, strong).alias("fg"))
+
+
 def best_pair(segments: DataFrame, keys: tuple[str, ...], palette: list[tuple[int, int, int]]) -> DataFrame:
     """For each segment the pair (i, j), i <= j, of colours with the least sum of squared distances, each pixel taking
     the nearer of the two; the first pair on ties. Pairs are a constant array: one shuffle, of summed arrays."""

@@ -31,19 +31,23 @@ def _image(rows: pd.DataFrame) -> np.ndarray:
     return out
 
 
-def diffuse_array(image: np.ndarray, palette: np.ndarray, kernel: str = "floyd_steinberg", amount: float = 1.0, cell: tuple[int, int] | None = None) -> np.ndarray:
+def diffuse_array(image: np.ndarray, palette: np.ndarray, kernel: str = "floyd_steinberg", amount: float = 1.0, cell: tuple[int, int] | None = None, slots: np.ndarray | None = None) -> np.ndarray:
     """Indices of an image with its error diffused; sources are clamped before use, ties go to the lowest index.
 
-    cell: visit cells of (width, height) one after the other and keep the error inside each.
+    cell: visit cells of (width, height) one after the other and keep the error inside each. slots: the palette of each
+    line, palette then being a table of palettes; where the next line has another one, error stays in its line.
     """
     taps, total = DIFFUSION[kernel]
     height, width, _ = image.shape
-    work, out = image.astype(float).copy(), np.zeros((height, width), np.int64)
+    work, out, palettes = image.astype(float).copy(), np.zeros((height, width), np.int64), palette
     cw, ch = cell or (width, height)
     for top in range(0, height, ch):
         for left in range(0, width, cw):
             bottom, right = min(top + ch, height), min(left + cw, width)
             for y in range(top, bottom):
+                if slots is not None:
+                    palette = palettes[slots[y]]
+                down = slots is None or (y + 1 < height and slots[y + 1] == slots[y])
                 for x in range(left, right):
                     want = np.clip(work[y, x], 0, 255)
                     gap = palette - want
@@ -51,7 +55,7 @@ def diffuse_array(image: np.ndarray, palette: np.ndarray, kernel: str = "floyd_s
                     out[y, x] = best
                     error = (want - palette[best]) * (amount / total)
                     for dx, dy, weight in taps:
-                        if left <= x + dx < right and y + dy < bottom:
+                        if left <= x + dx < right and y + dy < bottom and (down or not dy):
                             work[y + dy, x + dx] += error * weight
     return out
 
@@ -72,6 +76,18 @@ def diffuse(pixels: DataFrame, palette: list[Colour], kernel: str = "floyd_stein
     return pixels.groupBy(*keys).applyInPandas(partial(work, colours=np.array(palette, float)), f"{schema}, y long, x long, idx long")
 
 
+def diffuse_lines(pixels: DataFrame, palettes: list[list[Colour]], slots: DataFrame, kernel: str = "floyd_steinberg", amount: float = 1.0, keys: tuple[str, ...] = ("image_id",)) -> DataFrame:
+    """(keys, y, x, idx) of images whose lines have palettes of their own: slots(keys, y, slot) is joined to the lines."""
+
+    def work(rows: pd.DataFrame, tables: np.ndarray) -> pd.DataFrame:
+        lines = rows.drop_duplicates("y").sort_values("y")["slot"].to_numpy()
+        return _grid(rows, list(keys), diffuse_array(_image(rows), tables, kernel, amount, slots=lines))
+
+    schema = ", ".join(f"{c} {dict(pixels.dtypes)[c]}" for c in keys)
+    told = pixels.join(slots.select(*keys, "y", "slot"), [*keys, "y"])
+    return told.groupBy(*keys).applyInPandas(partial(work, tables=np.array(palettes, float)), f"{schema}, y long, x long, idx long")
+
+
 def ham_row(row: np.ndarray, palette: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
     """Codes and colours of one row: a palette entry, or the colour before with one channel set to its top bits.
 

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import basic, metrics
-from ..functions.palettes import BBC, C64, CPC, PALETTES, TMS9918, VIC20, ZX, Colour
+from ..functions.palettes import BBC, C64, CPC, IIGS, PALETTES, TMS9918, VIC20, ZX, Colour
 from ..functions.disks import BUILDERS, LISTINGS
 from ..operators import batch, color, machines, packing, sequential
 from ..operators import statistics as st
@@ -174,6 +174,16 @@ for _name, _palette, _w, _h, _n in (("zx", ZX, 8, 8, 2), ("c64", C64, 8, 8, 2),
         lambda px, p=_palette, w=_w, h=_h, n=_n: packing.cell_quantise(color.nearest(px, p), n, w, h).select("cy", "cx", F.concat_ws(",", F.col("colours").cast("array<string>")).alias("colours")),
         nearest_sql(_palette) + f", c AS (SELECT y // {_h} AS cy, x // {_w} AS cx, idx, count(*) AS n FROM m GROUP BY 1, 2, 3), k AS (SELECT *, row_number() OVER (PARTITION BY cy, cx ORDER BY n DESC, idx) AS rn FROM c) SELECT cy, cx, string_agg(CAST(idx AS VARCHAR), ',' ORDER BY rn) AS colours FROM k WHERE rn <= {_n} GROUP BY 1, 2",
     )
+# Per-pixel choice among the colours of a cell; machines differ in which of two equally near colours they take.
+for _name, _palette, _w, _h, _n, _last in (("zx", ZX, 8, 8, 2, False), ("c64", C64, 8, 8, 2, True), ("c64_multi", C64, 4, 8, 3, False), ("msx", TMS9918, 8, 1, 2, False)):
+    on_raster(
+        f"{_name}_cell_pixels",
+        lambda px, p=_palette, w=_w, h=_h, n=_n, last=_last: packing.cell_choose(px, packing.cell_quantise(color.nearest(px, p), n, w, h), p, w, h, last).select("x", "y", "slot", "idx"),
+        nearest_sql(_palette) + f", c AS (SELECT y // {_h} AS cy, x // {_w} AS cx, idx, count(*) AS n FROM m GROUP BY 1, 2, 3), k AS (SELECT *, row_number() OVER (PARTITION BY cy, cx ORDER BY n DESC, idx) - 1 AS slot FROM c),"
+        f" d AS (SELECT x, y, slot, idx, row_number() OVER (PARTITION BY x, y ORDER BY (r-pr)*(r-pr) + (g-pg)*(g-pg) + (b-pb)*(b-pb), slot {'DESC' if _last else ''}) AS rn FROM px JOIN k ON cy = y // {_h} AND cx = x // {_w} JOIN pal ON i = idx WHERE slot < {_n}) SELECT x, y, slot, idx FROM d WHERE rn = 1",
+    )
+_DARK = VIC20[6]
+on_raster("vic_cell_foreground", lambda px: packing.contrast_cells(color.nearest(px, VIC20[:8]), _DARK, "idx").select("cy", "cx", F.coalesce("fg", F.lit(1)).alias("fg")), nearest_sql(VIC20[:8]) + f", g AS (SELECT *, abs((0.299::DOUBLE*r + 0.587::DOUBLE*g + 0.114::DOUBLE*b)/255::DOUBLE - (0.299::DOUBLE*{_DARK[0]} + 0.587::DOUBLE*{_DARK[1]} + 0.114::DOUBLE*{_DARK[2]})/255::DOUBLE) AS gap FROM m) SELECT y // 8 AS cy, x // 8 AS cx, coalesce(arg_max(idx, {{'g': gap, 'y': -y, 'x': -x}}) FILTER (gap >= 0.1::DOUBLE), 1) AS fg FROM g GROUP BY 1, 2")
 on_raster("msx_best_pair", lambda px: packing.best_pair(px.withColumn("seg", F.expr("x div 8")), ("y", "seg"), TMS9918).select("y", "seg", "i", "j", "err"), palette_sql(TMS9918) + ", q AS (SELECT a.i AS i, c.i AS j, a.pr AS ar, a.pg AS ag, a.pb AS ab, c.pr AS cr, c.pg AS cg, c.pb AS cb FROM pal a JOIN pal c ON a.i <= c.i), e AS (SELECT y, x // 8 AS seg, i, j, CAST(sum(least((r-ar)*(r-ar)+(g-ag)*(g-ag)+(b-ab)*(b-ab), (r-cr)*(r-cr)+(g-cg)*(g-cg)+(b-cb)*(b-cb))) AS BIGINT) AS err FROM px, q GROUP BY 1, 2, 3, 4), n AS (SELECT *, row_number() OVER (PARTITION BY y, seg ORDER BY err, i, j) AS n FROM e) SELECT y, seg, i, j, err FROM n WHERE n = 1")
 
 # Packing, runs, glyphs.
@@ -271,6 +281,10 @@ def _strips(spark: SparkSession, d: str) -> DataFrame:
     return orders_raster(spark, d).withColumn("image_id", F.expr("y div 10")).withColumn("y", F.expr("y % 10"))
 
 
+#: Lines of two kinds: sixteen greys, or a palette of colours.
+_LINES = [[(17 * k, 17 * k, 17 * k) for k in range(16)], IIGS]
+add("diffuse_lines", lambda spark, d: sequential.diffuse_lines(_strips(spark, d), _LINES, _strips(spark, d).select("image_id", "y", F.expr("cast(y div 3 % 2 as int)").alias("slot")).distinct()))
+on_raster("match_lines", lambda px: color.nearest(px.where("y % 2 = 0"), _LINES[0]).unionByName(color.nearest(px.where("y % 2 = 1"), _LINES[1])).select("x", "y", "idx"), f"{palette_sql(_LINES[0], 'one')}{palette_sql(_LINES[1], 'two')}, pal AS (SELECT 0 AS slot, * FROM one UNION ALL SELECT 1, * FROM two) SELECT x, y, arg_min(i, {{'d': (r-pr)*(r-pr) + (g-pg)*(g-pg) + (b-pb)*(b-pb), 'i': i}}) AS idx FROM px JOIN pal ON slot = y % 2 GROUP BY 1, 2")
 for _kernel in sequential.DIFFUSION:
     add(f"diffuse_{_kernel}", lambda spark, d, k=_kernel: sequential.diffuse(_strips(spark, d), BBC, k))
 add("diffuse_cells", lambda spark, d: sequential.diffuse(_strips(spark, d), BBC, cell=(8, 8)))

@@ -61,6 +61,15 @@ def test_median_cut_boxes_cover_all_points(order):
     assert np.allclose(sequential.median_cut(np.tile([[1.0, 2.0, 3.0]], (5, 1)), 4, order), [1, 2, 3])
 
 
+def test_error_stays_in_its_line_where_the_palette_changes():
+    image = np.full((4, 6, 3), 100.0)
+    tables = np.array([[(0, 0, 0), (255, 255, 255)], [(0, 0, 0), (200, 200, 200)]], float)
+    told = sequential.diffuse_array(image, tables, slots=np.array([0, 1, 1, 0]))
+    one = sequential.diffuse_array(image[:1], tables[0])
+    two = sequential.diffuse_array(image[1:3], tables[1])
+    assert (told[:1] == one).all() and (told[1:3] == two).all() and (told[3:] == one).all()
+
+
 def test_line_palettes_with_zero_tolerance_never_keep_one(spark):
     rows = [(0, y, x, *map(int, IMAGE[y, x])) for y in range(5) for x in range(30)]
     df = spark.createDataFrame(rows, "image_id long, y long, x long, r long, g long, b long")
