@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from functools import partial
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -138,29 +142,37 @@ def allocate(files: DataFrame, size: str, unit: int, order: str, keys: tuple[str
     return placed.withColumn("first_block", F.col("end_block") - F.col("blocks"))
 
 
+def _fit(batches: Iterator[pa.RecordBatch], keys: int, capacity: int, entries: int, when_full: str) -> Iterator[pa.RecordBatch]:
+    """The fold over rows that come by disk and in order: columns are the keys, ord, need. A disk's state is three numbers."""
+    disk, used, files, ended = None, 0, 0, False
+    for batch in batches:
+        kept: list[tuple[int, int, int]] = []
+        own = list(zip(*(batch.column(k).to_pylist() for k in range(keys)), strict=True))
+        for row, (key, need) in enumerate(zip(own, batch.column(keys + 1).to_pylist(), strict=True)):
+            if row == 0 and disk is None or key != disk:
+                disk, used, files, ended = key, 0, 0, False
+            room = capacity - used
+            stored = min(need, room) if when_full == "truncate" else need
+            if not ended and files < entries and stored <= room and (stored > 0 or need == 0):
+                kept.append((row, stored, used))
+                used, files = used + stored, files + 1
+            elif when_full == "stop":
+                ended = True
+        at = pa.array([k[0] for k in kept], pa.int64())
+        names = [*batch.schema.names[: keys + 1], "stored", "first"]
+        yield pa.RecordBatch.from_arrays([*(batch.column(k).take(at) for k in range(keys + 1)), *(pa.array([k[c] for k in kept], pa.int64()) for c in (1, 2))], names=names)
+
+
 def fit(files: DataFrame, size: str, unit: int, capacity: int, entries: int, order: str, keys: tuple[str, ...] = ("disk_id",), when_full: str = "skip") -> DataFrame:
-    """Which files a disk takes, in order, by a fold over the disk's files (at most its catalogue is kept in a row).
+    """Which files a disk takes, in order, by a fold that reads a disk's files as they come and holds none of them.
 
     when_full: skip goes on with the next file, stop ends the disk, truncate stores what fits and goes on.
     (keys, ord, stored blocks, first block).
     """
-    listed = files.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct(F.col(order).alias("ord"), F.expr(f"({size} + {unit - 1}) div {unit}").cast("long").alias("need")))).alias("todo"))
-    kept = "array<struct<ord:bigint,stored:bigint,first:bigint>>"
-    start = F.struct(F.lit(0).cast("long").alias("used"), F.lit(False).alias("ended"), F.array().cast(kept).alias("kept"))
-
-    def step(state: Column, file: Column) -> Column:
-        room = F.lit(capacity).cast("long") - state["used"]
-        stored = F.least(file["need"], room) if when_full == "truncate" else file["need"]
-        takes = ~state["ended"] & (F.size(state["kept"]) < entries) & (stored <= room) & ((stored > 0) | (file["need"] == 0))
-        entry = F.struct(file["ord"].cast("long").alias("ord"), stored.alias("stored"), state["used"].alias("first"))
-        ends = ~takes if when_full == "stop" else F.lit(False)
-        return F.struct(
-            F.when(takes, state["used"] + stored).otherwise(state["used"]).alias("used"),
-            (state["ended"] | ends).alias("ended"),
-            F.when(takes, F.concat(state["kept"], F.array(entry))).otherwise(state["kept"]).alias("kept"),
-        )
-
-    return listed.select(*keys, F.explode(F.aggregate("todo", start, step)["kept"]).alias("e")).select(*keys, "e.*")
+    listed = files.select(*keys, F.col(order).cast("long").alias("ord"), F.expr(f"({size} + {unit - 1}) div {unit}").cast("long").alias("need"))
+    types = dict(listed.dtypes)
+    schema = ", ".join(f"`{c}` {types[c]}" for c in keys) + ", ord long, stored long, first long"
+    return listed.repartition(*keys).sortWithinPartitions(*keys, "ord").mapInArrow(partial(_fit, keys=len(keys), capacity=capacity, entries=entries, when_full=when_full), schema)
 
 
 def size_text(size: Column, base: int = 1024) -> Column:

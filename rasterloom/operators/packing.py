@@ -47,16 +47,17 @@ def pcx_bytes(length: Column, value: Column) -> Column:
     return F.when((length == 1) & (value < 192), F.lpad(F.hex(value), 2, "0")).otherwise(both)
 
 
-def changes(cells: DataFrame, fg: str, bg: str, order: tuple[str, ...] = ("y", "x")) -> DataFrame:
-    """The cells whose colours differ from those of the cell before, over row ends; the first always counts.
+def changes(cells: DataFrame, fg: str, bg: str, order: tuple[str, ...] = ("y", "x"), keys: tuple[str, ...] = ()) -> DataFrame:
+    """The cells whose colours differ from those of the cell before, over row ends; the first of an image always counts.
 
-    Only the last cell of a row matters to the next: rows are compared within themselves, and their ends in one short pass.
+    Only the last cell of a row matters to the next: rows are compared within themselves, and their ends in one short pass
+    over an image's rows.
     """
     y, x = order
-    line = Window.partitionBy(y).orderBy(x)
-    ends = cells.groupBy(y).agg(F.max_by(F.struct(fg, bg), x).alias("end"))
-    before = ends.withColumn("__up", F.lag("end").over(Window.orderBy(y))).select(y, "__up")
-    told = cells.withColumn("__left", F.lag(F.struct(fg, bg)).over(line)).join(before, y)
+    line = Window.partitionBy(*keys, y).orderBy(x)
+    ends = cells.groupBy(*keys, y).agg(F.max_by(F.struct(fg, bg), x).alias("end"))
+    before = ends.withColumn("__up", F.lag("end").over(Window.partitionBy(*keys or [F.lit(0)]).orderBy(y))).select(*keys, y, "__up")
+    told = cells.withColumn("__left", F.lag(F.struct(fg, bg)).over(line)).join(before, [*keys, y])
     last = F.coalesce("__left", "__up")
     return told.where(last.isNull() | (last != F.struct(fg, bg))).drop("__left", "__up")
 
@@ -74,21 +75,22 @@ def nearest_glyph(cells: DataFrame, glyphs: list[tuple[int, int]], pattern: str
     return cells.withColumn("__best", best).withColumns({"code": F.col("__best.code"), "distance": F.col("__best.d")}).drop("__best")
 
 
-def charset(cells: DataFrame, key: str, most: int = 256, pattern: str = "pattern") -> DataFrame:
-    """Patterns to codes, first come first served; (key, pattern, code, distance).
+def charset(cells: DataFrame, key: str, most: int = 256, pattern: str = "pattern", keys: tuple[str, ...] = ()) -> DataFrame:
+    """Patterns to codes, first come first served within an image; (keys, key, pattern, code, distance).
 
-    Patterns beyond the last code take the nearest of those that have one (lowest code on a tie). The kept patterns are
-    at most `most` rows, so they are broadcast.
+    Patterns beyond the last code take the nearest of those that have one (lowest code on a tie). An image's kept patterns
+    are at most `most`, in one row of the side that is joined.
     """
-    first = cells.groupBy(pattern).agg(F.min(key).alias("first"))
-    kept = first.orderBy("first", pattern).limit(most).withColumn("code", F.row_number().over(Window.orderBy("first", pattern)).cast("long") - 1).select(F.col(pattern).alias("__kept"), "code")
-    own = cells.join(F.broadcast(kept), F.col(pattern) == F.col("__kept"), "left").drop("__kept")
-    table = kept.agg(F.collect_list(F.struct("code", "__kept")).alias("__table"))
-    late = own.where(F.col("code").isNull()).select(pattern).distinct().join(F.broadcast(table), F.lit(True))
+    image = list(keys) or ["__one"]
+    told = cells if keys else cells.withColumn("__one", F.lit(0))
+    first = told.groupBy(*image, pattern).agg(F.min(key).alias("first"))
+    numbered = first.withColumn("code", F.row_number().over(Window.partitionBy(*image).orderBy("first", pattern)).cast("long") - 1)
+    kept = numbered.where(F.col("code") < most).select(*image, F.col(pattern).alias("__kept"), "code")
+    table = kept.groupBy(*image).agg(F.collect_list(F.struct("code", "__kept")).alias("__table"))
+    late = numbered.where(F.col("code") >= most).select(*image, pattern).join(table, image)
     best = F.array_min(F.transform("__table", lambda g: F.struct(F.bit_count(F.col(pattern).bitwiseXOR(g["__kept"])).cast("long").alias("d"), g["code"].alias("code"))))
-    near = late.select(F.col(pattern).alias("__late"), best.alias("__best"))
-    told = own.join(near, F.col(pattern) == F.col("__late"), "left")
-    return told.select(key, pattern, F.coalesce("code", "__best.code").alias("code"), F.coalesce("__best.d", F.lit(0)).cast("long").alias("distance"))
+    known = kept.select(*image, F.col("__kept").alias(pattern), "code", F.lit(0).cast("long").alias("distance")).unionByName(late.withColumn("__best", best).select(*image, pattern, F.col("__best.code").alias("code"), F.col("__best.d").alias("distance")))
+    return told.join(known, [*image, pattern]).select(*keys, key, pattern, "code", "distance")
 
 
 def cell_quantise(matched: DataFrame, colours: int, width: int = 8, height: int = 8, idx: str = "idx", keys: tuple[str, ...] = ()) -> DataFrame:

@@ -199,6 +199,7 @@ on_raster("pcx_runs", lambda px: packing.runs(color.nearest(px, BBC[:2]), "idx",
 _BYTES = ", m AS (SELECT y, x, CASE WHEN r < 250 THEN 5 ELSE 128 + g // 2 END AS idx FROM px), a AS (SELECT y, x, idx, CASE WHEN lag(idx) OVER w = idx THEN 0 ELSE 1 END AS s FROM m WINDOW w AS (PARTITION BY y ORDER BY x)), r AS (SELECT *, sum(s) OVER (PARTITION BY y ORDER BY x) AS run FROM a), q AS (SELECT *, (row_number() OVER (PARTITION BY y, run ORDER BY x) - 1) // 63 AS part FROM r)"
 on_raster("pcx_long_runs", lambda px: packing.runs(px.withColumn("idx", F.expr("case when r < 250 then 5 else 128 + g div 2 end")), "idx").select("y", "start", packing.pcx_bytes(F.col("length"), F.col("value")).alias("bytes")), _BYTES + " SELECT y, min(x) AS start, CASE WHEN count(*) = 1 AND any_value(idx) < 192 THEN printf('%02X', any_value(idx)) ELSE printf('%02X%02X', count(*) + 192, any_value(idx)) END AS bytes FROM q GROUP BY y, run, part")
 on_raster("ansi_changes", lambda px: packing.changes(color.nearest(px, BBC).withColumn("fg", F.expr("idx div 4")).withColumn("bg", F.expr("idx % 2")), "fg", "bg").select("y", "x", "fg", "bg"), nearest_sql(BBC) + ", c AS (SELECT y, x, idx // 4 AS fg, idx % 2 AS bg FROM m), d AS (SELECT *, lag(fg) OVER w AS pf, lag(bg) OVER w AS pb FROM c WINDOW w AS (ORDER BY y, x)) SELECT y, x, fg, bg FROM d WHERE pf IS NULL OR pf <> fg OR pb <> bg")
+on_raster("ansi_changes_by_image", lambda px: packing.changes(color.nearest(px, BBC).select(F.expr("y div 7").alias("image"), F.expr("y % 7").alias("y"), "x", F.expr("idx div 4").alias("fg"), F.expr("idx % 2").alias("bg")), "fg", "bg", keys=("image",)).select("image", "y", "x", "fg", "bg"), nearest_sql(BBC) + ", c AS (SELECT y // 7 AS image, y % 7 AS y, x, idx // 4 AS fg, idx % 2 AS bg FROM m), d AS (SELECT *, lag(fg) OVER w AS pf, lag(bg) OVER w AS pb FROM c WINDOW w AS (PARTITION BY image ORDER BY y, x)) SELECT image, y, x, fg, bg FROM d WHERE pf IS NULL OR pf <> fg OR pb <> bg")
 _PATTERN = E8 + ", p AS (SELECT vec_id, bit_or(CASE WHEN lum <= 127 THEN 0 WHEN x = 0 AND y = 0 THEN (-9223372036854775808)::BIGINT ELSE 1::BIGINT << (63 - (y*8 + x))::INT END) AS pattern FROM e8 GROUP BY 1)"
 _cells = lambda spark, d: packing.cell_patterns(embedding_cells(spark, d), "case when lum > 127 then 1 else 0 end", "vec_id")
 add("emb_cell", lambda spark, d: embedding_cells(spark, d), E8 + " SELECT * FROM e8")
@@ -333,6 +334,8 @@ for _system, _blocks, _most in (("commodore_1541", 664, 144), ("commodore_1571",
     _LISTED[_system] = f"WITH {_DISK_FILES}, n AS (SELECT *, greatest(1, (bytes + 253) // 254) AS need FROM f), c AS (SELECT *, CAST(sum(need) OVER w AS BIGINT) - need AS before, row_number() OVER w AS k FROM n WINDOW w AS (PARTITION BY disk_id ORDER BY ord)) SELECT disk_id, substring(name, 1, 16) AS name, least(need, {_blocks} - before) AS size FROM c WHERE before < {_blocks} AND k <= {_most}"
 for _system in LISTINGS:
     add(f"listing_{_system}", lambda spark, d, s=_system: list_disks(build_disks(_files(spark, d), s), s), _LISTED.get(_system))
+_MANY = E8 + ", p AS (SELECT vec_id % 3 AS image, vec_id, bit_or(CASE WHEN lum <= 127 THEN 0 WHEN x = 0 AND y = 0 THEN (-9223372036854775808)::BIGINT ELSE 1::BIGINT << (63 - (y*8 + x))::INT END) AS pattern FROM e8 GROUP BY 1, 2)"
+add("charset_by_image", lambda spark, d: packing.charset(_cells(spark, d).withColumn("image", F.expr("vec_id % 3")), "vec_id", 64, keys=("image",)), _MANY + ", f AS (SELECT image, pattern, min(vec_id) AS first FROM p GROUP BY 1, 2), k AS (SELECT image, pattern AS kept, row_number() OVER (PARTITION BY image ORDER BY first) - 1 AS code FROM f QUALIFY code < 64) SELECT image, vec_id, pattern, arg_min(code, {'d': bit_count(xor(pattern, kept)), 'c': code}) AS code, CAST(min(bit_count(xor(pattern, kept))) AS BIGINT) AS distance FROM p JOIN k USING (image) GROUP BY 1, 2, 3")
 add("extract_prodos", lambda spark, d: extract_files(build_disks(_files(spark, d), "prodos")).select("disk_id", "name", F.octet_length("content").cast("long").alias("bytes"), F.md5("content").alias("digest")), _stored_sql(_PRODOS_NEED, 24, 1600, 51) + " SELECT disk_id, name, bytes, digest FROM g")
 add("basic_tokens", lambda spark, d: basic.remark_programs(_texts(spark, d), "doc_id").select("doc_id", "part", F.hex("content").alias("program")))
 

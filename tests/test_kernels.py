@@ -168,6 +168,38 @@ def test_cpm_extents_are_summed(spark):
     assert {r["name"]: r["size"] for r in list_disks(built, "cpc_data").collect()} == {"BIG.BIN": 40064, "SMALL.BIN": 128}
 
 
+def test_heads_of_images_and_pasted_ones(spark, tmp_path):
+    import struct as st
+    import zlib
+
+    from rasterloom.sources import rasters
+
+    r = np.random.default_rng(6)
+    grid = r.integers(0, 256, (7, 5, 4), dtype=np.uint8)
+    chunk = lambda name, body: st.pack(">I", len(body)) + name + body + st.pack(">I", zlib.crc32(name + body))
+    lines, above = b"", np.zeros((5, 4), int)
+    for y, row in enumerate(grid.astype(int)):
+        left, corner = np.vstack([np.zeros((1, 4), int), row[:-1]]), np.vstack([np.zeros((1, 4), int), above[:-1]])
+        p = left + above - corner
+        gaps = np.stack([abs(p - left), abs(p - above), abs(p - corner)])
+        paeth = np.choose(gaps.argmin(axis=0), [left, above, corner])
+        guess = [0 * row, left, above, (left + above) // 2, paeth][y % 5]
+        lines += bytes([y % 5]) + ((row - guess) & 255).astype(np.uint8).tobytes()
+        above = row
+    png = b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", st.pack(">IIBBBBB", 5, 7, 8, 6, 0, 0, 0)) + chunk(b"pHYs", st.pack(">IIB", 5906, 5906, 1)) + chunk(b"IDAT", zlib.compress(lines)) + chunk(b"IEND", b"")
+    assert rasters.decode_image(png) == (5, 7, grid.tobytes())
+    bmp = encoders.bmp24(grid[..., :3].astype(int))
+    (tmp_path / "a.png").write_bytes(png)
+    (tmp_path / "b.bmp").write_bytes(bmp)
+    (tmp_path / "c.txt").write_bytes(b"no image")
+    images = rasters.read_images(spark, str(tmp_path)).unionByName(rasters.pasted(spark, [("clip", png)]))
+    heads = rasters.metadata(images).join(images, "image_id").collect()
+    told = {h["name"]: (h["format"], h["width"], h["height"], h["bits_per_pixel"], h["color_space"], h["dpi"], h["has_alpha"]) for h in heads}
+    assert told == {"a.png": ("PNG", 5, 7, 32, "RGB", 150, True), "clip": ("Clipboard", 5, 7, 32, "RGB", 150, True), "b.bmp": ("BMP", 5, 7, 24, "RGB", told["b.bmp"][5], False), "c.txt": ("TXT", None, None, None, None, None, None)}
+    got = {(p["y"], p["x"]): (p["r"], p["g"], p["b"]) for p in rasters.pixels(images.where("name = 'b.bmp'")).collect()}
+    assert got == {(y, x): tuple(int(v) for v in grid[y, x, :3]) for y in range(7) for x in range(5)}
+
+
 def test_double_sided_commodore_disks():
     files = [(f"F{k}", bytes([k]) * 9000) for k in range(40)]
     for kind, size, room in (("1571", 349696, 1328), ("1581", 819200, 3160)):
