@@ -22,11 +22,17 @@ def palette_array(palette: list[Colour]) -> Column:
     return F.array(*[F.struct(F.lit(i).cast("long").alias("i"), F.lit(r).cast("long").alias("pr"), F.lit(g).cast("long").alias("pg"), F.lit(b).cast("long").alias("pb")) for i, (r, g, b) in enumerate(palette)])
 
 
-def _cube_levels(palette: list[Colour]) -> tuple[list[int], list[int], list[int]] | None:
-    """The levels of each channel if the palette is all their combinations, red outermost and blue innermost, else None."""
-    levels = tuple([v for k, v in enumerate(c) if v not in c[:k]] for c in zip(*palette, strict=True))
-    made = [(r, g, b) for r in levels[0] for g in levels[1] for b in levels[2]]
-    return levels if list(palette) == made else None
+def _cube_levels(palette: list[Colour]) -> list[list[tuple[int, int]]] | None:
+    """For each channel its levels and what each adds to the index, if the palette is all their combinations, else None."""
+    place = {c: i for i, c in reversed(list(enumerate(palette)))}
+    base, levels = palette[0], []
+    for k in range(3):
+        along = [(v, place.get((*base[:k], v, *base[k + 1 :]))) for v in dict.fromkeys(c[k] for c in palette)]
+        if any(i is None for _, i in along):
+            return None
+        levels.append(along)
+    sums = all(place.get((r, g, b)) == i + j + k for r, i in levels[0] for g, j in levels[1] for b, k in levels[2])
+    return levels if sums and len(place) == len(palette) == len(levels[0]) * len(levels[1]) * len(levels[2]) else None
 
 
 #: What a metric needs of a pixel and of an entry alone.
@@ -45,8 +51,8 @@ def nearest(pixels: DataFrame, palette: list[Colour], metric: str = "euclid", ou
         return pixels.join(colours, list(CHANNELS))
     levels = _cube_levels(palette) if metric == "euclid" and len(palette) > 8 else None
     if levels:
-        best = [F.least(*[F.struct(((F.col(c) - v) * (F.col(c) - v)).alias("d"), F.lit(i).cast("long").alias("i")) for i, v in enumerate(own)])["i"] if len(own) > 1 else F.lit(0).cast("long") for c, own in zip(CHANNELS, levels, strict=True)]
-        return pixels.withColumn(out, (best[0] * len(levels[1]) + best[1]) * len(levels[2]) + best[2])
+        best = [F.least(*[F.struct(((F.col(c) - v) * (F.col(c) - v)).alias("d"), F.lit(i).cast("long").alias("i")) for v, i in own])["i"] if len(own) > 1 else F.lit(0).cast("long") for c, own in zip(CHANNELS, levels, strict=True)]
+        return pixels.withColumn(out, best[0] + best[1] + best[2])
     text, made = METRICS[metric], {}
     for name, feature in FEATURES.items():
         if feature("r", "g", "b") in text:
@@ -67,7 +73,7 @@ def nearest(pixels: DataFrame, palette: list[Colour], metric: str = "euclid", ou
 
 
 #: Palettes of so many entries are matched by expressions of their own, others by one over an array.
-UNROLLED = 16
+UNROLLED = 32
 
 
 def saturate(pixels: DataFrame, amount: float, clamp: bool = True) -> DataFrame:

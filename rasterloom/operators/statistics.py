@@ -6,7 +6,7 @@ and columns of an image, so one large image spreads over many tasks.
 
 from __future__ import annotations
 
-from functools import partial
+from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
@@ -124,37 +124,53 @@ def clahe_share(pixels: DataFrame, tile_width: int = 40, tile_height: int = 25,
     return _scaled(tiled.join(lut, [*tile, "bin"]), "__new").drop("__new", "ty", "tx")
 
 
-def _ranked_block(rows: pd.DataFrame, reach: int, side: int, columns: list[str]) -> pd.DataFrame:
-    y0, x0 = int(rows["by"].iloc[0]) * side, int(rows["bx"].iloc[0]) * side
-    held = np.full((side + 2 * reach, side + 2 * reach), np.iinfo(np.int64).max)
-    held[rows["y"] - y0 + reach, rows["x"] - x0 + reach] = rows["v"]
-    own = rows[(rows["y"] // side == rows["by"]) & (rows["x"] // side == rows["bx"])]
-    there = (held != np.iinfo(np.int64).max).astype(np.int64).cumsum(axis=0).cumsum(axis=1)
-    there = np.pad(there, ((1, 0), (1, 0)))
-    seen = np.lib.stride_tricks.sliding_window_view(held, (2 * reach + 1, 2 * reach + 1))
-    ys, xs = (own["y"] - y0).to_numpy(), (own["x"] - x0).to_numpy()
-    wide = 2 * reach + 1
-    size = there[ys + wide, xs + wide] - there[ys, xs + wide] - there[ys + wide, xs] + there[ys, xs]
-    below = np.array([(seen[y, x] <= v).sum() for y, x, v in zip(ys, xs, own["v"].to_numpy(), strict=True)], np.int64)
-    return own[columns].assign(below=below, size=size)
+def _blocks(pixels: DataFrame, values: list[str], reach: int, side: int, keys: tuple[str, ...]) -> DataFrame:
+    """Each pixel in the block of side * side places that holds it, and in those whose windows it is in: one shuffle."""
+    if reach > side:
+        raise ValueError("a window reaches beyond the blocks next to its own")
+    near = lambda c: F.array_distinct(F.transform(F.array(F.lit(-reach), F.lit(0), F.lit(reach)), lambda d: F.floor((F.col(c) + d) / F.lit(float(side)))))
+    return pixels.select(*keys, "y", "x", *values).withColumn("by", F.explode(near("y"))).withColumn("bx", F.explode(near("x"))).where("by >= 0 and bx >= 0")
+
+
+def _block_work(pixels: DataFrame, values: list[str], made: dict[str, str], work: Callable[..., dict[str, np.ndarray]], reach: int, keys: tuple[str, ...], side: int, edges: tuple[int, int] | None = None) -> DataFrame:
+    """(keys, y, x, made): work on the windows around a block's own pixels, as arrays of pixels by height by width for each
+    value. edges: width and height of the image, whose border is repeated outwards; without it what is outside is -1."""
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        y0, x0 = int(rows["by"].iloc[0]) * side - reach, int(rows["bx"].iloc[0]) * side - reach
+        wide = side + 2 * reach
+        own = rows[(rows["y"] // side == rows["by"]) & (rows["x"] // side == rows["bx"])]
+        if not len(own):
+            return pd.DataFrame({c: [] for c in [*keys, "y", "x", *made]})
+        windows = []
+        for v in values:
+            held = np.full((wide, wide), -1, np.int64)
+            held[rows["y"] - y0, rows["x"] - x0] = rows[v]
+            if edges:
+                inside = lambda at, top: np.clip(np.arange(at, at + wide), max(at, 0), min(at + wide, top) - 1) - at
+                held = held[np.ix_(inside(y0, edges[1]), inside(x0, edges[0]))]
+            windows.append(np.lib.stride_tricks.sliding_window_view(held, (2 * reach + 1, 2 * reach + 1)))
+        ys, xs = (own["y"] - y0 - reach).to_numpy(), (own["x"] - x0 - reach).to_numpy()
+        parts = []
+        for at in range(0, len(own), 512):
+            parts.append(work(*(w[ys[at : at + 512], xs[at : at + 512]] for w in windows)))
+        return own[[*keys, "y", "x"]].assign(**{c: np.concatenate([p[c] for p in parts]) for c in made})
+
+    kinds = dict(pixels.dtypes)
+    schema = ", ".join(f"{c} {kinds[c]}" for c in [*keys, "y", "x"]) + "".join(f", {c} {t}" for c, t in made.items())
+    return _blocks(pixels, values, reach, side, keys).groupBy(*keys, "by", "bx").applyInPandas(run, schema)
+
+
+def _rank(window: np.ndarray) -> dict[str, np.ndarray]:
+    middle = window.shape[1] // 2
+    own, there = window[:, middle, middle][:, None, None], window >= 0
+    return {"below": ((window <= own) & there).sum(axis=(1, 2)), "size": there.sum(axis=(1, 2))}
 
 
 def window_rank(pixels: DataFrame, window: int, value: str = "bin", keys: tuple[str, ...] = (), side: int = 64) -> DataFrame:
     """(keys, y, x, below, size): of the pixels in a window of half its width on each side, clipped at the edges, how many are
-    not above the pixel, for windows so wide that pairs are too many to be rows.
-
-    Blocks of side * side pixels are sent their surroundings and compared in place: one shuffle, each pixel to the blocks
-    whose windows it is in.
-    """
-    reach = window // 2
-    near = lambda c: F.array_distinct(F.transform(F.array(F.lit(-reach), F.lit(0), F.lit(reach)), lambda d: F.floor((F.col(c) + d) / F.lit(float(side)))))
-    if reach > side:
-        raise ValueError("a window reaches beyond the blocks next to its own")
-    sent = pixels.select(*keys, "y", "x", F.col(value).cast("long").alias("v")).withColumn("by", F.explode(near("y"))).withColumn("bx", F.explode(near("x"))).where("by >= 0 and bx >= 0")
-    kinds = dict(pixels.dtypes)
-    columns = [*keys, "y", "x"]
-    schema = ", ".join(f"{c} {kinds[c]}" for c in columns) + ", below long, size long"
-    return sent.groupBy(*keys, "by", "bx").applyInPandas(partial(_ranked_block, reach=reach, side=side, columns=columns), schema)
+    not above the pixel, for windows so wide that pairs are too many to be rows. Values are not negative."""
+    return _block_work(pixels.withColumn(value, F.col(value).cast("long")), [value], {"below": "long", "size": "long"}, _rank, window // 2, keys, side)
 
 
 def window_equalise(pixels: DataFrame, window: int = 40, keys: tuple[str, ...] = ()) -> DataFrame:
@@ -212,31 +228,22 @@ def sobel(pixels: DataFrame, channel: str, keys: tuple[str, ...] = ()) -> DataFr
     return both.withColumn(channel, F.when(edge.isNull(), F.col(channel).cast("double")).otherwise(F.least(F.greatest(edge, F.lit(0.0)), F.lit(255.0)))).drop("gx", "conv")
 
 
-def neighbourhood(pixels: DataFrame, channel: str, reach: int, width: int, height: int, keys: tuple[str, ...] = ()) -> DataFrame:
-    """(keys, y, x, ny, nx, v): the (2 reach + 1)^2 values around each pixel, edges replicated.
-
-    Every pixel sends its value to the places that see it, once for each offset whose clamped place it is.
-    """
-    steps = F.array(*[F.lit(k) for k in range(-reach, reach + 1)])
-    asked = pixels.select(*keys, "y", "x").withColumn("dy", F.explode(steps)).withColumn("dx", F.explode(steps))
-    clamp = lambda c, d, top: F.greatest(F.least(F.col(c) + F.col(d), F.lit(top - 1)), F.lit(0))
-    asked = asked.withColumns({"ny": clamp("y", "dy", height).cast("long"), "nx": clamp("x", "dx", width).cast("long")})
-    values = pixels.select(*keys, F.col("y").alias("ny"), F.col("x").alias("nx"), F.col(channel).alias("v"))
-    return asked.join(values, [*keys, "ny", "nx"])
+def median(pixels: DataFrame, channel: str, reach: int, width: int, height: int, keys: tuple[str, ...] = (), side: int = 64) -> DataFrame:
+    """(keys, y, x, channel): the median of the (2 reach + 1)^2 values around each pixel, edges replicated."""
+    middle = (2 * reach + 1) ** 2 // 2
+    work = lambda w: {channel: np.partition(w.reshape(len(w), -1), middle, axis=1)[:, middle]}
+    return _block_work(pixels, [channel], {channel: "long"}, work, reach, keys, side, (width, height))
 
 
-def median(pixels: DataFrame, channel: str, reach: int, width: int, height: int, keys: tuple[str, ...] = ()) -> DataFrame:
-    seen = neighbourhood(pixels, channel, reach, width, height, keys)
-    return seen.groupBy(*keys, "y", "x").agg(F.element_at(F.sort_array(F.collect_list("v")), (2 * reach + 1) ** 2 // 2 + 1).alias(channel))
+def sigma_filter(pixels: DataFrame, reach: int, sigma: int, width: int, height: int, keys: tuple[str, ...] = (), side: int = 64) -> DataFrame:
+    """The mean of the neighbours that differ by less than sigma in sum over the channels (itself always included)."""
 
+    def work(*windows: np.ndarray) -> dict[str, np.ndarray]:
+        gap = sum(np.abs(w - w[:, reach, reach][:, None, None]) for w in windows)
+        near = gap < sigma
+        return {c: (w * near).sum(axis=(1, 2)) / near.sum(axis=(1, 2)) for c, w in zip("rgb", windows, strict=True)}
 
-def sigma_filter(pixels: DataFrame, reach: int, sigma: int, width: int, height: int, keys: tuple[str, ...] = ()) -> DataFrame:
-    """The mean of the neighbours that differ by less than sigma in sum over the channels (itself always included)."""
-    packed = pixels.select(*keys, "y", "x", F.expr("r * 65536 + g * 256 + b").alias("c"))
-    seen = neighbourhood(packed, "c", reach, width, height, keys).join(packed.withColumnRenamed("c", "own"), [*keys, "y", "x"])
-    part = lambda v, k: F.expr(f"({v} div {256**k}) % 256")
-    gap = sum((F.abs(part("v", k) - part("own", k)) for k in range(3)), F.lit(0))
-    return seen.where(gap < sigma).groupBy(*keys, "y", "x").agg(*[F.avg(part("v", k)).alias(c) for k, c in ((2, "r"), (1, "g"), (0, "b"))])
+    return _block_work(pixels, ["r", "g", "b"], dict.fromkeys("rgb", "double"), work, reach, keys, side, (width, height))
 
 
 def top_colours(matched: DataFrame, n: int, keys: tuple[str, ...] = (), idx: str = "idx") -> DataFrame:
