@@ -242,5 +242,6 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **parameters) -> DataFrame:
     """The rows of docs that near_duplicates keeps, with all of their columns. Rows with a null id stay."""
-    gone = near_duplicates(docs, id_col, text_col, **parameters).where(~F.col("kept")).select(F.col(id_col).alias("__id")).distinct()
-    return docs.join(gone, F.col(f"`{id_col}`").cast("long") == F.col("__id"), "left_anti")
+    gone = near_duplicates(docs, id_col, text_col, **parameters).where(~F.col("kept")).select(F.col(id_col).alias("key")).distinct()
+    told = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("whole"), F.col(f"`{id_col}`").cast("long").alias("key"))
+    return told.join(gone, "key", "left_anti").select(*[F.col(f"whole.`{c}`").alias(c) for c in docs.columns])

@@ -212,7 +212,7 @@ def near_vectors(rows: DataFrame, id_col: str = "vec_id", vector_col: str = "emb
     for _ in range(most_rounds):
         fresh = _forest(vectors, trees, bits, seed, leaf, k, near)
         seed += 1
-        lists = cut(_top(fresh if lists is None else fresh.union(lists), k), "lists")
+        lists = cut(_top(fresh if lists is None else fresh.union(lists), k), "lists", lists)
         for _ in range(3):
             refined = cut(_top(_joined(lists, vectors, k, near, 4 * k).union(lists), k), "lists")
             changed, size = refined.join(lists, ["node", "nbr"], "left_anti").count(), refined.count()

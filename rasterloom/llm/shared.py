@@ -19,12 +19,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; one of our own only where the session names none."""
+    """The folder that driver and executors share; one of our own only where the session names none and runs on one machine."""
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
     current = spark.sparkContext.getCheckpointDir()
     if not current:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise RuntimeError("spark.checkpoint.dir names no folder that driver and executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="llm-checkpoint-"))
         current = spark.sparkContext.getCheckpointDir()
     return current.rstrip("/")
@@ -39,11 +41,20 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return path
 
 
-def cut(df: DataFrame, name: str) -> DataFrame:
-    """Write df as a table in the shared folder and read it back: a lineage cut that survives lost executors."""
-    path = scratch_path(df.sparkSession, name)
+def cut(df: DataFrame, name: str, instead_of: DataFrame | None = None) -> DataFrame:
+    """Write df as a table in the shared folder and read it back: a lineage cut that survives lost executors.
+
+    instead_of: a table from here that nothing reads once df is written, as in a loop; it is deleted then.
+    """
+    spark = df.sparkSession
+    path = scratch_path(spark, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    made = spark.read.schema(df.schema).parquet(path)
+    made.cut_path = path
+    if instead_of is not None:
+        old = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(instead_of.cut_path)
+        old.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(old, True)
+    return made
 
 
 def word_array(text: Column) -> Column:
