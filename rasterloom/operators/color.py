@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.metrics import METRICS, hue, lightness, luma, saturation
@@ -198,6 +198,29 @@ def merge_pairs(pixels: DataFrame, rule: str = "average", keys: tuple[str, ...]
     return top.select(*keys, "y", "x", "p.r", "p.g", "p.b")
 
 
+#: Palettes by rule: how many entries, and each channel as SQL text in the index i.
+PALETTE_RULES = {
+    "ega64": (64, *(f"170 * (i div {1 << k} % 2) + 85 * (i div {1 << (k + 3)} % 2)" for k in (2, 1, 0))),
+    "rgb332": (256, "(i div 32) * 36", "(i div 4 % 8) * 36", "(i % 4) * 85"),
+    "gime64": (64, "(i div 16) * 85", "(i div 4 % 4) * 85", "(i % 4) * 85"),
+    "v9938": (512, *(f"cast(floor(255 * (i div {8**k} % 8) / 7e0 + 0.5e0) as bigint)" for k in (2, 1, 0))),
+    "ocs4096": (4096, *(f"(i div {16**k} % 16) * 17" for k in (2, 1, 0))),
+}
+
+
+def palette_rows(spark: SparkSession, name: str) -> DataFrame:
+    """(idx, r, g, b) of a palette that a rule gives."""
+    n, r, g, b = PALETTE_RULES[name]
+    return spark.range(n).withColumnRenamed("id", "i").select(F.col("i").alias("idx"), F.expr(r).alias("r"), F.expr(g).alias("g"), F.expr(b).alias("b"))
+
+
+def lookup(pixels: DataFrame, palette: list[Colour], out: str = "idx") -> DataFrame:
+    """The index of each pixel's very colour, the first of equal entries; null for a colour that is not in the palette. A
+    palette is at most some thousand rows, so it is broadcast."""
+    rows = pixels.sparkSession.createDataFrame([(*map(int, c), i) for c, i in {c: i for i, c in reversed(list(enumerate(map(tuple, palette))))}.items()], f"r long, g long, b long, {out} long")
+    return pixels.join(F.broadcast(rows), list(CHANNELS), "left")
+
+
 def render(indices: DataFrame, palette: list[Colour], idx: str = "idx") -> DataFrame:
     """Indices back to colours."""
     return indices.withColumn("__p", F.element_at(palette_array(palette), F.col(idx).cast("int") + 1)).withColumns({"r": F.col("__p.pr"), "g": F.col("__p.pg"), "b": F.col("__p.pb")}).drop("__p")

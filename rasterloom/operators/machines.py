@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass
+from datetime import date
 from functools import partial
 
 import numpy as np
@@ -21,7 +22,8 @@ from .sequential import diffuse_array, median_cut
 
 @dataclass(frozen=True)
 class Mode:
-    """palette: fixed colours; choice: colours of which the image's most frequent are taken; neither: median cut."""
+    """palette: fixed colours; choice: colours of which the image's most frequent are taken; neither: median cut. palettes:
+    how many strips of lines have a palette of their own."""
 
     machine: str
     name: str
@@ -34,6 +36,7 @@ class Mode:
     cell: tuple[int, int] | None = None
     cell_colours: int = 2
     choice: tuple[Colour, ...] | None = None
+    palettes: int = 1
 
 
 def cell_restricted(grid: np.ndarray, colours: np.ndarray, image: np.ndarray, cell: tuple[int, int], n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -108,6 +111,11 @@ def _grid_only(encode: Callable[[np.ndarray, list[Colour]], bytes]) -> Callable[
     return lambda grid, palette, table: encode(grid, palette)
 
 
+def _half_blocks(grid: np.ndarray, palette: list[Colour]) -> bytes:
+    """A text screen of upper half blocks, two pixels a cell; backgrounds have eight colours."""
+    return enc.ansi([[(0xDF, int(top), int(low) & 7) for top, low in zip(grid[y], grid[y + 1], strict=True)] for y in range(0, len(grid), 2)], "IMAGE", date(1990, 1, 1))
+
+
 MODES: dict[str, Mode] = {
     f"{m.machine}_{m.name}": m
     for m in (
@@ -124,6 +132,9 @@ MODES: dict[str, Mode] = {
         Mode("atarist", "low", 320, 200, None, 16, "pi1", _grid_only(lambda g, p: enc.degas(g, p, 0))),
         Mode("atarist", "medium", 640, 200, None, 4, "pi2", _grid_only(lambda g, p: enc.degas(g, p, 1))),
         Mode("atarist", "high", 640, 400, ((255, 255, 255), (0, 0, 0)), 2, "pi3", _grid_only(lambda g, p: enc.degas(g, p, 2))),
+        Mode("iigs", "256", 320, 200, None, 16, "shr", _grid_only(lambda g, p: enc.super_hires(g, p, [16 * y // 200 for y in range(200)])), palettes=16),
+        Mode("iigs", "brooks", 320, 200, None, 16, "3200", _grid_only(enc.brooks), palettes=200),
+        Mode("pc", "ansi", 80, 50, tuple(CGA), 16, "ans", _grid_only(_half_blocks)),
         Mode("iigs", "320", 320, 200, tuple(IIGS), 16, "shr", _grid_only(lambda g, p: enc.super_hires(g, [p], [0] * 200))),
         *(Mode("bbc", f"mode{n}", w, 256, None, k, "bbc", _grid_only(lambda g, p, d=d, n=n: enc.bbc_file(g, p, d, n)), choice=tuple(BBC)) for n, w, k, d in ((0, 640, 2, 1), (1, 320, 4, 2), (2, 160, 8, 4), (4, 320, 2, 1), (5, 160, 4, 2))),
         Mode("cpc", "mode1", 320, 200, tuple(PALETTES["cpc"][i] for i in (0, 26, 6, 2)), 4, "scr", _grid_only(lambda g, p: enc.cpc_screen(enc.cpc_mode1_byte(g.reshape(200, 80, 4))))),
@@ -152,10 +163,24 @@ def resize_array(image: np.ndarray, width: int, height: int) -> np.ndarray:
     return (total[np.ix_(bottom, right)] - total[np.ix_(top, right)] - total[np.ix_(bottom, left)] + total[np.ix_(top, left)]) / area[..., None]
 
 
+def _in_strips(fitted: np.ndarray, mode: Mode, dither: str | None) -> tuple[np.ndarray, list[Colour], bytes]:
+    """Lines with the palette of their strip; error does not leave a strip."""
+    slots = np.arange(mode.height) * mode.palettes // mode.height
+    tables = np.array([[np.round(c) for c in median_cut(fitted[slots == k].reshape(-1, 3), mode.colours)] for k in range(mode.palettes)])
+    if dither:
+        grid = diffuse_array(fitted, tables, dither, slots=slots)
+    else:
+        grid = np.stack([((row[:, None] - tables[slots[y]][None]) ** 2).sum(axis=2).argmin(axis=1) for y, row in enumerate(fitted)])
+    palettes = [[tuple(int(v) for v in c) for c in table] for table in tables]
+    return grid, [c for p in palettes for c in p], mode.encode(grid, palettes, None)
+
+
 def convert_array(image: np.ndarray, mode: Mode, dither: str | None = None) -> tuple[np.ndarray, list[Colour], bytes]:
     if image.size == 0:
         raise ValueError("emptyImage")
     fitted = resize_array(image.astype(float), mode.width, mode.height)
+    if mode.palettes > 1:
+        return _in_strips(fitted, mode, dither)
     if mode.palette:
         palette = list(mode.palette)
     elif mode.choice:

@@ -141,6 +141,24 @@ def byte_sum(bytes_col: str, modulus: int = 65536) -> Column:
     return F.pmod(F.aggregate(pairs, F.lit(0).cast("long"), lambda total, k: total + F.conv(F.substring(F.col(bytes_col), k, F.lit(2)), 16, 10).cast("long")), F.lit(modulus))
 
 
+def _words(bytes_col: str) -> Column:
+    """The big-endian 32-bit words of a hex string."""
+    places = F.sequence(F.lit(1), F.expr(f"length({bytes_col}) - 7"), F.lit(8))
+    return F.transform(places, lambda k: F.conv(F.substring(F.col(bytes_col), k, F.lit(8)), 16, 10).cast("long"))
+
+
+def block_checksum(bytes_col: str) -> Column:
+    """What makes the 32-bit words of a block add up to 0, wrapping."""
+    return F.pmod(-F.aggregate(_words(bytes_col), F.lit(0).cast("long"), lambda total, w: total + w), F.lit(1 << 32))
+
+
+def boot_checksum(bytes_col: str) -> Column:
+    """The complement of the sum of 32-bit words in which each carry is added back."""
+    top = F.lit(1 << 32)
+    added = F.aggregate(_words(bytes_col), F.lit(0).cast("long"), lambda total, w: F.when(total + w >= top, total + w - top + 1).otherwise(total + w))
+    return F.lit((1 << 32) - 1) - added
+
+
 def name_hash(name: Column, buckets: int = 72) -> Column:
     """The hash of a directory entry: length, then times 13 plus each upper-cased character, kept to 11 bits."""
     codes = F.transform(F.split(F.upper(name), ""), lambda c: F.ascii(c).cast("long"))

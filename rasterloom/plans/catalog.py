@@ -68,6 +68,9 @@ on_raster(
     lambda px: color.nearest(px.where("x % 2 = 0"), BBC[:4]).union(color.nearest(px.where("x % 2 = 1"), BBC[4:]).withColumn("idx", F.col("idx") + 4)).select("x", "y", "idx"),
     nearest_sql(BBC, extra="WHERE i BETWEEN 4*(x%2) AND 4*(x%2)+3") + " SELECT x, y, idx FROM m",
 )
+for _name in color.PALETTE_RULES:
+    add(f"palette_{_name}", lambda spark, d, n=_name: color.palette_rows(spark, n), palette_sql(PALETTES[_name]).replace(", pal", "WITH pal", 1) + " SELECT i AS idx, pr AS r, pg AS g, pb AS b FROM pal")
+on_raster("colour_lookup", lambda px: color.lookup(color.render(color.nearest(px, ZX), ZX), ZX, "found").select("x", "y", "found"), nearest_sql(ZX) + ", u AS (SELECT min(i) AS found, pr, pg, pb FROM pal GROUP BY ALL) SELECT x, y, found FROM m JOIN pal ON idx = i JOIN u USING (pr, pg, pb)")
 on_raster("render_indices", lambda px: color.render(color.nearest(px, BBC), BBC).select("x", "y", "r", "g", "b"), nearest_sql(BBC) + " SELECT x, y, pr AS r, pg AS g, pb AS b FROM m JOIN pal ON idx = i")
 
 # Scalar kernels.
@@ -275,6 +278,11 @@ add("validate_size", lambda spark, d: batch.validate_size(_docs(spark, d).select
 add("batch_summary", lambda spark, d: batch.summary(_docs(spark, d).withColumn("error", F.when(F.col("n_chars") % 5 == 0, "bad")), "source", "error", "doc_id"), "WITH f AS (SELECT doc_id, source FROM documents WHERE n_chars % 5 = 0) SELECT (SELECT count(*) FROM documents) AS n, (SELECT count(*) FROM f) AS failed, (SELECT string_agg(source, ', ' ORDER BY doc_id) FROM (SELECT * FROM f ORDER BY doc_id LIMIT 3)) || CASE WHEN (SELECT count(*) FROM f) > 3 THEN ' and ' || ((SELECT count(*) FROM f) - 3) || ' more' ELSE '' END AS failures")
 add("byte_checksum", lambda spark, d: _docs(spark, d).withColumn("hex", F.md5("source")).select("doc_id", packing.byte_sum("hex").alias("checksum")), "SELECT doc_id, CAST(list_sum(list_transform(range(16), lambda k: ('0x' || substring(md5(source), 2*k+1, 2))::INT)) AS BIGINT) % 65536 AS checksum FROM documents")
 
+_WORDS = "[CAST('0x' || substring(hex, 8*k+1, 8) AS BIGINT) FOR k IN range(length(hex) // 8)]"
+_HEX = "WITH h AS (SELECT doc_id, md5(source) || sha256(lang) AS hex FROM documents)"
+add("block_checksum", lambda spark, d: _docs(spark, d).withColumn("hex", F.concat(F.md5("source"), F.sha2("lang", 256))).select("doc_id", packing.block_checksum("hex").alias("checksum")), f"{_HEX} SELECT doc_id, (4294967296 - CAST(list_sum({_WORDS}) AS BIGINT) % 4294967296) % 4294967296 AS checksum FROM h")
+add("boot_checksum", lambda spark, d: _docs(spark, d).withColumn("hex", F.concat(F.md5("source"), F.sha2("lang", 256))).select("doc_id", packing.boot_checksum("hex").alias("checksum")), f"{_HEX} SELECT doc_id, 4294967295 - list_reduce(list_concat([0::BIGINT], {_WORDS}), lambda t, w: CASE WHEN t + w >= 4294967296 THEN t + w - 4294967296 + 1 ELSE t + w END) AS checksum FROM h")
+
 # Sequential kernels: images are strips of ten rows, so that they are many.
 
 

@@ -93,7 +93,7 @@ SIZES = {
     "zx_hires": 6912, "c64_hires": 9002, "c64_multicolour": 10003, "msx_screen2": 13063, "msx_screen8": 54279, "amiga500_standard": 51364, "amiga1200_standard": 82756,
     "atarist_low": 32034, "atarist_medium": 32034, "atarist_high": 32034, "iigs_320": 32768, "cpc_mode0": 16512, "cpc_mode1": 16512, "coco_coco3": 32000, "coco_coco3_4": 32000, "coco_pmode1": 3072,
     "coco_pmode2": 3072, "coco_pmode3": 6144, "coco_pmode4": 6144, "atari800_gr8": 7682, "atari800_gr9": 7696, "atari800_gr10": 7689, "atari800_gr11": 7696, "atari800_gr15": 7684,
-    "bbc_mode0": 20483, "bbc_mode1": 20485, "bbc_mode2": 20489, "bbc_mode4": 10243, "bbc_mode5": 10245, "msx_screen5": 27175,
+    "iigs_256": 32768, "iigs_brooks": 38400, "bbc_mode0": 20483, "bbc_mode1": 20485, "bbc_mode2": 20489, "bbc_mode4": 10243, "bbc_mode5": 10245, "msx_screen5": 27175,
 }
 
 
@@ -116,6 +116,20 @@ def test_registers_and_palettes_at_the_end_of_files():
     assert data[:7] == b"\xfe\0\0" + (27167).to_bytes(2, "little") + b"\0\0" and data[39] == grid[0, 0] << 4 | grid[0, 1]
 
 
+def test_text_screens_end_in_a_record():
+    grid, _, data = machines.convert_array(IMAGE, machines.MODES["pc_ansi"])
+    assert grid.shape == (50, 80) and data[-129:-121] == b"\x1aSAUCE00" and data.count(b"\xdf") == 80 * 25 and data.count(b"\r\n") == 25
+
+
+def test_assets_are_written_and_failures_are_rows(spark, tmp_path):
+    from rasterloom.sources.disks import write_files
+
+    rows = spark.createDataFrame([("a.bin", bytearray(b"one")), ("b.bin", bytearray(b"two")), ("no/such/c.bin", bytearray(b"x"))], "name string, content binary")
+    told = {r["name"]: r["error"] for r in write_files(rows, str(tmp_path / "out")).collect()}
+    assert told["a.bin"] is None and told["b.bin"] is None and told["no/such/c.bin"]
+    assert (tmp_path / "out" / "a.bin").read_bytes() == b"one"
+
+
 def test_most_frequent_colours():
     image = np.array([[[250, 0, 0]] * 3 + [[0, 250, 0]] * 2 + [[3, 3, 3]]], float)
     table = np.array([(0, 0, 0), (255, 0, 0), (0, 255, 0)])
