@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import basic, metrics
 from ..functions.palettes import BBC, C64, CPC, IIGS, PALETTES, TMS9918, VIC20, ZX, Colour
-from ..functions.disks import BUILDERS, LISTINGS
+from ..functions.disks import BUILDERS, FAT12, LISTINGS
 from ..operators import batch, color, machines, packing, sequential
 from ..operators import statistics as st
 from ..sources.disks import build_disks, extract_files, list_disks
@@ -338,6 +338,20 @@ _LISTED = {
     "trdos": _stored_sql("(bytes + 255) // 256", 16, 2560, 128, "(bytes + 255) // 256 > 255") + " SELECT disk_id, rtrim(substring(name, 1, 8)) AS name, bytes % 65536 AS size FROM g",
     "prodos": _stored_sql(_PRODOS_NEED, 24, 1600, 51) + " SELECT disk_id, name, bytes AS size FROM g",
 }
+_LISTED["coco_dos"] = _stored_sql("greatest(1, (bytes + 2303) // 2304)", 0, 68, 72) + " SELECT disk_id, name, bytes AS size FROM g"
+_LISTED["amiga_ofs"] = _stored_sql("(bytes + 487) // 488 + greatest(1, ((bytes + 487) // 488 + 71) // 72)", 0, 1756, 1 << 30) + " SELECT disk_id, name, bytes AS size FROM g"
+_LISTED["cpc_data"] = _stored_sql("(bytes + 1023) // 1024", 2, 180, 64, "sum(greatest(1, ((bytes + 1023) // 1024 + 15) // 16)) OVER (PARTITION BY disk_id ORDER BY ord) > 64").replace("bool_or(sum", "(sum").replace(" > 64) OVER w AS ended", " > 64) AS ended") + " SELECT disk_id, name, (bytes + 127) // 128 * 128 AS size FROM g"
+_LISTED["atari_dos"] = f"WITH {_DISK_FILES}, n AS (SELECT *, greatest(1, (bytes + 124) // 125) AS need FROM f), c AS (SELECT *, CAST(sum(need) OVER w AS BIGINT) - need AS before, row_number() OVER w AS k FROM n WINDOW w AS (PARTITION BY disk_id ORDER BY ord)) SELECT disk_id, name, least(bytes, (707 - before) * 125) AS size FROM c WHERE before < 707 AND k <= 64"
+_SIDE = "sum((bytes + 255) // 256) OVER w <= 798 AND row_number() OVER w <= 31 AS fits"
+_LISTED["acorn_double"] = f"WITH {_DISK_FILES}, a AS (SELECT *, {_SIDE} FROM f WINDOW w AS (PARTITION BY disk_id ORDER BY ord)), b AS (SELECT disk_id, ord, name, bytes, {_SIDE} FROM a WHERE NOT fits WINDOW w AS (PARTITION BY disk_id ORDER BY ord)) SELECT disk_id, substring(name, 1, 7) AS name, bytes AS size FROM (SELECT disk_id, name, bytes FROM a WHERE fits UNION ALL SELECT disk_id, name, bytes FROM b WHERE fits)"
+for _system, (_sectors, _cluster, _roots, _, _fat, _, _) in FAT12.items():
+    # A file that does not fit is skipped and the next one tried: a recursive query along each disk's files.
+    _room = (_sectors * 512 - (1 + 2 * _fat) * 512 - _roots * 32) // (_cluster * 512)
+    _takes = f"files + 2 <= {_roots} AND used + need <= {_room}"
+    _LISTED[_system] = f"""WITH RECURSIVE {_DISK_FILES}, n AS (SELECT *, (bytes + {_cluster * 512 - 1}) // {_cluster * 512} AS need, row_number() OVER (PARTITION BY disk_id ORDER BY ord) AS k FROM f),
+ s AS (SELECT disk_id, 0::BIGINT AS k, 0::BIGINT AS used, 0::BIGINT AS files, NULL::VARCHAR AS name, NULL::BIGINT AS size FROM (SELECT DISTINCT disk_id FROM n) UNION ALL
+ SELECT s.disk_id, n.k, used + CASE WHEN {_takes} THEN need ELSE 0 END, files + CASE WHEN {_takes} THEN 1 ELSE 0 END, CASE WHEN {_takes} THEN n.name END, bytes FROM s JOIN n ON n.disk_id = s.disk_id AND n.k = s.k + 1)
+ SELECT disk_id, name, size FROM s WHERE name IS NOT NULL"""
 for _system, _blocks, _most in (("commodore_1541", 664, 144), ("commodore_1571", 1328, 144), ("commodore_1581", 3160, 296)):
     _LISTED[_system] = f"WITH {_DISK_FILES}, n AS (SELECT *, greatest(1, (bytes + 253) // 254) AS need FROM f), c AS (SELECT *, CAST(sum(need) OVER w AS BIGINT) - need AS before, row_number() OVER w AS k FROM n WINDOW w AS (PARTITION BY disk_id ORDER BY ord)) SELECT disk_id, substring(name, 1, 16) AS name, least(need, {_blocks} - before) AS size FROM c WHERE before < {_blocks} AND k <= {_most}"
 for _system in LISTINGS:
