@@ -31,32 +31,53 @@ def _image(rows: pd.DataFrame) -> np.ndarray:
     return out
 
 
-def diffuse_array(image: np.ndarray, palette: np.ndarray, kernel: str = "floyd_steinberg", amount: float = 1.0, cell: tuple[int, int] | None = None, slots: np.ndarray | None = None) -> np.ndarray:
-    """Indices of an image with its error diffused; sources are clamped before use, ties go to the lowest index.
+def _wavefront(work: np.ndarray, tables: np.ndarray, slots: np.ndarray, kernel: str, amount: float, whole: bool) -> np.ndarray:
+    """Indices of an image with its error diffused; work is spent.
 
-    cell: visit cells of (width, height) one after the other and keep the error inside each. slots: the palette of each
-    line, palette then being a table of palettes; where the next line has another one, error stays in its line.
+    Pixels whose errors do not meet are done at once, along slanted lines: line t holds the pixels with x + slant * y = t.
+    The slant is such that each pixel still gets its errors in the order of a scan by rows, so the sums are the same.
     """
     taps, total = DIFFUSION[kernel]
+    height, width, _ = work.shape
+    slant = max(dx for dx, dy, _ in taps if not dy) - min(dx for dx, _, _ in taps) + 1
+    ordered = sorted(taps, key=lambda tap: (-tap[1], -tap[0]))
+    same = np.append(slots[1:] == slots[:-1], False)
+    out = np.zeros((height, width), np.int64)
+    for t in range(width + slant * (height - 1)):
+        ys = np.arange(max(0, -(-(t - width + 1) // slant)), min(height - 1, t // slant) + 1)
+        xs = t - slant * ys
+        want = np.clip(work[ys, xs], 0, 255)
+        palette = tables[slots[ys]]
+        gap = palette - want[:, None]
+        best = (gap * gap).sum(axis=2).argmin(axis=1)
+        out[ys, xs] = best
+        error = want - palette[np.arange(len(ys)), best]
+        if not whole:
+            error = error * (amount / total)
+        for dx, dy, weight in ordered:
+            on = (xs + dx >= 0) & (xs + dx < width) & (ys + dy < height)
+            if dy:
+                on &= same[ys]
+            work[ys[on] + dy, xs[on] + dx] += np.trunc(error[on] * (weight / total * amount)) if whole else error[on] * weight
+    return out
+
+
+def diffuse_array(image: np.ndarray, palette: np.ndarray, kernel: str = "floyd_steinberg", amount: float = 1.0, cell: tuple[int, int] | None = None, slots: np.ndarray | None = None, whole: bool = False) -> np.ndarray:
+    """Indices of an image with its error diffused; sources are clamped before use, ties go to the lowest index.
+
+    cell: cells of (width, height) keep their error inside. slots: the palette of each line, palette then being a table of
+    palettes; where the next line has another one, error stays in its line. whole: pixels and each share of an error are cut
+    to whole numbers.
+    """
     height, width, _ = image.shape
-    work, out, palettes = image.astype(float).copy(), np.zeros((height, width), np.int64), palette
-    cw, ch = cell or (width, height)
+    work = np.trunc(image) if whole else image.astype(float).copy()
+    out = np.zeros((height, width), np.int64)
+    tables, lines = (palette[None], np.zeros(height, np.int64)) if slots is None else (palette, np.asarray(slots))
+    cw, ch = cell or (max(width, 1), max(height, 1))
     for top in range(0, height, ch):
         for left in range(0, width, cw):
-            bottom, right = min(top + ch, height), min(left + cw, width)
-            for y in range(top, bottom):
-                if slots is not None:
-                    palette = palettes[slots[y]]
-                down = slots is None or (y + 1 < height and slots[y + 1] == slots[y])
-                for x in range(left, right):
-                    want = np.clip(work[y, x], 0, 255)
-                    gap = palette - want
-                    best = int(np.argmin((gap * gap).sum(axis=1)))
-                    out[y, x] = best
-                    error = (want - palette[best]) * (amount / total)
-                    for dx, dy, weight in taps:
-                        if left <= x + dx < right and y + dy < bottom and (down or not dy):
-                            work[y + dy, x + dx] += error * weight
+            own = (slice(top, top + ch), slice(left, left + cw))
+            out[own] = _wavefront(work[own], tables, lines[top : top + ch], kernel, amount, whole)
     return out
 
 
@@ -66,11 +87,11 @@ def _grid(keys: pd.DataFrame, columns: list[str], values: np.ndarray) -> pd.Data
     return pd.DataFrame({**{c: keys[c].iloc[0] for c in columns}, "y": y, "x": x, "idx": values.reshape(-1)})
 
 
-def diffuse(pixels: DataFrame, palette: list[Colour], kernel: str = "floyd_steinberg", amount: float = 1.0, keys: tuple[str, ...] = ("image_id",), cell: tuple[int, int] | None = None) -> DataFrame:
+def diffuse(pixels: DataFrame, palette: list[Colour], kernel: str = "floyd_steinberg", amount: float = 1.0, keys: tuple[str, ...] = ("image_id",), cell: tuple[int, int] | None = None, whole: bool = False) -> DataFrame:
     """(keys, y, x, idx) of every image."""
 
     def work(rows: pd.DataFrame, colours: np.ndarray) -> pd.DataFrame:
-        return _grid(rows, list(keys), diffuse_array(_image(rows), colours, kernel, amount, cell))
+        return _grid(rows, list(keys), diffuse_array(_image(rows), colours, kernel, amount, cell, whole=whole))
 
     schema = ", ".join(f"{c} {dict(pixels.dtypes)[c]}" for c in keys)
     return pixels.groupBy(*keys).applyInPandas(partial(work, colours=np.array(palette, float)), f"{schema}, y long, x long, idx long")
@@ -88,42 +109,57 @@ def diffuse_lines(pixels: DataFrame, palettes: list[list[Colour]], slots: DataFr
     return told.groupBy(*keys).applyInPandas(partial(work, tables=np.array(palettes, float)), f"{schema}, y long, x long, idx long")
 
 
-def ham_row(row: np.ndarray, palette: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """Codes and colours of one row: a palette entry, or the colour before with one channel set to its top bits.
+def ham_rows(lines: np.ndarray, palette: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Codes and colours of lines of equal length, all lines at once: a palette entry, or the colour before with one channel
+    set to its top bits.
 
-    The code is 2 control bits and `bits` data bits: 0 palette, 1 blue, 2 red, 3 green. A row begins at palette entry 0.
+    The code is 2 control bits and `bits` data bits: 0 palette, 1 blue, 2 red, 3 green. A line begins at palette entry 0.
     Ties go to the palette, then red, green, blue.
     """
-    step = 255 / ((1 << bits) - 1)
-    before, codes, colours = palette[0].astype(float), [], []
-    for want in row:
-        gap = ((palette - want) ** 2).sum(axis=1)
-        entry = int(gap.argmin())
-        best = (float(gap[entry]), 0, entry, palette[entry].astype(float))
-        for order, (channel, control) in enumerate(((0, 2), (1, 3), (2, 1)), 1):
-            level = int(np.clip(np.floor(want[channel] / step + 0.5), 0, (1 << bits) - 1))
+    n, width, _ = lines.shape
+    step, rows = 255 / ((1 << bits) - 1), np.arange(n)
+    before = np.repeat(palette[:1].astype(float), n, axis=0)
+    codes, colours = np.zeros((n, width), np.int64), np.zeros((n, width, 3))
+    for x in range(width):
+        want = lines[:, x]
+        gap = ((palette[None] - want[:, None]) ** 2).sum(axis=2)
+        code = gap.argmin(axis=1)
+        error, made = gap[rows, code], palette[code].astype(float)
+        for channel, control in ((0, 2), (1, 3), (2, 1)):
+            level = np.clip(np.floor(want[:, channel] / step + 0.5), 0, (1 << bits) - 1).astype(np.int64)
             tried = before.copy()
-            tried[channel] = level * step
-            error = float(((tried - want) ** 2).sum())
-            if error < best[0]:
-                best = (error, order, control << bits | level, tried)
-        before = best[3]
-        codes.append(best[2])
-        colours.append(before)
-    return np.array(codes), np.array(colours)
-
-
-def hold_and_modify(pixels: DataFrame, palette: list[Colour], bits: int = 4, keys: tuple[str, ...] = ("image_id",)) -> DataFrame:
-    """(keys, y, x, code) with every row on its own: rows are independent, so they are the unit of parallelism."""
+            tried[:, channel] = level * step
+            missed = ((tried - want) ** 2).sum(axis=1)
+            better = missed < error
+            error = np.where(better, missed, error)
+            code = np.where(better, control << bits | level, code)
+            made = np.where(better[:, None], tried, made)
+        before = made
+        codes[:, x], colours[:, x] = code, made
+    return codes, colours
+
+
+def ham_row(row: np.ndarray, palette: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """ham_rows of one line."""
+    codes, colours = ham_rows(np.asarray(row, float)[None], palette, bits)
+    return codes[0], colours[0]
+
+
+def hold_and_modify(pixels: DataFrame, palette: list[Colour], bits: int = 4, keys: tuple[str, ...] = ("image_id",), band: int = 256) -> DataFrame:
+    """(keys, y, x, code). Rows are independent: bands of `band` rows are the unit of parallelism, and all rows of a band go
+    from left to right together. Rows that are shorter than others end where they end."""
     colours = np.array(palette, float)
 
     def work(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("x")
-        codes, _ = ham_row(rows[["r", "g", "b"]].to_numpy(float), colours, bits)
-        return rows[[*keys, "y", "x"]].assign(code=codes)
+        at = rows.assign(row=rows["y"] - rows["y"].min()).sort_values(["row", "x"])
+        place = at.groupby("row").cumcount().to_numpy()
+        lines = np.zeros((int(at["row"].max()) + 1, int(place.max()) + 1, 3))
+        lines[at["row"], place] = at[["r", "g", "b"]].to_numpy(float)
+        codes, _ = ham_rows(lines, colours, bits)
+        return at[[*keys, "y", "x"]].assign(code=codes[at["row"], place])
 
     types = dict(pixels.dtypes)
-    return pixels.groupBy(*keys, "y").applyInPandas(work, ", ".join(f"{c} {types[c]}" for c in (*keys, "y", "x")) + ", code long")
+    return pixels.withColumn("__band", F.expr(f"y div {band}")).groupBy(*keys, "__band").applyInPandas(work, ", ".join(f"{c} {types[c]}" for c in (*keys, "y", "x")) + ", code long")
 
 
 def median_cut(points: np.ndarray, colours: int, order: str = "widest") -> np.ndarray:

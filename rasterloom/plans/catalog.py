@@ -138,7 +138,7 @@ _SHARED_TILES = _SHARED + """, t AS (SELECT *, y // 25 AS ty, x // 40 AS tx FROM
 on_raster("clahe_share", lambda px: _rounded(st.clahe_share(px)), _SHARED_TILES + f" SELECT x, y, {_scaled_sql('new')} FROM t JOIN f USING (ty, tx, bin)")
 for _window in (40, 64):
     _reach = _window // 2
-    on_raster(f"swahe_{_window}", lambda px, w=_window: _rounded(st.window_equalise(px, w)), _SHARED + f", k AS (SELECT y, x, bin FROM s), w AS (SELECT p.y, p.x, count(*) FILTER (q.bin <= p.bin) * 255.0::DOUBLE / count(*) AS new FROM k p JOIN k q ON q.y BETWEEN p.y - {_reach} AND p.y + {_reach} AND q.x BETWEEN p.x - {_reach} AND p.x + {_reach} GROUP BY 1, 2) SELECT x, y, {_scaled_sql('new')} FROM s JOIN w USING (y, x)" if _window == 40 else None)
+    on_raster(f"swahe_{_window}", lambda px, w=_window: _rounded(st.window_equalise(px, w)), _SHARED + f", k AS (SELECT y, x, bin FROM s), w AS (SELECT p.y, p.x, count(*) FILTER (q.bin <= p.bin) * 255.0::DOUBLE / count(*) AS new FROM k p JOIN k q ON q.y BETWEEN p.y - {_reach} AND p.y + {_reach} AND q.x BETWEEN p.x - {_reach} AND p.x + {_reach} GROUP BY 1, 2) SELECT x, y, {_scaled_sql('new')} FROM s JOIN w USING (y, x)")
 
 # Neighbourhoods.
 
@@ -296,6 +296,7 @@ add("diffuse_lines", lambda spark, d: sequential.diffuse_lines(_strips(spark, d)
 on_raster("match_lines", lambda px: color.nearest(px.where("y % 2 = 0"), _LINES[0]).unionByName(color.nearest(px.where("y % 2 = 1"), _LINES[1])).select("x", "y", "idx"), f"{palette_sql(_LINES[0], 'one')}{palette_sql(_LINES[1], 'two')}, pal AS (SELECT 0 AS slot, * FROM one UNION ALL SELECT 1, * FROM two) SELECT x, y, arg_min(i, {{'d': (r-pr)*(r-pr) + (g-pg)*(g-pg) + (b-pb)*(b-pb), 'i': i}}) AS idx FROM px JOIN pal ON slot = y % 2 GROUP BY 1, 2")
 for _kernel in sequential.DIFFUSION:
     add(f"diffuse_{_kernel}", lambda spark, d, k=_kernel: sequential.diffuse(_strips(spark, d), BBC, k))
+add("diffuse_whole", lambda spark, d: sequential.diffuse(_strips(spark, d), BBC, whole=True))
 add("diffuse_cells", lambda spark, d: sequential.diffuse(_strips(spark, d), BBC, cell=(8, 8)))
 add("ham6", lambda spark, d: sequential.hold_and_modify(_strips(spark, d), PALETTES["cga16"]))
 add("ham8", lambda spark, d: sequential.hold_and_modify(_strips(spark, d), PALETTES["ega64"], bits=6))

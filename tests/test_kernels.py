@@ -61,6 +61,31 @@ def test_median_cut_boxes_cover_all_points(order):
     assert np.allclose(sequential.median_cut(np.tile([[1.0, 2.0, 3.0]], (5, 1)), 4, order), [1, 2, 3])
 
 
+def scan(image, palette, kernel, amount=1.0, whole=False):
+    """Error diffusion pixel by pixel, row by row."""
+    taps, total = sequential.DIFFUSION[kernel]
+    work = np.trunc(image) if whole else image.astype(float).copy()
+    out = np.zeros(image.shape[:2], int)
+    for y in range(len(work)):
+        for x in range(work.shape[1]):
+            want = np.clip(work[y, x], 0, 255)
+            out[y, x] = ((palette - want) ** 2).sum(axis=1).argmin()
+            error = want - palette[out[y, x]]
+            for dx, dy, weight in taps:
+                if 0 <= x + dx < work.shape[1] and y + dy < len(work):
+                    work[y + dy, x + dx] += np.trunc(error * (weight / total * amount)) if whole else error * (amount / total) * weight
+    return out
+
+
+@pytest.mark.parametrize("kernel", sequential.DIFFUSION)
+def test_wavefronts_equal_the_scan(kernel):
+    r = np.random.default_rng(5)
+    for height, width in ((1, 1), (1, 9), (9, 1), (13, 17), (24, 6)):
+        image = r.integers(0, 256, (height, width, 3)).astype(float)
+        for whole in (False, True):
+            assert (sequential.diffuse_array(image, COLOURS, kernel, 0.75, whole=whole) == scan(image, COLOURS, kernel, 0.75, whole)).all()
+
+
 def test_error_stays_in_its_line_where_the_palette_changes():
     image = np.full((4, 6, 3), 100.0)
     tables = np.array([[(0, 0, 0), (255, 255, 255)], [(0, 0, 0), (200, 200, 200)]], float)
