@@ -127,7 +127,8 @@ def sample_ids(docs: DataFrame, id_col: str, text_col: str, lang_col: str, per_l
     they are read: what is ordered by language is as small for a language of a third of all rows as for any other.
     """
     ids = docs.where(F.col(lang_col).isNotNull() & F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.xxhash64(id_col).alias("hash"))
-    counts = ids.groupBy("lang").agg(F.count("*").alias("n"))
+    # A table of its own, one row a language: its size is known when the join is planned, and no row is dealt by language.
+    counts = cut(ids.groupBy("lang").agg(F.count("*").alias("n")), "languages")
     most = F.greatest(F.lit(64), F.lit(2 * per_language)) / F.col("n")
     near = ids.join(counts, "lang").where((F.pmod("hash", F.lit(1 << 30)) / F.lit(float(1 << 30)) < most))
     smallest = Window.partitionBy("lang").orderBy(F.pmod("hash", F.lit(1 << 30)), "hash", "id")
