@@ -213,3 +213,15 @@ def convert(pixels: DataFrame, mode: str, dither: str | None = None) -> DataFram
     """(image_id, mode, extension, width, height, indices, content, error) of pixels(image_id, y, x, r, g, b)."""
     kind = dict(pixels.dtypes)["image_id"]
     return pixels.select("image_id", "y", "x", "r", "g", "b").groupBy("image_id").applyInPandas(partial(_work, mode=mode, dither=dither), f"image_id {kind}, mode string, extension string, width long, height long, indices array<long>, content binary, error string")
+
+
+def _encode(rows: pd.DataFrame, kind: str) -> pd.DataFrame:
+    image = np.zeros((int(rows["y"].max()) + 1, int(rows["x"].max()) + 1, 3), np.int64)
+    image[rows["y"], rows["x"]] = rows[["r", "g", "b"]].to_numpy()
+    return pd.DataFrame({"image_id": [rows["image_id"].iloc[0]], "content": [{"bmp": enc.bmp24, "png": enc.png}[kind](image)]})
+
+
+def previews(pixels: DataFrame, kind: str = "png") -> DataFrame:
+    """(image_id, content): images(image_id, y, x, r, g, b) as PNG or BMP files, as they are."""
+    types = dict(pixels.dtypes)
+    return pixels.select("image_id", "y", "x", "r", "g", "b").groupBy("image_id").applyInPandas(partial(_encode, kind=kind), f"image_id {types['image_id']}, content binary")

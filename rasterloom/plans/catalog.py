@@ -13,7 +13,7 @@ from ..functions.disks import BUILDERS, FAT12, LISTINGS
 from ..operators import batch, color, machines, packing, sequential
 from ..operators import statistics as st
 from ..sources.disks import build_disks, extract_files, list_disks
-from ..sources.rasters import embedding_cells, orders_raster
+from ..sources.rasters import embedding_cells, metadata, orders_raster, pixels
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -312,6 +312,11 @@ def _images(spark: SparkSession, d: str) -> DataFrame:
     return orders_raster(spark, d).withColumn("image_id", F.expr("y div 50")).withColumn("y", F.expr("y % 50"))
 
 
+for _kind in ("png", "bmp"):
+    # Files and back: the pixels are those of the raster, and the head tells its size.
+    _named = lambda spark, d, k=_kind: machines.previews(_strips(spark, d).withColumn("image_id", F.col("image_id").cast("string")), k)
+    add(f"decode_{_kind}", lambda spark, d, f=_named: pixels(f(spark, d)).select("image_id", *[F.col(c).cast("long").alias(c) for c in ("y", "x", "r", "g", "b", "a")]), R150 + " SELECT CAST(y // 10 AS VARCHAR) AS image_id, y % 10 AS y, x, r, g, b, 255::BIGINT AS a FROM px")
+    add(f"metadata_{_kind}", lambda spark, d, f=_named: metadata(f(spark, d)), R150 + f" SELECT CAST(y // 10 AS VARCHAR) AS image_id, count(DISTINCT x) AS width, count(DISTINCT y) AS height, 24::BIGINT AS bits_per_pixel, 'RGB' AS color_space, 72::BIGINT AS dpi, false AS has_alpha FROM px GROUP BY 1")
 for _mode in machines.MODES:
     add(f"convert_{_mode}", lambda spark, d, m=_mode: machines.convert(_images(spark, d), m).select("image_id", "width", "height", F.length("content").alias("size"), F.md5("content").alias("digest"), "error"))
 
