@@ -317,8 +317,52 @@ for _kind in ("png", "bmp"):
     _named = lambda spark, d, k=_kind: machines.previews(_strips(spark, d).withColumn("image_id", F.col("image_id").cast("string")), k)
     add(f"decode_{_kind}", lambda spark, d, f=_named: pixels(f(spark, d)).select("image_id", *[F.col(c).cast("long").alias(c) for c in ("y", "x", "r", "g", "b", "a")]), R150 + " SELECT CAST(y // 10 AS VARCHAR) AS image_id, y % 10 AS y, x, r, g, b, 255::BIGINT AS a FROM px")
     add(f"metadata_{_kind}", lambda spark, d, f=_named: metadata(f(spark, d)), R150 + f" SELECT CAST(y // 10 AS VARCHAR) AS image_id, count(DISTINCT x) AS width, count(DISTINCT y) AS height, 24::BIGINT AS bits_per_pixel, 'RGB' AS color_space, 72::BIGINT AS dpi, false AS has_alpha FROM px GROUP BY 1")
+def _file_sql(width: int, height: int, palette: list[Colour], depth: int, head: str = "", tail: str = "") -> str:
+    """A file of packed rows between fixed bytes, for sizes no smaller than an image's: each place shows the pixel under it."""
+    per = 8 // depth
+    return (
+        R150 + f", im AS (SELECT y // 50 AS image_id, max(y % 50) + 1 AS tall FROM px GROUP BY 1), t AS (SELECT im.image_id, ty, tx, r, g, b FROM im, (SELECT range AS ty FROM range({height})), (SELECT range AS tx FROM range({width})) JOIN px ON px.y = im.image_id * 50 + ty * tall // {height} AND px.x = tx * 150 // {width})"
+        + palette_sql(palette)
+        + f", m AS (SELECT image_id, ty, tx, arg_min(i, {{'d': (r-pr)*(r-pr) + (g-pg)*(g-pg) + (b-pb)*(b-pb), 'i': i}}) AS idx FROM t, pal GROUP BY 1, 2, 3), y AS (SELECT image_id, ty, tx // {per} AS col, CAST(sum(idx << ({depth} * ({per} - 1 - tx % {per}))::INT) AS BIGINT) AS byte FROM m GROUP BY 1, 2, 3)"
+        + f", f AS (SELECT image_id, '{head}' || string_agg(printf('%02X', byte), '' ORDER BY ty, col) || '{tail}' AS hex FROM y GROUP BY 1) SELECT image_id, {width} AS width, {height} AS height, CAST(length(hex) // 2 AS INTEGER) AS size, md5(unhex(hex)) AS digest, CAST(NULL AS VARCHAR) AS error FROM f"
+    )
+
+
+def _chosen_sql(width: int, height: int, table: list[Colour], n: int, depth: int, tail: str, mode: str = "", head: str = "", spread: bool = False) -> str:
+    """A file in the image's n most frequent colours of a table, with a part for each of them (SQL text in k, r, g, b) before
+    or after the rows. spread: the bits of a pixel lie apart in the byte, and bytes come character by character."""
+    per = 8 // depth
+    place = f"+ {per} * b.range " if spread else f"+ b.range + {depth - 1} * ({per} - 1 - tx % {per}) "
+    order = "ty // 8, col, ty % 8" if spread else "ty, col"
+    own = f"(SELECT string_agg(printf('%02X', {tail}), '' ORDER BY slot) FROM best WHERE best.image_id = f.image_id)"
+    parts = (f"'{head}' || {own} || body" if head else f"body || '{mode}' || {own}")
+    return (
+        R150 + f", im AS (SELECT y // 50 AS image_id, max(y % 50) + 1 AS tall FROM px GROUP BY 1), t AS (SELECT im.image_id, ty, tx, r, g, b FROM im, (SELECT range AS ty FROM range({height})), (SELECT range AS tx FROM range({width})) JOIN px ON px.y = im.image_id * 50 + ty * tall // {height} AND px.x = tx * 150 // {width})"
+        + palette_sql(table)
+        + ", u AS (SELECT image_id, r, g, b, count(*) AS n FROM t GROUP BY ALL), v AS (SELECT image_id, r, g, b, any_value(n) AS n, arg_min(i, {'d': (r-pr)*(r-pr) + (g-pg)*(g-pg) + (b-pb)*(b-pb), 'i': i}) AS k FROM u, pal GROUP BY 1, 2, 3, 4)"
+        + f", best AS (SELECT image_id, k, row_number() OVER (PARTITION BY image_id ORDER BY sum(n) DESC, k) - 1 AS slot FROM v GROUP BY image_id, k QUALIFY slot < {n})"
+        + ", m AS (SELECT t.image_id, ty, tx, arg_min(slot, {'d': (r-pr)*(r-pr) + (g-pg)*(g-pg) + (b-pb)*(b-pb), 'i': slot}) AS idx FROM t JOIN best USING (image_id) JOIN pal ON i = k GROUP BY 1, 2, 3)"
+        + f", y AS (SELECT image_id, ty, tx // {per} AS col, CAST(sum((idx >> b.range::INT & 1) << ({per} - 1 - tx % {per} {place})::INT) AS BIGINT) AS byte FROM m, range({depth}) b GROUP BY 1, 2, 3)"
+        + f", f AS (SELECT image_id, string_agg(printf('%02X', byte), '' ORDER BY {order}) AS body FROM y GROUP BY 1), h AS (SELECT image_id, {parts} AS hex FROM f) SELECT image_id, {width} AS width, {height} AS height, CAST(length(hex) // 2 AS INTEGER) AS size, md5(unhex(hex)) AS digest, CAST(NULL AS VARCHAR) AS error FROM h"
+    )
+
+
+_word = lambda c: (c[0] + 8) // 17 << 8 | (c[1] + 8) // 17 << 4 | (c[2] + 8) // 17
+_FILES_SQL = {
+    "coco_pmode4": _file_sql(256, 192, [(0, 0, 0), (255, 255, 255)], 1),
+    "coco_coco3": _file_sql(320, 200, PALETTES["coco3"], 4),
+    "coco_coco3_4": _file_sql(640, 200, PALETTES["coco3"][:4], 2),
+    "msx_screen8": _file_sql(256, 212, PALETTES["rgb332"], 8, "FE0000FFD30000"),
+    "iigs_320": _file_sql(320, 200, IIGS, 4, tail="00" * 256 + "".join(f"{_word(c) & 255:02X}{_word(c) >> 8:02X}" for c in IIGS) + "00" * 480),
+    "atarist_high": _file_sql(640, 400, [(255, 255, 255), (0, 0, 0)], 1, "00020777" + "0000" * 15),
+}
+for _mode, _size, _n, _depth in ((0, 640, 2, 1), (1, 320, 4, 2), (2, 160, 8, 4), (4, 320, 2, 1), (5, 160, 4, 2)):
+    _FILES_SQL[f"bbc_mode{_mode}"] = _chosen_sql(_size, 256, BBC, _n, _depth, "k", f"{_mode:02X}", spread=True)
+for _mode, _size, _n, _depth in ((8, 320, 2, 1), (15, 160, 4, 2)):
+    _FILES_SQL[f"atari800_gr{_mode}"] = _chosen_sql(_size, 192, PALETTES["atari128"], _n, _depth, "k // 8 * 16 + k % 8 * 2")
+_FILES_SQL["msx_screen5"] = _chosen_sql(256, 212, PALETTES["v9938"], 16, 4, "k", head="FE00001F6A0000").replace("printf('%02X', k)", "printf('%02X%02X', k // 64 * 16 + k % 8, k // 8 % 8)")
 for _mode in machines.MODES:
-    add(f"convert_{_mode}", lambda spark, d, m=_mode: machines.convert(_images(spark, d), m).select("image_id", "width", "height", F.length("content").alias("size"), F.md5("content").alias("digest"), "error"))
+    add(f"convert_{_mode}", lambda spark, d, m=_mode: machines.convert(_images(spark, d), m).select("image_id", "width", "height", F.length("content").alias("size"), F.md5("content").alias("digest"), "error"), _FILES_SQL.get(_mode))
 
 
 def _files(spark: SparkSession, d: str) -> DataFrame:
