@@ -356,6 +356,24 @@ _FILES_SQL = {
     "iigs_320": _file_sql(320, 200, IIGS, 4, tail="00" * 256 + "".join(f"{_word(c) & 255:02X}{_word(c) >> 8:02X}" for c in IIGS) + "00" * 480),
     "atarist_high": _file_sql(640, 400, [(255, 255, 255), (0, 0, 0)], 1, "00020777" + "0000" * 15),
 }
+def _cells_sql(width: int, height: int, palette: list[Colour], lines: int, file: str, bits_order: str, cell_byte: str, cells_order: str) -> str:
+    """A file of two colours a cell of eight by `lines`: bits are set for the commoner one. file: SQL text in bits and cells."""
+    return (
+        R150 + f", im AS (SELECT y // 50 AS image_id, max(y % 50) + 1 AS tall FROM px GROUP BY 1), t AS (SELECT im.image_id, ty, tx, r, g, b FROM im, (SELECT range AS ty FROM range({height})), (SELECT range AS tx FROM range({width})) JOIN px ON px.y = im.image_id * 50 + ty * tall // {height} AND px.x = tx * 150 // {width})"
+        + palette_sql(palette)
+        + f", m AS (SELECT image_id, ty, tx, arg_min(i, {{'d': (r-pr)*(r-pr) + (g-pg)*(g-pg) + (b-pb)*(b-pb), 'i': i}}) AS idx FROM t, pal GROUP BY 1, 2, 3)"
+        + f", c AS (SELECT image_id, ty // {lines} AS cy, tx // 8 AS cx, idx, row_number() OVER (PARTITION BY image_id, cy, cx ORDER BY count(*) DESC, idx) - 1 AS slot FROM m GROUP BY 1, 2, 3, 4 QUALIFY slot < 2)"
+        + ", k AS (SELECT image_id, cy, cx, max(CASE WHEN slot = 0 THEN idx END) AS one, coalesce(max(CASE WHEN slot = 1 THEN idx END), max(CASE WHEN slot = 0 THEN idx END)) AS two FROM c GROUP BY 1, 2, 3)"
+        + f", p AS (SELECT t.image_id, ty, tx, arg_min(slot, {{'d': (r-pr)*(r-pr) + (g-pg)*(g-pg) + (b-pb)*(b-pb), 's': slot}}) AS slot FROM t JOIN c ON c.image_id = t.image_id AND cy = ty // {lines} AND cx = tx // 8 JOIN pal ON i = idx GROUP BY 1, 2, 3)"
+        + ", y AS (SELECT image_id, ty, tx // 8 AS col, CAST(sum((1 - slot) << (7 - tx % 8)::INT) AS BIGINT) AS byte FROM p GROUP BY 1, 2, 3)"
+        + f", f AS (SELECT image_id, string_agg(printf('%02X', byte), '' ORDER BY {bits_order}) AS bits FROM y GROUP BY 1), a AS (SELECT image_id, string_agg(printf('%02X', {cell_byte}), '' ORDER BY {cells_order}) AS cells FROM k GROUP BY 1)"
+        + f", h AS (SELECT image_id, {file} AS hex FROM f JOIN a USING (image_id)) SELECT image_id, {width} AS width, {height} AS height, CAST(length(hex) // 2 AS INTEGER) AS size, md5(unhex(hex)) AS digest, CAST(NULL AS VARCHAR) AS error FROM h"
+    )
+
+
+_FILES_SQL["zx_hires"] = _cells_sql(256, 192, ZX, 8, "bits || cells", "ty // 64, ty % 8, ty // 8 % 8, col", "(one >> 1) | ((two >> 1) << 3) | (((one | two) & 1) << 6)", "cy, cx")
+_FILES_SQL["c64_hires"] = _cells_sql(320, 200, C64, 8, "'0020' || bits || cells", "ty // 8, col, ty % 8", "(one << 4) | two", "cy, cx")
+_FILES_SQL["msx_screen2"] = _cells_sql(256, 192, TMS9918, 1, f"'FE0000FF370000' || bits || cells || '{bytes(range(256)).hex().upper() * 3}'", "ty // 8, col, ty % 8", "(one << 4) | two", "cy // 8, cx, cy % 8")
 for _mode, _size, _n, _depth in ((0, 640, 2, 1), (1, 320, 4, 2), (2, 160, 8, 4), (4, 320, 2, 1), (5, 160, 4, 2)):
     _FILES_SQL[f"bbc_mode{_mode}"] = _chosen_sql(_size, 256, BBC, _n, _depth, "k", f"{_mode:02X}", spread=True)
 for _mode, _size, _n, _depth in ((8, 320, 2, 1), (15, 160, 4, 2)):
