@@ -298,9 +298,28 @@ for _kernel in sequential.DIFFUSION:
     add(f"diffuse_{_kernel}", lambda spark, d, k=_kernel: sequential.diffuse(_strips(spark, d), BBC, k))
 add("diffuse_whole", lambda spark, d: sequential.diffuse(_strips(spark, d), BBC, whole=True))
 add("diffuse_cells", lambda spark, d: sequential.diffuse(_strips(spark, d), BBC, cell=(8, 8)))
-add("ham6", lambda spark, d: sequential.hold_and_modify(_strips(spark, d), PALETTES["cga16"]))
-add("ham8", lambda spark, d: sequential.hold_and_modify(_strips(spark, d), PALETTES["ega64"], bits=6))
-add("ham6_fold", lambda spark, d: sequential.hold_fold(_strips(spark, d), PALETTES["cga16"]))
+def _ham_sql(palette: list[Colour], bits: int) -> str:
+    """Hold-and-modify as a recursive query from left to right along all rows: of the palette's entries and of the colour
+    before with one channel set, the least error wins, then the palette, red, green, blue."""
+    top = (1 << bits) - 1
+    step = f"(255::DOUBLE / {top}::DOUBLE)"
+    level = {c: f"CAST(least(greatest(floor({c} / {step} + 0.5::DOUBLE), 0), {top}) AS BIGINT)" for c in "rgb"}
+    gap = "({0}-r)*({0}-r) + ({1}-g)*({1}-g) + ({2}-b)*({2}-b)".format
+    entries = "[" + ", ".join(f"{{'i': {i}::BIGINT, 'r': {r}::DOUBLE, 'g': {g}::DOUBLE, 'b': {b}::DOUBLE}}" for i, (r, g, b) in enumerate(palette)) + "]"
+    tries = [f"{{'e': {gap('p.r', 'p.g', 'p.b')}, 'o': 0, 'c': p.i, 'r': p.r, 'g': p.g, 'b': p.b}}"]
+    for order, (c, control) in enumerate((("r", 2), ("g", 3), ("b", 1)), 1):
+        made = {k: f"{level[k]} * {step}" if k == c else f"w{k}" for k in "rgb"}
+        tries.append(f"{{'e': {gap(*made.values())}, 'o': {order}, 'c': {level[c]} + {control << bits}, 'r': CAST({made['r']} AS DOUBLE), 'g': CAST({made['g']} AS DOUBLE), 'b': CAST({made['b']} AS DOUBLE)}}")
+    return (
+        R150.replace("WITH px", "WITH RECURSIVE px", 1)
+        + f", s AS (SELECT DISTINCT y, -1::BIGINT AS x, 0::BIGINT AS code, {palette[0][0]}::DOUBLE AS wr, {palette[0][1]}::DOUBLE AS wg, {palette[0][2]}::DOUBLE AS wb FROM px), h AS (SELECT * FROM s UNION ALL SELECT y, x, best.c, best.r, best.g, best.b FROM"
+        + f" (SELECT px.y, px.x, list_sort(list_concat([{tries[0]} FOR p IN {entries}], [{', '.join(tries[1:])}]))[1] AS best FROM h JOIN (SELECT x, y, r::DOUBLE AS r, g::DOUBLE AS g, b::DOUBLE AS b FROM px) px ON px.y = h.y AND px.x = h.x + 1))"
+    )
+
+
+add("ham6", lambda spark, d: sequential.hold_and_modify(_strips(spark, d), PALETTES["cga16"]), _ham_sql(PALETTES["cga16"], 4) + " SELECT y // 10 AS image_id, y % 10 AS y, x, code FROM h WHERE x >= 0")
+add("ham8", lambda spark, d: sequential.hold_and_modify(_strips(spark, d), PALETTES["ega64"], bits=6), _ham_sql(PALETTES["ega64"], 6) + " SELECT y // 10 AS image_id, y % 10 AS y, x, code FROM h WHERE x >= 0")
+add("ham6_fold", lambda spark, d: sequential.hold_fold(_strips(spark, d), PALETTES["cga16"]).select("image_id", "y", F.concat_ws(",", F.col("codes").cast("array<string>")).alias("codes")), _ham_sql(PALETTES["cga16"], 4) + " SELECT y // 10 AS image_id, y % 10 AS y, string_agg(CAST(code AS VARCHAR), ',' ORDER BY x) AS codes FROM h WHERE x >= 0 GROUP BY 1, 2")
 add("median_cut_widest", lambda spark, d: sequential.adaptive_palette(_strips(spark, d), 16))
 add("median_cut_fifo", lambda spark, d: sequential.adaptive_palette(_strips(spark, d), 16, "fifo"))
 add("line_palette_reuse", lambda spark, d: sequential.line_palettes(_strips(spark, d), 16, 12.0))
