@@ -240,7 +240,7 @@ add("name_cbm_bytes", lambda spark, d: spark.read.parquet(f"{d}/documents.parque
 add("file_dates", lambda spark, d: spark.read.parquet(f"{d}/orders.parquet").select("o_orderkey", batch.prodos_date(F.col("o_orderdate")).alias("prodos"), batch.amiga_days(F.col("o_orderdate").cast("date")).alias("amiga")), "SELECT o_orderkey, year(o_orderdate) % 100 * 512 + month(o_orderdate) * 32 + day(o_orderdate) AS prodos, date_diff('day', DATE '1978-01-01', CAST(o_orderdate AS DATE)) AS amiga FROM orders")
 _OPTIONS = {"click": ["small", "large"], "purchase": ["large"], "view": ["small", "medium"]}
 add("option_available", lambda spark, d: batch.available(spark.read.parquet(f"{d}/events.parquet").withColumn("size", F.expr("case event_id % 3 when 0 then 'small' when 1 then 'medium' else 'large' end")), _OPTIONS, "event_type", "size").select("event_id", "option"), "WITH e AS (SELECT event_id, event_type, CASE event_id % 3 WHEN 0 THEN 'small' WHEN 1 THEN 'medium' ELSE 'large' END AS size FROM events), o(event_type, own) AS (VALUES " + ", ".join(f"('{k}', {v!r})" for k, v in _OPTIONS.items()) + ") SELECT event_id, CASE WHEN list_contains(own, size) THEN size ELSE own[1] END AS option FROM e LEFT JOIN o USING (event_type)")
-add("asset_union", lambda spark, d: batch.assets(spark.read.parquet(f"{d}/documents.parquet").where("text is not null").select("doc_id", "source", F.split(F.substring_index("text", " ", 3), " ").alias("parts")), "source", "parts").select("doc_id", "asset_name", "asset"), "SELECT doc_id, CASE WHEN n > 1 THEN source || '_' || k ELSE source END AS asset_name, parts[k] AS asset FROM (SELECT doc_id, source, parts, len(parts) AS n, unnest(range(1, len(parts) + 1)) AS k FROM (SELECT doc_id, source, string_split(text, ' ')[1:3] AS parts FROM documents WHERE text IS NOT NULL))")
+add("asset_union", lambda spark, d: batch.assets(spark.read.parquet(f"{d}/documents.parquet").where("text is not null").select("doc_id", "source", F.split("text", " ").alias("parts")), "source", "parts").select("doc_id", "asset_name", "asset"), "SELECT doc_id, CASE WHEN n > 1 THEN source || '_' || k ELSE source END AS asset_name, parts[k] AS asset FROM (SELECT doc_id, source, parts, len(parts) AS n, unnest(range(1, len(parts) + 1)) AS k FROM (SELECT doc_id, source, string_split(text, ' ') AS parts FROM documents WHERE text IS NOT NULL))")
 add("base_name", lambda spark, d: _docs(spark, d).select("doc_id", batch.base_name(F.concat_ws(".", "source", "lang")).alias("base")), "SELECT doc_id, CASE WHEN instr(concat_ws('.', source, lang), '.') > 0 THEN regexp_replace(concat_ws('.', source, lang), '\\.[^.]*$', '') ELSE concat_ws('.', source, lang) END AS base FROM documents")
 add("unique_names", lambda spark, d: batch.unique_names(_docs(spark, d), "source", "doc_id").select("doc_id", "nth", "unique"), "SELECT doc_id, nth, CASE WHEN nth = 1 THEN source ELSE source || '_' || nth END AS unique FROM (SELECT doc_id, source, row_number() OVER (PARTITION BY upper(source) ORDER BY doc_id) AS nth FROM documents)")
 add("name_hash", lambda spark, d: _docs(spark, d).select("doc_id", packing.name_hash(F.col("source")).alias("bucket")), "SELECT doc_id, list_reduce(list_concat([CAST(length(source) AS BIGINT)], [CAST(ord(c) AS BIGINT) FOR c IN string_split(upper(source), '')]), lambda h, c: (h * 13 + c) & 2047) % 72 AS bucket FROM documents")
