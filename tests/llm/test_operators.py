@@ -1,6 +1,7 @@
 """The ten operators against brute force, with nulls, empty and long texts, ties, repeated rows, empty tables and clashing columns."""
 
 import hashlib
+import os
 import random
 import re
 import textwrap
@@ -172,6 +173,13 @@ def test_blocks_of_a_large_cluster_find_every_link(spark):
     assert parent == want and len(set(want)) < 150
 
 
+def test_a_replaced_table_is_deleted(spark):
+    first = cut(spark.range(5), "first")
+    second = cut(first.select((F.col("id") + 1).alias("id")), "second", first)
+    assert sorted(r["id"] for r in second.collect()) == [1, 2, 3, 4, 5]
+    assert not os.path.exists(first.cut_path.removeprefix("file:")) and os.path.exists(second.cut_path.removeprefix("file:"))
+
+
 def test_roots_of_a_forest(spark):
     parents = [(k, k // 2) for k in range(1, 40)] + [(k, 1000) for k in range(1001, 1100)]
     told = {r["node"]: r["component"] for r in forest_roots(spark.createDataFrame(parents, "node long, parent long")).collect()}
