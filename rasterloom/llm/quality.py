@@ -120,9 +120,10 @@ OF_WORDS, OF_LINES = ("n_words", "n_repeat_words", "n_stop_words"), ("n_lines",
 
 def measures(df: DataFrame, text: str = "text") -> DataFrame:
     """df with the measures n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words and those that only rules use."""
-    words, lines, by_name = _parts(F.col(text))
-    staged = df.withColumns({"__of_words": words, "__of_lines": lines} | by_name)
-    return staged.withColumns({c: F.col(f"__of_words.{c}") for c in OF_WORDS} | {c: F.col(f"__of_lines.{c}") for c in OF_LINES}).drop("__of_words", "__of_lines")
+    words, lines, by_name = _parts(F.col(f"`{text}`"))
+    of_words, of_lines = (name + "_" * max([len(c) for c in df.columns], default=0) for name in ("of_words", "of_lines"))
+    staged = df.withColumns({of_words: words, of_lines: lines} | by_name)
+    return staged.withColumns({c: F.col(of_words)[c] for c in OF_WORDS} | {c: F.col(of_lines)[c] for c in OF_LINES}).drop(of_words, of_lines)
 
 
 def compile_rules(rules: tuple[Rule, ...] = RULES, measure: Callable[[str], Column] = F.col) -> dict[str, Column]:
