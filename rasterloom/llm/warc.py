@@ -31,6 +31,7 @@ from pyspark.sql import functions as F
 MAGIC = b"\x1f\x8b\x08"
 CHUNK = 1 << 20
 MOST_TASKS = 20_000
+SALTS = 32
 RECORDS = "page_id long, url string, record_type string, payload_digest string, payload_bytes long, refers_to long, payload binary, path string, offset long"
 MANIFEST = "path string, bytes long, records long"
 _ID = re.compile(r"<urn:page:(-?\d+)>")
@@ -81,12 +82,12 @@ def write_archives(pages: DataFrame, folder: str, least: int = 100, rotate: int
     """Write pages(page_id, url, html); returns the manifest, which has to be materialised once before it is used."""
     digested = pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), F.col("html"), F.sha2(F.coalesce("html", F.lit("")), 256).alias("digest"))
     long_enough = F.octet_length(F.coalesce("html", F.lit(""))) >= least
-    # Only payloads that are there twice are joined; counts are folded before they move.
-    firsts = digested.where(long_enough).groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1").select("digest", "first")
-    # Digests meet without their payloads; payloads are then dealt by page and digest, so that copies of a page spread.
-    page = F.coalesce(F.col("page_id").cast("string"), F.lit("none")).alias("page")
-    revisits = digested.select(page, "page_id", "digest").join(firsts, "digest").where(F.coalesce(F.col("page_id") != F.col("first"), F.lit(True))).select("page", "digest", "first").distinct()
-    marked = digested.withColumn("page", page).join(revisits, ["page", "digest"], "left")
+    # Only payloads that are there twice are joined, one row each, and counts are folded before they move. Where the join deals
+    # payloads out, the copies of a page go to SALTS keys.
+    firsts = digested.where(long_enough).groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1")
+    salted = firsts.select("digest", "first", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))).alias("salt"))
+    marked = digested.withColumn("salt", F.pmod(F.xxhash64("page_id", "url"), F.lit(SALTS))).join(salted, ["digest", "salt"], "left")
+    marked = marked.withColumn("first", F.when(F.col("first") != F.coalesce("page_id", F.col("first") - 1), F.col("first")))
     system, root = _open(folder)
     system.create_dir(root, recursive=True)
     return marked.select("page_id", "url", "html", "digest", "first").mapInArrow(partial(_write, folder=folder, rotate=rotate), MANIFEST)
