@@ -109,8 +109,16 @@ _PHRASES = re.compile(
 _BARE_AT, _BRACKET = re.compile(r"\s(?:at|arroba|arobase)\s", re.IGNORECASE), re.compile(_OPEN)
 _ODD = re.compile(r"[^\x00-\x7f]+")
 _SPELLED_PART = re.compile(rf"\b(?P<digit>{_WORD})\b|(?P<dot>\b(?:dot|point)\b)|(?P<plus>\bplus\b|\+)|(?P<figure>[0-9])", re.IGNORECASE)
-_MAYBE_PHRASE = re.compile(rf"{_OPEN}\s*(?:{_AT_WORD}|{_DOT_WORD})\s*{_CLOSE}|\s(?:dot|punkt|punto)\s", re.IGNORECASE)
-_MAYBE_SPELLED = re.compile(rf"\b(?:{_WORD})\b[\s,-]+(?:dot\s+|point\s+)?(?:{_WORD}|[0-9])\b[\s,-]+(?:dot\s+|point\s+)?(?:{_WORD}|[0-9])\b", re.IGNORECASE)
+# Whether a case-folded text may hold something for the second transducer.
+_MAYBE_PHRASE = re.compile(rf"{_OPEN}\s*(?:{_AT_WORD}|{_DOT_WORD})\s*{_CLOSE}|\s(?:dot|punkt|punto)\s")
+_MAYBE_SPELLED = re.compile(rf"\b(?:{_WORD})[\s,-]+(?:dot\s+|point\s+)?(?:{_WORD}|[0-9])\b[\s,-]+(?:dot\s+|point\s+)?(?:{_WORD}|[0-9])\b")
+
+
+def _may_hold_phrases(text: str) -> bool:
+    folded = text.casefold()
+    return bool(_MAYBE_PHRASE.search(folded) or _MAYBE_SPELLED.search(folded))
+
+
 
 
 def _plain(c: str) -> str:
@@ -215,7 +223,7 @@ def fold_phrases(text: str) -> _Rewritten:
 def _added(text: str, base: list[Span]) -> list[Span]:
     folded = fold_characters(text) if _is_odd(text) else None
     plain = folded.text() if folded else text
-    phrased = fold_phrases(plain) if _MAYBE_PHRASE.search(plain) or _MAYBE_SPELLED.search(plain) else None
+    phrased = fold_phrases(plain) if _may_hold_phrases(plain) else None
     if not (folded or phrased):
         return []
     by_kind = {k: sorted((a, b) for a, kind, b in base if kind == k) for k in KINDS}
