@@ -105,3 +105,50 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 
 
 ORACLE_SQL["op8_quality_rules"] = _quality_sql(quality.RULES)
+
+ORACLE_SQL["fingerprint_edits"] = """
+WITH d AS (SELECT doc_id, coalesce(text, '') AS body FROM documents),
+n AS (SELECT doc_id, body, coalesce(lead(body) OVER w, first_value(body) OVER w) AS next, length(body) AS n FROM d WINDOW w AS (ORDER BY doc_id DESC ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING))
+SELECT doc_id, CAST(n AS BIGINT) AS n_chars, sha256(substring(body, 1, n - n // 3) || substring(next, 1, n // 3)) AS edited_sha256 FROM n
+"""
+
+_WHOLE = "[floor(256 * CAST(x AS DOUBLE)) FOR x IN embedding]"
+_SOUND = "embedding IS NOT NULL AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0"
+
+
+def _codes_sql(parts: int, entries: int, rounds: int) -> str:
+    steps = []
+    for k in range(rounds + 1):
+        # Distances less |x|^2 are whole numbers in doubles; the lower entry on a tie.
+        steps.append(f"""
+a{k} AS (SELECT p.vec_id, p.part, arg_min(b.e, {{'d': list_dot_product(b.v, b.v) - 2 * list_dot_product(p.v, b.v), 'e': b.e}}) AS e FROM p JOIN b{k} b USING (part) GROUP BY ALL)""")
+        if k < rounds:
+            steps.append(f"""
+m{k} AS (SELECT part, e, pos, CAST(sum(v[pos]) AS BIGINT) AS s, count(*) AS n FROM p JOIN a{k} USING (vec_id, part), (SELECT width, unnest(range(1, width + 1)) AS pos FROM w) GROUP BY ALL),
+c{k} AS (SELECT part, e, list(CAST((s - (s % n + n) % n) // n AS DOUBLE) ORDER BY pos) AS v FROM m{k} GROUP BY ALL),
+b{k + 1} AS (SELECT part, e, coalesce(c.v, b.v) AS v FROM b{k} b LEFT JOIN c{k} c USING (part, e))""")
+    return f"""
+WITH k AS (SELECT vec_id, label, {_WHOLE} AS v FROM embeddings WHERE {_SOUND}),
+w AS (SELECT max(len(v)) // {parts} AS width FROM k),
+p AS (SELECT vec_id, part, v[part * width + 1 : part * width + width] AS v FROM k, w, (SELECT unnest(range({parts})) AS part)),
+o AS (SELECT vec_id, row_number() OVER (ORDER BY vec_id) - 1 AS e FROM k QUALIFY e < {entries}),
+b0 AS (SELECT part, e, v FROM p JOIN o USING (vec_id)),{",".join(steps)},
+f AS (SELECT vec_id, string_agg(printf('%02x', a.e), '' ORDER BY part) AS code,
+  CAST(sum(list_dot_product(p.v, p.v) - 2 * list_dot_product(p.v, b.v) + list_dot_product(b.v, b.v)) AS BIGINT) AS error
+  FROM a{rounds} a JOIN p USING (vec_id, part) JOIN b{rounds} b USING (part, e) GROUP BY vec_id),
+t AS (SELECT label, CAST(sum(error) AS BIGINT) AS label_error FROM f JOIN k USING (vec_id) GROUP BY label),
+g AS (SELECT sha256(string_agg(array_to_string([CAST(x AS BIGINT) FOR x IN v], ','), ',' ORDER BY part, e)) AS codebooks_sha256 FROM b{rounds})
+SELECT vec_id, code, error, label_error, codebooks_sha256 FROM f JOIN k USING (vec_id) JOIN t ON t.label IS NOT DISTINCT FROM k.label, g
+"""
+
+
+ORACLE_SQL["op12_vector_codes"] = _codes_sql(16, 64, 2)
+
+ORACLE_SQL["op13_hard_negatives"] = f"""
+WITH r AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, {_WHOLE} AS v FROM embeddings WHERE label IS NOT NULL AND {_SOUND}),
+s AS (SELECT a.vec_id AS anchor, x.vec_id AS id, a.label = x.label AS same, CAST(list_dot_product(a.v, x.v) AS BIGINT) AS score FROM r a JOIN r x ON a.vec_id <> x.vec_id WHERE a.vec_id % 50 = 0),
+p AS (SELECT anchor, id, score FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY anchor ORDER BY score DESC, id) <= 5),
+n AS (SELECT p.anchor, p.id AS positive, p.score AS positive_score, s.id, s.score, row_number() OVER (PARTITION BY p.anchor, p.id ORDER BY s.score DESC, s.id) AS rank
+  FROM p JOIN s ON p.anchor = s.anchor AND NOT s.same AND 50 * p.score <= 100 * s.score AND 100 * s.score <= 95 * p.score)
+SELECT anchor AS anchor_id, positive AS positive_id, CAST(rank AS INTEGER) AS rank, id AS negative_id, positive_score, score AS negative_score FROM n WHERE rank <= 3
+"""

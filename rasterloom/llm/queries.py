@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, licenses, minhash, mixing, nndescent, pii, quality, secrets, sentencepieces, warc
+from . import codebooks, fingerprints, langid, licenses, minhash, mixing, negatives, nndescent, pii, quality, secrets, sentencepieces, warc
 from .oracles import ORACLE_SQL as ORACLE_SQL
 from .shared import cut, scratch_path, table
 
@@ -83,6 +83,29 @@ def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepieces.encode(table(spark, sf_dir, "documents"), TOKENIZER)
 
 
+@query
+def op11_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.edited_neighbours(table(spark, sf_dir, "documents"))
+
+
+@query
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return codebooks.compress(table(spark, sf_dir, "embeddings"), parts=16, entries=64, rounds=2)
+
+
+@query
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", "embedding", moved.alias("label"))
+    return negatives.hard_negatives(rows, F.col("id") % 50 == 0, positives=5, negatives=3, least=50, most=95)
+
+
+@query
+def fingerprint_edits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What SQL can express of op11."""
+    return op11_fingerprints(spark, sf_dir).select("doc_id", "n_chars", "edited_sha256")
+
+
 @query
 def pii_base_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What SQL can express of op1."""
