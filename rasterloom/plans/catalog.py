@@ -12,6 +12,7 @@ from ..functions.palettes import BBC, C64, CPC, IIGS, PALETTES, TMS9918, VIC20,
 from ..functions.disks import BUILDERS, FAT12, LISTINGS
 from ..operators import batch, color, machines, packing, sequential
 from ..operators import statistics as st
+from . import adaptive
 from ..sources.disks import build_disks, extract_files, list_disks
 from ..sources.rasters import embedding_cells, metadata, orders_raster, pixels
 
@@ -320,9 +321,7 @@ def _ham_sql(palette: list[Colour], bits: int) -> str:
 add("ham6", lambda spark, d: sequential.hold_and_modify(_strips(spark, d), PALETTES["cga16"]), _ham_sql(PALETTES["cga16"], 4) + " SELECT y // 10 AS image_id, y % 10 AS y, x, code FROM h WHERE x >= 0")
 add("ham8", lambda spark, d: sequential.hold_and_modify(_strips(spark, d), PALETTES["ega64"], bits=6), _ham_sql(PALETTES["ega64"], 6) + " SELECT y // 10 AS image_id, y % 10 AS y, x, code FROM h WHERE x >= 0")
 add("ham6_fold", lambda spark, d: sequential.hold_fold(_strips(spark, d), PALETTES["cga16"]).select("image_id", "y", F.concat_ws(",", F.col("codes").cast("array<string>")).alias("codes")), _ham_sql(PALETTES["cga16"], 4) + " SELECT y // 10 AS image_id, y % 10 AS y, string_agg(CAST(code AS VARCHAR), ',' ORDER BY x) AS codes FROM h WHERE x >= 0 GROUP BY 1, 2")
-add("median_cut_widest", lambda spark, d: sequential.adaptive_palette(_strips(spark, d), 16))
-add("median_cut_fifo", lambda spark, d: sequential.adaptive_palette(_strips(spark, d), 16, "fifo"))
-add("line_palette_reuse", lambda spark, d: sequential.line_palettes(_strips(spark, d), 16, 12.0))
+adaptive.register(add, R150)
 
 # Native files and disks: images are strips of fifty rows.
 
