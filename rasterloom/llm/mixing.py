@@ -70,7 +70,8 @@ def _mix(docs: DataFrame, id_col: str, text_col: str, source_col: str, block: in
         F.xxhash64(text).alias("finger"),
         F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]++")).cast("long").alias("size"),
     )
-    sized = cut(sized.withColumn("order", F.xxhash64("id", F.lit(seed))), "sized")
+    # By id, source and text together: rows without an id, or of one id, are dealt out too.
+    sized = cut(sized.withColumn("order", F.xxhash64("id", "source_key", "finger", F.lit(seed))), "sized")
     # As many buckets as each holds rows, about: sums of buckets and sums within one are equally small.
     buckets = 16 + int(sized.count() ** 0.5)
     sized = sized.withColumn("bucket", F.pmod("order", F.lit(buckets)))
@@ -151,7 +152,7 @@ def _uses(plan: DataFrame, block: int, shard: int, seed: int) -> DataFrame:
 
 
 def draw_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", block: int = 512, shard: int = 16384, weights: tuple[int, ...] = (5, 2, 1), most: int = 3, seed: int = 0) -> DataFrame:
-    """The mix as rows of docs: a document stands as often as the mix takes its words, the fraction settled by its hash.
+    """The mix as rows of docs: a document stands as often as the mix takes its words; fractions are settled so that what a source draws is near what the mix takes of it.
 
     Rows are told apart by id, source and text: those with a null or repeated id are drawn each by their own share, and
     rows that are alike in all three share theirs evenly. Rows without words are in no block and drop out.
@@ -159,9 +160,15 @@ def draw_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     key = lambda c, kind: F.coalesce(F.concat(F.lit("s"), c.cast("string")), F.lit("n")).alias(kind)
     plan = _mix(docs, id_col, text_col, source_col, block, shard, weights, most, seed).where("taken > 0")
     keys = [key(F.col("id"), "id_key"), "source_key", "finger"]
-    shares = plan.groupBy(*keys).agg(F.avg(F.col("taken") / F.col("size")).alias("share"))
-    chance = F.pmod(F.xxhash64("id_key", "source_key", "finger", F.lit(seed), F.lit("copy")), F.lit(1 << 20)) / F.lit(float(1 << 20))
-    copies = shares.select("id_key", "source_key", "finger", F.floor(F.col("share") + chance).cast("int").alias("copies")).where("copies > 0")
+    shares = cut(plan.groupBy(*keys).agg(F.avg(F.col("taken") / F.col("size")).alias("share"), F.max("size").alias("size"), F.count("*").alias("n")), "shares")
+    # Fractions add up along rows of like size, each cell of a source and a size in an order by hash, and a copy is due where
+    # their sum passes a whole number: what a source draws is near what it takes. Cells are dealt into parts, so none is large.
+    named = ["id_key", "source_key", "finger"]
+    mixed = F.xxhash64("id_key", "source_key", "finger", F.lit(seed), F.lit("copy"))
+    cell = ["source_key", F.floor(4 * F.log2(F.col("size") * F.col("n"))), F.pmod(mixed, F.lit(1 + shares.count() // PER_TASK))]
+    upto = F.sum("share").over(Window.partitionBy(*cell).orderBy(mixed, *named).rowsBetween(Window.unboundedPreceding, 0))
+    due = lambda c: F.floor(c + 0.5 + 1e-9)
+    copies = shares.withColumn("upto", upto).select(*named, (due(F.col("upto")) - due(F.col("upto") - F.col("share"))).cast("int").alias("copies")).where("copies > 0")
     told = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("whole"), key(F.col(f"`{id_col}`"), "id_key"), key(F.col(f"`{source_col}`"), "source_key"), F.xxhash64(F.coalesce(F.col(f"`{text_col}`"), F.lit(""))).alias("finger"))
     drawn = told.join(copies, ["id_key", "source_key", "finger"]).select("whole", F.explode(F.array_repeat(F.lit(0), F.col("copies"))))
     return drawn.select(*[F.col(f"whole.`{c}`").alias(c) for c in docs.columns])
