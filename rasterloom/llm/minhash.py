@@ -32,6 +32,7 @@ from .components import connected_components, forest_roots
 from .shared import cut
 from .textkernel import mix, runs, shingle_sets, slices, text_buffers
 
+SALTS = 16
 SKETCH = "id long, n_shingles long, set_id binary, bands array<long>"
 
 
@@ -215,7 +216,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     m = half_bands(threshold, rows, miss)
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     sketched = cut(sketch(texts, width, m, rows), "sketch")
-    classes = sketched.where("set_id is not null and id is not null").groupBy("set_id").agg(F.min("id").alias("id"), F.first("bands").alias("bands"))
+    classes = sketched.where("set_id is not null and id is not null").groupBy("set_id").agg(F.min("id").alias("id"), F.first("bands").alias("bands"), F.count("*").alias("n"))
     classes = cut(classes, "classes")
     members = cut(_table_members(classes, m), "members")
 
@@ -231,11 +232,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     rest = cut(_open_members(members, label, tested), "rest")
     late = cut(_block_links(rest, sets, threshold), "late")
     moved = connected_components(late).select(F.col("node").alias("component"), F.col("component").alias("to"))
-    grouped = classes.select("set_id", "id").join(label, "set_id", "left").withColumn("component", F.coalesce("component", "set_id"))
-    grouped = grouped.join(moved, "component", "left").select("set_id", "id", F.coalesce("to", "component").alias("component"))
+    grouped = classes.select("set_id", "id", "n").join(label, "set_id", "left").withColumn("component", F.coalesce("component", "set_id"))
+    grouped = grouped.join(moved, "component", "left").select("set_id", "id", "n", F.coalesce("to", "component").alias("component"))
     lows = grouped.groupBy("component").agg(F.min("id").alias("low"))
-    grouped = grouped.join(lows, "component").select("set_id", "low")
-    out = sketched.select("id", "n_shingles", "set_id").join(grouped, "set_id", "left")
+    # From class to rows only where a row is not its own component, with the rows of a class dealt to SALTS keys.
+    told = grouped.join(lows, "component").where("n > 1 or low < id").select("set_id", "low", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    out = sketched.select("id", "n_shingles", "set_id", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int").alias("salt")).join(told, ["set_id", "salt"], "left")
     component = F.when(F.col("id").isNotNull(), F.coalesce("low", "id"))
     return out.select(F.col("id").alias(id_col), "n_shingles", component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"))
 
