@@ -25,7 +25,7 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import connected_components
@@ -34,6 +34,7 @@ from .textkernel import runs
 
 PAIRS = "node long, nbr long, sim double"
 MISS = 1e-3
+SALTS = 16
 
 
 def _matrix(column: pa.ChunkedArray) -> np.ndarray:
@@ -119,9 +120,10 @@ def _merged(labels: DataFrame, pairs: DataFrame) -> DataFrame | None:
 
 
 def _top(pairs: DataFrame, k: int) -> DataFrame:
-    """Neighbour lists (node, nbr, sim) cut to the k nearest. A node has at most k entries from each group it is in."""
-    best = pairs.groupBy("node", "nbr").agg(F.max("sim").alias("sim")).groupBy("node").agg(F.slice(F.sort_array(F.collect_list(F.struct("sim", "nbr")), asc=False), 1, k).alias("list"))
-    return best.select("node", F.explode("list").alias("entry")).select("node", "entry.nbr", "entry.sim")
+    """Neighbour lists (node, nbr, sim) cut to the k nearest; tasks cut theirs first, so a hub's candidates are never together."""
+    best = pairs.groupBy("node", "nbr").agg(F.max("sim").alias("sim"))
+    rank = F.row_number().over(Window.partitionBy("node").orderBy(F.desc("sim"), F.desc("nbr")))
+    return best.withColumn("rank", rank).where(F.col("rank") <= k).drop("rank")
 
 
 def _joined(lists: DataFrame, vectors: DataFrame, k: int, near: float, width: int) -> DataFrame:
@@ -243,8 +245,10 @@ def near_vectors(rows: DataFrame, id_col: str = "vec_id", vector_col: str = "emb
     members = components.withColumnRenamed("node", "id").join(counted, "id").join(vectors.select("id", "unit"), "id")
     links = cut(_component_links(members, threshold, block), "links")
     of_class = counted.join(components.withColumnRenamed("node", "id"), "id", "left").join(links, "id", "left").select("id", (F.coalesce("links", F.lit(0)) + F.col("mult") - 1).alias("n_links"), F.coalesce("component", "id").alias("component"))
-    # From class to rows by the vector itself; a class that is no sound vector links with nothing, not even its copies.
-    of_class = of_class.join(vectors.select("id"), "id", "left_semi")
-    told = given.join(classes.select("label", "vector", F.col("rep")), ["label", "vector"], "left").join(of_class.withColumnRenamed("id", "rep"), "rep", "left")
+    # From class to rows by the vector itself, only where there are links and with the rows of a class dealt to SALTS keys; a
+    # class that is no sound vector links with nothing, not even its copies.
+    of_class = of_class.where("n_links > 0").join(vectors.select("id"), "id", "left_semi").withColumnRenamed("id", "rep")
+    linked = classes.select("label", "vector", "rep").join(of_class, "rep").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    told = given.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int")).join(linked, ["label", "vector", "salt"], "left")
     component = F.coalesce("component", "id")
     return told.select(F.col("id").alias(id_col), F.when(F.col("id").isNull(), 0).otherwise(F.coalesce("n_links", F.lit(0))).cast("long").alias("n_links"), F.when(F.col("id").isNotNull(), component).alias("component_id"), F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"))
