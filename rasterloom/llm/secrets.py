@@ -1,10 +1,11 @@
 """Secrets in texts: candidates by pattern, false positives removed by a random forest, with DataFrame operations only.
 
-Candidates are whole private keys (from the BEGIN line to the END line, or to the last line of key characters), runs of
-16 or more token characters that hold a digit or a capital after the first one, with their padding, and values of 8 or
-more characters of any kind that a name like "password" is given. The forest sees their length, character classes and
-transitions, dictionary coverage, path shape and neighbouring words; it is trained from labelled findings
-(`synthetic_findings` makes a fixed set of them, by rule).
+Candidates are whole private keys (from the BEGIN line to the END line, or to the last line of key characters), passwords
+in addresses (scheme://user:password@host), whole JSON web tokens, runs of 16 or more token characters that hold a digit or
+a capital after the first one, with their padding, and what a name like "password" is given: 6 or more characters of any
+kind, in quotes also with blanks. The forest sees their length, character classes and transitions, dictionary coverage, path
+shape and neighbouring words; it is trained from labelled findings (`synthetic_findings` makes a fixed set of them, by
+kinds).
 
 find_secrets gives one row per candidate: the id, `start` and `end` in code points (end exclusive), its probability and
 the verdict. Null and empty texts have no candidates; rows that repeat an id, or have none, are told apart by `row`; extra
@@ -13,6 +14,8 @@ columns are not read. redact replaces the secrets and keeps every row, also thos
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.ml.classification import RandomForestClassificationModel, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
@@ -22,13 +25,19 @@ from pyspark.sql import functions as F
 from .shared import cut
 
 _TOKEN = "[A-Za-z0-9+/_-]"
-_NAMES = "secret|token|passw|pwd|api[_ -]?key|access[_ -]?key|private[_ -]?key|credential|auth|bearer"
+# Names that are given secrets, not the words that only begin like them (author, secretary, tokenizer).
+_NAMES = "secrets?(?![a-z])|secret[_-]?key|tokens?(?![a-z])|passw|passphrase|pwd(?![a-z])|api[_ -]?key|access[_ -]?key|private[_ -]?key|credentials?(?![a-z])|auth(?![a-z])|bearer(?![a-z])"
+_NAMED = rf"[A-Za-z0-9_.-]{{0,64}}?(?i:{_NAMES})[A-Za-z0-9_]{{0,16}}+[\"']?\s{{0,3}}+(?::=|=>|[:=])\s{{0,3}}+"
 # A name and what stands between it and its value.
-ASSIGNED = rf"[A-Za-z0-9_.-]{{0,64}}?(?i:{_NAMES})[A-Za-z0-9_]{{0,16}}+[\"']?\s{{0,3}}+(?::=|=>|[:=])\s{{0,3}}+[\"'`]?"
+ASSIGNED = rf"{_NAMED}[\"'`]?"
+_LEFT = r"(?<![A-Za-z0-9_.-])"
 CANDIDATE = "|".join(
     (
-        r"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----(?:[^-]*+(?:-(?!----)[^-]*+){0,40}+-----END [A-Z ]{0,40}PRIVATE KEY-----|[A-Za-z0-9+/=\s]*+)",
-        rf"(?<![A-Za-z0-9_.-]){ASSIGNED}(?!-----BEGIN)[^\s\"'`<>]{{7,}}[^\s\"'`<>.,;:!?)\]}}]",
+        r"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----(?:[^-]*+(?:-(?!----)[^-]*+)*+-----END [A-Z ]{0,40}PRIVATE KEY-----|[A-Za-z0-9+/=\s]*+)",
+        r"(?<=://[^\s:/@\"'<>]{0,64}:)(?!//)[^\s/@\"'<>]{4,200}(?=@)",
+        rf"{_LEFT}{_NAMED}[\"'`](?!-----BEGIN)[^\"'`<>\n]{{6,200}}(?=[\"'`])",
+        rf"{_LEFT}{ASSIGNED}(?!-----BEGIN)[^\s\"'`<>]{{5,}}[^\s\"'`<>.,;:!?)\]}}]",
+        r"(?<![A-Za-z0-9_-])eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}(?:\.[A-Za-z0-9_-]{8,})?",
         rf"(?<!{_TOKEN})(?={_TOKEN}[a-z+/_-]*+[A-Z0-9]){_TOKEN}{{16,}}+={{0,2}}+",
     )
 )
@@ -48,7 +57,9 @@ DICTIONARY = (
     "team template test text theme thread time title tools topic track travel type update upload user utils value version video view visual web widget "
     "width window winter word work world your here changeme placeholder dummy insert replace todo none null true false key token secret password"
 ).split()
-BEFORE_SECRET = "secret|token|passw(?:or)?d|passwd|pwd|api[_ -]?key|apikey|access[_ -]?key|auth|bearer|credential|private[_ -]?key|client[_ -]?secret|signing"
+BEFORE_SECRET = "secrets?|tokens?|passw(?:or)?d|passwd|passphrase|pwd|api[_ -]?key|apikey|access[_ -]?key|auth|authorization|bearer|credentials?|private[_ -]?key|client[_ -]?secret|signing"
+# Small words of sentences, which passphrases lack.
+SMALL_WORDS = "a|an|and|are|as|at|be|by|can|for|from|has|if|in|is|it|must|no|not|of|on|or|our|should|that|the|their|this|to|was|we|will|with|you|your"
 BEFORE_OTHER = "sha-?\\d*|md5|crc\\d*|commit|checksum|digest|hash|uuid|guid|etag|revision|integrity|build|blob|tree|object|session id|order|invoice|isbn|serial|card|account|version|phone"
 PREFIXES = "AKIA[0-9A-Z]|ASIA[0-9A-Z]|gh[pousr]_|github_pat_|glpat-|xox[abprs]-|sk_live_|rk_live_|AIza|eyJ[A-Za-z0-9]|SG\\.|ya29|-----BEGIN"
 
@@ -78,19 +89,24 @@ def _features(value: Column, before: Column, after: Column) -> dict[str, Column]
         "all_digits": flag(value.rlike("^[0-9-]+$")),
         "uuid": flag(value.rlike("^[0-9a-fA-F]{8}-(?:[0-9a-fA-F]{4}-){3}[0-9a-fA-F]{12}$")),
         "prefix": flag(value.rlike(f"^(?:{PREFIXES})")),
-        "others": share("[^A-Za-z0-9+/_=-]"),
+        "others": share(r"[^A-Za-z0-9+/_=\s-]"),
+        "blanks": share(r"\s"),
+        "small_words": F.regexp_count(value, F.lit(rf"(?i)\b(?:{SMALL_WORDS})\b")) / F.greatest(count(r"\S+"), F.lit(1)),
+        "sized_digest": flag(before.rlike(r"(?i)sha-?\d*[-:]?$") | value.rlike("(?i)^sha\\d{1,3}-")),
+        "in_address": flag(before.rlike("://[^\\s:/@]*:$") & after.rlike("^@")),
+        "data": flag(before.rlike(r"(?i)base64,?\s?$")),
         "slashes": count("/").cast("double"),
         "path": flag(before.rlike(r"(?:[\\/]|\.|://\S*)$") | after.rlike(r"^(?:\.[a-z]{2,4}\b|[\\/])")),
         "assigned": flag(before.rlike(r"[:=]\s*[\"'`]?$")),
         "quoted": flag(before.rlike("[\"'`]$") & after.rlike("^[\"'`]")),
         "secret_word": flag(before.rlike(rf"(?i)(?:{BEFORE_SECRET})[\"']?\W{{0,6}}(?:is\W+)?$")),
-        "other_word": flag(before.rlike(rf"(?i)\b(?:{BEFORE_OTHER})[\"']?\W{{0,6}}(?:is\W+)?$")),
+        "other_word": flag(before.rlike(rf"(?i)\b(?:{BEFORE_OTHER})[\"']?\W{{0,6}}(?:is\W+)?(?:sha\d+-)?$")),
     }
 
 
 FEATURES = (
     "length", "digits", "upper", "lower", "marks", "distinct", "class_changes", "common_pairs", "covered", "repeats", "hex", "all_digits", "uuid", "prefix", "others",
-    "slashes", "path", "assigned", "quoted", "secret_word", "other_word",
+    "blanks", "small_words", "sized_digest", "in_address", "data", "slashes", "path", "assigned", "quoted", "secret_word", "other_word",
 )
 
 
@@ -116,21 +132,23 @@ def _candidates(rows: DataFrame) -> DataFrame:
     spans = lined.select("row", "id", "k", "c.found", F.col("c.left.before").alias("before"), F.col("c.right.after").alias("after"), F.col("c.left.gap").alias("gap"), F.length("c.found").alias("size"), F.regexp_extract("c.found", f"^{ASSIGNED}", 0).alias("name"))
     end = F.sum(F.col("gap") + F.col("size")).over(line.rowsBetween(Window.unboundedPreceding, 0))
     # The name of an assigned value is no part of it, but of what stands before it.
-    skip = F.when(F.col("size") - F.length("name") >= 8, F.length("name")).otherwise(0)
+    skip = F.when(F.col("size") - F.length("name") >= 6, F.length("name")).otherwise(0)
     placed = spans.withColumns({"end": end, "skip": skip})
     before = F.right(F.concat(F.coalesce("before", F.lit("")), F.substring("found", F.lit(1), F.col("skip"))), F.lit(CONTEXT))
     value = F.substring("found", F.col("skip") + 1, F.col("size"))
     return placed.select("row", "id", (F.col("end") - F.col("size") + F.col("skip")).alias("start"), "end", value.alias("value"), before.alias("before"), F.coalesce("after", F.lit("")).alias("after"))
 
 
-def synthetic_findings(spark: SparkSession, n: int = 8800) -> DataFrame:
-    """A fixed set of labelled findings (value, before, after, label), made by rule from hashes of the row number."""
+def synthetic_findings(spark: SparkSession, n: int = 8800, without: tuple[str, ...] = ()) -> DataFrame:
+    """A fixed set of n labelled findings (value, before, after, label, kind), as many of each kind, made by rule from hashes
+    of row numbers. Kinds are made each by a projection of its own, so that none outgrows the compiler."""
     i = F.col("id")
     hexes = F.concat(F.sha1(F.concat(F.lit("a"), i).cast("binary")), F.sha1(F.concat(F.lit("b"), i).cast("binary")))
     packed = F.regexp_replace(F.base64(F.unhex(F.sha2(F.concat(F.lit("c"), i).cast("binary"), 512))), r"\s|=", "")
     alnum = F.regexp_replace(packed, "[+/]", "x")
     draw = lambda salt, most: F.pmod(F.xxhash64(i, F.lit(salt)), F.lit(most)).cast("int")
-    pick = lambda salt, *options: F.element_at(F.array(*[F.lit(o) for o in options]), draw(salt, len(options)) + 1)
+    # A constant that folds to one array: options written out one by one make the code of a projection long.
+    pick = lambda salt, *options: F.element_at(F.split(F.lit("\x1f".join(options)), "\x1f"), draw(salt, len(options)) + 1)
     word = lambda salt: pick(salt, *DICTIONARY[::3])
     size = draw("size", 45) + 18
     filler = F.concat_ws(" ", word("f1"), word("f2"), word("f3"))
@@ -147,39 +165,56 @@ def synthetic_findings(spark: SparkSession, n: int = 8800) -> DataFrame:
     symbol = pick("sym", "!", "@", "#", "$", "%", "&", "*", "?", "^", "~")
     pem = pick("pem", "PRIVATE KEY", "RSA PRIVATE KEY", "EC PRIVATE KEY", "OPENSSH PRIVATE KEY")
     hex_size = F.element_at(F.array(*[F.lit(x) for x in (32, 40, 40, 64)]), draw("hs", 4) + 1)
-    kinds = [
-        (F.substring(hexes, F.lit(1), hex_size), F.concat(key, quote), quote, 1),
-        (F.substring(packed, F.lit(1), size), F.concat(key, quote), quote, 1),
-        (F.substring(alnum, F.lit(1), size), F.concat(key, quote), quote, 1),
-        (F.concat(pick("p", "AKIA", "ghp_", "xoxb-", "sk_live_", "AIza", "glpat-"), F.substring(alnum, 1, 36)), plain, F.lit(" "), 1),
-        (F.concat(F.lit("eyJhbGciOi"), F.substring(alnum, 1, 60)), F.concat(key, quote), quote, 1),
-        (F.substring(hexes, F.lit(1), hex_size), F.concat(other, quote), quote, 0),
-        (F.substring(hexes, F.lit(1), hex_size), plain, F.lit(" "), 0),
-        (dashed, F.concat(pick("u", "", "id ", "request id: "), plain), F.lit(" "), 0),
-        (named, F.concat(F.when(draw("ctx", 2) == 0, key).otherwise(plain), quote), quote, 0),
-        (holder, F.concat(key, quote), quote, 0),
-        (slug, F.concat(plain, pick("root", "/", "https://", "./", "www.x.org/")), pick("ext", ".png", ".html", "/", " "), 0),
-        (figures, F.when(draw("ctx", 4) == 0, key).otherwise(plain), pick("after", " ", ".", ","), 0),
-        (repeated, F.concat(key, quote), quote, 0),
-        (F.concat(F.repeat(word("w1"), 3), draw("v", 99).cast("string")), F.concat(F.when(draw("ctx", 2) == 0, key).otherwise(plain), quote), quote, 0),
-        (F.concat(F.substring(alnum, F.lit(1), draw("pw", 6) + 4), symbol, F.substring(packed, F.lit(20), draw("pw2", 8) + 4), symbol), F.concat(key, quote), quote, 1),
-        (F.concat(F.initcap(word("w1")), symbol, draw("pv", 9000).cast("string"), F.substring(alnum, 1, 3)), F.concat(key, quote), quote, 1),
-        (F.concat(F.lit("-----BEGIN "), pem, F.lit("-----\n"), F.repeat(F.concat(packed, F.lit("\n")), 3), F.lit("-----END "), pem, F.lit("-----")), F.concat(plain, F.lit("\n")), F.lit("\n"), 1),
-        (F.concat(word("w1"), pick("join", "", ".", "-", "_", "/"), word("w2")), F.concat(key, quote), quote, 0),
-        (F.concat(pick("get", "get", "os.", "self.", "config.", "$", "${"), F.initcap(word("w1")), pick("call", "(", "_", "."), F.upper(word("w2"))), F.concat(key, quote), quote, 0),
-        (F.concat(word("w1"), F.initcap(word("w2")), F.initcap(word("w3")), F.initcap(word("w4"))), F.concat(F.when(draw("ctx", 2) == 0, key).otherwise(plain), quote), quote, 0),
-        (F.concat(F.upper(word("w1")), F.lit("_"), F.upper(word("w2")), F.lit("_"), F.upper(word("w3"))), F.concat(plain, quote), pick("eq", "=", " = ", ": ", " "), 0),
-        (F.concat(F.lit("https://"), word("w1"), F.lit("."), word("w2"), F.lit("/"), word("w3")), F.concat(key, quote), quote, 0),
-    ]
-    kind = F.pmod(i, F.lit(len(kinds)))
-    made = F.coalesce(*[F.when(kind == n, F.struct(v.alias("value"), b.alias("before"), a.alias("after"), F.lit(float(y)).alias("label"))) for n, (v, b, a, y) in enumerate(kinds)])
-    # Exploded, so that the choice is made once a row and not once a column.
-    return spark.range(0, n, 1, 2).select(F.explode(F.array(made)).alias("f")).select("f.*")
+    url = F.concat(filler, F.lit(" "), pick("scheme", "https", "http", "postgres", "mysql", "redis", "amqp", "ftp"), F.lit("://"), word("w1"), F.lit(":"))
+    spoken = lambda at, salt: F.when(draw(salt, 3) == 0, word(salt)).otherwise(F.translate(F.substring(hexes, F.lit(at), draw(salt + "n", 5) + 4), "0123456789abcdef", "aeioustrnlmdbchy"))
+    phrase = F.concat_ws(" ", spoken(1, "p1"), spoken(11, "p2"), spoken(21, "p3"), F.when(draw("four", 2) == 0, spoken(31, "p4")))
+    small = lambda salt: pick(salt, "the", "your", "a", "must be", "is", "of the", "to", "for", "not")
+    sentence = F.concat_ws(" ", small("s1"), word("w1"), small("s2"), word("w2"), F.when(draw("four", 2) == 0, small("s3")))
+    web = F.concat(F.lit("eyJhbGciOi"), F.substring(alnum, 1, 20), F.lit(".eyJ"), F.substring(alnum, 5, 40), F.lit("."), F.substring(alnum, 20, 43))
+    name = F.concat(F.initcap(spoken(1, "p1")), F.initcap(spoken(11, "p2")), F.initcap(spoken(21, "p3")))
+    kinds = {
+        "hex_key": (F.substring(hexes, F.lit(1), hex_size), F.concat(key, quote), quote, 1),
+        "packed_key": (F.substring(packed, F.lit(1), size), F.concat(key, quote), quote, 1),
+        "alnum_key": (F.substring(alnum, F.lit(1), size), F.concat(key, quote), quote, 1),
+        "prefixed_key": (F.concat(pick("p", "AKIA", "ghp_", "xoxb-", "sk_live_", "AIza", "glpat-"), F.substring(alnum, 1, 36)), plain, F.lit(" "), 1),
+        "web_token_named": (F.concat(F.lit("eyJhbGciOi"), F.substring(alnum, 1, 60)), F.concat(key, quote), quote, 1),
+        "digest": (F.substring(hexes, F.lit(1), hex_size), F.concat(other, quote), quote, 0),
+        "hex_alone": (F.substring(hexes, F.lit(1), hex_size), plain, F.lit(" "), 0),
+        "uuid": (dashed, F.concat(pick("u", "", "id ", "request id: "), plain), F.lit(" "), 0),
+        "snake_name": (named, F.concat(F.when(draw("ctx", 2) == 0, key).otherwise(plain), quote), quote, 0),
+        "placeholder": (holder, F.concat(key, quote), quote, 0),
+        "slug": (slug, F.concat(plain, pick("root", "/", "https://", "./", "www.x.org/")), pick("ext", ".png", ".html", "/", " "), 0),
+        "figures": (figures, F.when(draw("ctx", 4) == 0, key).otherwise(plain), pick("after", " ", ".", ","), 0),
+        "repeated": (repeated, F.concat(key, quote), quote, 0),
+        "thrice": (F.concat(F.repeat(word("w1"), 3), draw("v", 99).cast("string")), F.concat(F.when(draw("ctx", 2) == 0, key).otherwise(plain), quote), quote, 0),
+        "password_marks": (F.concat(F.substring(alnum, F.lit(1), draw("pw", 6) + 4), symbol, F.substring(packed, F.lit(20), draw("pw2", 8) + 4), symbol), F.concat(key, quote), quote, 1),
+        "password_word": (F.concat(F.initcap(word("w1")), symbol, draw("pv", 9000).cast("string"), F.substring(alnum, 1, 3)), F.concat(key, quote), quote, 1),
+        "private_key": (F.concat(F.lit("-----BEGIN "), pem, F.lit("-----\n"), F.repeat(F.concat(packed, F.lit("\n")), 3), F.lit("-----END "), pem, F.lit("-----")), F.concat(plain, F.lit("\n")), F.lit("\n"), 1),
+        "two_words": (F.concat(word("w1"), pick("join", "", ".", "-", "_", "/"), word("w2")), F.concat(key, quote), quote, 0),
+        "call": (F.concat(pick("get", "get", "os.", "self.", "config.", "$", "${"), F.initcap(word("w1")), pick("call", "(", "_", "."), F.upper(word("w2"))), F.concat(key, quote), quote, 0),
+        "camel_name": (F.concat(word("w1"), F.initcap(word("w2")), F.initcap(word("w3")), F.initcap(word("w4"))), F.concat(F.when(draw("ctx", 2) == 0, key).otherwise(plain), quote), quote, 0),
+        "constant": (F.concat(F.upper(word("w1")), F.lit("_"), F.upper(word("w2")), F.lit("_"), F.upper(word("w3"))), F.concat(plain, quote), pick("eq", "=", " = ", ": ", " "), 0),
+        "address": (F.concat(F.lit("https://"), word("w1"), F.lit("."), word("w2"), F.lit("/"), word("w3")), F.concat(key, quote), quote, 0),
+        "address_password": (F.concat(F.substring(alnum, F.lit(1), draw("pw", 14) + 6), F.when(draw("m", 2) == 0, F.lit("!")).otherwise("")), url, F.concat(F.lit("@"), word("w2"), F.lit("."), word("w3")), 1),
+        "address_word": (F.concat(word("w1"), draw("pv", 9000).cast("string"), word("w4")), url, F.concat(F.lit("@"), word("w2")), 1),
+        "web_token": (web, plain, pick("after", " ", ".", ",", "\n"), 1),
+        "phrase": (phrase, F.concat(key, F.lit('"')), F.lit('"'), 1),
+        "short_password": (F.concat(word("w1"), draw("pv", 99).cast("string")), F.concat(key, quote), quote, 1),
+        "sentence": (sentence, F.concat(key, F.lit('"')), F.lit('"'), 0),
+        "word": (spoken(1, "p1"), F.concat(key, quote), quote, 0),
+        "integrity": (F.concat(pick("sha", "sha256-", "sha384-", "sha512-"), F.substring(packed, F.lit(1), draw("is", 22) + 42), pick("pad", "", "=", "==")), F.concat(filler, pick("int", ' integrity="', " integrity: ", " hash=", " digest: ", ' "integrity": "')), pick("intq", '"', " ", '"'), 0),
+        "data": (F.concat(F.substring(packed, F.lit(1), size), F.substring(packed, F.lit(2), size)), F.concat(filler, pick("mime", " data:image/png;base64,", " data:font/woff;base64,", " src=data:image/gif;base64,")), pick("dataq", '"', ")", " "), 0),
+        "person": (name, F.concat(plain, pick("who", "author: ", "author=", "secretary: ", "tokenizer: ", "authority = ", "by: ", "name: ", "class: ", "class ", "import ")), pick("after", " ", ".", ",", "("), 0),
+    }
+    rows = spark.range(0, n // len(kinds), 1, 1)
+    made = [rows.select(v.alias("value"), b.alias("before"), a.alias("after"), F.lit(float(y)).alias("label"), F.lit(kind).alias("kind")) for kind, (v, b, a, y) in kinds.items() if kind not in without]
+    return reduce(DataFrame.union, made)
 
 
 def train(findings: DataFrame, trees: int = 24, depth: int = 7, seed: int = 7) -> RandomForestClassificationModel:
-    """A forest from labelled findings (value, before, after, label). Their features are written once, since a fit reads them often."""
-    ready = cut(with_features(findings).select("features", "label"), "findings")
+    """A forest from labelled findings (value, before, after, label). They are written before their features are, so that these
+    are one projection however findings are put together, and features are written once, since a fit reads them often."""
+    ready = cut(with_features(cut(findings, "labelled")).select("features", "label"), "findings")
     return RandomForestClassifier(numTrees=trees, maxDepth=depth, seed=seed, featureSubsetStrategy="sqrt", minInstancesPerNode=3).fit(ready)
 
 
