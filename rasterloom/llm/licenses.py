@@ -4,8 +4,9 @@ Candidate blocks are lines that hold a licensing word, with the lines between tw
 block is judged alone and with the lines around it, as many words as the longest template has on either side, and the
 longer notice counts. A block of many words is judged in windows that overlap by more than the longest template, so that
 every notice lies whole in one of them. Each piece is compressed with every template as a zstandard raw dictionary;
-templates are ranked by how much that saves over no dictionary, and the first is taken whose wording agrees: every
-required word is there exactly, and at most `slack` of the template's words differ. The differences are reported word by
+templates are ranked by how much that saves over no dictionary, and the first is taken whose wording agrees: what tells
+licenses apart is exact (every required word and phrase is there, no barred phrase is in or around it, and the sentence of a
+short notice is not negated), and of the template's other words at most `slack` differ. The differences are reported word by
 word. SPDX tags go the same way, each identifier of an expression on a line of its own, against templates of tags.
 
 What is left of a block before and after a notice is judged in turn, and every SPDX tag counts. One row per notice, or
@@ -29,13 +30,18 @@ from pyspark.sql import functions as F
 SCHEMA = "id long, start long, end long, license string, saving double, differences string"
 REACH = 3
 
-# Notices of public licenses, and the words that tell one from another.
-TEMPLATES: dict[str, tuple[str, str]] = {
-    "AGPL-3.0": ("This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.", "affero 3"),
+# Notices of public licenses, and what tells one from another: words that a notice must hold, phrases that it
+# must hold, and phrases that neither it nor what stands around it may hold (phrases end with a semicolon).
+TEMPLATES: dict[str, tuple[str, ...]] = {
+    "AGPL-3.0-or-later": ("This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.", "affero 3 later", "later version", ""),
+    "AGPL-3.0-only": ("This program is free software; you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation; version 3 of the License.", "affero 3", "", "later version"),
+    "AGPL-3.0-only-long": ("This program is free software; you can redistribute it and/or modify it under the terms of version 3 of the GNU Affero General Public License as published by the Free Software Foundation.", "affero 3", "", "later version"),
+    "AGPL-3.0-only-line": ("Licensed under the GNU Affero General Public License version 3 only.", "affero 3 only", "", "later version"),
     "Apache-2.0": ("Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.", "apache 2.0"),
     "Apache-2.0-line": ("Licensed under the Apache License, Version 2.0.", "apache 2.0"),
-    "BSD-2-Clause": ("Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.", "redistributions retain reproduce"),
-    "BSD-3-Clause": ("Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. 3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.", "redistributions neither endorse"),
+    "BSD-2-Clause": ("Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.", "redistributions retain reproduce", "", "advertising materials; endorse or promote"),
+    "BSD-3-Clause": ("Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. 3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.", "redistributions neither endorse", "", "advertising materials"),
+    "BSD-4-Clause": ("Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. 3. All advertising materials mentioning features or use of this software must display the following acknowledgement: This product includes software developed by the organization. 4. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.", "redistributions neither endorse advertising acknowledgement", "advertising materials", ""),
     "BSD-line": ("Licensed under the BSD License.", "bsd"),
     "CC-BY-4.0": ("Licensed under CC BY 4.0.", "cc by 4.0"),
     "CC-BY-4.0-long": ("This work is licensed under a Creative Commons Attribution 4.0 International License.", "creative commons attribution 4.0"),
@@ -52,14 +58,28 @@ TEMPLATES: dict[str, tuple[str, str]] = {
     "CC0-1.0": ("To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work under CC0 1.0 Universal.", "cc0 1.0"),
     "EPL-2.0": ("This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at https://www.eclipse.org/legal/epl-2.0/", "eclipse public 2.0"),
     "BSL-1.0": ("Distributed under the Boost Software License, Version 1.0.", "boost software 1.0"),
-    "GPL-2.0": ("This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version.", "gnu general public 2"),
+    "GPL-2.0-or-later": ("This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version.", "gnu general public 2 later", "later version", ""),
+    "GPL-2.0-only": ("This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; version 2 of the License.", "gnu general public 2", "", "later version"),
+    "GPL-2.0-only-long": ("This program is free software; you can redistribute it and/or modify it under the terms of version 2 of the GNU General Public License as published by the Free Software Foundation.", "gnu general public 2", "", "later version"),
+    "GPL-2.0-only-line": ("Licensed under the GNU General Public License version 2 only.", "gnu general public 2 only", "", "later version"),
     "GPL-2.0-line": ("This work is licensed under the GNU General Public License, version 2.", "gnu general public 2"),
-    "GPL-3.0": ("This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.", "gnu general public 3"),
+    "GPL-3.0-or-later": ("This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.", "gnu general public 3 later", "later version", ""),
+    "GPL-3.0-only": ("This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; version 3 of the License.", "gnu general public 3", "", "later version"),
+    "GPL-3.0-only-long": ("This program is free software; you can redistribute it and/or modify it under the terms of version 3 of the GNU General Public License as published by the Free Software Foundation.", "gnu general public 3", "", "later version"),
+    "GPL-3.0-only-line": ("Licensed under the GNU General Public License version 3 only.", "gnu general public 3 only", "", "later version"),
     "GPL-3.0-line": ("This work is licensed under the GNU General Public License, version 3.", "gnu general public 3"),
     "ISC": ("Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.", "permission fee appear"),
-    "LGPL-2.1": ("This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version.", "lesser 2.1"),
-    "LGPL-3.0": ("This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 3 of the License, or (at your option) any later version.", "lesser 3"),
-    "MIT": ("Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.", "permission charge sublicense"),
+    "LGPL-2.1-or-later": ("This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version.", "lesser 2.1 later", "later version", ""),
+    "LGPL-2.1-only": ("This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; version 2.1 of the License.", "lesser 2.1", "", "later version"),
+    "LGPL-2.1-only-long": ("This library is free software; you can redistribute it and/or modify it under the terms of version 2.1 of the GNU Lesser General Public License as published by the Free Software Foundation.", "lesser 2.1", "", "later version"),
+    "LGPL-2.1-only-line": ("Licensed under the GNU Lesser General Public License version 2.1 only.", "lesser 2.1 only", "", "later version"),
+    "LGPL-3.0-or-later": ("This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 3 of the License, or (at your option) any later version.", "lesser 3 later", "later version", ""),
+    "LGPL-3.0-only": ("This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; version 3 of the License.", "lesser 3", "", "later version"),
+    "LGPL-3.0-only-long": ("This library is free software; you can redistribute it and/or modify it under the terms of version 3 of the GNU Lesser General Public License as published by the Free Software Foundation.", "lesser 3", "", "later version"),
+    "LGPL-3.0-only-line": ("Licensed under the GNU Lesser General Public License version 3 only.", "lesser 3 only", "", "later version"),
+    "MIT": ("Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.", "permission charge sublicense", "above copyright notice", "not evil"),
+    "MIT-0": ("Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so.", "permission charge sublicense", "", "above copyright notice; not evil"),
+    "JSON": ("Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. The Software shall be used for Good, not Evil.", "permission charge sublicense good evil", "not evil", ""),
     "MIT-line": ("Released under the MIT License.", "mit"),
     "MPL-2.0": ("This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/.", "mozilla 2.0"),
     "Zlib": ("This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software. Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions:", "as-is alter freely"),
@@ -83,6 +103,17 @@ _SPDX = re.compile(r"SPDX-License-Identifier:[ \t]*(\(*[A-Za-z0-9.+-]+\)*(?:[ \t
 _EXCEPTION = re.compile(r"\s+WITH\s+\S+|\s+(?:AND|OR)\s+|[()\s]+", re.IGNORECASE)
 
 
+#: Words around a notice in which phrases are looked for, and the words of a template so short that a "not" turns it round.
+NEAR, SHORT = 30, 20
+_NEGATION = re.compile(r"\b(?:not|never|neither|nor|cannot|no longer|instead of|rather than)\b|n['\u2019]t\b", re.IGNORECASE)
+_STOP = re.compile(r"[.!?;][\"')\]]*\s|\n\s*\n")
+
+
+def _sentence(text: str, at: int) -> int:
+    """Where the sentence begins that the place `at` is in."""
+    return max((m.end() for m in _STOP.finditer(text, max(0, at - 400), at)), default=max(0, at - 400))
+
+
 def words(text: str) -> list[str]:
     return [w.lower() for w in _WORD.findall(text)]
 
@@ -156,18 +187,19 @@ Notice = tuple[int, int, str, float, str, int]
 class Matcher:
     """Compressors of all templates, ready to judge blocks."""
 
-    def __init__(self, templates: dict[str, tuple[str, str]], slack: float) -> None:
+    def __init__(self, templates: dict[str, tuple[str, ...]], slack: float) -> None:
         self.slack = slack
         self.plain = zstandard.ZstdCompressor(level=3, write_content_size=False)
         self.own, self.tags = ({name: self._ready(*template) for name, template in sorted(some.items())} for some in (templates, TAGS))
-        self.longest = max((len(t) for _, t, _ in self.own.values()), default=0)
+        self.longest = max((len(t) for _, t, *_ in self.own.values()), default=0)
         self.window = max(1, int(self.longest * (1 + 2 * slack)))
         self._named = lru_cache(4096)(lambda name: self._best(TAG + name, self.tags)[0])
 
     @staticmethod
-    def _ready(text: str, needed: str) -> tuple[zstandard.ZstdCompressor, list[str], set[str]]:
+    def _ready(text: str, needed: str, holds: str = "", bars: str = "") -> tuple[zstandard.ZstdCompressor, list[str], set[str], list[str], list[str]]:
         raw = zstandard.ZstdCompressionDict(text.encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-        return zstandard.ZstdCompressor(level=3, dict_data=raw, write_content_size=False), words(text), set(needed.split())
+        phrases = [[f" {p.strip()} " for p in x.split(";") if p.strip()] for x in (holds, bars)]
+        return zstandard.ZstdCompressor(level=3, dict_data=raw, write_content_size=False), words(text), set(needed.split()), *phrases
 
     def judge(self, block: str) -> tuple[list[Notice], float]:
         """Every notice as (start, end, license, saving, differences, how many), in order, and the best saving."""
@@ -203,7 +235,7 @@ class Matcher:
     def _best(self, block: str, templates: dict) -> tuple[Notice | None, float]:
         data = block.encode()
         bare = len(self.plain.compress(data))
-        ranked = sorted(((bare - len(packer.compress(data))) / bare, name) for name, (packer, _, _) in templates.items())
+        ranked = sorted(((bare - len(packer.compress(data))) / bare, name) for name, (packer, *_) in templates.items())
         ranked.sort(key=lambda x: (-x[0], x[1]))
         places = [m.span() for m in _WORD.finditer(block)]
         told = words(block)
@@ -211,11 +243,16 @@ class Matcher:
         for saving, name in ranked:
             if saving <= 0.05:
                 break
-            _, template, needed = templates[name]
+            _, template, needed, holds, bars = templates[name]
             if not have >= needed:
                 continue
             count, changes, first, last = _differences(template, told)
             if last > first and count <= self.slack * len(template):
+                near = f" {' '.join(told[max(0, first - NEAR) : last + NEAR])} "
+                if any(p not in near for p in holds) or any(p in near for p in bars):
+                    continue
+                if len(template) <= SHORT and _NEGATION.search(block, _sentence(block, places[first][0]), places[last - 1][1]):
+                    continue
                 return (places[first][0], places[last - 1][1], name.removesuffix("-line").removesuffix("-long"), saving, "; ".join(changes), count), saving
         return None, max(0.0, ranked[0][0]) if ranked else 0.0
 
@@ -246,7 +283,7 @@ def _notices(body: str, judge: Callable[[str], tuple], longest: int) -> Iterator
             yield start, end, None, saving, ""
 
 
-def _scan(batches: Iterator[pa.RecordBatch], templates: dict[str, tuple[str, str]], slack: float) -> Iterator[pa.RecordBatch]:
+def _scan(batches: Iterator[pa.RecordBatch], templates: dict[str, tuple[str, ...]], slack: float) -> Iterator[pa.RecordBatch]:
     matcher = Matcher(templates, slack)
     judge = lru_cache(4096)(matcher.judge)
     for batch in batches:
@@ -256,7 +293,7 @@ def _scan(batches: Iterator[pa.RecordBatch], templates: dict[str, tuple[str, str
         yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], names=names)
 
 
-def find_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templates: dict[str, tuple[str, str]] | None = None, slack: float = 0.25) -> DataFrame:
+def find_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templates: dict[str, tuple[str, ...]] | None = None, slack: float = 0.25) -> DataFrame:
     """(id_col, start, end, license, saving, differences) of every candidate block. Only texts with a licensing word reach Python."""
     asked = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where(F.col("text").rlike(ANCHOR))
     return asked.mapInArrow(partial(_scan, templates=templates or TEMPLATES, slack=slack), SCHEMA).withColumnRenamed("id", id_col)

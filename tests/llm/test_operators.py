@@ -10,6 +10,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+import zstandard
 from pyspark.sql import functions as F
 
 from rasterloom.llm import langid, licenses, minhash, mixing, nndescent, pii, quality, secrets, sentencepieces, warc
@@ -516,6 +517,51 @@ def test_secrets_with_spans_and_redaction(spark, forest):
     assert secrets.redact(df.limit(0), forest).count() == 0
 
 
+@pytest.mark.parametrize(
+    ("text", "clean"),
+    [
+        ("use postgres://admin:S3cr3tPw9x@db.example.org/x now", "use postgres://admin:[SECRET]@db.example.org/x now"),
+        ("see https://user:hunter2secret99@host/x", "see https://user:[SECRET]@host/x"),
+        ('password="correct horse battery" ok', 'password="[SECRET]" ok'),
+        ("passwd: hunter2 ok", "passwd: [SECRET] ok"),
+        ("jwt eyJhbGciOiJIUzI1NiJ9.eyJzdWIiOiIxMjM0NTY3ODkwIn0.dozjgNryP4J3jVmNHl0w5N_XgL0n3I9PlFUP0THsR8U end", "jwt [SECRET] end"),
+        ("author: JonathanSwiftSmith wrote", None),
+        ('<script integrity="sha384-oqVuAfXRKap7fdgcCY5uykM6+R9GqQ8K/uxy9rx7HNQlGYl1kPzQho1wx4JwY8wC"></script>', None),
+        ("the secretary: MargaretThatcherJones said", None),
+        ("tokenizer: BertTokenizerFast", None),
+        ("authority = FederalReserveBoard", None),
+        ('the password: "must be at least eight characters"', None),
+        ("password: required", None),
+    ],
+)
+def test_secrets_go_and_clean_text_stays(spark, forest, text, clean):
+    assert [r["text"] for r in secrets.redact(docs(spark, [text]), forest).collect()] == [clean or text]
+
+
+def test_forest_on_kinds_it_has_not_seen(spark):
+    kinds = ("alnum_key", "address_word", "password_marks", "uuid", "integrity", "slug", "camel_name")
+    forest = secrets.train(secrets.synthetic_findings(spark, without=kinds))
+    told = forest.transform(secrets.with_features(secrets.synthetic_findings(spark).where(F.col("kind").isin(*kinds))))
+    right = {r["kind"]: r["right"] for r in told.groupBy("kind").agg(F.avg((F.col("prediction") == F.col("label")).cast("double")).alias("right")).collect()}
+    print(right)
+    assert len(right) == len(kinds) and sum(right.values()) / len(right) >= 0.85
+
+
+def test_features_equal_brute_force(spark):
+    values = ["aB3/xY_9", "correct horse of the battery", "13fbd79c3d390e5d", "aaaa-bbbb", "sha384-Ab+/", "héllo wörld", "12-34"]
+    df = spark.createDataFrame([(v, "token: ", " end") for v in values], "value string, before string, after string")
+    told = {r["value"]: dict(zip(secrets.FEATURES, r["features"].toArray().tolist(), strict=True)) for r in secrets.with_features(df).collect()}
+    for v in values:
+        f, n = told[v], len(v)
+        share = lambda p: len(re.findall(p, v)) / n  # noqa: B023, E731
+        assert f["length"] == n and f["digits"] == pytest.approx(share("[0-9]")) and f["upper"] == pytest.approx(share("[A-Z]")) and f["lower"] == pytest.approx(share("[a-z]"))
+        assert f["blanks"] == pytest.approx(share(r"\s")) and f["marks"] == pytest.approx(share("[+/_=-]")) and f["distinct"] == pytest.approx(len(set(v)) / n)
+        assert f["repeats"] == pytest.approx(sum(a == b for a, b in zip(v, v[1:])) / n) and f["slashes"] == v.count("/")
+        small = [w for w in re.findall(r"\w+", v) if w in secrets.SMALL_WORDS.split("|")]
+        assert f["small_words"] == pytest.approx(len(small) / len(v.split())) and f["hex"] == bool(re.fullmatch("[0-9a-fA-F]+", v)) and f["all_digits"] == bool(re.fullmatch("[0-9-]+", v))
+        assert f["sized_digest"] == v.startswith("sha384-") and f["assigned"] == 1 and f["secret_word"] == 1 and f["path"] == 0 and f["quoted"] == 0
+
+
 def test_secrets_of_rows_with_null_and_repeated_ids(spark, forest):
     key = hashlib.sha1(b"k").hexdigest()
     rows = [(None, f'token = "{key}"', 1), (None, "clean", 2), (1, f"token = {key}", 3), (1, f"a b c token = {key}", 4), (1, f"token = {key}", 3), (2, None, 5)]
@@ -546,7 +592,7 @@ def test_secrets_of_rows_with_null_and_repeated_ids(spark, forest):
         ("Licensed under CC BY-XX 4.0.", None),
         ("// SPDX-License-Identifier: banana", None),
         ("# SPDX-License-Identifier: GPL-3.0-or-later WITH GCC-exception-3.1", "GPL-3.0-or-later"),
-        (licenses.TEMPLATES["LGPL-2.1"][0], "LGPL-2.1"),
+        (licenses.TEMPLATES["LGPL-2.1-or-later"][0], "LGPL-2.1-or-later"),
         ("he lost his driving license yesterday", None),
     ],
 )
@@ -555,7 +601,7 @@ def test_licenses(spark, text, name):
     assert [r["license"] for r in rows] == [name]
 
 
-@pytest.mark.parametrize("name", ["MIT", "BSD-2-Clause", "BSD-3-Clause", "MPL-2.0", "Unlicense", "GPL-3.0", "Apache-2.0", "ISC"])
+@pytest.mark.parametrize("name", ["MIT", "BSD-2-Clause", "BSD-3-Clause", "MPL-2.0", "Unlicense", "GPL-3.0-or-later", "Apache-2.0", "ISC", "BSD-4-Clause", "JSON", "MIT-0", "GPL-2.0-only"])
 def test_wrapped_notices(name):
     notice = textwrap.fill(licenses.TEMPLATES[name][0], 79)
     text = "Some words before.\n\n" + notice.replace("conditions: The", "conditions:\n\nThe") + "\n\nAnd words behind it."
@@ -567,14 +613,45 @@ def test_wrapped_notices(name):
 
 def test_licenses_of_repeated_rows_long_texts_and_nothing(spark):
     line = "Released under the MIT License."
-    notices = "\n".join(f"copyright {prose(12, k)}\n" + licenses.TEMPLATES[n][0] for k, n in enumerate(["BSD-3-Clause", "MIT", "GPL-3.0", "Zlib", "LGPL-3.0"] * 8))
+    notices = "\n".join(f"copyright {prose(12, k)}\n" + licenses.TEMPLATES[n][0] for k, n in enumerate(["BSD-3-Clause", "MIT", "GPL-3.0-or-later", "Zlib", "LGPL-3.0-or-later"] * 8))
     df = spark.createDataFrame([(None, line), (1, line), (1, line), (2, prose(30000, 3) + "\n" + line), (3, notices)], "doc_id long, text string").withColumn("license", F.lit("clash"))
     rows = licenses.find_licenses(df).collect()
     assert Counter(r["doc_id"] for r in rows if r["license"] == "MIT" and r["doc_id"] != 3) == {None: 1, 1: 2, 2: 1}
-    assert [r["license"] for r in sorted(rows, key=lambda r: r["start"]) if r["doc_id"] == 3] == ["BSD-3-Clause", "MIT", "GPL-3.0", "Zlib", "LGPL-3.0"] * 8
+    assert [r["license"] for r in sorted(rows, key=lambda r: r["start"]) if r["doc_id"] == 3] == ["BSD-3-Clause", "MIT", "GPL-3.0-or-later", "Zlib", "LGPL-3.0-or-later"] * 8
     assert licenses.find_licenses(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize(
+    ("text", "names"),
+    [
+        (licenses.TEMPLATES["BSD-4-Clause"][0], ["BSD-4-Clause"]),
+        (licenses.TEMPLATES["JSON"][0], ["JSON"]),
+        (licenses.TEMPLATES["MIT-0"][0], ["MIT-0"]),
+        ("This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License version 2 as published by the Free Software Foundation.", ["GPL-2.0-only"]),
+        (licenses.TEMPLATES["GPL-2.0-or-later"][0], ["GPL-2.0-or-later"]),
+        ("Licensed under the GNU General Public License version 3 only.", ["GPL-3.0-only"]),
+        ("This file is not released under the MIT License.", []),
+        ("This isn't licensed under the Apache License, Version 2.0.", []),
+        ("It does not work. Released under the MIT License.", ["MIT"]),
+    ],
+)
+def test_what_tells_licenses_apart_is_exact(text, names):
+    matcher = licenses.Matcher(licenses.TEMPLATES, 0.25)
+    assert [r[2] for r in licenses._notices(text, matcher.judge, matcher.longest) if r[2]] == names
+
+
+def test_ranking_equals_plain_compression():
+    """The winner is the first by saving, with a compressor of its own for each template, that agrees."""
+    matcher = licenses.Matcher(licenses.TEMPLATES, 0.25)
+    for name in ("MIT", "BSD-3-Clause", "Zlib", "GPL-3.0-only", "CC-BY-SA-4.0-long"):
+        block = "Some words first. " + licenses.TEMPLATES[name][0].replace("software", "program") + " And more."
+        size = lambda **how: len(zstandard.ZstdCompressor(level=3, write_content_size=False, **how).compress(block.encode()))  # noqa: B023, E731
+        gain = {n: (size() - size(dict_data=zstandard.ZstdCompressionDict(t[0].encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT))) / size() for n, t in licenses.TEMPLATES.items()}
+        won, saving = matcher._best(block, matcher.own)
+        agrees = [n for n in sorted(gain, key=lambda n: (-gain[n], n)) if matcher._best(block, {n: matcher.own[n]})[0]]
+        assert won[2] == agrees[0].removesuffix("-line").removesuffix("-long") and abs(saving - gain[agrees[0]]) < 1e-12
+
+
 def test_every_notice_of_a_block():
     matcher = licenses.Matcher(licenses.TEMPLATES, 0.25)
     told = lambda text: [r[2] for r in licenses._notices(text, matcher.judge, matcher.longest)]
