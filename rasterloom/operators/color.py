@@ -169,10 +169,10 @@ def noise_dither(pixels: DataFrame, strength: float = 64.0, seed: int = 0, keys:
     return pixels.withColumn("__shift", shift).withColumns({c: F.least(F.greatest(F.col(c) + F.col("__shift"), F.lit(0.0)), F.lit(255.0)) for c in CHANNELS}).drop("__shift")
 
 
-def flip(pixels: DataFrame, width: int | None = None, height: int | None = None) -> DataFrame:
+def flip(pixels: DataFrame, width: int | Column | None = None, height: int | Column | None = None) -> DataFrame:
     """Mirrored at the given width, or upside down at the given height."""
-    out = pixels if width is None else pixels.withColumn("x", F.lit(width - 1) - F.col("x"))
-    return out if height is None else out.withColumn("y", F.lit(height - 1) - F.col("y"))
+    out = pixels if width is None else pixels.withColumn("x", F.lit(width) - 1 - F.col("x"))
+    return out if height is None else out.withColumn("y", F.lit(height) - 1 - F.col("y"))
 
 
 def upscale(pixels: DataFrame, factor: int) -> DataFrame:
@@ -181,8 +181,8 @@ def upscale(pixels: DataFrame, factor: int) -> DataFrame:
     return wide.withColumns({"x": F.col("x") * factor + F.col("__dx"), "y": F.col("y") * factor + F.col("__dy")}).drop("__dx", "__dy")
 
 
-def resize(pixels: DataFrame, width: int, height: int, to_width: int, to_height: int, keys: tuple[str, ...] = ()) -> DataFrame:
-    """Area average into a smaller raster: one aggregation on the target place."""
+def resize(pixels: DataFrame, width: int | str, height: int | str, to_width: int, to_height: int, keys: tuple[str, ...] = ()) -> DataFrame:
+    """Area average into a smaller raster: one aggregation on the target place. Sizes are numbers or SQL text."""
     at = pixels.withColumns({"x": F.expr(f"x * {to_width} div {width}"), "y": F.expr(f"y * {to_height} div {height}")})
     return at.groupBy(*keys, "y", "x").agg(*[F.avg(c).alias(c) for c in CHANNELS])
 

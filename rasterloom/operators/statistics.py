@@ -13,6 +13,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .sliding import window_rank
+
 LUMA_BIN = "(299*r + 587*g + 114*b) div 1000"
 BINS = 256
 
@@ -132,9 +134,9 @@ def _blocks(pixels: DataFrame, values: list[str], reach: int, side: int, keys: t
     return pixels.select(*keys, "y", "x", *values).withColumn("by", F.explode(near("y"))).withColumn("bx", F.explode(near("x"))).where("by >= 0 and bx >= 0")
 
 
-def _block_work(pixels: DataFrame, values: list[str], made: dict[str, str], work: Callable[..., dict[str, np.ndarray]], reach: int, keys: tuple[str, ...], side: int, edges: tuple[int, int] | None = None) -> DataFrame:
+def _block_work(pixels: DataFrame, values: list[str], made: dict[str, str], work: Callable[..., dict[str, np.ndarray]], reach: int, keys: tuple[str, ...], side: int, edges: bool = False) -> DataFrame:
     """(keys, y, x, made): work on the windows around a block's own pixels, as arrays of pixels by height by width for each
-    value. edges: width and height of the image, whose border is repeated outwards; without it what is outside is -1."""
+    value. edges: the border of the image is repeated outwards; without it what is outside is -1."""
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         y0, x0 = int(rows["by"].iloc[0]) * side - reach, int(rows["bx"].iloc[0]) * side - reach
@@ -147,8 +149,9 @@ def _block_work(pixels: DataFrame, values: list[str], made: dict[str, str], work
             held = np.full((wide, wide), -1, np.int64)
             held[rows["y"] - y0, rows["x"] - x0] = rows[v]
             if edges:
+                width, height = int(rows["__w"].iloc[0]), int(rows["__h"].iloc[0])
                 inside = lambda at, top: np.clip(np.arange(at, at + wide), max(at, 0), min(at + wide, top) - 1) - at
-                held = held[np.ix_(inside(y0, edges[1]), inside(x0, edges[0]))]
+                held = held[np.ix_(inside(y0, height), inside(x0, width))]
             windows.append(np.lib.stride_tricks.sliding_window_view(held, (2 * reach + 1, 2 * reach + 1)))
         ys, xs = (own["y"] - y0 - reach).to_numpy(), (own["x"] - x0 - reach).to_numpy()
         parts = []
@@ -158,19 +161,8 @@ def _block_work(pixels: DataFrame, values: list[str], made: dict[str, str], work
 
     kinds = dict(pixels.dtypes)
     schema = ", ".join(f"{c} {kinds[c]}" for c in [*keys, "y", "x"]) + "".join(f", {c} {t}" for c, t in made.items())
-    return _blocks(pixels, values, reach, side, keys).groupBy(*keys, "by", "bx").applyInPandas(run, schema)
-
-
-def _rank(window: np.ndarray) -> dict[str, np.ndarray]:
-    middle = window.shape[1] // 2
-    own, there = window[:, middle, middle][:, None, None], window >= 0
-    return {"below": ((window <= own) & there).sum(axis=(1, 2)), "size": there.sum(axis=(1, 2))}
-
-
-def window_rank(pixels: DataFrame, window: int, value: str = "bin", keys: tuple[str, ...] = (), side: int = 64) -> DataFrame:
-    """(keys, y, x, below, size): of the pixels in a window of half its width on each side, clipped at the edges, how many are
-    not above the pixel, for windows so wide that pairs are too many to be rows. Values are not negative."""
-    return _block_work(pixels.withColumn(value, F.col(value).cast("long")), [value], {"below": "long", "size": "long"}, _rank, window // 2, keys, side)
+    given = with_extent(pixels.select(*keys, "y", "x", *values), keys) if edges else pixels
+    return _blocks(given, values + ["__w", "__h"] * edges, reach, side, keys).groupBy(*keys, "by", "bx").applyInPandas(run, schema)
 
 
 def window_equalise(pixels: DataFrame, window: int = 40, keys: tuple[str, ...] = ()) -> DataFrame:
@@ -180,62 +172,20 @@ def window_equalise(pixels: DataFrame, window: int = 40, keys: tuple[str, ...] =
     return _scaled(binned.join(ranks, [*keys, "y", "x"]), "__new").drop("__new")
 
 
-def convolve(pixels: DataFrame, kernel: tuple[tuple[float, ...], ...], channel: str, keys: tuple[str, ...] = ()) -> DataFrame:
-    """The pixels with `conv`, a 3x3 sum over the channel; null at the border, for the caller to keep what it will.
+def with_extent(pixels: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
+    """pixels with the width and height of their image, __w and __h: a row an image is joined."""
+    extent = pixels.groupBy(*keys).agg((F.max("x") + 1).alias("__w"), (F.max("y") + 1).alias("__h"))
+    return pixels.join(extent, list(keys)) if keys else pixels.crossJoin(F.broadcast(extent))
 
-    Rows are put together by lag and lead along y, columns along x: two windows, however many taps.
-    """
-    down = Window.partitionBy(*keys, "x").orderBy("y")
-    across = Window.partitionBy(*keys, "y").orderBy("x")
-    tap = lambda k: sum((F.lit(kernel[j][k]) * c for j, c in enumerate((F.lag(channel).over(down), F.col(channel), F.lead(channel).over(down)))), F.lit(0.0))
-    columns = pixels.withColumns({f"__c{k}": tap(k) for k in range(3)})
-    total = F.lag("__c0").over(across) + F.col("__c1") + F.lead("__c2").over(across)
-    return columns.withColumn("conv", total).drop("__c0", "__c1", "__c2")
-
-
-# Kernels.
-KERNELS = {
-    "lowpass": ((1 / 9,) * 3,) * 3,
-    "box": ((1.0,) * 3,) * 3,
-    "sharpen": ((0.0, -1.0, 0.0), (-1.0, 5.0, -1.0), (0.0, -1.0, 0.0)),
-    "emboss": ((-2.0, -1.0, 0.0), (-1.0, 1.0, 1.0), (0.0, 1.0, 2.0)),
-    "laplacian": ((-1.0, -1.0, -1.0), (-1.0, 8.0, -1.0), (-1.0, -1.0, -1.0)),
-    "sobel_x": ((-1.0, 0.0, 1.0), (-2.0, 0.0, 2.0), (-1.0, 0.0, 1.0)),
-    "sobel_y": ((-1.0, -2.0, -1.0), (0.0, 0.0, 0.0), (1.0, 2.0, 1.0)),
-}
-
-
-def edges(pixels: DataFrame, threshold: float, keys: tuple[str, ...] = ()) -> DataFrame:
-    """255 where the mean gradient of the three channels is over the threshold, else 0; border pixels are unchanged."""
-    made = pixels
-    for c in "rgb":
-        made = convolve(convolve(made, KERNELS["sobel_x"], c, keys).withColumnRenamed("conv", f"__x{c}"), KERNELS["sobel_y"], c, keys).withColumnRenamed("conv", f"__y{c}")
-    mean = sum((F.sqrt(F.col(f"__x{c}") * F.col(f"__x{c}") + F.col(f"__y{c}") * F.col(f"__y{c}")) for c in "rgb"), F.lit(0.0)) / F.lit(3.0)
-    on = F.when(mean > F.lit(float(threshold)), 255).otherwise(0)
-    return made.withColumns({c: F.when(mean.isNull(), F.col(c)).otherwise(on) for c in "rgb"}).drop(*[f"__{d}{c}" for d in "xy" for c in "rgb"])
-
-
-def filtered(pixels: DataFrame, kernel: str, channel: str, keys: tuple[str, ...] = ()) -> DataFrame:
-    """A 3x3 filter, clamped to 0..255; border pixels are unchanged."""
-    made = convolve(pixels, KERNELS[kernel], channel, keys)
-    return made.withColumn(channel, F.when(F.col("conv").isNull(), F.col(channel).cast("double")).otherwise(F.least(F.greatest("conv", F.lit(0.0)), F.lit(255.0)))).drop("conv")
-
-
-def sobel(pixels: DataFrame, channel: str, keys: tuple[str, ...] = ()) -> DataFrame:
-    """(pixel + gradient) / 2, clamped; border pixels are unchanged."""
-    both = convolve(convolve(pixels, KERNELS["sobel_x"], channel, keys).withColumnRenamed("conv", "gx"), KERNELS["sobel_y"], channel, keys)
-    edge = (F.col(channel) + F.sqrt(F.col("gx") * F.col("gx") + F.col("conv") * F.col("conv"))) * 0.5
-    return both.withColumn(channel, F.when(edge.isNull(), F.col(channel).cast("double")).otherwise(F.least(F.greatest(edge, F.lit(0.0)), F.lit(255.0)))).drop("gx", "conv")
-
-
-def median(pixels: DataFrame, channel: str, reach: int, width: int, height: int, keys: tuple[str, ...] = (), side: int = 64) -> DataFrame:
-    """(keys, y, x, channel): the median of the (2 reach + 1)^2 values around each pixel, edges replicated."""
+
+def median(pixels: DataFrame, reach: int, channels: tuple[str, ...] = ("r", "g", "b"), keys: tuple[str, ...] = (), side: int = 64) -> DataFrame:
+    """(keys, y, x, channels): the median of the (2 reach + 1)^2 values around each pixel, by channel, edges replicated."""
     middle = (2 * reach + 1) ** 2 // 2
-    work = lambda w: {channel: np.partition(w.reshape(len(w), -1), middle, axis=1)[:, middle]}
-    return _block_work(pixels, [channel], {channel: "long"}, work, reach, keys, side, (width, height))
+    work = lambda *windows: {c: np.partition(w.reshape(len(w), -1), middle, axis=1)[:, middle] for c, w in zip(channels, windows, strict=True)}
+    return _block_work(pixels, list(channels), dict.fromkeys(channels, "long"), work, reach, keys, side, True)
 
 
-def sigma_filter(pixels: DataFrame, reach: int, sigma: int, width: int, height: int, keys: tuple[str, ...] = (), side: int = 64) -> DataFrame:
+def sigma_filter(pixels: DataFrame, reach: int, sigma: int, keys: tuple[str, ...] = (), side: int = 64) -> DataFrame:
     """The mean of the neighbours that differ by less than sigma in sum over the channels (itself always included)."""
 
     def work(*windows: np.ndarray) -> dict[str, np.ndarray]:
@@ -243,7 +193,7 @@ def sigma_filter(pixels: DataFrame, reach: int, sigma: int, width: int, height:
         near = gap < sigma
         return {c: (w * near).sum(axis=(1, 2)) / near.sum(axis=(1, 2)) for c, w in zip("rgb", windows, strict=True)}
 
-    return _block_work(pixels, ["r", "g", "b"], dict.fromkeys("rgb", "double"), work, reach, keys, side, (width, height))
+    return _block_work(pixels, ["r", "g", "b"], dict.fromkeys("rgb", "double"), work, reach, keys, side, True)
 
 
 def top_colours(matched: DataFrame, n: int, keys: tuple[str, ...] = (), idx: str = "idx") -> DataFrame:

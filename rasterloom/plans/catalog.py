@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import basic, metrics
 from ..functions.palettes import BBC, C64, CPC, IIGS, PALETTES, TMS9918, VIC20, ZX, Colour
 from ..functions.disks import BUILDERS, FAT12, LISTINGS
-from ..operators import batch, color, machines, packing, sequential
+from ..operators import batch, color, machines, packing, sequential, sliding, stencil
 from ..operators import statistics as st
 from . import adaptive
 from ..sources.disks import build_disks, extract_files, list_disks
@@ -28,10 +28,6 @@ E8 = """WITH e8 AS (SELECT vec_id, CAST(pos % 8 AS BIGINT) AS x, CAST(pos // 8 A
 BIN = "(299*r + 587*g + 114*b) // 1000"
 
 
-def _height(px: DataFrame) -> int:
-    return (px.agg(F.max("y")).first()[0] or 0) + 1
-
-
 def add(name: str, query: Query, sql: str | None = None) -> None:
     QUERIES[name] = query
     if sql:
@@ -99,9 +95,9 @@ for _matrix, _rows in [(f"bayer16_{k}", m) for k, m in color.MATRICES_16.items()
     on_raster(f"dither_{_matrix}", lambda px, m=_rows: color.ordered_dither(px, len(m), matrix=m).select("x", "y", *[F.round(c, 9).alias(c) for c in "rgb"]), " SELECT x, y, " + ", ".join(f"round(least(greatest({c} + {_shift}, 0), 255), 9) AS {c}" for c in "rgb") + " FROM px")
 on_raster("noise_dither", lambda px: color.noise_dither(px).select("x", "y", "r", "g", "b"))
 on_raster("flip_horizontal", lambda px: color.flip(px, width=150).select("x", "y", "r", "g", "b"), " SELECT 149 - x AS x, y, r, g, b FROM px")
-on_raster("flip_vertical", lambda px: color.flip(px, height=_height(px)).select("x", "y", "r", "g", "b"), " SELECT x, (SELECT max(y) FROM px) - y AS y, r, g, b FROM px")
+on_raster("flip_vertical", lambda px: color.flip(st.with_extent(px), height=F.col("__h")).select("x", "y", "r", "g", "b"), " SELECT x, (SELECT max(y) FROM px) - y AS y, r, g, b FROM px")
 on_raster("upscale2", lambda px: color.upscale(px, 2).select(F.col("x").cast("long"), F.col("y").cast("long"), "r", "g", "b"), ", k(d) AS (VALUES (0::BIGINT), (1::BIGINT)) SELECT x*2 + k.d AS x, y*2 + j.d AS y, r, g, b FROM px, k, k AS j")
-on_raster("resize_area", lambda px: color.resize(px, 150, _height(px), 40, 25).select("x", "y", "r", "g", "b"), ", t AS (SELECT max(y) + 1 AS tall FROM px) SELECT x * 40 // 150 AS x, y * 25 // tall AS y, avg(r) AS r, avg(g) AS g, avg(b) AS b FROM px, t GROUP BY 1, 2")
+on_raster("resize_area", lambda px: color.resize(st.with_extent(px), "__w", "__h", 40, 25).select("x", "y", "r", "g", "b"), ", t AS (SELECT max(y) + 1 AS tall FROM px) SELECT x * 40 // 150 AS x, y * 25 // tall AS y, avg(r) AS r, avg(g) AS g, avg(b) AS b FROM px, t GROUP BY 1, 2")
 on_raster("merge_average", lambda px: color.merge_pairs(px).select("x", "y", "r", "g", "b"), " SELECT x // 2 AS x, y, " + ", ".join(f"CAST(sum({c}) // count(*) AS BIGINT) AS {c}" for c in "rgb") + " FROM px GROUP BY 1, 2")
 on_raster("merge_brightest", lambda px: color.merge_pairs(px, "brightest").select("x", "y", "r", "g", "b"), ", t AS (SELECT *, row_number() OVER (PARTITION BY y, x // 2 ORDER BY 299*r + 587*g + 114*b DESC, x) AS n FROM px) SELECT x // 2 AS x, y, r, g, b FROM t WHERE n = 1")
 on_raster("merge_weighted", lambda px: color.merge_pairs(px, "weighted").select("x", "y", *[F.round(c, 6).alias(c) for c in "rgb"]), " SELECT x // 2 AS x, y, " + ", ".join(f"round(CASE WHEN sum(299*r + 587*g + 114*b) = 0 THEN avg({c}) ELSE sum({c} * (299*r + 587*g + 114*b))::DOUBLE / sum(299*r + 587*g + 114*b) END, 6) AS {c}" for c in "rgb") + " FROM px GROUP BY 1, 2")
@@ -141,25 +137,54 @@ for _window in (40, 64):
     _reach = _window // 2
     on_raster(f"swahe_{_window}", lambda px, w=_window: _rounded(st.window_equalise(px, w)), _SHARED + f", k AS (SELECT y, x, bin FROM s), w AS (SELECT p.y, p.x, count(*) FILTER (q.bin <= p.bin) * 255.0::DOUBLE / count(*) AS new FROM k p JOIN k q ON q.y BETWEEN p.y - {_reach} AND p.y + {_reach} AND q.x BETWEEN p.x - {_reach} AND p.x + {_reach} GROUP BY 1, 2) SELECT x, y, {_scaled_sql('new')} FROM s JOIN w USING (y, x)")
 
+
+
+def _carried_sql(window: int, new: str, made: str) -> str:
+    """The carried histogram as sums: what the pixel's own line has brought in and taken off, and what all lines before have left."""
+    half = window // 2
+    return (
+        _SHARED + f", z AS (SELECT max(x) + 1 AS w FROM s), own AS (SELECT p.y, p.x, sum(CASE WHEN q.bin <= p.bin THEN k ELSE 0 END) AS below, sum(k) AS size FROM (SELECT p.y, p.x, p.bin, q.bin AS qbin, CASE WHEN q.x >= {half} AND q.x < least(p.x + {half}, w) THEN 1 ELSE 0 END - CASE WHEN q.x < p.x - {half} THEN 1 ELSE 0 END AS k FROM s p, z, s q WHERE q.y >= p.y - {half} AND q.y < p.y + {half}) p, LATERAL (SELECT p.qbin AS bin) q GROUP BY 1, 2)"
+        + f", line AS (SELECT y, bin, sum(CASE WHEN x >= {half} THEN 1 ELSE 0 END - CASE WHEN x < w - {half} THEN 1 ELSE 0 END) AS k FROM s, z GROUP BY 1, 2)"
+        + f", lv AS (SELECT range AS bin FROM range(256)), ys AS (SELECT DISTINCT y FROM s), e AS (SELECT ys.y, lv.bin, coalesce(sum(k), 0) AS k FROM ys CROSS JOIN lv LEFT JOIN line ON line.y >= ys.y - {half} AND line.y < ys.y + {half} AND line.bin <= lv.bin GROUP BY 1, 2)"
+        + f", h AS (SELECT lv.bin, count(s.y) AS n FROM lv LEFT JOIN s ON s.bin <= lv.bin AND s.y < {half} AND s.x < {window} GROUP BY 1)"
+        + ", c AS (SELECT y, bin, n + coalesce(sum(k) OVER (PARTITION BY bin ORDER BY y ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS n FROM e JOIN h USING (bin))"
+        + ", r AS (SELECT s.*, (own.below + c.n)::DOUBLE AS below, (own.size + a.n)::DOUBLE AS size FROM s JOIN own USING (y, x) JOIN c ON c.y = s.y AND c.bin = s.bin JOIN c a ON a.y = s.y AND a.bin = 255)"
+        + f", v AS (SELECT *, {new} AS new FROM r) SELECT x, y, " + ", ".join(f"round(least(greatest({made.format(c=c)}, 0), 255) + 0::DOUBLE, 9) AS {c}" for c in "rgb") + " FROM v"
+    )
+
+
+_carried = lambda px, additive: sliding.carried_equalise(px, 40, additive=additive).select("x", "y", *[F.round(F.col(c) + F.lit(0.0), 9).alias(c) for c in "rgb"])
+on_raster("swahe_carried", lambda px: _carried(px, False), _carried_sql(40, "CASE WHEN size > 0 THEN below * 255 / size ELSE bin END", "CASE WHEN bin > 0 THEN {c} * (new / bin) ELSE {c}::DOUBLE END"))
+on_raster("swahe_carried_additive", lambda px: _carried(px, True), _carried_sql(40, "CASE WHEN size > 0 THEN below / size * 255::DOUBLE ELSE bin / 255::DOUBLE END", "{c} + new - bin"))
+
 # Neighbourhoods.
 
 
-def _tap_sql(kernel: str) -> str:
-    """The 3x3 sum over r as a self join; borders give null."""
-    taps = " ".join(f"WHEN q.y - p.y = {j - 1} AND q.x - p.x = {i - 1} THEN {v!r}::DOUBLE * q.r" for j, row in enumerate(st.KERNELS[kernel]) for i, v in enumerate(row))
-    return f"(SELECT p.x, p.y, CASE WHEN count(*) = 9 THEN sum(CASE {taps} END) END AS v FROM px p JOIN px q ON q.x BETWEEN p.x - 1 AND p.x + 1 AND q.y BETWEEN p.y - 1 AND p.y + 1 GROUP BY 1, 2)"
+def _around_sql(*kernels: str, name: str = "around") -> str:
+    """CTE for DuckDB: the 3x3 sums of each kernel and channel by a self join, null at the border."""
+    tap = lambda kernel, c: "CASE " + " ".join(f"WHEN q.y - p.y = {j - 1} AND q.x - p.x = {i - 1} THEN {v!r}::DOUBLE * q.{c}" for j, row in enumerate(stencil.KERNELS[kernel]) for i, v in enumerate(row)) + " END"
+    sums = ", ".join(f"CASE WHEN count(*) = 9 THEN sum({tap(k, c)}) END AS {k}_{c}" for k in kernels for c in "rgb")
+    return f", {name} AS (SELECT p.x, p.y, any_value(p.r) AS r, any_value(p.g) AS g, any_value(p.b) AS b, {sums} FROM px p JOIN px q ON q.x BETWEEN p.x - 1 AND p.x + 1 AND q.y BETWEEN p.y - 1 AND p.y + 1 GROUP BY 1, 2)"
+
+
+def _made_sql(value: str, kernel: str, digits: int = 6) -> str:
+    """The pixels of `around` with each channel as value (SQL text in {c}, {v}), clamped, border pixels as they are."""
+    return " SELECT x, y, " + ", ".join(f"round(CASE WHEN {kernel}_{c} IS NULL THEN {c}::DOUBLE ELSE least(greatest({value.format(c=c, v=f'{kernel}_{c}')}, 0), 255) END, {digits}) AS {c}" for c in "rgb") + " FROM around"
 
 
+_smooth = lambda px: px.select("x", "y", *[F.round(c, 6).alias(c) for c in "rgb"])
 for _kernel in ("box", "lowpass", "sharpen", "emboss", "laplacian"):
-    on_raster(f"filter_{_kernel}", lambda px, k=_kernel: st.filtered(px, k, "r").select("x", "y", F.round("r", 6).alias("r")), f" SELECT x, y, round(CASE WHEN v IS NULL THEN r::DOUBLE ELSE least(greatest(v, 0), 255) END, 6) AS r FROM px JOIN {_tap_sql(_kernel)} USING (x, y)")
-on_raster("sobel", lambda px: st.sobel(px, "r").select("x", "y", F.round("r", 6).alias("r")), f" SELECT x, y, round(CASE WHEN a.v IS NULL THEN r::DOUBLE ELSE least(greatest((r + sqrt(a.v*a.v + c.v*c.v)) * 0.5::DOUBLE, 0), 255) END, 6) AS r FROM px JOIN {_tap_sql('sobel_x')} a USING (x, y) JOIN {_tap_sql('sobel_y')} c USING (x, y)")
-_MEAN = " + ".join(f"sqrt(t{c}x.v*t{c}x.v + t{c}y.v*t{c}y.v)" for c in "rgb")
-on_raster("edges_mean", lambda px: st.edges(px, 200.0).select("x", "y", "r", "g", "b"), " SELECT x, y, " + ", ".join(f"CASE WHEN trx.v IS NULL THEN {c} WHEN (0.0::DOUBLE + {_MEAN}) / 3.0::DOUBLE > 200.0::DOUBLE THEN 255 ELSE 0 END AS {c}" for c in "rgb") + " FROM px" + "".join(f" JOIN {_tap_sql('sobel_' + d).replace('q.r', 'q.' + c)} t{c}{d} USING (x, y)" for c in "rgb" for d in "xy"))
+    on_raster(f"filter_{_kernel}", lambda px, k=_kernel: _smooth(stencil.filtered(px, k)), _around_sql(_kernel) + _made_sql("{v}", _kernel))
+on_raster("sharpen_strength", lambda px: _smooth(stencil.filtered(px, "sharpen", strength=0.4)), _around_sql("sharpen") + _made_sql("{c} + ({v} - {c}) * 0.4::DOUBLE", "sharpen"))
+on_raster("emboss_depth", lambda px: _smooth(stencil.filtered(px, "emboss", depth=0.5, offset=128.0)), _around_sql("emboss") + _made_sql("{v} * 0.5::DOUBLE + 128.0::DOUBLE", "emboss"))
+on_raster("sobel", lambda px: _smooth(stencil.sobel(px)), _around_sql("sobel_x", "sobel_y") + " SELECT x, y, " + ", ".join(f"round(CASE WHEN sobel_x_{c} IS NULL THEN {c}::DOUBLE ELSE least(greatest(({c} + sqrt(sobel_x_{c}*sobel_x_{c} + sobel_y_{c}*sobel_y_{c})) * 0.5::DOUBLE, 0), 255) END, 6) AS {c}" for c in "rgb") + " FROM around")
+_MEAN = " + ".join(f"sqrt(sobel_x_{c}*sobel_x_{c} + sobel_y_{c}*sobel_y_{c})" for c in "rgb")
+on_raster("edges_mean", lambda px: stencil.edges(px, 200.0).select("x", "y", "r", "g", "b"), _around_sql("sobel_x", "sobel_y") + " SELECT x, y, " + ", ".join(f"CASE WHEN sobel_x_r IS NULL THEN {c} WHEN (0.0::DOUBLE + {_MEAN}) / 3.0::DOUBLE > 200.0::DOUBLE THEN 255 ELSE 0 END AS {c}" for c in "rgb") + " FROM around")
 _SEEN = ", e AS (SELECT max(y) AS bottom FROM px) {select} FROM px p, e, (SELECT range - {k} AS d FROM range({n})) a, (SELECT range - {k} AS d FROM range({n})) c JOIN px q ON q.x = greatest(least(p.x + a.d, 149), 0) AND q.y = greatest(least(p.y + c.d, e.bottom), 0) {where} GROUP BY p.x, p.y"
 on_raster("swahe_small", lambda px: st.local_rank(st.with_bin(px), 2), f", s AS (SELECT x, y, {BIN} AS bin FROM px) SELECT p.y, p.x, p.bin, count(*) FILTER (q.bin <= p.bin) * 255 // count(*) AS new FROM s p, (SELECT range - 2 AS d FROM range(5)) a, (SELECT range - 2 AS d FROM range(5)) c JOIN s q ON q.x = p.x + a.d AND q.y = p.y + c.d GROUP BY 1, 2, 3")
 for _reach in (1, 2, 3):
-    on_raster(f"median{2 * _reach + 1}", lambda px, k=_reach: st.median(px, "r", k, 150, _height(px)).select("x", "y", "r"), _SEEN.format(select="SELECT p.x, p.y, quantile_disc(q.r, 0.5) AS r", k=_reach, n=2 * _reach + 1, where=""))
-on_raster("sigma3", lambda px: st.sigma_filter(px, 1, 120, 150, _height(px)).select("x", "y", "r", "g", "b"), _SEEN.format(select="SELECT p.x, p.y, avg(q.r) AS r, avg(q.g) AS g, avg(q.b) AS b", k=1, n=3, where="WHERE abs(q.r-p.r) + abs(q.g-p.g) + abs(q.b-p.b) < 120"))
+    on_raster(f"median{2 * _reach + 1}", lambda px, k=_reach: st.median(px, k).select("x", "y", "r", "g", "b"), _SEEN.format(select="SELECT p.x, p.y, quantile_disc(q.r, 0.5) AS r, quantile_disc(q.g, 0.5) AS g, quantile_disc(q.b, 0.5) AS b", k=_reach, n=2 * _reach + 1, where=""))
+on_raster("sigma3", lambda px: st.sigma_filter(px, 1, 120).select("x", "y", "r", "g", "b"), _SEEN.format(select="SELECT p.x, p.y, avg(q.r) AS r, avg(q.g) AS g, avg(q.b) AS b", k=1, n=3, where="WHERE abs(q.r-p.r) + abs(q.g-p.g) + abs(q.b-p.b) < 120"))
 
 # Palette selection and cells.
 on_raster("palette_topk", lambda px: st.top_colours(color.nearest(px, BBC), 4).select("idx", "n", "rank"), nearest_sql(BBC) + ", c AS (SELECT idx, count(*) AS n FROM m GROUP BY 1) SELECT * FROM (SELECT idx, n, row_number() OVER (ORDER BY n DESC, idx) AS rank FROM c) WHERE rank <= 4")
