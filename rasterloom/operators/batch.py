@@ -128,20 +128,6 @@ def base_name(name: Column) -> Column:
     return F.when(F.instr(name, ".") > 0, F.regexp_replace(name, r"\.[^.]*\z", "")).otherwise(name)
 
 
-def unique_names(rows: DataFrame, name: str, order: str, keys: tuple[str, ...] = (), separator: str = "_") -> DataFrame:
-    """`unique`: the second and later rows of a name (in any case) get _2, _3 and so on."""
-    nth = F.row_number().over(Window.partitionBy(*keys, F.upper(name)).orderBy(order)).cast("long")
-    return rows.withColumn("nth", nth).withColumn("unique", F.when(F.col("nth") == 1, F.col(name)).otherwise(F.concat(F.col(name), F.lit(separator), F.col("nth"))))
-
-
-def allocate(files: DataFrame, size: str, unit: int, order: str, keys: tuple[str, ...] = ("disk_id",), first: int = 0) -> DataFrame:
-    """Files one after the other: blocks, first block, end block (exclusive). The window runs over one disk."""
-    blocks = F.expr(f"({size} + {unit - 1}) div {unit}")
-    line = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    placed = files.withColumn("blocks", blocks).withColumn("end_block", F.lit(first) + F.sum("blocks").over(line))
-    return placed.withColumn("first_block", F.col("end_block") - F.col("blocks"))
-
-
 def _fit(batches: Iterator[pa.RecordBatch], keys: int, capacity: int, entries: int, when_full: str) -> Iterator[pa.RecordBatch]:
     """The fold over rows that come by disk and in order: columns are the keys, ord, need. A disk's state is three numbers."""
     disk, used, files, ended = None, 0, 0, False

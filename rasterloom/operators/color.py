@@ -214,6 +214,13 @@ def palette_rows(spark: SparkSession, name: str) -> DataFrame:
     return spark.range(n).withColumnRenamed("id", "i").select(F.col("i").alias("idx"), F.expr(r).alias("r"), F.expr(g).alias("g"), F.expr(b).alias("b"))
 
 
+def palette_uses(pixels: DataFrame, palette: DataFrame, bits: int) -> DataFrame:
+    """palette(idx, r, g, b) with n: how many pixels have an entry's colour, both cut to the top `bits` of each channel."""
+    top = lambda c: F.expr(f"{c} div {1 << (8 - bits)}").alias(f"__{c}")
+    counts = pixels.select(*[top(c) for c in CHANNELS]).groupBy(*[f"__{c}" for c in CHANNELS]).agg(F.count("*").alias("n"))
+    return palette.select("*", *[top(c) for c in CHANNELS]).join(counts, [f"__{c}" for c in CHANNELS], "left").withColumn("n", F.coalesce("n", F.lit(0))).drop(*[f"__{c}" for c in CHANNELS])
+
+
 def lookup(pixels: DataFrame, palette: list[Colour], out: str = "idx") -> DataFrame:
     """The index of each pixel's very colour, the first of equal entries; null for a colour that is not in the palette. A
     palette is at most some thousand rows, so it is broadcast."""

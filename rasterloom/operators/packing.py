@@ -78,19 +78,17 @@ def nearest_glyph(cells: DataFrame, glyphs: list[tuple[int, int]], pattern: str
 def charset(cells: DataFrame, key: str, most: int = 256, pattern: str = "pattern", keys: tuple[str, ...] = ()) -> DataFrame:
     """Patterns to codes, first come first served within an image; (keys, key, pattern, code, distance).
 
-    Patterns beyond the last code take the nearest of those that have one (lowest code on a tie). An image's kept patterns
-    are at most `most`, in one row of the side that is joined.
+    Patterns beyond the last code take the nearest of those that have one (lowest code on a tie). Tasks keep `most` patterns
+    an image before they are numbered, so an image's kept ones are few rows, and then one row of the side that is joined.
     """
-    image = list(keys) or ["__one"]
-    told = cells if keys else cells.withColumn("__one", F.lit(0))
-    first = told.groupBy(*image, pattern).agg(F.min(key).alias("first"))
-    numbered = first.withColumn("code", F.row_number().over(Window.partitionBy(*image).orderBy("first", pattern)).cast("long") - 1)
-    kept = numbered.where(F.col("code") < most).select(*image, F.col(pattern).alias("__kept"), "code")
-    table = kept.groupBy(*image).agg(F.collect_list(F.struct("code", "__kept")).alias("__table"))
-    late = numbered.where(F.col("code") >= most).select(*image, pattern).join(table, image)
-    best = F.array_min(F.transform("__table", lambda g: F.struct(F.bit_count(F.col(pattern).bitwiseXOR(g["__kept"])).cast("long").alias("d"), g["code"].alias("code"))))
-    known = kept.select(*image, F.col("__kept").alias(pattern), "code", F.lit(0).cast("long").alias("distance")).unionByName(late.withColumn("__best", best).select(*image, pattern, F.col("__best.code").alias("code"), F.col("__best.d").alias("distance")))
-    return told.join(known, [*image, pattern]).select(*keys, key, pattern, "code", "distance")
+    first = cells.groupBy(*keys, pattern).agg(F.min(key).alias("first"))
+    rank = F.row_number().over(Window.partitionBy(*keys or [F.lit(0)]).orderBy("first", pattern))
+    kept = first.withColumn("rank", rank).where(F.col("rank") <= most).select(*keys, F.col(pattern).alias("__kept"), (F.col("rank") - 1).cast("long").alias("code"))
+    held = kept.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("code", "__kept"))).alias("__table"))
+    told = cells.join(held, list(keys)) if keys else cells.crossJoin(F.broadcast(held))
+    gap = lambda g: F.struct(F.bit_count(F.col(pattern).bitwiseXOR(g["__kept"])).cast("long").alias("d"), g["code"].alias("code"))
+    # A pattern that has a code is at distance 0 from it and from no other.
+    return told.withColumn("__best", F.array_min(F.transform("__table", gap))).select(*keys, key, pattern, F.col("__best.code").alias("code"), F.col("__best.d").alias("distance"))
 
 
 def cell_quantise(matched: DataFrame, colours: int, width: int = 8, height: int = 8, idx: str = "idx", keys: tuple[str, ...] = ()) -> DataFrame:

@@ -100,8 +100,8 @@ def carried_rank(pixels: DataFrame, window: int, keys: tuple[str, ...] = (), ban
         grid = np.full((int(rows["y"].max()) - y0 + 1, width), -1, np.int64)
         grid[rows["y"] - y0, rows["x"]] = rows["bin"]
         own = rows[rows["y"] // band == number].sort_values(["y", "x"])
-        if not len(own):
-            return pd.DataFrame({**{k: [] for k in keys}, **{c: [] for c in ("y", "x", "r", "g", "b", "bin", "below", "size", "band", "added")}})
+        if not len(own):  # only lines that other bands look at
+            return own[[*keys, "y", "x", "r", "g", "b", "bin"]].assign(below=own["bin"], size=own["bin"], band=own["band"], added=None)
         carried = np.zeros(BINS, np.int64)
         if number == 0:
             for line in grid[:half, :window]:
@@ -118,15 +118,15 @@ def carried_rank(pixels: DataFrame, window: int, keys: tuple[str, ...] = (), ban
             below[at], size[at] = read(levels[at]), read(BINS - 1)
             carried += upto[width] - upto[min(half, width)] - upto[max(0, width - half)]
         told = own[[*keys, "y", "x", "r", "g", "b", "bin"]].assign(below=below, size=size, band=number, added=None)
-        end = pd.DataFrame({**{k: [own[k].iloc[0]] for k in keys}, "band": [number], "added": [carried.tolist()]})
-        return pd.concat([told.astype({c: "Int64" for c in ("y", "x", "bin", "below", "size")}), end])[[*keys, "y", "x", "r", "g", "b", "bin", "below", "size", "band", "added"]]
+        end = told.iloc[:1].assign(bin=-1, added=[carried.tolist()])
+        return pd.concat([told, end])
 
     schema = ", ".join(f"{c} {kinds[c]}" for c in [*keys, "y", "x", "r", "g", "b"]) + ", bin long, below long, size long, band long, added array<long>"
     found = settle(dealt.groupBy(*keys, "band").applyInPandas(work, schema))
-    ends = found.where(F.col("added").isNotNull()).select(*keys, "band", F.posexplode("added").alias("level", "n"))
+    ends = found.where("bin < 0").select(*keys, "band", F.posexplode("added").alias("level", "n"))
     before = Window.partitionBy(*keys, "level").orderBy("band").rowsBetween(Window.unboundedPreceding, -1)
     carry = ends.withColumn("n", F.coalesce(F.sum("n").over(before), F.lit(0))).groupBy(*keys, "band").agg(F.transform(F.sort_array(F.collect_list(F.struct("level", "n"))), lambda e: e["n"]).alias("carry"))
-    told = found.where(F.col("added").isNull()).drop("added").join(carry, [*keys, "band"])
+    told = found.where("bin >= 0").drop("added").join(carry, [*keys, "band"])
     return told.withColumns({"below": F.col("below") + F.element_at("carry", F.col("bin").cast("int") + 1), "size": F.col("size") + F.element_at("carry", BINS)}).drop("band", "carry")
 
 

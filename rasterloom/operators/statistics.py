@@ -27,6 +27,18 @@ def histogram(pixels: DataFrame, keys: tuple[str, ...] = (), bins: str = "bin")
     return pixels.groupBy(*keys, bins).agg(F.count("*").alias("n"))
 
 
+def joint_histograms(pixels: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
+    """(keys, channel, value, n, share) of red, green, blue and luma (cut to a whole number), dense over 256 values: counts,
+    and counts over the greatest of all four channels. Counts are folded before they move, then an image has 1024 rows."""
+    level = F.expr("cast(least(floor(0.299e0*r + 0.587e0*g + 0.114e0*b), 255) as bigint)")
+    each = F.array(*[F.struct(F.lit(c).alias("channel"), F.col(c).cast("long").alias("value")) for c in "rgb"], F.struct(F.lit("luma").alias("channel"), level.alias("value")))
+    counts = pixels.select(*keys, F.explode(each).alias("p")).groupBy(*keys, "p.channel", "p.value").agg(F.count("*").alias("n"))
+    top = counts.groupBy(*keys).agg(F.max("n").alias("__top"))
+    dense = top.withColumn("channel", F.explode(F.array(*[F.lit(c) for c in ("r", "g", "b", "luma")]))).withColumn("value", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(BINS - 1).cast("long"))))
+    told = dense.join(counts, [*keys, "channel", "value"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    return told.withColumn("share", F.col("n") / F.col("__top")).drop("__top")
+
+
 def cdf(counts: DataFrame, keys: tuple[str, ...] = (), bins: str = "bin") -> DataFrame:
     """counts with the running sum over bins; at most 256 rows a group."""
     return counts.withColumn("cdf", F.sum("n").over(Window.partitionBy(*keys or [F.lit(0)]).orderBy(bins).rowsBetween(Window.unboundedPreceding, 0)))
@@ -209,12 +221,6 @@ def darkest_total(matched: DataFrame, keys: tuple[str, ...] = (), idx: str = "id
     return sums.groupBy(*keys).agg(F.max_by(F.struct(idx, "weight"), F.struct("weight", -F.col(idx))).alias("top")).select(*keys, f"top.{idx}", "top.weight")
 
 
-def ranks_of_first_seen(rows: DataFrame, value: Column, order: str, keys: tuple[str, ...] = ()) -> DataFrame:
-    """Distinct values numbered from 0 by where each is first seen. The window runs over distinct values."""
-    first = rows.groupBy(*keys, value.alias("value")).agg(F.min(order).alias("first"))
-    return first.withColumn("slot", F.row_number().over(Window.partitionBy(*keys or [F.lit(0)]).orderBy("first", "value")).cast("long") - 1)
-
-
 def by_brightness(colours: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
     """colours(r, g, b) with `place`: from the darkest, by the sum of channels, ties by channels; a palette's rows at most."""
     return colours.withColumn("place", F.row_number().over(Window.partitionBy(*keys or [F.lit(0)]).orderBy(F.expr("r + g + b"), "r", "g", "b")).cast("long") - 1)

@@ -7,8 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import adaptive, color
-from ..operators import statistics as st
+from ..operators import adaptive, blocks, color
 from ..sources.rasters import orders_raster
 
 Add = Callable[..., None]
@@ -116,7 +115,7 @@ def register(add: Add, r150: str) -> None:
     def distinct(spark: SparkSession, d: str) -> DataFrame:
         own = adaptive.frequent_palette(color.quantise(strips(spark, d).withColumns({c: F.expr(f"{c} div 128 * 128") for c in "rgb"}), "twelve_bit"), 2, ("image_id", "y"))
         keyed = own.groupBy("image_id", "y").agg(adaptive.palette_key(F.sort_array(F.collect_list(F.struct("idx", "r", "g", "b")))).alias("key"))
-        return st.ranks_of_first_seen(keyed, F.col("key"), "y", ("image_id",)).select("image_id", "value", "first", "slot")
+        return blocks.first_seen(keyed, F.col("key"), "y", ("image_id",)).select("image_id", "value", "first", "slot")
 
     add("distinct_palettes", distinct, im + "gr AS (SELECT image_id, y, x, " + ", ".join(f"least(({c} // 128 * 128 + 8) // 17, 15) * 17 AS {c}" for c in "rgb") + " FROM im), " + _frequent_sql("gr", "image_id, y", 2, "pal") + ", k AS (SELECT image_id, y, string_agg(r || ',' || g || ',' || b, '|' ORDER BY idx) AS value FROM pal GROUP BY 1, 2), f AS (SELECT image_id, value, min(y) AS first FROM k GROUP BY 1, 2) SELECT image_id, value, first, row_number() OVER (PARTITION BY image_id ORDER BY first, value) - 1 AS slot FROM f")
 

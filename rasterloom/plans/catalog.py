@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import basic, metrics
 from ..functions.palettes import BBC, C64, CPC, IIGS, PALETTES, TMS9918, VIC20, ZX, Colour
 from ..functions.disks import BUILDERS, FAT12, LISTINGS
-from ..operators import batch, color, machines, packing, sequential, sliding, stencil
+from ..operators import batch, blocks, color, machines, packing, sequential, sliding, stencil, text_cells
 from ..operators import statistics as st
 from . import adaptive
 from ..sources.disks import build_disks, extract_files, list_disks
@@ -43,9 +43,47 @@ def palette_sql(palette: list[Colour], name: str = "pal") -> str:
     return f", {name}(i, pr, pg, pb) AS (VALUES {rows})"
 
 
+#: The metrics written out once more, for DuckDB: a pixel as r, g, b, an entry as pr, pg, pb; lists of (pixel, entry) channels.
+_DIFF = "[r - pr, g - pg, b - pb]"
+_SQUARES = f"list_sum([d * d FOR d IN {_DIFF}])"
+_GREY, _PGREY = "(r * 0.299::DOUBLE + g * 0.587::DOUBLE + b * 0.114::DOUBLE)", "(pr * 0.299::DOUBLE + pg * 0.587::DOUBLE + pb * 0.114::DOUBLE)"
+
+
+def _hsl_sql(p: str) -> tuple[str, str, str]:
+    """Hue in degrees, saturation and lightness of 0 .. 1 of the channels with a prefix, from channels of 0 .. 1."""
+    r, g, b = (f"({p}{c} / 255::DOUBLE)" for c in "rgb")
+    hi, lo = f"greatest({r}, {g}, {b})", f"least({r}, {g}, {b})"
+    turn = f"CASE {hi} WHEN {r} THEN ({g} - {b}) / ({hi} - {lo}) + CASE WHEN {g} < {b} THEN 6 ELSE 0 END WHEN {g} THEN ({b} - {r}) / ({hi} - {lo}) + 2 ELSE ({r} - {g}) / ({hi} - {lo}) + 4 END"
+    return f"(CASE WHEN {hi} = {lo} THEN 0 ELSE ({turn}) * 60 END)", f"(CASE WHEN {hi} = {lo} THEN 0 WHEN {hi} + {lo} > 1 THEN ({hi} - {lo}) / (2 - {hi} - {lo}) ELSE ({hi} - {lo}) / ({hi} + {lo}) END)", f"(({hi} + {lo}) / 2)"
+
+
+(_H, _S, _LI), (_PH, _PS, _PLI) = _hsl_sql(""), _hsl_sql("p")
+_PART = lambda c: f"(CASE WHEN {_GREY} > 1 THEN {c} / {_GREY} ELSE 0 END - CASE WHEN {_PGREY} > 1 THEN p{c} / {_PGREY} ELSE 0 END)"
+_UNIT = [f"power(({c} - p{c}) / 255::DOUBLE, 2)" for c in "rgb"]
+_REDS = "((r + pr) / 2::DOUBLE / 255)"
+_SHADE = f"(({_GREY} - {_PGREY}) / 255)"
+METRIC_SQL = {
+    "euclid": _SQUARES,
+    "perceptive": "(2 + (r + pr) / 2::DOUBLE / 256) * power(r - pr, 2) + 4 * power(g - pg, 2) + (2 + (255 - (r + pr) / 2::DOUBLE) / 256) * power(b - pb, 2)",
+    "luma_v": f"3 * abs({_GREY} - {_PGREY}) + sqrt({_SQUARES}::DOUBLE) / 10",
+    "chroma_v": f"255 * sqrt(power({_PART('r')}, 2) + power({_PART('g')}, 2) + power({_PART('b')}, 2)) + abs({_GREY} - {_PGREY}) / 5",
+    "hue": f"least(abs({_H} - {_PH}), 360 - abs({_H} - {_PH})) / 180 * 255 * 4 * least({_S}, {_PS}) + 255 * abs({_S} - {_PS}) + 127.5::DOUBLE * abs({_LI} - {_PLI})",
+    "luma_a": f"abs({_GREY} - {_PGREY})",
+    "chroma_a": f"sqrt({_SQUARES}::DOUBLE / 2) + abs((r - g) - (pr - pg)) + abs((g - b) - (pg - pb))",
+    "mahalanobis_a": f"({_SQUARES} + (r - pr) * (g - pg) / 2::DOUBLE + (g - pg) * (b - pb) / 2::DOUBLE) / 4096",
+    "chroma_i": "abs(sqrt((r * r + g * g + b * b)::DOUBLE) - sqrt((pr * pr + pg * pg + pb * pb)::DOUBLE))",
+    "perceptive_u": f"(2 + {_REDS}) * {_UNIT[0]} + 4 * {_UNIT[1]} + (3 - {_REDS}) * {_UNIT[2]}",
+    "luma_u": f"abs({_SHADE})",
+    "luma_u_mixed": f"2 * abs({_SHADE}) + {' + '.join(_UNIT)}",
+    "chroma_u": f"2 * sqrt(power(0.492::DOUBLE * ((b - pb) / 255::DOUBLE - {_SHADE}), 2) + power(0.877::DOUBLE * ((r - pr) / 255::DOUBLE - {_SHADE}), 2)) + abs({_SHADE}) / 2",
+    "mahalanobis_u": f"2.5::DOUBLE * {_UNIT[0]} + {_UNIT[1]} + 3 * {_UNIT[2]}",
+}
+
+
 def nearest_sql(palette: list[Colour], metric: str = "euclid", extra: str = "") -> str:
-    """px with idx, as the table m."""
-    return f"{palette_sql(palette)}, m AS (SELECT x, y, any_value(r) AS r, any_value(g) AS g, any_value(b) AS b, arg_min(i, {{'d': CAST({metrics.METRICS[metric]} AS DOUBLE), 'i': i}}) AS idx FROM px, pal {extra} GROUP BY x, y)"
+    """px with idx, as the table m; distances to nine digits, so that equal ones are equal however they are summed."""
+    told = f"round(CAST({METRIC_SQL[metric]} AS DOUBLE), 9)" if metric != "euclid" else f"CAST({METRIC_SQL[metric]} AS DOUBLE)"
+    return f"{palette_sql(palette)}, m AS (SELECT x, y, any_value(r) AS r, any_value(g) AS g, any_value(b) AS b, arg_min(i, {{'d': {told}, 'i': i}}) AS idx FROM px, pal {extra} GROUP BY x, y)"
 
 
 def whole(c: str) -> str:
@@ -66,7 +104,15 @@ on_raster(
     nearest_sql(BBC, extra="WHERE i BETWEEN 4*(x%2) AND 4*(x%2)+3") + " SELECT x, y, idx FROM m",
 )
 for _name in color.PALETTE_RULES:
-    add(f"palette_{_name}", lambda spark, d, n=_name: color.palette_rows(spark, n), palette_sql(PALETTES[_name]).replace(", pal", "WITH pal", 1) + " SELECT i AS idx, pr AS r, pg AS g, pb AS b FROM pal")
+    # How often the raster shows each entry of a palette that a rule gives, where its channels are cut to the palette's bits.
+    _bits = {"ega64": 2, "gime64": 2, "rgb332": 3, "v9938": 3, "ocs4096": 4}[_name]
+    _cut_up = ", ".join(f"{c} // {1 << (8 - _bits)} AS {c}" for c in "rgb")
+    _entry = lambda c, n=_bits: f"(p{c} // {1 << (8 - n)})"
+    add(
+        f"palette_{_name}",
+        lambda spark, d, n=_name, b=_bits: color.palette_uses(orders_raster(spark, d), color.palette_rows(spark, n), b).select("idx", "r", "g", "b", "n"),
+        R150 + palette_sql(PALETTES[_name]) + f", c AS (SELECT {_cut_up} FROM px), k AS (SELECT r, g, b, count(*) AS n FROM c GROUP BY ALL) SELECT i AS idx, pr AS r, pg AS g, pb AS b, coalesce(n, 0) AS n FROM pal LEFT JOIN k ON k.r = {_entry('r')} AND k.g = {_entry('g')} AND k.b = {_entry('b')}",
+    )
 on_raster("colour_lookup", lambda px: color.lookup(color.render(color.nearest(px, ZX), ZX), ZX, "found").select("x", "y", "found"), nearest_sql(ZX) + ", u AS (SELECT min(i) AS found, pr, pg, pb FROM pal GROUP BY ALL) SELECT x, y, found FROM m JOIN pal ON idx = i JOIN u USING (pr, pg, pb)")
 on_raster("render_indices", lambda px: color.render(color.nearest(px, BBC), BBC).select("x", "y", "r", "g", "b"), nearest_sql(BBC) + " SELECT x, y, pr AS r, pg AS g, pb AS b FROM m JOIN pal ON idx = i")
 
@@ -106,6 +152,7 @@ on_raster("merge_weighted", lambda px: color.merge_pairs(px, "weighted").select(
 _CDF = f", h AS (SELECT {BIN} AS bin, count(*) AS n FROM px GROUP BY 1), c AS (SELECT bin, n, CAST(sum(n) OVER (ORDER BY bin) AS BIGINT) AS cdf FROM h)"
 on_raster("luma_histogram", lambda px: st.histogram(st.with_bin(px)), _CDF + " SELECT bin, n FROM h")
 on_raster("channel_histograms", lambda px: px.select(F.explode(F.array(*[F.struct(F.lit(c).alias("channel"), F.col(c).alias("value")) for c in "rgb"])).alias("p")).select("p.*").groupBy("channel", "value").agg(F.count("*").alias("n")), " SELECT channel, value, count(*) AS n FROM (" + " UNION ALL ".join(f"SELECT '{c}' AS channel, {c} AS value FROM px" for c in "rgb") + ") GROUP BY 1, 2")
+on_raster("histogram_joint", lambda px: st.joint_histograms(px).select("channel", "value", "n", F.round("share", 9).alias("share")), ", e AS (" + " UNION ALL ".join(f"SELECT '{c}' AS channel, {c} AS value FROM px" for c in "rgb") + " UNION ALL SELECT 'luma', CAST(least(floor(0.299::DOUBLE*r + 0.587::DOUBLE*g + 0.114::DOUBLE*b), 255) AS BIGINT) FROM px), c AS (SELECT channel, value, count(*) AS n FROM e GROUP BY 1, 2) SELECT k.channel, v.range AS value, coalesce(n, 0) AS n, round(coalesce(n, 0)::DOUBLE / (SELECT max(n) FROM c), 9) AS share FROM (VALUES ('r'), ('g'), ('b'), ('luma')) k(channel) CROSS JOIN range(256) v LEFT JOIN c ON c.channel = k.channel AND c.value = v.range")
 on_raster("hist_cdf", lambda px: st.cdf(st.histogram(st.with_bin(px))), _CDF + " SELECT * FROM c")
 _LUT = _CDF + ", t AS (SELECT min(cdf) AS lo, max(cdf) AS total FROM c), l AS (SELECT bin, CASE WHEN total = lo THEN bin ELSE (cdf - lo) * 255 // (total - lo) END AS new FROM c, t)"
 on_raster("he_scale", lambda px: st.equalise(px).select("x", "y", "r", "g", "b"), _LUT + " SELECT x, y, " + ", ".join(f"CASE WHEN bin > 0 THEN least({c} * new // bin, 255) ELSE {c} END AS {c}" for c in "rgb") + f" FROM px JOIN l ON {BIN} = bin")
@@ -196,7 +243,7 @@ on_raster("mean_colour", lambda px: px.agg(*[F.avg(c).alias(c) for c in "rgb"]),
 on_raster("brightness_extremes", lambda px: px.agg(*[f(F.expr("y * 150 + x"), F.struct(F.expr("r + g + b"), F.expr(f"{s} (y * 150 + x)"))).alias(n) for n, f, s in (("darkest", F.min_by, "+"), ("brightest", F.max_by, "-"))]), " SELECT arg_min(y*150+x, {'v': r+g+b, 'p': y*150+x}) AS darkest, arg_max(y*150+x, {'v': r+g+b, 'p': -(y*150+x)}) AS brightest FROM px")
 on_raster("darkness_background", lambda px: st.darkest_total(color.nearest(px, BBC).withColumn("cy", F.expr("y div 8")), ("cy",)), nearest_sql(BBC) + f", w AS (SELECT y // 8 AS cy, idx, CAST(sum(255 - {BIN}) AS BIGINT) AS weight FROM m GROUP BY 1, 2) SELECT cy, arg_max(idx, {{'w': weight, 'i': -idx}}) AS idx, max(weight) AS weight FROM w GROUP BY 1")
 on_raster("palette_fit_error", lambda px: px.withColumn("p", color.palette_array(BBC)).select(F.expr("y"), F.expr("sqrt(cast(array_min(transform(p, q -> (r-q.pr)*(r-q.pr) + (g-q.pg)*(g-q.pg) + (b-q.pb)*(b-q.pb))) as double))").alias("d")).groupBy("y").agg(F.round(F.avg("d"), 6).alias("error")), palette_sql(BBC) + ", d AS (SELECT x, y, min((r-pr)*(r-pr) + (g-pg)*(g-pg) + (b-pb)*(b-pb)) AS d FROM px, pal GROUP BY 1, 2) SELECT y, round(avg(sqrt(d::DOUBLE)), 6) AS error FROM d GROUP BY 1")
-on_raster("distinct_lines", lambda px: st.ranks_of_first_seen(px.groupBy("y").agg(F.expr("max(r) div 16").alias("k")), F.col("k"), "y").select("value", "first", "slot"), ", k AS (SELECT y, max(r) // 16 AS value FROM px GROUP BY 1), f AS (SELECT value, min(y) AS first FROM k GROUP BY 1) SELECT value, first, row_number() OVER (ORDER BY first, value) - 1 AS slot FROM f")
+on_raster("distinct_lines", lambda px: blocks.first_seen(px.groupBy("y").agg(F.expr("max(r) div 16").alias("k")), F.col("k"), "y").select("value", "first", "slot"), ", k AS (SELECT y, max(r) // 16 AS value FROM px GROUP BY 1), f AS (SELECT value, min(y) AS first FROM k GROUP BY 1) SELECT value, first, row_number() OVER (ORDER BY first, value) - 1 AS slot FROM f")
 for _name, _palette, _w, _h, _n in (("zx", ZX, 8, 8, 2), ("c64", C64, 8, 8, 2), ("c64_multi", C64, 4, 8, 3), ("vic", VIC20, 8, 8, 4)):
     on_raster(
         f"{_name}_cell_colours",
@@ -215,6 +262,27 @@ _DARK = VIC20[6]
 on_raster("vic_cell_foreground", lambda px: packing.contrast_cells(color.nearest(px, VIC20[:8]), _DARK, "idx").select("cy", "cx", F.coalesce("fg", F.lit(1)).alias("fg")), nearest_sql(VIC20[:8]) + f", g AS (SELECT *, abs((0.299::DOUBLE*r + 0.587::DOUBLE*g + 0.114::DOUBLE*b)/255::DOUBLE - (0.299::DOUBLE*{_DARK[0]} + 0.587::DOUBLE*{_DARK[1]} + 0.114::DOUBLE*{_DARK[2]})/255::DOUBLE) AS gap FROM m) SELECT y // 8 AS cy, x // 8 AS cx, coalesce(arg_max(idx, {{'g': gap, 'y': -y, 'x': -x}}) FILTER (gap >= 0.1::DOUBLE), 1) AS fg FROM g GROUP BY 1, 2")
 on_raster("msx_best_pair", lambda px: packing.best_pair(px.withColumn("seg", F.expr("x div 8")), ("y", "seg"), TMS9918).select("y", "seg", "i", "j", "err"), palette_sql(TMS9918) + ", q AS (SELECT a.i AS i, c.i AS j, a.pr AS ar, a.pg AS ag, a.pb AS ab, c.pr AS cr, c.pg AS cg, c.pb AS cb FROM pal a JOIN pal c ON a.i <= c.i), e AS (SELECT y, x // 8 AS seg, i, j, CAST(sum(least((r-ar)*(r-ar)+(g-ag)*(g-ag)+(b-ab)*(b-ab), (r-cr)*(r-cr)+(g-cg)*(g-cg)+(b-cb)*(b-cb))) AS BIGINT) AS err FROM px, q GROUP BY 1, 2, 3, 4), n AS (SELECT *, row_number() OVER (PARTITION BY y, seg ORDER BY err, i, j) AS n FROM e) SELECT y, seg, i, j, err FROM n WHERE n = 1")
 
+# Text modes: a glyph and two colours a cell.
+_CGA = PALETTES["cga16"]
+_FONT = [(k, (k * 0x0123456789ABCDEF) & 0x7FFFFFFFFFFFFFFF) for k in range(64)]
+
+
+def _cell_sql(ground: str, bright: str, fg: str, glyphs: list[tuple[int, int]], palette: list[Colour]) -> str:
+    """t(y, x, r, g, b, cy, cx, l) to cells: bright and ground are SQL text for what each cell takes, fg for its foreground."""
+    d = "(t.r-{0}.pr)*(t.r-{0}.pr) + (t.g-{0}.pg)*(t.g-{0}.pg) + (t.b-{0}.pb)*(t.b-{0}.pb)".format
+    signed = lambda bits: bits if bits < 1 << 63 else bits - (1 << 64)
+    rows = ", ".join(f"({k}::BIGINT, {code}::BIGINT, ({signed(bits)})::BIGINT)" for k, (code, bits) in enumerate(glyphs))
+    return (
+        f"{palette_sql(palette)}, t AS (SELECT *, y // 8 AS cy, x // 8 AS cx, 0.299::DOUBLE*r + 0.587::DOUBLE*g + 0.114::DOUBLE*b AS l FROM px){ground}, c AS ({bright}), k AS ({fg})"
+        f", bits AS (SELECT t.cy, t.cx, bit_or(CASE WHEN {d('f')} > {d('a')} THEN 0 WHEN y % 8 = 0 AND x % 8 = 0 THEN (-9223372036854775808)::BIGINT ELSE 1::BIGINT << (63 - (y % 8 * 8 + x % 8))::INT END) AS pattern FROM t JOIN k ON k.cy = t.cy AND k.cx = t.cx JOIN pal f ON f.i = k.fg JOIN pal a ON a.i = k.bg GROUP BY 1, 2)"
+        f", g(n, code, glyph) AS (VALUES {rows}) SELECT cy, cx, arg_min(code, {{'d': bit_count(xor(pattern, glyph)), 'n': n}}) AS code, any_value(fg) AS fg, any_value(bg) AS bg, CAST(min(bit_count(xor(pattern, glyph))) AS BIGINT) AS distance FROM bits JOIN k USING (cy, cx), g GROUP BY 1, 2"
+    )
+
+
+_PICK = "(SELECT arg_min(i, {{'d': (c.{0}.r-pr)*(c.{0}.r-pr) + (c.{0}.g-pg)*(c.{0}.g-pg) + (c.{0}.b-pb)*(c.{0}.b-pb), 'i': i}}) FROM pal{1})"
+on_raster("text_cells", lambda px: text_cells.text_cells(px, _CGA), _cell_sql("", "SELECT cy, cx, arg_max({'r': r, 'g': g, 'b': b}, {'l': l, 'y': -y, 'x': -x}) AS hi, max(l) AS top, arg_min({'r': r, 'g': g, 'b': b}, {'l': l, 'y': y, 'x': x}) AS lo FROM t GROUP BY 1, 2", f"SELECT cy, cx, CASE WHEN top > 0 THEN {_PICK.format('hi', '')} ELSE 15 END AS fg, {_PICK.format('lo', ' WHERE i < 8')} AS bg FROM c", list(text_cells.BLOCKS_437), _CGA))
+on_raster("petscii_cells", lambda px: text_cells.character_cells(px, C64, _FONT), _cell_sql(", o AS (SELECT x, y, arg_min(i, {'d': (r-pr)*(r-pr) + (g-pg)*(g-pg) + (b-pb)*(b-pb), 'i': i}) AS idx, any_value(l) AS l FROM t, pal GROUP BY 1, 2), w AS (SELECT idx, CAST(sum(CAST(trunc((1 - l / 255::DOUBLE) * 255) AS BIGINT)) AS BIGINT) AS weight FROM o GROUP BY 1), u AS (SELECT arg_max(idx, {'w': weight, 'i': -idx}) AS bg FROM w), v AS (SELECT bg, 0.299::DOUBLE*pr + 0.587::DOUBLE*pg + 0.114::DOUBLE*pb AS shade FROM u JOIN pal ON i = bg)", "SELECT cy, cx, any_value(bg) AS bg, arg_max({'r': r, 'g': g, 'b': b}, {'d': abs(l - shade), 'y': -y, 'x': -x}) AS px, max(abs(l - shade)) AS far FROM t, v GROUP BY 1, 2", f"SELECT cy, cx, bg, CASE WHEN idx <> bg THEN idx WHEN bg < 8 THEN 1 ELSE 0 END AS fg FROM (SELECT *, CASE WHEN far > 0 THEN {_PICK.format('px', '')} ELSE 1 END AS idx FROM c)", _FONT, C64))
+
 # Packing, runs, glyphs.
 on_raster("pack_1bpp", lambda px: packing.pack_bits(px, "case when r > 127 then 1 else 0 end"), " SELECT y, x // 8 AS col, bit_or(CASE WHEN r > 127 THEN 1::BIGINT << (7 - x % 8)::INT ELSE 0 END) AS byte FROM px GROUP BY 1, 2")
 on_raster("pack_2bpp", lambda px: packing.pack_bits(px, "r div 64", depth=2), " SELECT y, x // 4 AS col, bit_or((r // 64) << (2 * (3 - x % 4))::INT) AS byte FROM px GROUP BY 1, 2")
@@ -235,7 +303,7 @@ add("emb_cell", lambda spark, d: embedding_cells(spark, d), E8 + " SELECT * FROM
 add("cell_patterns", _cells, _PATTERN + " SELECT * FROM p")
 _GLYPHS = [(k, (k * 0x0102040810204081) & 0x7FFFFFFFFFFFFFFF) for k in range(40)]
 add("nearest_glyph", lambda spark, d: packing.nearest_glyph(_cells(spark, d), _GLYPHS).select("vec_id", "code", "distance"), _PATTERN + ", g(code, bits) AS (VALUES " + ", ".join(f"({k}::BIGINT, {b}::BIGINT)" for k, b in _GLYPHS) + ") SELECT vec_id, arg_min(code, {'d': bit_count(xor(pattern, bits)), 'c': code}) AS code, CAST(min(bit_count(xor(pattern, bits))) AS BIGINT) AS distance FROM p, g GROUP BY 1")
-add("glyph_dedup", lambda spark, d: st.ranks_of_first_seen(_cells(spark, d), F.col("pattern"), "vec_id").select(F.col("value").alias("pattern"), "first", "slot"), _PATTERN + ", f AS (SELECT pattern, min(vec_id) AS first FROM p GROUP BY 1) SELECT pattern, first, row_number() OVER (ORDER BY first) - 1 AS slot FROM f")
+add("glyph_dedup", lambda spark, d: blocks.first_seen(_cells(spark, d), F.col("pattern"), "vec_id").select(F.col("value").alias("pattern"), "first", "slot"), _PATTERN + ", f AS (SELECT pattern, min(vec_id) AS first FROM p GROUP BY 1) SELECT pattern, first, row_number() OVER (ORDER BY first) - 1 AS slot FROM f")
 add("charset_allocation", lambda spark, d: packing.charset(_cells(spark, d), "vec_id", 256), _PATTERN + ", f AS (SELECT pattern, min(vec_id) AS first FROM p GROUP BY 1), k AS (SELECT pattern AS kept, row_number() OVER (ORDER BY first) - 1 AS code FROM f QUALIFY code < 256) SELECT vec_id, pattern, arg_min(code, {'d': bit_count(xor(pattern, kept)), 'c': code}) AS code, CAST(min(bit_count(xor(pattern, kept))) AS BIGINT) AS distance FROM p, k GROUP BY 1, 2")
 
 # Batches: names, sizes, disks, settings.
@@ -268,9 +336,36 @@ _OPTIONS = {"click": ["small", "large"], "purchase": ["large"], "view": ["small"
 add("option_available", lambda spark, d: batch.available(spark.read.parquet(f"{d}/events.parquet").withColumn("size", F.expr("case event_id % 3 when 0 then 'small' when 1 then 'medium' else 'large' end")), _OPTIONS, "event_type", "size").select("event_id", "option"), "WITH e AS (SELECT event_id, event_type, CASE event_id % 3 WHEN 0 THEN 'small' WHEN 1 THEN 'medium' ELSE 'large' END AS size FROM events), o(event_type, own) AS (VALUES " + ", ".join(f"('{k}', {v!r})" for k, v in _OPTIONS.items()) + ") SELECT event_id, CASE WHEN list_contains(own, size) THEN size ELSE own[1] END AS option FROM e LEFT JOIN o USING (event_type)")
 add("asset_union", lambda spark, d: batch.assets(spark.read.parquet(f"{d}/documents.parquet").where("text is not null").select("doc_id", "source", F.split("text", " ").alias("parts")), "source", "parts").select("doc_id", "asset_name", "asset"), "SELECT doc_id, CASE WHEN n > 1 THEN source || '_' || k ELSE source END AS asset_name, parts[k] AS asset FROM (SELECT doc_id, source, parts, len(parts) AS n, unnest(range(1, len(parts) + 1)) AS k FROM (SELECT doc_id, source, string_split(text, ' ') AS parts FROM documents WHERE text IS NOT NULL))")
 add("base_name", lambda spark, d: _docs(spark, d).select("doc_id", batch.base_name(F.concat_ws(".", "source", "lang")).alias("base")), "SELECT doc_id, CASE WHEN instr(concat_ws('.', source, lang), '.') > 0 THEN regexp_replace(concat_ws('.', source, lang), '\\.[^.]*$', '') ELSE concat_ws('.', source, lang) END AS base FROM documents")
-add("unique_names", lambda spark, d: batch.unique_names(_docs(spark, d), "source", "doc_id").select("doc_id", "nth", "unique"), "SELECT doc_id, nth, CASE WHEN nth = 1 THEN source ELSE source || '_' || nth END AS unique FROM (SELECT doc_id, source, row_number() OVER (PARTITION BY upper(source) ORDER BY doc_id) AS nth FROM documents)")
+add("unique_names", lambda spark, d: blocks.unique_names(_docs(spark, d), "source", "doc_id").select("doc_id", "nth", "unique"), "SELECT doc_id, nth, CASE WHEN nth = 1 THEN source ELSE source || '_' || nth END AS unique FROM (SELECT doc_id, source, row_number() OVER (PARTITION BY upper(source) ORDER BY doc_id) AS nth FROM documents)")
+add("unique_names_prodos", lambda spark, d: blocks.unique_names(_docs(spark, d), "source", "doc_id", ("lang",), ".", keep=13).select("doc_id", "nth", "unique"), "SELECT doc_id, nth, CASE WHEN nth = 1 THEN source ELSE substring(source, 1, 13) || '.' || (nth - 1) END AS unique FROM (SELECT doc_id, source, row_number() OVER (PARTITION BY lang, upper(source) ORDER BY doc_id) AS nth FROM documents)")
+
+
+def _chains_sql(unit: int, first: int, end: int, low: int, high: int, keys: str, extra: str = "") -> str:
+    """Every free block in turn to the bytes of a disk's files in turn."""
+    at = lambda n: f"CASE WHEN {n} + {first} >= {low} THEN {n} + {first} + {high - low + 1} ELSE {n} + {first} END"
+    return (
+        f"WITH f AS (SELECT {keys} AS disk, doc_id, octet_length(encode(text)) AS bytes, (octet_length(encode(text)) + {unit - 1}) // {unit} AS need FROM documents WHERE text IS NOT NULL), g AS (SELECT *, sum(need) OVER (PARTITION BY disk ORDER BY doc_id) - need AS begun FROM f)"
+        f", k AS (SELECT disk, doc_id, bytes, need, CAST(begun AS BIGINT) + nth AS number, nth FROM (SELECT *, unnest(range(need)) AS nth FROM g))"
+        f", b AS (SELECT disk, doc_id, nth, {at('number')} AS block, CASE WHEN nth < need - 1 THEN {at('number + 1')} END AS next, least({unit}, bytes - nth * {unit}) AS bytes FROM k) SELECT disk AS {keys.split(' ')[-1] if ' ' in keys else keys}, doc_id, nth, {extra or 'block, next'}, bytes FROM b WHERE block < {end}"
+    )
+
+
+def _sized(spark: SparkSession, d: str) -> DataFrame:
+    return spark.read.parquet(f"{d}/documents.parquet").where("text is not null").select("doc_id", "source", F.octet_length("text").cast("long").alias("size"))
+
+
+def _chains_1541(spark: SparkSession, d: str) -> DataFrame:
+    told = blocks.chains(_sized(spark, d), "size", 254, "doc_id", ("source",), end=683, reserved=(blocks.DIRECTORY_1541,))
+    here, link = blocks.track_sector(F.col("block"), blocks.ZONES_1541), blocks.track_sector(F.col("next"), blocks.ZONES_1541)
+    return told.select("source", "doc_id", "nth", here[0].alias("track"), here[1].alias("sector"), link[0].alias("next_track"), link[1].alias("next_sector"), "bytes")
+
+
+add("blocks_atari", lambda spark, d: blocks.chains(_sized(spark, d), "size", 125, "doc_id", ("source",), first=4, end=720, reserved=(blocks.RESERVED_ATARI,)).select("source", "doc_id", "nth", "block", "next", "bytes"), _chains_sql(125, 4, 720, 360, 368, "source"))
+# A disk's tracks written out one by one: where each begins, and how many sectors it has.
+_TRACKS = "tracks AS (SELECT track, n, CAST(sum(n) OVER (ORDER BY track) - n AS BIGINT) AS low FROM (SELECT range + 1 AS track, CASE WHEN range < 17 THEN 21 WHEN range < 24 THEN 19 WHEN range < 30 THEN 18 ELSE 17 END AS n FROM range(35)))"
+add("blocks_1541", _chains_1541, _chains_sql(254, 0, 683, 357, 375, "source").replace("WITH f AS", f"WITH {_TRACKS}, f AS").replace("SELECT disk AS source, doc_id, nth, block, next, bytes FROM b WHERE", "SELECT disk AS source, doc_id, nth, h.track, block - h.low AS sector, l.track AS next_track, next - l.low AS next_sector, bytes FROM b JOIN tracks h ON block >= h.low AND block < h.low + h.n LEFT JOIN tracks l ON next >= l.low AND next < l.low + l.n WHERE"))
 add("name_hash", lambda spark, d: _docs(spark, d).select("doc_id", packing.name_hash(F.col("source")).alias("bucket")), "SELECT doc_id, list_reduce(list_concat([CAST(length(source) AS BIGINT)], [CAST(ord(c) AS BIGINT) FOR c IN string_split(upper(source), '')]), lambda h, c: (h * 13 + c) & 2047) % 72 AS bucket FROM documents")
-add("disk_running_sum", lambda spark, d: batch.allocate(_docs(spark, d), "n_chars", 488, "doc_id", ("source",), 24).select("doc_id", "blocks", "first_block", "end_block"), "SELECT doc_id, (n_chars + 487) // 488 AS blocks, CAST(24 + sum((n_chars + 487) // 488) OVER w - (n_chars + 487) // 488 AS BIGINT) AS first_block, CAST(24 + sum((n_chars + 487) // 488) OVER w AS BIGINT) AS end_block FROM documents WINDOW w AS (PARTITION BY source ORDER BY doc_id)")
+add("disk_running_sum", lambda spark, d: blocks.allocate(_docs(spark, d), "n_chars", 488, "doc_id", ("source",), 24).select("doc_id", "blocks", "first_block", "end_block"), "SELECT doc_id, (n_chars + 487) // 488 AS blocks, CAST(24 + sum((n_chars + 487) // 488) OVER w - (n_chars + 487) // 488 AS BIGINT) AS first_block, CAST(24 + sum((n_chars + 487) // 488) OVER w AS BIGINT) AS end_block FROM documents WINDOW w AS (PARTITION BY source ORDER BY doc_id)")
 def _fit_sql(rule: str) -> str:
     """The fold over a source's files as a recursive query: what is used, how many are stored, and whether the disk has ended."""
     stored = "least(need, 664 - used)" if rule == "truncate" else "need"
@@ -284,7 +379,7 @@ def _fit_sql(rule: str) -> str:
 
 for _rule in ("skip", "stop", "truncate"):
     add(f"disk_fit_{_rule}", lambda spark, d, r=_rule: batch.fit(_docs(spark, d), "n_chars", 254, 664, 144, "doc_id", ("source",), r).select("source", "ord", "stored", "first"), _fit_sql(_rule))
-add("disk_fits", lambda spark, d: batch.allocate(_docs(spark, d), "n_chars", 254, "doc_id", ("source",)).where("end_block <= 664").groupBy("source").agg(F.count("*").alias("files"), F.max("end_block").alias("used")), "SELECT source, count(*) AS files, CAST(max(e) AS BIGINT) AS used FROM (SELECT source, sum((n_chars + 253) // 254) OVER (PARTITION BY source ORDER BY doc_id) AS e FROM documents) WHERE e <= 664 GROUP BY 1")
+add("disk_fits", lambda spark, d: blocks.allocate(_docs(spark, d), "n_chars", 254, "doc_id", ("source",)).where("end_block <= 664").groupBy("source").agg(F.count("*").alias("files"), F.max("end_block").alias("used")), "SELECT source, count(*) AS files, CAST(max(e) AS BIGINT) AS used FROM (SELECT source, sum((n_chars + 253) // 254) OVER (PARTITION BY source ORDER BY doc_id) AS e FROM documents) WHERE e <= 664 GROUP BY 1")
 add("dir_listing", lambda spark, d: _docs(spark, d).groupBy("source").agg(F.sum(F.expr("((n_chars + 127) div 128) * 128")).alias("bytes"), F.count("*").alias("extents")).orderBy(F.lower("source")), "SELECT source, CAST(sum((n_chars + 127) // 128 * 128) AS BIGINT) AS bytes, count(*) AS extents FROM documents GROUP BY 1")
 add("size_text", lambda spark, d: _docs(spark, d).select("doc_id", batch.size_text(F.col("n_chars")).alias("size")), "SELECT doc_id, CASE WHEN n_chars < 1024 THEN printf('%d B', n_chars) WHEN n_chars < 1048576 THEN printf('%.1f KB', floor(n_chars / 1024.0::DOUBLE * 10 + 0.5::DOUBLE) / 10) ELSE printf('%.1f MB', floor(n_chars / 1048576.0::DOUBLE * 10 + 0.5::DOUBLE) / 10) END AS size FROM documents")
 add("selected_or_all", lambda spark, d: batch.selected_or_all(_docs(spark, d), _docs(spark, d).where("n_chars > 3000"), "doc_id").select("doc_id"), "SELECT doc_id FROM documents WHERE n_chars > 3000 OR NOT EXISTS (SELECT 1 FROM documents WHERE n_chars > 3000)")
@@ -471,8 +566,3 @@ _MANY = E8 + ", p AS (SELECT vec_id % 3 AS image, vec_id, bit_or(CASE WHEN lum <
 add("charset_by_image", lambda spark, d: packing.charset(_cells(spark, d).withColumn("image", F.expr("vec_id % 3")), "vec_id", 64, keys=("image",)), _MANY + ", f AS (SELECT image, pattern, min(vec_id) AS first FROM p GROUP BY 1, 2), k AS (SELECT image, pattern AS kept, row_number() OVER (PARTITION BY image ORDER BY first) - 1 AS code FROM f QUALIFY code < 64) SELECT image, vec_id, pattern, arg_min(code, {'d': bit_count(xor(pattern, kept)), 'c': code}) AS code, CAST(min(bit_count(xor(pattern, kept))) AS BIGINT) AS distance FROM p JOIN k USING (image) GROUP BY 1, 2, 3")
 add("extract_prodos", lambda spark, d: extract_files(build_disks(_files(spark, d), "prodos")).select("disk_id", "name", F.octet_length("content").cast("long").alias("bytes"), F.md5("content").alias("digest")), _stored_sql(_PRODOS_NEED, 24, 1600, 51) + " SELECT disk_id, name, bytes, digest FROM g")
 add("basic_tokens", lambda spark, d: basic.remark_programs(_texts(spark, d), "doc_id").select("doc_id", "part", F.hex("content").alias("program")))
-
-# Further names of the same queries, from when those without the ending took a part of their table.
-for _name in ["median3", "median5", "sigma3", "unused_colours", "msx_best_pair", "cell_patterns", "nearest_glyph", "glyph_dedup", "charset_allocation", "basic_tokens", "name_prodos", *[f"name_{s}" for s in batch.NAME_RULES]]:
-    add(f"{_name}_whole", QUERIES[_name], ORACLE_SQL.get(_name))
-add("swahe_whole", QUERIES["swahe_small"], ORACLE_SQL["swahe_small"])

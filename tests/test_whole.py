@@ -30,18 +30,18 @@ def test_neighbourhoods_over_the_whole_raster(spark, tall):
     a = raster(tall[0], spark)
     for reach in (1, 2):
         e = np.pad(a[:, :, 0], reach, mode="edge")
-        told = catalog.QUERIES[f"median{2 * reach + 1}_whole"](spark, tall[0]).collect()
+        told = catalog.QUERIES[f"median{2 * reach + 1}"](spark, tall[0]).collect()
         assert len(told) == 150 * HEIGHT
         assert all(p["r"] == np.median(e[p["y"] : p["y"] + 2 * reach + 1, p["x"] : p["x"] + 2 * reach + 1]) for p in told)
     e = np.pad(a, ((1, 1), (1, 1), (0, 0)), mode="edge")
-    told = catalog.QUERIES["sigma3_whole"](spark, tall[0]).collect()
+    told = catalog.QUERIES["sigma3"](spark, tall[0]).collect()
     assert len(told) == 150 * HEIGHT
     for p in told:
         near = e[p["y"] : p["y"] + 3, p["x"] : p["x"] + 3].reshape(9, 3)
         want = near[np.abs(near - a[p["y"], p["x"]]).sum(axis=1) < 120].mean(axis=0)
         assert np.allclose([p["r"], p["g"], p["b"]], want)
     luma = a @ [299, 587, 114] // 1000
-    told = catalog.QUERIES["swahe_whole"](spark, tall[0]).collect()
+    told = catalog.QUERIES["swahe_small"](spark, tall[0]).collect()
     assert len(told) == 150 * HEIGHT
     for p in told:
         near = luma[max(p["y"] - 2, 0) : p["y"] + 3, max(p["x"] - 2, 0) : p["x"] + 3]
@@ -51,9 +51,9 @@ def test_neighbourhoods_over_the_whole_raster(spark, tall):
 def test_palettes_over_the_whole_raster(spark, tall):
     a = raster(tall[0], spark)
     used = {int(k) for k in ((a[:, :, None, :] - np.array(catalog.CPC)) ** 2).sum(axis=3).argmin(axis=2).reshape(-1)}
-    assert {p["idx"] for p in catalog.QUERIES["unused_colours_whole"](spark, tall[0]).collect()} == set(range(len(catalog.CPC))) - used
+    assert {p["idx"] for p in catalog.QUERIES["unused_colours"](spark, tall[0]).collect()} == set(range(len(catalog.CPC))) - used
     d = ((a[:, :, None, :] - np.array(catalog.TMS9918)) ** 2).sum(axis=3)
-    told = catalog.QUERIES["msx_best_pair_whole"](spark, tall[0]).collect()
+    told = catalog.QUERIES["msx_best_pair"](spark, tall[0]).collect()
     assert len(told) == HEIGHT * 19
     for p in told:
         seg = d[p["y"], 8 * p["seg"] : 8 * p["seg"] + 8]
@@ -63,13 +63,13 @@ def test_palettes_over_the_whole_raster(spark, tall):
 def test_whole_cells(spark, tall):
     rows = spark.read.parquet(f"{tall[0]}/embeddings.parquet").collect()
     want = {r["vec_id"]: sum(1 << (63 - k) for k, v in enumerate(r["embedding"]) if (v + 1) * 127.5 >= 128) for r in rows}
-    assert {r["vec_id"]: r["pattern"] % (1 << 64) for r in catalog.QUERIES["cell_patterns_whole"](spark, tall[0]).collect()} == want
+    assert {r["vec_id"]: r["pattern"] % (1 << 64) for r in catalog.QUERIES["cell_patterns"](spark, tall[0]).collect()} == want
 
 
 def test_names_of_whole_texts(spark, tall):
-    names = {r["doc_id"]: r["name"] for r in catalog.QUERIES["name_amiga_whole"](spark, tall[0]).collect()}
+    names = {r["doc_id"]: r["name"] for r in catalog.QUERIES["name_amiga"](spark, tall[0]).collect()}
     assert names[5] == "thirty characters and more of " and names[1] == "FILE"
-    assert {r["doc_id"]: r["name"] for r in catalog.QUERIES["name_atari_whole"](spark, tall[0]).collect()}[0] == "ABLATEWO"
+    assert {r["doc_id"]: r["name"] for r in catalog.QUERIES["name_atari"](spark, tall[0]).collect()}[0] == "ABLATEWO"
 
 
 def said(program):
@@ -85,7 +85,7 @@ def said(program):
 
 def test_programs_of_whole_texts(spark, tall):
     d, texts = tall
-    rows = sorted(map(tuple, catalog.QUERIES["basic_tokens_whole"](spark, d).collect()))
+    rows = sorted(map(tuple, catalog.QUERIES["basic_tokens"](spark, d).collect()))
     assert [r for r in rows if r[0] == 1] == [(1, 0, None)]
     for k, text in enumerate(texts):
         if text is not None:
