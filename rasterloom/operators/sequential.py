@@ -5,7 +5,7 @@ They run as grouped functions, one image (or one row, where rows are independent
 
 from __future__ import annotations
 
-from functools import partial
+from functools import partial, reduce
 
 import numpy as np
 import pandas as pd
@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.palettes import Colour
+from .rounds import settle
 
 # Fixed values: (dx, dy, weight) and the divisor of each kernel.
 DIFFUSION: dict[str, tuple[tuple[tuple[int, int, int], ...], int]] = {
@@ -31,14 +32,16 @@ def _image(rows: pd.DataFrame) -> np.ndarray:
     return out
 
 
-def _wavefront(work: np.ndarray, tables: np.ndarray, slots: np.ndarray, kernel: str, amount: float, whole: bool) -> np.ndarray:
-    """Indices of an image with its error diffused; work is spent.
+def _wavefront(work: np.ndarray, tables: np.ndarray, slots: np.ndarray, kernel: str, amount: float, whole: bool, lines: int | None = None) -> np.ndarray:
+    """Indices of an image with its error diffused; work is spent. Of its lines only the first `lines` are done, if that is
+    given; the others take their errors.
 
     Pixels whose errors do not meet are done at once, along slanted lines: line t holds the pixels with x + slant * y = t.
     The slant is such that each pixel still gets its errors in the order of a scan by rows, so the sums are the same.
     """
     taps, total = DIFFUSION[kernel]
-    height, width, _ = work.shape
+    bottom, width, _ = work.shape
+    height = bottom if lines is None else lines
     slant = max(dx for dx, dy, _ in taps if not dy) - min(dx for dx, _, _ in taps) + 1
     ordered = sorted(taps, key=lambda tap: (-tap[1], -tap[0]))
     same = np.append(slots[1:] == slots[:-1], False)
@@ -55,7 +58,7 @@ def _wavefront(work: np.ndarray, tables: np.ndarray, slots: np.ndarray, kernel:
         if not whole:
             error = error * (amount / total)
         for dx, dy, weight in ordered:
-            on = (xs + dx >= 0) & (xs + dx < width) & (ys + dy < height)
+            on = (xs + dx >= 0) & (xs + dx < width) & (ys + dy < bottom)
             if dy:
                 on &= same[ys]
             work[ys[on] + dy, xs[on] + dx] += np.trunc(error[on] * (weight / total * amount)) if whole else error[on] * weight
@@ -97,6 +100,52 @@ def diffuse(pixels: DataFrame, palette: list[Colour], kernel: str = "floyd_stein
     return pixels.groupBy(*keys).applyInPandas(partial(work, colours=np.array(palette, float)), f"{schema}, y long, x long, idx long")
 
 
+def diffuse_bands(pixels: DataFrame, palette: list[Colour], kernel: str = "floyd_steinberg", amount: float = 1.0, keys: tuple[str, ...] = ("image_id",), band: int = 64, whole: bool = False) -> DataFrame:
+    """(keys, y, x, idx) of every image, as diffuse() gives it, with no group larger than a band of lines.
+
+    A band hands the lines below it on with the errors that they have taken: a round does one band of all images, from top to
+    bottom, and what it hands on is grouped with the next. Sums are added up in the same order as in one scan, so they are the
+    same to the last bit. An image takes as many rounds as it has bands; images are done side by side.
+    """
+    reach = max(dy for _, dy, _ in DIFFUSION[kernel][0])
+    if band < reach:
+        raise ValueError("errors reach beyond the next band")
+    colours = np.array(palette, float)
+    # The first lines of a band also go to the band above, which adds its errors to them.
+    own = F.expr(f"y div {band}")
+    both = F.when((F.col("y") % band < reach) & (own > 0), F.array(own, own - 1)).otherwise(F.array(own))
+    dealt = settle(pixels.select(*keys, "y", "x", "r", "g", "b", F.explode(both).alias("__band")))
+    types = dict(pixels.dtypes)
+    schema = ", ".join(f"{c} {types[c]}" for c in keys) + ", y long, x long, idx long, handed array<double>"
+
+    def work(rows: pd.DataFrame, above: pd.DataFrame) -> pd.DataFrame:
+        if not len(rows):  # an image that has no more bands
+            return pd.DataFrame({c: [] for c in (*keys, "y", "x", "idx", "handed")})
+        number = int(rows["__band"].iloc[0])
+        image = _image(rows.assign(y=rows["y"] - number * band))
+        image = np.trunc(image) if whole else image
+        if len(above):
+            lines = np.asarray(above["handed"].iloc[0], float).reshape(-1, *image.shape[1:])
+            image[: len(lines)] = lines
+        lines = min(band, len(image))
+        told = _grid(rows, list(keys), _wavefront(image, colours[None], np.zeros(len(image), np.int64), kernel, amount, whole, lines)[:lines])
+        told["y"] += number * band
+        told["handed"] = None
+        if len(image) > lines:
+            end = told.iloc[:1].assign(idx=-1, handed=[image[lines:].reshape(-1).tolist()])
+            told = pd.concat([told, end])
+        return told
+
+    last = dealt.agg(F.max("__band")).first()[0]
+    parts, handed = [], dealt.select(*keys, F.lit(None).cast("array<double>").alias("handed")).limit(0)
+    for number in range(0 if last is None else last + 1):
+        rows = dealt.where(F.col("__band") == number)
+        made = settle(rows.groupBy(*keys).cogroup(handed.groupBy(*keys)).applyInPandas(work, schema))
+        parts.append(made.where("idx >= 0").drop("handed"))
+        handed = made.where("idx < 0").select(*keys, "handed")
+    return reduce(DataFrame.union, parts) if parts else dealt.select(*keys, F.col("y").cast("long"), F.col("x").cast("long"), F.lit(0).cast("long").alias("idx"))
+
+
 def diffuse_lines(pixels: DataFrame, palettes: list[list[Colour]], slots: DataFrame, kernel: str = "floyd_steinberg", amount: float = 1.0, keys: tuple[str, ...] = ("image_id",)) -> DataFrame:
     """(keys, y, x, idx) of images whose lines have palettes of their own: slots(keys, y, slot) is joined to the lines."""
 

@@ -417,6 +417,8 @@ add("diffuse_lines", lambda spark, d: sequential.diffuse_lines(_strips(spark, d)
 on_raster("match_lines", lambda px: color.nearest(px.where("y % 2 = 0"), _LINES[0]).unionByName(color.nearest(px.where("y % 2 = 1"), _LINES[1])).select("x", "y", "idx"), f"{palette_sql(_LINES[0], 'one')}{palette_sql(_LINES[1], 'two')}, pal AS (SELECT 0 AS slot, * FROM one UNION ALL SELECT 1, * FROM two) SELECT x, y, arg_min(i, {{'d': (r-pr)*(r-pr) + (g-pg)*(g-pg) + (b-pb)*(b-pb), 'i': i}}) AS idx FROM px JOIN pal ON slot = y % 2 GROUP BY 1, 2")
 for _kernel in sequential.DIFFUSION:
     add(f"diffuse_{_kernel}", lambda spark, d, k=_kernel: sequential.diffuse(_strips(spark, d), BBC, k))
+# The whole raster as one image, in bands.
+add("diffuse_bands", lambda spark, d: sequential.diffuse_bands(orders_raster(spark, d).withColumn("image_id", F.lit(0)), BBC).select("y", "x", "idx"))
 add("diffuse_whole", lambda spark, d: sequential.diffuse(_strips(spark, d), BBC, whole=True))
 add("diffuse_cells", lambda spark, d: sequential.diffuse(_strips(spark, d), BBC, cell=(8, 8)))
 def _ham_sql(palette: list[Colour], bits: int) -> str:

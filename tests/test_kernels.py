@@ -86,6 +86,20 @@ def test_wavefronts_equal_the_scan(kernel):
             assert (sequential.diffuse_array(image, COLOURS, kernel, 0.75, whole=whole) == scan(image, COLOURS, kernel, 0.75, whole)).all()
 
 
+@pytest.mark.parametrize(("kernel", "whole", "band"), [("floyd_steinberg", False, 4), ("stucki", False, 3), ("atkinson", True, 5), ("jarvis_judice_ninke", False, 64), ("burkes", True, 1)])
+def test_bands_equal_the_scan(spark, kernel, whole, band):
+    images = np.random.default_rng(9).integers(0, 256, (2, 13, 11, 3)).astype(float)
+    images = [images[0], images[1][:6]]
+    rows = [(None if k else 7, y, x, *map(int, i[y, x])) for k, i in enumerate(images) for y in range(len(i)) for x in range(11)]
+    df = spark.createDataFrame(rows, "image_id long, y long, x long, r long, g long, b long").repartition(3)
+    told = sequential.diffuse_bands(df, BBC, kernel, 0.75, band=band, whole=whole).collect()
+    assert len(told) == len(rows)
+    for key, image in zip((7, None), images, strict=True):
+        want = scan(image, COLOURS, kernel, 0.75, whole)
+        assert all(p["idx"] == want[p["y"], p["x"]] for p in told if p["image_id"] == key)
+    assert sequential.diffuse_bands(df.limit(0), BBC).count() == 0
+
+
 def test_error_stays_in_its_line_where_the_palette_changes():
     image = np.full((4, 6, 3), 100.0)
     tables = np.array([[(0, 0, 0), (255, 255, 255)], [(0, 0, 0), (200, 200, 200)]], float)
