@@ -6,14 +6,15 @@ colours where the mode has cells, pack and encode. A failing image gets an error
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from datetime import date
 from functools import partial
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row, SparkSession
+from pyspark.sql.functions import udtf
 
 from ..functions import encoders as enc
 from ..functions.palettes import BBC, C64, CGA, COCO_SET, COCO_TWO, IIGS, PALETTES, TMS9918, VIC20, ZX, Colour, atari_register
@@ -225,3 +226,33 @@ def previews(pixels: DataFrame, kind: str = "png") -> DataFrame:
     """(image_id, content): images(image_id, y, x, r, g, b) as PNG or BMP files, as they are."""
     types = dict(pixels.dtypes)
     return pixels.select("image_id", "y", "x", "r", "g", "b").groupBy("image_id").applyInPandas(partial(_encode, kind=kind), f"image_id {types['image_id']}, content binary")
+
+
+class MachineTable:
+    """SELECT * FROM machine(TABLE(px) PARTITION BY (image_id), 'zx_hires'): a native file of each image.
+
+    px has image_id, y, x, r, g, b; an image is a partition of the table argument. An unknown mode is told in `error`.
+    """
+
+    def __init__(self) -> None:
+        self.rows: list[tuple] = []
+        self.mode: str | None = None
+
+    def eval(self, row: Row, mode: str) -> None:
+        self.mode = mode
+        self.rows.append(tuple(row[c] for c in ("image_id", "y", "x", "r", "g", "b")))
+
+    def terminate(self) -> Iterator[tuple]:
+        if self.rows:
+            key = self.rows[0][0]
+            if self.mode not in MODES:
+                yield None if key is None else str(key), self.mode, None, None, None, None, f"no mode {self.mode}"
+                return
+            told = _work(pd.DataFrame(self.rows, columns=["image_id", "y", "x", "r", "g", "b"]), self.mode, None).iloc[0]
+            whole = lambda v: None if pd.isna(v) else int(v)
+            yield None if key is None else str(key), self.mode, told["extension"], whole(told["width"]), whole(told["height"]), told["content"], told["error"]
+
+
+def register(spark: SparkSession) -> None:
+    """machine(TABLE ... PARTITION BY (image_id), mode) for SQL."""
+    spark.udtf.register("machine", udtf(MachineTable, returnType="image_id string, mode string, extension string, width bigint, height bigint, content binary, error string"))

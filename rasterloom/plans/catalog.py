@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import basic, metrics
 from ..functions.palettes import BBC, C64, CPC, IIGS, PALETTES, TMS9918, VIC20, ZX, Colour
 from ..functions.disks import BUILDERS, FAT12, LISTINGS
-from ..operators import batch, blocks, color, machines, packing, sequential, sliding, stencil, text_cells
+from ..operators import batch, blocks, color, machines, native, packing, sequential, sliding, stencil, text_cells
 from ..operators import statistics as st
 from . import adaptive
 from ..sources.disks import build_disks, extract_files, list_disks
@@ -519,6 +519,17 @@ for _mode, _size, _n, _depth in ((0, 640, 2, 1), (1, 320, 4, 2), (2, 160, 8, 4),
 for _mode, _size, _n, _depth in ((8, 320, 2, 1), (15, 160, 4, 2)):
     _FILES_SQL[f"atari800_gr{_mode}"] = _chosen_sql(_size, 192, PALETTES["atari128"], _n, _depth, "k // 8 * 16 + k % 8 * 2")
 _FILES_SQL["msx_screen5"] = _chosen_sql(256, 212, PALETTES["v9938"], 16, 4, "k", head="FE00001F6A0000").replace("printf('%02X', k)", "printf('%02X%02X', k // 64 * 16 + k % 8, k // 8 % 8)")
+# Native files without Python: whole screens, and runs put together in their order.
+_told = lambda files, width, height: files.select("image_id", F.lit(width).alias("width"), F.lit(height).alias("height"), F.length("content").alias("size"), F.md5("content").alias("digest"))
+add("screen_zx", lambda spark, d: _told(native.spectrum_screen(_images(spark, d), ZX), 256, 192), _FILES_SQL["zx_hires"].replace(", CAST(NULL AS VARCHAR) AS error", ""))
+_PCX = _file_sql(320, 200, PALETTES["cga4_1_high"], 2).split(", f AS (SELECT image_id, '")[0]
+add(
+    "file_pcx_cga",
+    lambda spark, d: _told(native.pcx_file(_images(spark, d), PALETTES["cga4_1_high"]), 320, 200),
+    _PCX + ", a AS (SELECT *, CASE WHEN lag(byte) OVER w = byte THEN 0 ELSE 1 END AS s FROM y WINDOW w AS (PARTITION BY image_id, ty ORDER BY col)), u AS (SELECT *, sum(s) OVER (PARTITION BY image_id, ty ORDER BY col) AS run FROM a), q AS (SELECT *, (row_number() OVER (PARTITION BY image_id, ty, run ORDER BY col) - 1) // 63 AS part FROM u)"
+    " , e AS (SELECT image_id, ty, min(col) AS start, CASE WHEN count(*) = 1 AND any_value(byte) < 192 THEN printf('%02X', any_value(byte)) ELSE printf('%02X%02X', count(*) + 192, any_value(byte)) END AS hex FROM q GROUP BY image_id, ty, run, part)"
+    f", h AS (SELECT image_id, '0A050102000000003F01C70048004800{''.join(f'{v:02X}' for c in PALETTES['cga4_1_high'] for v in c)}{'00' * 36}000150000100{'00' * 58}' || string_agg(hex, '' ORDER BY ty, start) AS hex FROM e GROUP BY 1) SELECT image_id, 320 AS width, 200 AS height, CAST(length(hex) // 2 AS INTEGER) AS size, md5(unhex(hex)) AS digest FROM h",
+)
 for _mode in machines.MODES:
     add(f"convert_{_mode}", lambda spark, d, m=_mode: machines.convert(_images(spark, d), m).select("image_id", "width", "height", F.length("content").alias("size"), F.md5("content").alias("digest"), "error"), _FILES_SQL.get(_mode))
 
