@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import basic, metrics
 from ..functions.palettes import BBC, C64, CPC, IIGS, PALETTES, TMS9918, VIC20, ZX, Colour
 from ..functions.disks import BUILDERS, FAT12, LISTINGS
-from ..operators import batch, blocks, color, machines, native, packing, sequential, sliding, stencil, text_cells
+from ..operators import batch, blocks, color, machines, native, packing, sequential, sliding, stencil, text_cells, volumes
 from ..operators import statistics as st
 from . import adaptive
 from ..sources.disks import build_disks, extract_files, list_disks
@@ -578,4 +578,8 @@ for _system in LISTINGS:
 _MANY = E8 + ", p AS (SELECT vec_id % 3 AS image, vec_id, bit_or(CASE WHEN lum <= 127 THEN 0 WHEN x = 0 AND y = 0 THEN (-9223372036854775808)::BIGINT ELSE 1::BIGINT << (63 - (y*8 + x))::INT END) AS pattern FROM e8 GROUP BY 1, 2)"
 add("charset_by_image", lambda spark, d: packing.charset(_cells(spark, d).withColumn("image", F.expr("vec_id % 3")), "vec_id", 64, keys=("image",)), _MANY + ", f AS (SELECT image, pattern, min(vec_id) AS first FROM p GROUP BY 1, 2), k AS (SELECT image, pattern AS kept, row_number() OVER (PARTITION BY image ORDER BY first) - 1 AS code FROM f QUALIFY code < 64) SELECT image, vec_id, pattern, arg_min(code, {'d': bit_count(xor(pattern, kept)), 'c': code}) AS code, CAST(min(bit_count(xor(pattern, kept))) AS BIGINT) AS distance FROM p JOIN k USING (image) GROUP BY 1, 2, 3")
 add("extract_prodos", lambda spark, d: extract_files(build_disks(_files(spark, d), "prodos")).select("disk_id", "name", F.octet_length("content").cast("long").alias("bytes"), F.md5("content").alias("digest")), _stored_sql(_PRODOS_NEED, 24, 1600, 51) + " SELECT disk_id, name, bytes, digest FROM g")
+# The same read as relations.
+add("volume_amiga_ofs", lambda spark, d: volumes.amiga_listing(build_disks(_files(spark, d), "amiga_ofs")).select("disk_id", "name", "size"), _LISTED["amiga_ofs"])
+add("volume_cpc_data", lambda spark, d: volumes.cpc_listing(build_disks(_files(spark, d), "cpc_data")), _LISTED["cpc_data"])
+add("volume_prodos", lambda spark, d: volumes.prodos_files(build_disks(_files(spark, d), "prodos")).select("disk_id", "name", F.octet_length("content").cast("long").alias("bytes"), F.md5("content").alias("digest")), _stored_sql(_PRODOS_NEED, 24, 1600, 51) + " SELECT disk_id, name, bytes, digest FROM g")
 add("basic_tokens", lambda spark, d: basic.remark_programs(_texts(spark, d), "doc_id").select("doc_id", "part", F.hex("content").alias("program")))
