@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import basic, metrics
 from ..functions.palettes import BBC, C64, CPC, IIGS, PALETTES, TMS9918, VIC20, ZX, Colour
 from ..functions.disks import BUILDERS, FAT12, LISTINGS
-from ..operators import batch, blocks, color, machines, native, packing, sequential, sliding, stencil, text_cells, volumes
+from ..operators import batch, blocks, color, machines, native, packing, programs, sequential, sliding, stencil, text_cells, volumes
 from ..operators import statistics as st
 from . import adaptive
 from ..sources.disks import build_disks, extract_files, list_disks
@@ -578,6 +578,28 @@ for _system in LISTINGS:
 _MANY = E8 + ", p AS (SELECT vec_id % 3 AS image, vec_id, bit_or(CASE WHEN lum <= 127 THEN 0 WHEN x = 0 AND y = 0 THEN (-9223372036854775808)::BIGINT ELSE 1::BIGINT << (63 - (y*8 + x))::INT END) AS pattern FROM e8 GROUP BY 1, 2)"
 add("charset_by_image", lambda spark, d: packing.charset(_cells(spark, d).withColumn("image", F.expr("vec_id % 3")), "vec_id", 64, keys=("image",)), _MANY + ", f AS (SELECT image, pattern, min(vec_id) AS first FROM p GROUP BY 1, 2), k AS (SELECT image, pattern AS kept, row_number() OVER (PARTITION BY image ORDER BY first) - 1 AS code FROM f QUALIFY code < 64) SELECT image, vec_id, pattern, arg_min(code, {'d': bit_count(xor(pattern, kept)), 'c': code}) AS code, CAST(min(bit_count(xor(pattern, kept))) AS BIGINT) AS distance FROM p JOIN k USING (image) GROUP BY 1, 2, 3")
 add("extract_prodos", lambda spark, d: extract_files(build_disks(_files(spark, d), "prodos")).select("disk_id", "name", F.octet_length("content").cast("long").alias("bytes"), F.md5("content").alias("digest")), _stored_sql(_PRODOS_NEED, 24, 1600, 51) + " SELECT disk_id, name, bytes, digest FROM g")
+# Programs of statements made from the orders: every keyword in turn, with strings, remarks and data.
+_KEYWORDS = "[" + ", ".join("'" + w + "'" for w in basic.KEYWORDS) + "]"
+_LINE = "{n} || ' ' || {a} || ' ' || {p} || ' : ' || lower({b}) || '(\"' || {c} || ' x' || {p} || CASE WHEN {n} % 5 = 0 THEN '' ELSE '\"' END || ', B%' || {c}"
+
+
+def _statements(spark: SparkSession, d: str) -> DataFrame:
+    orders = spark.read.parquet(f"{d}/orders.parquet")
+    word = lambda at: F.element_at(F.split(F.lit(" ".join(basic.KEYWORDS)), " "), (F.expr(at) % len(basic.KEYWORDS) + 1).cast("int"))
+    told = orders.select(F.expr("o_orderkey div 500").alias("program"), F.expr("o_orderkey % 500").alias("nth"), word("o_orderkey").alias("a"), word("o_custkey").alias("b"), word("o_orderkey * 7 + o_custkey").alias("c"), F.expr("cast(floor(o_totalprice) as bigint)").alias("p"))
+    return told.withColumn("n", F.col("nth") + 1).withColumn("text", F.expr(_LINE.format(n="n", a="a", b="b", c="c", p="p")))
+
+
+_CODES = "map([" + ", ".join("'" + w + "'" for w in basic.CODES) + "], [" + ", ".join(f"'{c:02X}'" for c in basic.CODES.values()) + "])"
+_TOKEN = f"CASE WHEN starts_with(t, '\"') THEN hex(encode(t)) WHEN starts_with(upper(t), 'REM') THEN '{basic.CODES['REM']:02X}' || hex(encode(substring(t, 4))) WHEN starts_with(upper(t), 'DATA') THEN '{basic.CODES['DATA']:02X}' || hex(encode(substring(t, 5))) ELSE coalesce({_CODES}[upper(t)], hex(encode(t))) END"
+_WORD_SQL = "printf('%02X%02X', {0} % 256, {0} // 256)".format
+add(
+    "basic_programs",
+    lambda spark, d: programs.linked_programs(_statements(spark, d), ("program",), "nth").select("program", F.length("content").alias("size"), F.md5("content").alias("digest")),
+    f"WITH k AS (SELECT {_KEYWORDS} AS kw), o AS (SELECT o_orderkey // 500 AS program, o_orderkey % 500 + 1 AS n, kw[CAST(o_orderkey % {len(basic.KEYWORDS)} + 1 AS INT)] AS a, kw[CAST(o_custkey % {len(basic.KEYWORDS)} + 1 AS INT)] AS b, kw[CAST((o_orderkey * 7 + o_custkey) % {len(basic.KEYWORDS)} + 1 AS INT)] AS c, CAST(floor(o_totalprice) AS BIGINT) AS p FROM orders, k)"
+    f", l AS (SELECT program, n, regexp_replace({_LINE.format(n='n', a='a', b='b', c='c', p='p')}, '^[0-9]+ *', '') AS body FROM o), h AS (SELECT program, n, array_to_string([{_TOKEN} FOR t IN regexp_extract_all(body, '{programs.PARTS}')], '') AS hex FROM l)"
+    f", u AS (SELECT *, CAST({basic.START} + sum(length(hex) // 2 + 5) OVER (PARTITION BY program ORDER BY n) AS BIGINT) AS upto FROM h), g AS (SELECT program, string_agg({_WORD_SQL('upto')} || {_WORD_SQL('n')} || hex || '00', '' ORDER BY n) || '0000' AS hex FROM u GROUP BY 1) SELECT program, CAST(length(hex) // 2 AS INTEGER) AS size, md5(unhex(hex)) AS digest FROM g",
+)
 # The same read as relations.
 add("volume_amiga_ofs", lambda spark, d: volumes.amiga_listing(build_disks(_files(spark, d), "amiga_ofs")).select("disk_id", "name", "size"), _LISTED["amiga_ofs"])
 add("volume_cpc_data", lambda spark, d: volumes.cpc_listing(build_disks(_files(spark, d), "cpc_data")), _LISTED["cpc_data"])

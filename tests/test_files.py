@@ -1,14 +1,17 @@
 """Native files by relational operators, files as a data source, and the table function of SQL."""
 
 import os
+import re
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from rasterloom.functions import basic
 from rasterloom.functions.palettes import PALETTES, ZX
-from rasterloom.operators import machines, native
+from rasterloom.operators import machines, native, programs, volumes
 from rasterloom.sources import assets
+from rasterloom.sources.disks import build_disks
 
 PX = "image_id long, y long, x long, r long, g long, b long"
 
@@ -72,3 +75,64 @@ def test_files_are_written_whole_or_not_at_all(spark, tmp_path):
     with pytest.raises(Exception, match="not a name"):
         spark.createDataFrame([("../x", bytearray(b"1"))], "name string, content binary").write.format("raster_files").option("path", folder).mode("append").save()
     assert not os.path.exists(tmp_path / "x")
+
+
+def tokenised(line):
+    """A line's bytes by a state machine, character by character."""
+    out, rest, state = bytearray(), line, ""
+    keywords = sorted(basic.KEYWORDS, key=len, reverse=True)
+    quoted = False
+    while rest:
+        c = rest[0]
+        if c == '"' or quoted or state == "REM" or state == "DATA" and c != ":":
+            quoted ^= c == '"'
+            out += c.encode() if c.isascii() else b""
+            rest = rest[1:]
+            continue
+        state = ""
+        word = next((w for w in keywords if rest.upper().startswith(w)), None)
+        if word:
+            out.append(basic.CODES[word])
+            state = word if word in ("REM", "DATA") else ""
+            rest = rest[len(word) :]
+        else:
+            out += c.encode() if c.isascii() else b""
+            rest = rest[1:]
+    return bytes(out)
+
+
+LINES = [
+    '10 PRINT "HELLO : REM no" : GOTO 10', "20 rem all of this : PRINT", '30 DATA 1,"a:b",c : HOME', '40 A$ = "open', "50 RESTORE : REM", "60 ONERRGOTO100", "no number", None, "", "  70   home ", "80 é = 1 : PRINT é",
+    "90 HCOLOR= 3 : ATN(1) : SGN(2)", "65535 END", "65536 END", "100 DATA", *[f"{200 + k} {w.lower()}{k}{w}" for k, w in enumerate(basic.KEYWORDS)],
+]
+
+
+def test_programs_equal_a_state_machine(spark):
+    df = spark.createDataFrame([(p, k, line) for p in ("x", None) for k, line in enumerate(LINES)], "program string, nth long, text string").repartition(3)
+    told = {r["program"]: bytes(r["content"]) for r in programs.linked_programs(df, ("program",), "nth").collect()}
+    want, at = bytearray(), basic.START
+    for line in LINES:
+        number = re.match(r"\s*(\d+)[ \t]*(.*?)[ \t]*$", line or "", re.DOTALL)
+        if number and int(number[1]) <= 65535:
+            body = tokenised(number[2])
+            at += len(body) + 5
+            want += at.to_bytes(2, "little") + int(number[1]).to_bytes(2, "little") + body + b"\0"
+    assert told == {"x": bytes(want) + b"\0\0", None: bytes(want) + b"\0\0"}
+    assert set(basic.CODES.values()) <= set(want)
+    assert programs.linked_programs(df.limit(0), ("program",), "nth").count() == 0
+
+
+def test_volumes_with_other_blocks_and_nothing(spark):
+    empty = spark.createDataFrame([], "disk_id long, content binary")
+    junk = spark.createDataFrame([(1, bytearray(600)), (2, bytearray(880 * 1024)), (None, None)], "disk_id long, content binary")
+    for df in (empty, junk):
+        assert volumes.amiga_listing(df).count() == volumes.prodos_files(df).count() == 0
+    assert volumes.cpc_listing(empty).count() == 0
+
+
+def test_prodos_files_through_index_blocks(spark):
+    r = np.random.default_rng(6)
+    files = [(0, k, f"F{k}.BIN", bytearray(r.bytes(n))) for k, n in enumerate((0, 1, 512, 513, 40_000, 140_000))]
+    disks = build_disks(spark.createDataFrame(files, "disk_id long, ord long, name string, content binary"), "prodos")
+    told = {x["name"]: bytes(x["content"]) for x in volumes.prodos_files(disks).collect()}
+    assert told == {name: bytes(content) for _, _, name, content in files}
