@@ -27,18 +27,20 @@ from .shared import cut
 _TOKEN = "[A-Za-z0-9+/_-]"
 # Names that are given secrets, not the words that only begin like them (author, secretary, tokenizer).
 _NAMES = "secrets?(?![a-z])|secret[_-]?key|tokens?(?![a-z])|passw|passphrase|pwd(?![a-z])|api[_ -]?key|access[_ -]?key|private[_ -]?key|credentials?(?![a-z])|auth(?![a-z])|bearer(?![a-z])"
-_NAMED = rf"[A-Za-z0-9_.-]{{0,64}}?(?i:{_NAMES})[A-Za-z0-9_]{{0,16}}+[\"']?\s{{0,3}}+(?::=|=>|[:=])\s{{0,3}}+"
+# A name is looked for where one may begin; what stands before it in its word is no part of the match.
+_NAMED = rf"(?=[stpacbSTPACB])(?i:{_NAMES})[A-Za-z0-9_]{{0,16}}+[\"']?\s{{0,3}}+(?::=|=>|[:=])\s{{0,3}}+"
 # A name and what stands between it and its value.
 ASSIGNED = rf"{_NAMED}[\"'`]?"
-_LEFT = r"(?<![A-Za-z0-9_.-])"
+# A run of token characters that ends in the name of what is assigned is no candidate itself.
+_NO_NAME = rf"(?!{_TOKEN}*(?i:{_NAMES})[A-Za-z0-9_]{{0,16}}[\"']?\s{{0,3}}(?::=|=>|[:=])\s{{0,3}}[\"'`]?[^\s\"'`<>]{{6}})"
 CANDIDATE = "|".join(
     (
         r"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----(?:[^-]*+(?:-(?!----)[^-]*+)*+-----END [A-Z ]{0,40}PRIVATE KEY-----|[A-Za-z0-9+/=\s]*+)",
-        r"(?<=://[^\s:/@\"'<>]{0,64}:)(?!//)[^\s/@\"'<>]{4,200}(?=@)",
-        rf"{_LEFT}{_NAMED}[\"'`](?!-----BEGIN)[^\"'`<>\n]{{6,200}}(?=[\"'`])",
-        rf"{_LEFT}{ASSIGNED}(?!-----BEGIN)[^\s\"'`<>]{{5,}}[^\s\"'`<>.,;:!?)\]}}]",
+        # A colon first: what looks back over an address is tried nowhere else.
+        r"(?<=:)(?!//)(?<=://[^\s:/@\"'<>]{0,64}:)[^\s/@\"'<>]{4,200}(?=@)",
+        rf"{_NAMED}(?:[\"'`](?!-----BEGIN)[^\"'`<>\n]{{6,200}}(?=[\"'`])|[\"'`]?(?!-----BEGIN)[^\s\"'`<>]{{5,}}[^\s\"'`<>.,;:!?)\]}}])",
         r"(?<![A-Za-z0-9_-])eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}(?:\.[A-Za-z0-9_-]{8,})?",
-        rf"(?<!{_TOKEN})(?={_TOKEN}[a-z+/_-]*+[A-Z0-9]){_TOKEN}{{16,}}+={{0,2}}+",
+        rf"(?<!{_TOKEN})(?={_TOKEN}[a-z+/_-]*+[A-Z0-9]){_NO_NAME}{_TOKEN}{{16,}}+={{0,2}}+",
     )
 )
 CONTEXT = 64
