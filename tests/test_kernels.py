@@ -7,7 +7,7 @@ from hypothesis import strategies as st
 
 from rasterloom.functions import disks, encoders
 from rasterloom.functions.palettes import BBC, PALETTES
-from rasterloom.operators import machines, packing, sequential
+from rasterloom.operators import color, machines, packing, sequential
 from rasterloom.sources.disks import build_disks, list_disks
 from rasterloom.sources.rasters import decode_image, pixels
 
@@ -324,3 +324,15 @@ def test_basic_lines_by_hand(spark):
     told = {r["name"]: r["content"] for r in basic.tokenise_programs(df).collect()}
     assert told == {"a": bytearray(b"\x07\x08\x0a\x00\x80\x00\x00\x00"), "b": None}
     assert basic.tokenise(basic.slideshow(["A", "B"]))[-2:] == b"\0\0"
+
+
+def test_noise_is_bounded_spread_and_the_same_again(spark):
+    df = spark.createDataFrame([(y, x, 128, 128, 128) for y in range(64) for x in range(64)], "y long, x long, r long, g long, b long")
+    one = {(p["y"], p["x"]): (p["r"], p["g"], p["b"]) for p in color.noise_dither(df).collect()}
+    again = {(p["y"], p["x"]): (p["r"], p["g"], p["b"]) for p in color.noise_dither(df.repartition(3)).collect()}
+    shifts = np.array([v[0] - 128 for v in one.values()])
+    assert one == again and all(r == g == b for r, g, b in one.values())  # one shift for all channels
+    reach = np.abs(shifts).max()
+    assert 0 < reach <= 128 and abs(shifts.mean()) < 0.05 * reach and np.histogram(shifts, 8, (-reach, reach))[0].min() > 400
+    ends = spark.createDataFrame([(0, x, 0, 255, 5) for x in range(300)], "y long, x long, r long, g long, b long")
+    assert all(0 <= p[c] <= 255 for p in color.noise_dither(ends).collect() for c in "rgb")
