@@ -1,23 +1,28 @@
 """SentencePiece encoding and decoding over a relational lattice.
 
-Encoding: frequent words of the corpus are a relation. Their substrings of bounded length are exploded and equi-joined
-to the piece table; the edges of a word are grouped and folded with a higher-order aggregate, which gives its piece ids.
-For unigram models the fold is Viterbi's. The given model is a BPE model, whose segmentation is no best path: there the
-fold replays its merges on the same edges, best score first, the boundaries of a word being the bits of a long. Texts
-are then mapped word by word; a word beyond the dictionary is encoded by the library's processor of the same model, which
-gives the same ids. No piece holds a space mark after another character, so words are independent; models for which that
-or the plain normaliser does not hold are refused.
+Encoding: texts are cut into units that no piece crosses: a run of space marks with the run of characters after it that
+pieces join to one another. The distinct units of all texts are a relation. Their substrings of bounded length are exploded
+and equi-joined to the piece table; the edges of a unit are grouped and folded with a higher-order aggregate, which gives
+the boundaries of its pieces. For unigram models the fold is Viterbi's.
+The given model is a BPE model, whose segmentation is no best path: there the fold replays its merges on the same edges,
+best score first, the boundaries of a unit being the bits of a long. Units of more characters than a long has bits, and
+those with pieces that can be merged later than their score says, are replayed from the same edges with a heap. Documents
+are dealt into blocks by hash; the folded units are joined back to the blocks that hold them, and the texts of a block
+are mapped unit by unit. The library's processor only reads the model: it encodes nothing. Models with pieces that hold
+a space mark after another character, or with another than the plain normaliser, are refused.
 
 One row per input row: n_tokens, ids, round_trip (whether decoding gives the text back, U+2581 read as a space). Null or
 empty text has no ids. Extra columns are not read; null or repeated ids do no harm.
 
-The dictionary is bounded by `dictionary` words of at most MOST_CHARS characters and is the only thing that tasks get
-besides the model.
+Texts cross one exchange, to their block; the distinct units of a block cross two, to their fold and back.
 """
 
 from __future__ import annotations
 
+import heapq
+import itertools
 import re
+from array import array
 from collections.abc import Iterator
 from functools import partial
 
@@ -32,6 +37,12 @@ from .shared import cut
 MARK = "▁"
 WORD = f"{MARK}*[^{MARK}]+|{MARK}+"
 MOST_CHARS = 48
+#: Boundaries of a unit that are bits of a long.
+MOST_BITS = 62
+#: Bytes of text in a block.
+BLOCK = 24 << 20
+#: Starts of substrings that are cut from one slice of a unit, so that long units are not walked from their first character.
+SLICE = 64
 SCHEMA = "id long, n_tokens long, ids array<int>, round_trip boolean"
 
 
@@ -64,29 +75,129 @@ def lattice(words: DataFrame, pieces: DataFrame, most: int) -> DataFrame:
     return edges.groupBy("word", "size").agg(F.sort_array(F.collect_list(edge)).alias("edges"))
 
 
-def _byte_ids(char: Column, first_byte: int) -> Column:
-    code = F.hex(F.encode(char, "UTF-8"))
-    return F.transform(F.sequence(F.lit(1), F.octet_length(char)), lambda k: F.conv(F.substring(code, 2 * k - 1, F.lit(2)), 16, 10).cast("int") + first_byte)
-
-
-def fold_merges(first_byte: int) -> Column:
-    """The ids of a word from its edges, for a BPE model: of the edges that span two present pieces, the one of the best
-    score, the leftmost of those, is merged, again and again."""
+def unit_pattern(pieces: list[str]) -> str:
+    """A pattern of units, for Java and Python alike. Characters that follow one another in some piece are of one class; no
+    piece holds two characters of different classes, or one of none beside another. Only a space mark may precede any."""
+    joined: dict[str, str] = {}
+
+    def root(c: str) -> str:
+        while joined.setdefault(c, c) != c:
+            c = joined[c]
+        return c
+
+    for piece in pieces:
+        for a, b in itertools.pairwise(piece.lstrip(MARK)):
+            joined[root(a)] = root(b)
+    spans: dict[str, list[list[int]]] = {}
+    last = ("", 0)
+    for c in sorted(joined):
+        # Characters of no piece between two of a class are added to it, which is exact too; not so in ASCII.
+        if root(c) == last[0] and (ord(c) == last[1] + 1 or ord(c) > 0xFF < last[1] + 1):
+            spans[root(c)][-1][1] = ord(c)
+        else:
+            spans.setdefault(root(c), []).append([ord(c), ord(c)])
+        last = (root(c), ord(c))
+    if any(end > 0xFFFF for ranges in spans.values() for _, end in ranges):
+        raise ValueError("pieces join characters beyond the basic plane")
+    classes = ["[" + "".join(f"\\u{a:04X}-\\u{b:04X}" for a, b in ranges) + "]+" for ranges in spans.values()]
+    return f"{MARK}*(?:{'|'.join([*sorted(classes, key=len, reverse=True), f'[^{MARK}]'])})|{MARK}+"
+
+
+def disordered(scores: dict[str, float]) -> set[str]:
+    """Pieces that a pass over edges, best score first, could merge too early or miss: the merges of better scores do not
+    leave a piece in two parts."""
+    found = set()
+    for piece, score in scores.items():
+        parts = list(piece)
+        while len(parts) > 1:
+            ready = [(-scores[a + b], k) for k, (a, b) in enumerate(itertools.pairwise(parts)) if scores.get(a + b, score) > score]
+            if not ready:
+                break
+            k = min(ready)[1]
+            parts[k : k + 2] = [parts[k] + parts[k + 1]]
+        if len(piece) > 2 and len(parts) != 2:
+            found.add(piece)
+    return found
+
+
+def _widths(pieces: int, most: int) -> tuple[int, int]:
+    """Bits of an edge: its span; its start and span. The rank is above them."""
+    return most.bit_length(), 62 - pieces.bit_length()
+
+
+def edges_of(units: DataFrame, pieces: DataFrame, most: int, count: int) -> DataFrame:
+    """units(unit), distinct, to (unit, edges, odd): the pieces found in each unit, as longs of rank, start and span, best
+    first; odd: one of them is out of order. Units dealt by hash stay where they are.
+
+    The piece table (piece, rank, odd) is fixed by the model, at most a few MB, so it is broadcast.
+    """
+    span_bits, rank_at = _widths(count, most)
+    size = F.length("unit")
+    slices = units.select("unit", size.alias("size"), F.explode(F.sequence(F.lit(0), F.floor((size - 1) / SLICE).cast("int"))).alias("slice"))
+    sliced = slices.select("unit", "size", (F.col("slice") * SLICE).alias("before"), F.when(F.col("size") <= SLICE, F.col("unit")).otherwise(F.substring("unit", F.col("slice") * SLICE + 1, F.lit(SLICE + most))).alias("cut"))
+    # Starts in the slice; the last character of a unit starts nothing longer than itself.
+    starts = sliced.select("unit", "size", "before", "cut", F.explode(F.sequence(F.lit(1), F.greatest(F.lit(1), F.least(F.lit(SLICE), F.col("size") - F.col("before") - 1)))).alias("at"))
+    first = (F.col("before") == 0) & (F.col("at") == 1)
+    # How long a piece can be that starts with these three characters; others start none longer than two.
+    head = F.substring("cut", F.col("at"), F.lit(3))
+    longest = pieces.where(F.length("piece") >= 3).groupBy(F.substring("piece", 1, 3).alias("head")).agg(F.max(F.length("piece")).alias("longest"))
+    reach = starts.where(first | (F.col("before") + F.col("at") < F.col("size"))).withColumn("head", head).join(F.broadcast(longest), "head", "left")
+    # A unit's first character alone stands for the unit itself, also where nothing else is found.
+    spans = reach.withColumn("span", F.explode(F.sequence(F.when(first, F.lit(1)).otherwise(F.lit(2)), F.least(F.coalesce("longest", F.lit(2)), F.col("size") - F.col("before") - F.col("at") + 1))))
+    cut_out = spans.select("unit", (F.col("before") + F.col("at") - 1).cast("long").alias("start"), "span", F.substring("cut", F.col("at"), F.col("span")).alias("piece"))
+    edges = cut_out.join(F.broadcast(pieces), "piece", "left").where("rank is not null or (start = 0 and span = 1)")
+    packed = F.when(F.col("span") > 1, F.shiftleft("rank", rank_at) + F.shiftleft("start", span_bits) + F.col("span"))
+    return edges.groupBy("unit").agg(F.sort_array(F.collect_list(packed)).alias("edges"), F.coalesce(F.max(F.when(F.col("span") > 1, F.col("odd"))), F.lit(False)).alias("odd"))
+
+
+def fold_merges(count: int, most: int) -> Column:
+    """The boundaries of a unit from its edges, for a BPE model, as bits of a long: in order of score, then from the left,
+    each edge that spans two present pieces is merged. What is not ready when its turn comes never is, but for odd edges."""
+    span_bits, rank_at = _widths(count, most)
     one = F.lit(1).cast("long")
-    bits = lambda a, b: F.call_function("shiftleft", one, b) - F.call_function("shiftleft", one, a)
-    merges = F.transform(
-        F.filter("edges", lambda e: (e["end"] - e["start"] > 1) & e["id"].isNotNull()),
-        lambda e: F.struct(e["score"].alias("score"), (-e["start"]).alias("left"), bits(e["start"] + 1, e["end"]).alias("inner"), (F.call_function("shiftleft", one, e["start"]) + F.call_function("shiftleft", one, e["end"])).alias("ends")),
-    )
-    whole = bits(F.lit(0), F.col("size") + 1)
+    shifted = lambda by: F.call_function("shiftleft", one, by)
+
+    def step(bounds: Column, edge: Column) -> Column:
+        start = F.shiftright(edge.bitwiseAND(F.lit((1 << rank_at) - 1)), span_bits).cast("int")
+        end = start + edge.bitwiseAND(F.lit((1 << span_bits) - 1)).cast("int")
+        within = F.call_function("shiftright", bounds, start)
+        span = end - start
+        # Of the bits from start to end both ends and one between are set.
+        cells = within.bitwiseAND(shifted(span + 1) - one)
+        ready = (F.bit_count(cells) == 3) & (cells.bitwiseAND(one + shifted(span)) == one + shifted(span))
+        return F.when(ready, bounds - F.call_function("shiftleft", cells - one - shifted(span), start)).otherwise(bounds)
+
+    return F.aggregate("edges", shifted(F.length("unit") + 1) - one, step)
+
+
+def replay(size: int, edges: list[int], count: int, most: int) -> list[int]:
+    """The ends of a unit's pieces: its merges one by one, from a heap, over the edges that the lattice gives."""
+    span_bits, rank_at = _widths(count, most)
+    known: dict[tuple[int, int], int] = {}
+    for edge in edges:
+        start = (edge & ((1 << rank_at) - 1)) >> span_bits
+        known[start, start + (edge & ((1 << span_bits) - 1))] = edge >> rank_at
+    ends = list(range(1, size + 1))  # by start, 0 once merged away
+    before = list(range(-1, size))  # the start of the piece that ends at a place
+    heap = [(rank, start, start + 1, end) for (start, end), rank in known.items() if end == start + 2]
+    heapq.heapify(heap)
+
+    def offer(start: int, middle: int) -> None:
+        if start >= 0 and middle < size and (rank := known.get((start, ends[middle]))) is not None:
+            heapq.heappush(heap, (rank, start, middle, ends[middle]))
+
+    while heap:
+        _, start, middle, end = heapq.heappop(heap)
+        if ends[start] == middle and ends[middle] == end:
+            ends[start], ends[middle], before[end] = end, 0, start
+            offer(before[start], start)
+            offer(start, end)
+    return [end for end in ends if end]
 
-    def step(bounds: Column, candidates: Column) -> Column:
-        ready = F.filter(candidates, lambda m: (bounds.bitwiseAND(m["ends"]) == m["ends"]) & (F.bit_count(bounds.bitwiseAND(m["inner"])) == 1))
-        return F.coalesce(bounds - bounds.bitwiseAND(F.array_max(ready)["inner"]), bounds)
 
-    merged = F.transform(F.array(merges), lambda c: F.when(F.size(c) == 0, whole).otherwise(F.aggregate(F.sequence(F.lit(1), F.greatest(F.col("size") - 1, F.lit(1))), whole, lambda b, _: step(b, c))))[0]
-    kept = F.transform(F.array(merged), lambda b: F.filter("edges", lambda e: (F.call_function("shiftright", b, e["start"]).bitwiseAND(one) == 1) & (F.call_function("shiftright", b, e["end"]).bitwiseAND(one) == 1) & (F.bit_count(b.bitwiseAND(bits(e["start"] + 1, e["end"]))) == 0)))[0]
-    return _ids(kept, first_byte)
+def _byte_ids(char: Column, first_byte: int) -> Column:
+    code = F.hex(F.encode(char, "UTF-8"))
+    return F.transform(F.sequence(F.lit(1), F.octet_length(char)), lambda k: F.conv(F.substring(code, 2 * k - 1, F.lit(2)), 16, 10).cast("int") + first_byte)
 
 
 def fold_viterbi(first_byte: int, unknown: float = -1e6) -> Column:
@@ -115,14 +226,42 @@ def words_of(text: Column) -> Column:
     return F.when(F.length(text) > 0, F.regexp_extract_all(marked, F.lit(WORD), F.lit(0))).otherwise(F.array().cast("array<string>"))
 
 
-def encode_words(words: DataFrame, spark: SparkSession, model: bytes, unigram: bool = False) -> DataFrame:
-    """words(word), distinct and of at most MOST_CHARS characters, to (word, ids)."""
-    processor = _load(model)
-    rows = piece_rows(processor)
-    pieces = spark.createDataFrame(rows, "piece string, id int, score double")
-    first_byte = processor.piece_to_id("<0x00>")
-    fold = fold_viterbi(first_byte) if unigram else fold_merges(first_byte)
-    return lattice(words, pieces, max(len(p) for p, _, _ in rows)).select("word", fold.alias("ids"))
+def _words(text: str) -> list[str]:
+    """The words of a text, each without the space mark that it begins with."""
+    if MARK not in text and "  " not in f" {text} ":
+        return text.split(" ")
+    return [w[1:] for w in re.findall(WORD, MARK + text.replace(" ", MARK))]
+
+
+def _block_units(batches: Iterator[pa.RecordBatch], pattern: str) -> Iterator[pa.RecordBatch]:
+    """(block, unit) of (block, id, text), each once, or more often where a task's units fill the room for them."""
+    find = re.compile(pattern).findall
+    words: dict[int, set[str]] = {}
+
+    def flush() -> Iterator[pa.RecordBatch]:
+        for block, found in words.items():
+            units = pa.array({u for w in found for u in find(MARK + w)}, pa.string())
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(units), block, np.int32)), units], names=["block", "unit"])
+        words.clear()
+
+    for batch in batches:
+        for block, text in zip(batch.column("block").to_pylist(), batch.column("text"), strict=True):
+            if cell := text.as_py():
+                words.setdefault(block, set()).update(_words(cell))
+        if sum(map(len, words.values())) > 1_000_000:
+            yield from flush()
+    yield from flush()
+
+
+def segment(units: DataFrame, rows: list[tuple[str, int, float]]) -> DataFrame:
+    """units(unit), distinct, to (unit, bounds, edges): where the pieces of a unit meet, as bits, or else the
+    edges to replay. These are text: Spark sizes a list column anew for each row that it hands to Python."""
+    order = {score: rank for rank, score in enumerate(sorted({score for _, _, score in rows}, reverse=True))}
+    odd = disordered({piece: score for piece, _, score in rows})
+    pieces = units.sparkSession.createDataFrame([(p, order[score], p in odd) for p, _, score in rows], "piece string, rank long, odd boolean")
+    most = max(len(p) for p, _, _ in rows)
+    hard = F.col("odd") | (F.length("unit") > MOST_BITS - 1)
+    return edges_of(units, pieces, most, len(rows)).select("unit", F.when(~hard, fold_merges(len(rows), most)).alias("bounds"), F.when(hard, F.concat_ws(" ", F.col("edges").cast("array<string>"))).alias("edges"))
 
 
 def frequent_words(texts: DataFrame, most: int) -> DataFrame:
@@ -143,49 +282,95 @@ def frequent_words(texts: DataFrame, most: int) -> DataFrame:
     return counts.where((F.col("step") > last) | ((F.col("step") == last) & (hashed < share))).select("word")
 
 
-def _encode(batches: Iterator[pa.RecordBatch], model: bytes, dictionary: dict[str, bytes]) -> Iterator[pa.RecordBatch]:
-    processor = _load(model)
-    cut_words = re.compile(WORD).findall
-    plain = [processor.id_to_piece(i).replace(MARK, " ").encode() for i in range(processor.get_piece_size())]
-    for i in range(len(plain)):
-        if processor.is_byte(i):
-            plain[i] = bytes([int(processor.id_to_piece(i)[3:-1], 16)])
-    own: dict[str, bytes] = {}
-    for batch in batches:
-        for at in range(0, batch.num_rows, 128):
-            part = batch.slice(at, 128)
-            cells, sizes, trips = [], [], []
-            for cell in part.column(1):
-                text = cell.as_py() or ""
-                words = cut_words(MARK + text.replace(" ", MARK)) if text else []
-                missing = list({w for w in words if w not in dictionary and w not in own})
-                if missing:
-                    if len(own) > 200_000:
-                        own.clear()
-                        missing = list({w for w in words if w not in dictionary})
-                    # The processor puts the first space mark itself.
-                    made = processor.encode([w[1:].replace(MARK, " ") or "" for w in missing], num_threads=1)
-                    for w, ids in zip(missing, made, strict=True):
-                        own[w] = np.array(ids if w != MARK else [processor.piece_to_id(MARK)], np.int32).tobytes()
-                packed = b"".join([dictionary.get(w) or own[w] for w in words])
-                ids = np.frombuffer(packed, np.int32)
-                cells.append(ids)
-                sizes.append(len(ids))
-                trips.append(b"".join([plain[i] for i in ids.tolist()])[1:] == text.replace(MARK, " ").encode())
-            offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
-            values = np.concatenate([*cells, np.zeros(0, np.int32)])
-            lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(values))
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sizes, pa.int64()), lists, pa.array(trips)], names=["id", "n_tokens", "ids", "round_trip"])
-
-
-def encode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text", dictionary: int = 100_000) -> DataFrame:
-    """One row per input row: id_col, n_tokens, ids, round_trip."""
+def _unit_ids(units: pa.Table, ids_of: dict[str, int], plain: dict[int, bytes], first_byte: int, most: int) -> tuple[dict[str, bytes], set[str]]:
+    """The ids of each unit as int32 bytes, and the units that these ids do not give back."""
+    made: dict[str, bytes] = {}
+    lossy = set()
+    for unit, bounds, edges in zip(*(units.column(c).to_pylist() for c in ("unit", "bounds", "edges")), strict=True):
+        if edges is not None:
+            ends = replay(len(unit), list(map(int, edges.split())), len(ids_of), most)
+        else:
+            ends, bounds = [], bounds & ~1
+            while bounds:
+                ends.append((bounds & -bounds).bit_length() - 1)
+                bounds &= bounds - 1
+        ids: list[int] = []
+        start = 0
+        for end in ends:
+            piece = unit[start:end]
+            if piece in ids_of:
+                ids.append(ids_of[piece])
+            else:
+                ids.extend(first_byte + b for b in piece.encode())
+            start = end
+        made[unit] = array("i", ids).tobytes()
+        if b"".join([plain[i] for i in ids]) != unit.replace(MARK, " ").encode():
+            lossy.add(unit)
+    return made, lossy
+
+
+def _map_texts(texts: pa.Table, made: dict[str, bytes], lossy: set[str], pattern: str) -> pa.Table:
+    find = re.compile(pattern).findall
+
+    class Words(dict):
+        def __missing__(self, word: str) -> bytes:
+            self[word] = ids = b"".join([made[u] for u in find(MARK + word)])
+            return ids
+
+    ids_of = Words().__getitem__
+    cells, sizes, trips = [], [], []
+    for cell in texts.column("text"):
+        text = cell.as_py()
+        words = _words(text) if text else []
+        cells.append(b"".join(map(ids_of, words)))
+        sizes.append(len(cells[-1]) // 4)
+        trips.append(not lossy or lossy.isdisjoint(u for w in words for u in find(MARK + w)))
+    offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
+    lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(cells), np.int32)))
+    return pa.table({"id": texts.column("id"), "n_tokens": pa.array(sizes, pa.int64()), "ids": lists, "round_trip": pa.array(trips, pa.bool_())})
+
+
+def encode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text", dictionary: int = 0) -> DataFrame:
+    """One row per input row: id_col, n_tokens, ids, round_trip.
+
+    dictionary: about so many of the most frequent words have their units folded once for all blocks, which takes a pass
+    over the texts to count them.
+    """
     with open(model_path, "rb") as file:
-        model = file.read()
+        processor = _load(file.read())
+    rows = piece_rows(processor)
+    pattern = unit_pattern([p for p, _, _ in rows])
+    first_byte = processor.piece_to_id("<0x00>")
+    ids_of = {p: i for p, i, _ in rows}
+    plain = {i: p.replace(MARK, " ").encode() for p, i, _ in rows} | {first_byte + b: bytes([b]) for b in range(256)}
+    most = max(map(len, ids_of))
+
+    spark = docs.sparkSession
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    encoded = encode_words(frequent_words(texts, dictionary), docs.sparkSession, model).toArrow()
-    known = {w: np.array(ids, np.int32).tobytes() for w, ids in zip(encoded.column("word").to_pylist(), encoded.column("ids").to_pylist(), strict=True)}
-    return texts.mapInArrow(partial(_encode, model=model, dictionary=known), SCHEMA).withColumnRenamed("id", id_col)
+    known: dict[str, bytes] = {}
+    lossy: set[str] = set()
+    if dictionary:
+        common = frequent_words(texts, dictionary).select(F.explode(F.regexp_extract_all("word", F.lit(pattern), F.lit(0))).alias("unit")).distinct()
+        known, lossy = _unit_ids(segment(common, rows).toArrow(), ids_of, plain, first_byte, most)
+
+    size = texts.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
+    blocks = max(-(-size // BLOCK), spark.sparkContext.defaultParallelism)
+    dealt = texts.withColumn("block", F.pmod(F.xxhash64("id", "text"), F.lit(blocks)).cast("int")).repartition(2 * blocks, "block")
+    units = dealt.mapInArrow(partial(_block_units, pattern=pattern), "block int, unit string").where("unit is not null")
+    if known:
+        units = units.join(F.broadcast(spark.createDataFrame([(u,) for u in known], "unit string")), "unit", "left_anti")
+    # Both readers of this exchange ask for all of it, by the count of blocks and the filter that a join brings, so that it
+    # is made once.
+    met = units.repartition(2 * blocks, "unit")
+    folded = segment(met.groupBy("unit").agg(F.count("block").alias("n")).where("n > 0").select("unit"), rows)
+    back = met.join(folded, "unit").repartition(2 * blocks, "block")
+
+    def work(block_texts: pa.Table, block_units: pa.Table) -> pa.Table:
+        made, bad = _unit_ids(block_units, ids_of, plain, first_byte, most)
+        return _map_texts(block_texts, known | made, lossy | bad, pattern)
+
+    paired = dealt.groupBy("block").cogroup(back.groupBy("block"))
+    return paired.applyInArrow(work, SCHEMA).withColumnRenamed("id", id_col)
 
 
 def decode(tokens: DataFrame, spark: SparkSession, model_path: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:

@@ -692,6 +692,32 @@ def test_encoding_of_null_ids_repeats_and_nothing(spark):
     assert sorted((str(r["doc_id"]), r["text"]) for r in back) == [("1", "a b"), ("1", "a b"), ("2", ""), ("None", "a b")]
 
 
+def test_every_word_is_encoded_by_the_lattice(spark, monkeypatch):
+    """Words seen once, long words and runs of spaces too: with other ids in the piece table, theirs are all that come out."""
+    import sentencepiece
+
+    library = sentencepiece.SentencePieceProcessor(model_file=TOKENIZER)
+    table = sentencepieces.piece_rows(library)
+    turned = {i: j for (_, i, _), (_, j, _) in zip(table, reversed(table), strict=True)}
+    texts = ["once " + prose(40, 2), "Xylophonquatsch," * 6, "a" * 61 + " " + "b" * 62 + " " + "ab" * 70, "x    y" + " " * 20, "the the the"]
+    monkeypatch.setattr(sentencepieces, "piece_rows", lambda _: [(p, turned[i], score) for p, i, score in table])
+    for row in sentencepieces.encode(docs(spark, texts), TOKENIZER).collect():
+        assert row["ids"] == [turned[i] for i in library.encode(texts[row["doc_id"]])] and row["round_trip"]
+
+
+def test_units_and_merges_equal_the_library_on_random_text(spark):
+    import sentencepiece
+
+    library = sentencepiece.SentencePieceProcessor(model_file=TOKENIZER)
+    r = random.Random(9)
+    drawn = [p for p, _, _ in sentencepieces.piece_rows(library)]
+    signs = ["\n", "\r", "\t", " ", "  ", "7", "42", ".", "».", "é", "Привет", "漢", "一个", "🙂", "\u0301", "ǅ", "²."]
+    texts = ["".join(r.choice(drawn if r.random() < 0.7 else signs).replace("▁", " ") for _ in range(120)) for _ in range(60)]
+    texts += ["".join(r.choice("aehinost.▁ ") for _ in range(300)) for _ in range(40)]
+    for row in sentencepieces.encode(docs(spark, texts), TOKENIZER).collect():
+        assert row["ids"] == library.encode(texts[row["doc_id"]]) and row["round_trip"]
+
+
 def test_viterbi_fold_is_the_best_path(spark):
     pieces = [("a", 0, -3.0), ("b", 1, -3.0), ("ab", 2, -4.0), ("ba", 3, -3.5), ("aba", 4, -7.0), ("bab", 5, -6.5)]
     words = spark.createDataFrame([(w,) for w in ("a", "ab", "abab", "bababa", "aabba")], "word string")
