@@ -14,7 +14,8 @@ a space mark after another character, or with another than the plain normaliser,
 One row per input row: n_tokens, ids, round_trip (whether decoding gives the text back, U+2581 read as a space). Null or
 empty text has no ids. Extra columns are not read; null or repeated ids do no harm.
 
-Texts cross one exchange, to their block; the distinct units of a block cross two, to their fold and back.
+Texts cross one exchange, to their block, the rows of a block that a task holds together as one compressed cell; the
+distinct units of a block cross two, to their fold and back.
 """
 
 from __future__ import annotations
@@ -28,6 +29,7 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import sentencepiece
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -41,6 +43,8 @@ MOST_CHARS = 48
 MOST_BITS = 62
 #: Bytes of text in a block.
 BLOCK = 24 << 20
+#: Bytes of text that a task deals out at once.
+PACK = 32 << 20
 #: Starts of substrings that are cut from one slice of a unit, so that long units are not walked from their first character.
 SLICE = 64
 SCHEMA = "id long, n_tokens long, ids array<int>, round_trip boolean"
@@ -233,23 +237,59 @@ def _words(text: str) -> list[str]:
     return [w[1:] for w in re.findall(WORD, MARK + text.replace(" ", MARK))]
 
 
+def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(block, packed) of (block, id, text): of some PACK bytes of rows at a time, those of a block as a compressed stream."""
+    options = pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", compression_level=3))
+    held: list[pa.RecordBatch] = []
+
+    def flush() -> Iterator[pa.RecordBatch]:
+        rows = pa.Table.from_batches(held)
+        held.clear()
+        rows = rows.take(pc.sort_indices(rows.column("block")))
+        blocks, starts, counts = np.unique(rows.column("block").to_numpy(), return_index=True, return_counts=True)
+        packed = []
+        for start, count in zip(starts.tolist(), counts.tolist(), strict=True):
+            part = rows.slice(start, count).select(["id", "text"])
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, part.schema, options=options) as stream:
+                stream.write_table(part)
+            packed.append(sink.getvalue().to_pybytes())
+        yield pa.RecordBatch.from_arrays([pa.array(blocks, pa.int32()), pa.array(packed, pa.binary())], names=["block", "packed"])
+
+    for batch in batches:
+        if batch.num_rows:
+            held.append(batch)
+        if sum(b.nbytes for b in held) >= PACK:
+            yield from flush()
+    if held:
+        yield from flush()
+
+
+def _unpack(packed: pa.Scalar) -> pa.Table:
+    return pa.ipc.open_stream(packed.as_buffer()).read_all()
+
+
 def _block_units(batches: Iterator[pa.RecordBatch], pattern: str) -> Iterator[pa.RecordBatch]:
-    """(block, unit) of (block, id, text), each once, or more often where a task's units fill the room for them."""
+    """(block, unit) of (block, packed), each once, or more often where a block's words pass the room for them."""
     find = re.compile(pattern).findall
-    words: dict[int, set[str]] = {}
+    words: set[str] = set()
+    last = -1
 
     def flush() -> Iterator[pa.RecordBatch]:
-        for block, found in words.items():
-            units = pa.array({u for w in found for u in find(MARK + w)}, pa.string())
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(units), block, np.int32)), units], names=["block", "unit"])
+        units = pa.array(list({u for w in words for u in find(MARK + w)}), pa.string())
         words.clear()
+        for k in range(0, len(units), 50_000):
+            part = units[k : k + 50_000]
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), last, np.int32)), part], names=["block", "unit"])
 
     for batch in batches:
-        for block, text in zip(batch.column("block").to_pylist(), batch.column("text"), strict=True):
-            if cell := text.as_py():
-                words.setdefault(block, set()).update(_words(cell))
-        if sum(map(len, words.values())) > 1_000_000:
-            yield from flush()
+        for block, packed in zip(batch.column("block").to_pylist(), batch.column("packed"), strict=True):
+            if block != last or len(words) > 1_000_000:
+                yield from flush()
+            last = block
+            for cell in _unpack(packed).column("text"):
+                if text := cell.as_py():
+                    words.update(_words(text))
     yield from flush()
 
 
@@ -286,7 +326,7 @@ def _unit_ids(units: pa.Table, ids_of: dict[str, int], plain: dict[int, bytes],
     """The ids of each unit as int32 bytes, and the units that these ids do not give back."""
     made: dict[str, bytes] = {}
     lossy = set()
-    for unit, bounds, edges in zip(*(units.column(c).to_pylist() for c in ("unit", "bounds", "edges")), strict=True):
+    for unit, bounds, edges in itertools.chain.from_iterable(zip(*(b.column(c).to_pylist() for c in ("unit", "bounds", "edges")), strict=True) for b in units.to_batches()):
         if edges is not None:
             ends = replay(len(unit), list(map(int, edges.split())), len(ids_of), most)
         else:
@@ -309,7 +349,7 @@ def _unit_ids(units: pa.Table, ids_of: dict[str, int], plain: dict[int, bytes],
     return made, lossy
 
 
-def _map_texts(texts: pa.Table, made: dict[str, bytes], lossy: set[str], pattern: str) -> pa.Table:
+def _map_texts(parts: Iterator[pa.Table], made: dict[str, bytes], lossy: set[str], pattern: str) -> Iterator[pa.Table]:
     find = re.compile(pattern).findall
 
     class Words(dict):
@@ -318,16 +358,17 @@ def _map_texts(texts: pa.Table, made: dict[str, bytes], lossy: set[str], pattern
             return ids
 
     ids_of = Words().__getitem__
-    cells, sizes, trips = [], [], []
-    for cell in texts.column("text"):
-        text = cell.as_py()
-        words = _words(text) if text else []
-        cells.append(b"".join(map(ids_of, words)))
-        sizes.append(len(cells[-1]) // 4)
-        trips.append(not lossy or lossy.isdisjoint(u for w in words for u in find(MARK + w)))
-    offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
-    lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(cells), np.int32)))
-    return pa.table({"id": texts.column("id"), "n_tokens": pa.array(sizes, pa.int64()), "ids": lists, "round_trip": pa.array(trips, pa.bool_())})
+    for texts in parts:
+        cells, sizes, trips = [], [], []
+        for cell in texts.column("text"):
+            text = cell.as_py()
+            words = _words(text) if text else []
+            cells.append(b"".join(map(ids_of, words)))
+            sizes.append(len(cells[-1]) // 4)
+            trips.append(not lossy or lossy.isdisjoint(u for w in words for u in find(MARK + w)))
+        offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
+        lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(cells), np.int32)))
+        yield pa.table({"id": texts.column("id"), "n_tokens": pa.array(sizes, pa.int64()), "ids": lists, "round_trip": pa.array(trips, pa.bool_())})
 
 
 def encode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text", dictionary: int = 0) -> DataFrame:
@@ -355,8 +396,9 @@ def encode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: s
 
     size = texts.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
     blocks = max(-(-size // BLOCK), spark.sparkContext.defaultParallelism)
-    dealt = texts.withColumn("block", F.pmod(F.xxhash64("id", "text"), F.lit(blocks)).cast("int")).repartition(2 * blocks, "block")
-    units = dealt.mapInArrow(partial(_block_units, pattern=pattern), "block int, unit string").where("unit is not null")
+    placed = texts.select(F.pmod(F.xxhash64("id", "text"), F.lit(blocks)).cast("int").alias("block"), "id", "text")
+    dealt = placed.mapInArrow(_pack, "block int, packed binary").repartition(2 * blocks, "block")
+    units = dealt.sortWithinPartitions("block").mapInArrow(partial(_block_units, pattern=pattern), "block int, unit string").where("unit is not null")
     if known:
         units = units.join(F.broadcast(spark.createDataFrame([(u,) for u in known], "unit string")), "unit", "left_anti")
     # Both readers of this exchange ask for all of it, by the count of blocks and the filter that a join brings, so that it
@@ -367,7 +409,8 @@ def encode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: s
 
     def work(block_texts: pa.Table, block_units: pa.Table) -> pa.Table:
         made, bad = _unit_ids(block_units, ids_of, plain, first_byte, most)
-        return _map_texts(block_texts, known | made, lossy | bad, pattern)
+        parts = map(_unpack, itertools.chain.from_iterable(block_texts.column("packed").chunks))
+        return pa.concat_tables(_map_texts(parts, known | made, lossy | bad, pattern))
 
     paired = dealt.groupBy("block").cogroup(back.groupBy("block"))
     return paired.applyInArrow(work, SCHEMA).withColumnRenamed("id", id_col)

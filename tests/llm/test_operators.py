@@ -718,6 +718,36 @@ def test_units_and_merges_equal_the_library_on_random_text(spark):
         assert row["ids"] == library.encode(texts[row["doc_id"]]) and row["round_trip"]
 
 
+def test_blocks_are_worked_on_piece_by_piece():
+    """No task holds the words of several blocks, nor all texts of one as rows: each piece is read when the last one is done."""
+    import pyarrow as pa
+
+    texts = [" ".join(f"w{k % 7}{j}" for j in range(200)) for k in range(40)] + [None, ""]
+    rows = pa.RecordBatch.from_pydict({"block": [k % 3 for k in range(42)], "id": [None, *range(1, 42)], "text": texts}, schema=pa.schema([("block", pa.int32()), ("id", pa.int64()), ("text", pa.string())]))
+    packed = [b for k in (0, 21) for b in sentencepieces._pack(iter([rows.slice(k, 21)]))]
+    read = Counter()
+    told = [(block, r["id"], r["text"]) for b in packed for block, cell in zip(b["block"].to_pylist(), b["packed"], strict=True) for r in sentencepieces._unpack(cell).to_pylist()]
+    assert Counter(told) == Counter(zip(*(rows[c].to_pylist() for c in ("block", "id", "text")), strict=True))
+
+    def by_block():
+        for block in range(3):
+            for b in packed:
+                read[block] += 1
+                yield b.filter(pa.compute.equal(b["block"], block))
+
+    for b in sentencepieces._block_units(by_block(), sentencepieces.WORD):
+        block = b["block"][0].as_py()
+        assert read[block] == 2 and read[block + 2] == 0
+        assert sorted(b["unit"].to_pylist()) == sorted({"▁" + w for at, _, t in told if at == block for w in (t or "").split()})
+
+    taken = []
+    parts = (taken.append(cell) or sentencepieces._unpack(cell) for b in packed for cell in b["packed"])
+    made = {u: b"\0\0\0\0" for u in {"▁" + w for t in texts for w in (t or "").split()}}
+    for k, t in enumerate(sentencepieces._map_texts(parts, made, set(), sentencepieces.WORD)):
+        assert len(taken) == k + 1 and t.column("n_tokens").to_pylist() == [len((x[2] or "").split()) for x in told[sum(len(sentencepieces._unpack(c)) for c in taken[:-1]) :][: len(t)]]
+    assert len(taken) == 6
+
+
 def test_viterbi_fold_is_the_best_path(spark):
     pieces = [("a", 0, -3.0), ("b", 1, -3.0), ("ab", 2, -4.0), ("ba", 3, -3.5), ("aba", 4, -7.0), ("bab", 5, -6.5)]
     words = spark.createDataFrame([(w,) for w in ("a", "ab", "abab", "bababa", "aabba")], "word string")
