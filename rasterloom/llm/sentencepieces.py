@@ -15,7 +15,7 @@ One row per input row: n_tokens, ids, round_trip (whether decoding gives the tex
 empty text has no ids. Extra columns are not read; null or repeated ids do no harm.
 
 Texts cross one exchange, to their block, the rows of a block that a task holds together as one compressed cell; the
-distinct units of a block cross two, to their fold and back.
+distinct units of a block cross two, to their fold and back, sorted so that neighbours are alike.
 """
 
 from __future__ import annotations
@@ -270,13 +270,14 @@ def _unpack(packed: pa.Scalar) -> pa.Table:
 
 
 def _block_units(batches: Iterator[pa.RecordBatch], pattern: str) -> Iterator[pa.RecordBatch]:
-    """(block, unit) of (block, packed), each once, or more often where a block's words pass the room for them."""
+    """(block, unit) of (block, packed), each once, or more often where a block's words pass the room for them. Units of one
+    length stand together, in order: their rows take a third less in an exchange."""
     find = re.compile(pattern).findall
     words: set[str] = set()
     last = -1
 
     def flush() -> Iterator[pa.RecordBatch]:
-        units = pa.array(list({u for w in words for u in find(MARK + w)}), pa.string())
+        units = pa.array(sorted(sorted({u for w in words for u in find(MARK + w)}), key=len), pa.string())
         words.clear()
         for k in range(0, len(units), 50_000):
             part = units[k : k + 50_000]

@@ -748,6 +748,23 @@ def test_blocks_are_worked_on_piece_by_piece():
     assert len(taken) == 6
 
 
+def test_texts_and_units_cross_their_exchanges_in_little_room(spark):
+    r = random.Random(3)
+    syllables = ["ver", "en", "ung", "heit", "sch", "ge", "lich", "ein", "tion", "ment", "que", "ar", "os", "ed", "ing", "st"]
+    words = ["".join(r.choice(syllables) for _ in range(r.randint(1, 5))) for _ in range(30_000)]
+    texts = [" ".join(r.choice(words) for _ in range(400)) for _ in range(600)]
+    df = docs(spark, texts)
+    spark.sparkContext.setJobGroup("room", "room")
+    try:
+        sentencepieces.encode(df, TOKENIZER).write.format("noop").mode("overwrite").save()
+    finally:
+        spark.sparkContext.setJobGroup("", "")
+    tracker, store = spark.sparkContext.statusTracker(), spark.sparkContext._jsc.sc().statusStore()
+    stages = {s for j in tracker.getJobIdsForGroup("room") for s in tracker.getJobInfo(j).stageIds}
+    wrote = sum(store.lastStageAttempt(s).shuffleWriteBytes() for s in stages)
+    assert wrote < 1.2 * sum(map(len, texts))
+
+
 def test_viterbi_fold_is_the_best_path(spark):
     pieces = [("a", 0, -3.0), ("b", 1, -3.0), ("ab", 2, -4.0), ("ba", 3, -3.5), ("aba", 4, -7.0), ("bab", 5, -6.5)]
     words = spark.createDataFrame([(w,) for w in ("a", "ab", "abab", "bababa", "aabba")], "word string")
