@@ -237,6 +237,11 @@ def _words(text: str) -> list[str]:
     return [w[1:] for w in re.findall(WORD, MARK + text.replace(" ", MARK))]
 
 
+def _release() -> None:
+    """Gives freed Arrow memory back: a worker that waits for its next task would keep it."""
+    pa.default_memory_pool().release_unused()
+
+
 def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(block, packed) of (block, id, text): of some PACK bytes of rows at a time, those of a block as a compressed stream."""
     options = pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", compression_level=3))
@@ -254,7 +259,10 @@ def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             with pa.ipc.new_stream(sink, part.schema, options=options) as stream:
                 stream.write_table(part)
             packed.append(sink.getvalue().to_pybytes())
-        yield pa.RecordBatch.from_arrays([pa.array(blocks, pa.int32()), pa.array(packed, pa.binary())], names=["block", "packed"])
+        dealt = pa.RecordBatch.from_arrays([pa.array(blocks, pa.int32()), pa.array(packed, pa.binary())], names=["block", "packed"])
+        del rows, part, sink, packed
+        _release()
+        yield dealt
 
     for batch in batches:
         if batch.num_rows:
@@ -292,6 +300,7 @@ def _block_units(batches: Iterator[pa.RecordBatch], pattern: str) -> Iterator[pa
                 if text := cell.as_py():
                     words.update(_words(text))
     yield from flush()
+    _release()
 
 
 def segment(units: DataFrame, rows: list[tuple[str, int, float]]) -> DataFrame:
@@ -411,7 +420,9 @@ def encode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: s
     def work(block_texts: pa.Table, block_units: pa.Table) -> pa.Table:
         made, bad = _unit_ids(block_units, ids_of, plain, first_byte, most)
         parts = map(_unpack, itertools.chain.from_iterable(block_texts.column("packed").chunks))
-        return pa.concat_tables(_map_texts(parts, known | made, lossy | bad, pattern))
+        mapped = pa.concat_tables(_map_texts(parts, known | made, lossy | bad, pattern))
+        _release()
+        return mapped
 
     paired = dealt.groupBy("block").cogroup(back.groupBy("block"))
     return paired.applyInArrow(work, SCHEMA).withColumnRenamed("id", id_col)
