@@ -100,6 +100,29 @@ def test_bands_equal_the_scan(spark, kernel, whole, band):
     assert sequential.diffuse_bands(df.limit(0), BBC).count() == 0
 
 
+def test_bands_without_pixels_and_a_short_last_line(spark):
+    image = np.random.default_rng(2).integers(0, 256, (17, 7, 3)).astype(float)
+    image[5:12], image[16, 1:] = 0, 0
+    rows = [(y, x, *map(int, image[y, x])) for y in range(17) for x in range(7) if not 5 <= y < 12 and (y < 16 or x < 1)]
+    df = spark.createDataFrame(rows, "y long, x long, r long, g long, b long")
+    want = scan(image, COLOURS, "stucki")
+    told = sequential.diffuse_bands(df, BBC, "stucki", keys=(), band=2).collect()
+    assert {(p["y"], p["x"]): p["idx"] for p in told} == {(y, x): want[y, x] for y in range(17) for x in range(7)} and len(told) == 17 * 7
+
+
+def test_jobs_do_not_grow_with_bands(spark):
+    image = np.random.default_rng(4).integers(0, 256, (90, 4, 3)).astype(float)
+    rows = [(0, y, x, *map(int, image[y, x])) for y in range(90) for x in range(4)]
+    df = spark.createDataFrame(rows, "image_id long, y long, x long, r long, g long, b long")
+    spark.sparkContext.setJobGroup("bands", "bands")
+    told = sequential.diffuse_bands(df, BBC, "burkes", band=1).collect()
+    jobs = spark.sparkContext.statusTracker().getJobIdsForGroup("bands")
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    want = scan(image, COLOURS, "burkes")
+    assert all(p["idx"] == want[p["y"], p["x"]] for p in told) and len(told) == 360
+    assert 0 < len(jobs) < 30
+
+
 def test_error_stays_in_its_line_where_the_palette_changes():
     image = np.full((4, 6, 3), 100.0)
     tables = np.array([[(0, 0, 0), (255, 255, 255)], [(0, 0, 0), (200, 200, 200)]], float)
