@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from rasterloom.functions import basic
+from rasterloom.functions.disks import amiga_ofs
 from rasterloom.functions.palettes import PALETTES, ZX
 from rasterloom.operators import machines, native, programs, volumes
 from rasterloom.sources import assets
@@ -136,3 +137,27 @@ def test_prodos_files_through_index_blocks(spark):
     disks = build_disks(spark.createDataFrame(files, "disk_id long, ord long, name string, content binary"), "prodos")
     told = {x["name"]: bytes(x["content"]) for x in volumes.prodos_files(disks).collect()}
     assert told == {name: bytes(content) for _, _, name, content in files}
+
+
+def _kept_bytes(spark):
+    folder = spark.sparkContext.getCheckpointDir()
+    path = folder.removeprefix("file:") if folder else None
+    return sum(os.path.getsize(os.path.join(at, f)) for at, _, names in os.walk(path) for f in names) if path else 0
+
+
+def test_amiga_listing_keeps_headers_only(spark):
+    r = np.random.default_rng(8)
+    files = [(k, n, f"F{n}.BIN", bytearray(r.bytes(200_000))) for k in range(2) for n in range(3)]
+    disks = build_disks(spark.createDataFrame(files, "disk_id long, ord long, name string, content binary"), "amiga_ofs")
+    before = _kept_bytes(spark)
+    told = {(x["disk_id"], x["name"], x["size"]) for x in volumes.amiga_listing(disks).collect()}
+    assert told == {(k, name, 200_000) for k, _, name, _ in files}
+    assert _kept_bytes(spark) - before < 200_000
+
+
+def test_pointers_in_a_circle_are_an_error(spark):
+    image = bytearray(amiga_ofs([("A", b"1"), ("B", b"2")])[0])
+    head = next(b for b in range(0, len(image), 512) if image[b + 3] == 2 and image[b + 432 : b + 434] == b"\1A")
+    image[head + 496 : head + 500] = (head // 512).to_bytes(4, "big")
+    with pytest.raises(ValueError, match="circle"):
+        volumes.amiga_listing(spark.createDataFrame([(1, image)], "disk_id long, content binary"))
