@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from rasterloom.functions import basic
-from rasterloom.functions.disks import amiga_ofs
+from rasterloom.functions.disks import amiga_ofs, prodos
 from rasterloom.functions.palettes import PALETTES, ZX
 from rasterloom.operators import machines, native, programs, volumes
 from rasterloom.sources import assets
@@ -161,3 +161,19 @@ def test_pointers_in_a_circle_are_an_error(spark):
     image[head + 496 : head + 500] = (head // 512).to_bytes(4, "big")
     with pytest.raises(ValueError, match="circle"):
         volumes.amiga_listing(spark.createDataFrame([(1, image)], "disk_id long, content binary"))
+
+
+def test_prodos_pointers_of_zero_are_blocks_of_zeros(spark):
+    r = np.random.default_rng(7)
+    tree, sapling = r.bytes(140_000), r.bytes(1500)
+    image = bytearray(prodos([("TREE", tree), ("SAPLING", sapling), ("EMPTY", bytes(5000))])[0])
+    image[:512] = b"\1" * 512
+    # The second index block of the tree and that of the sapling's blocks.
+    assert image[24 * 512 : 24 * 512 + 2] == b"\x19\x1a"
+    image[24 * 512 + 1] = 0
+    head = 24 + 3 + 274
+    assert image[head * 512] == (head + 1) & 255
+    image[head * 512 : head * 512 + 512] = bytes(512)
+    disks = spark.createDataFrame([(1, image)], "disk_id long, content binary")
+    told = {x["name"]: bytes(x["content"]) for x in volumes.prodos_files(disks).collect()}
+    assert told == {"TREE": tree[: 256 * 512] + bytes(140_000 - 256 * 512), "SAPLING": bytes(1500), "EMPTY": bytes(5000)}
