@@ -10,6 +10,7 @@ from rasterloom.plans import catalog
 #: Colours with two entries equally near, of which sums of fractions took the wrong one.
 TIES = {
     "chroma_u": [(49, 25, 41), (77, 87, 122), (88, 88, 88), (103, 79, 95)],
+    "luma_a": [(0, 204, 68), (2, 250, 148), (3, 117, 186), (6, 138, 70)],
 }
 
 
