@@ -14,6 +14,7 @@ TIES = {
     "luma_u": [(0, 116, 246), (3, 137, 130), (3, 233, 104), (5, 159, 116)],
     "luma_u_mixed": [(12, 100, 225), (25, 97, 216), (51, 91, 198), (90, 82, 171)],
     "mahalanobis_u": [(0, 11, 70), (0, 14, 69), (2, 18, 66), (4, 19, 64)],
+    "perceptive_u": [(72, 100, 84), (80, 90, 92), (80, 98, 80), (84, 85, 96)],
 }
 
 
